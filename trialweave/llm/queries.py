@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, slots
+from trialweave.llm import decontaminate, minhash_join, quality_crf, slots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_slot_sharding, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op6_minhash_join, op8_decontaminate)}
 ORACLE = {"op8_decontaminate": decontaminate.ORACLE}
