@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, minhash_join, quality_crf, slots
+from trialweave.llm import decontaminate, minhash_join, mixing, quality_crf, slots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op6_minhash_join, op8_decontaminate)}
-ORACLE = {"op8_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op8_decontaminate)}
+ORACLE = {"op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
