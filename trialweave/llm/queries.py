@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, minhash_join, mixing, quality_crf, slots
+from trialweave.llm import decontaminate, minhash_join, mixing, quality_crf, slots, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op8_decontaminate)}
+def op10_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op8_decontaminate, op10_cover_anchors)}
 ORACLE = {"op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
