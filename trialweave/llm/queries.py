@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, minhash_join, mixing, quality_crf, slots, substring_dedup
+from trialweave.llm import decontaminate, minhash_join, mixing, quality_crf, rans, slots, substring_dedup
+from trialweave.llm.scratch import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +33,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    rans.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return rans.read_tokens(spark, path, with_ids=False)
+
+
 def op10_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op8_decontaminate, op10_cover_anchors)}
+QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op8_decontaminate, op9_rans_tokens, op10_cover_anchors)}
 ORACLE = {"op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
