@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, minhash_join, mixing, quality_crf, rans, slots, substring_dedup
+from trialweave.llm import decontaminate, minhash_join, mixing, quality_crf, rans, slots, substring_dedup, warc
 from trialweave.llm.scratch import new_path
 
 
@@ -29,6 +29,13 @@ def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written, normal = new_path(spark, "warc"), new_path(spark, "warc-members")
+    warc.write_archives(table(spark, sf_dir, "pages"), written)
+    warc.normalise(spark.read.schema("name string, body binary").parquet(written), normal)
+    return warc.read_archives(spark, normal, with_payload=False)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,5 +50,5 @@ def op10_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op8_decontaminate, op9_rans_tokens, op10_cover_anchors)}
+QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op7_warc_normaliser, op8_decontaminate, op9_rans_tokens, op10_cover_anchors)}
 ORACLE = {"op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
