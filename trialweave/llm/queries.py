@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, minhash_join, mixing, quality_crf, rans, slots, substring_dedup, warc
+from trialweave.llm import decontaminate, fingerprint, minhash_join, mixing, quality_crf, rans, slots, substring_dedup, warc
 from trialweave.llm.scratch import new_path
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +54,5 @@ def op10_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op7_warc_normaliser, op8_decontaminate, op9_rans_tokens, op10_cover_anchors)}
+QUERIES = {f.__name__: f for f in (op1_multiset_fingerprint, op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op7_warc_normaliser, op8_decontaminate, op9_rans_tokens, op10_cover_anchors)}
 ORACLE = {"op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
