@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, fingerprint, minhash_join, mixing, quality_crf, rans, slots, substring_dedup, warc
+from trialweave.llm import decontaminate, fingerprint, line_join, minhash_join, mixing, quality_crf, rans, slots, substring_dedup, warc
 from trialweave.llm.scratch import new_path
 
 
@@ -21,6 +21,10 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard(table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_multiset_fingerprint, op2_quality_crf, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op7_warc_normaliser, op8_decontaminate, op9_rans_tokens, op10_cover_anchors)}
+QUERIES = {f.__name__: f for f in (op1_multiset_fingerprint, op2_quality_crf, op3_line_edit_join, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op7_warc_normaliser, op8_decontaminate, op9_rans_tokens, op10_cover_anchors)}
 ORACLE = {"op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
