@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
     candidates = materialize(candidates, "candidates")
     sizes = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
     named = candidates.join(sizes, "component")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(named, "node").select("node", "text", "component", "blocks")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(named.hint("merge"), "node").select("node", "text", "component", "blocks")
     sets = texts.mapInArrow(_with_sets, "node bigint, component bigint, blocks bigint, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
