@@ -1,16 +1,9 @@
-"""Registered queries over the given tables, and the SQL that checks them."""
+"""All registered queries over the given tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from trialweave.plans import ordered_queries
 
-
-def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials for each subject and condition."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("subject"), F.col("event_type").alias("condition")).agg(F.count(F.lit(1)).alias("n_trials"))
-
-
-QUERIES = {"event_counts": event_counts}
-ORACLE = {"event_counts": "SELECT user_id AS subject, event_type AS condition, count(*) AS n_trials FROM events GROUP BY 1, 2"}
-FLAGSHIP = "event_counts"
+QUERIES = dict(ordered_queries.QUERIES)
+ORACLE = dict(ordered_queries.ORACLE)
+FLAGSHIP = "drift_by_group"
