@@ -48,6 +48,11 @@ def finite_fraction(a: Column | str) -> Column:
     return F.try_divide(F.size(F.filter(_col(a), is_finite)).cast("double"), F.size(_col(a)).cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Plain cosine; NULL if a norm is 0."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))
@@ -56,22 +61,30 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def cosine_valid(a: Column | str, b: Column | str, min_valid: float = MIN_VALID) -> Column:
     """Cosine over jointly finite elements; NULL if fewer than ``min_valid`` of all are, or a norm is 0."""
     pairs = F.filter(F.zip_with(_col(a), _col(b), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: is_finite(p["x"]) & is_finite(p["y"]))
-    share = F.try_divide(F.size(pairs).cast("double"), F.size(_col(a)).cast("double"))
-    left, right = F.transform(pairs, lambda p: p["x"]), F.transform(pairs, lambda p: p["y"])
-    return F.when(share >= min_valid, cosine(left, right))
+    sums = lambda p: F.aggregate(
+        p,
+        F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy")),
+        lambda s, v: F.struct((s["xy"] + v["x"] * v["y"]).alias("xy"), (s["xx"] + v["x"] * v["x"]).alias("xx"), (s["yy"] + v["y"] * v["y"]).alias("yy")),
+        lambda s: F.try_divide(s["xy"], F.sqrt(s["xx"]) * F.sqrt(s["yy"])),
+    )
+    return let(pairs, lambda p: F.when(F.try_divide(F.size(p).cast("double"), F.size(_col(a)).cast("double")) >= min_valid, sums(p)))
+
+
+def _minus_mean(a: Column) -> Column:
+    """Finite elements less their mean, 0 for the others."""
+    middle = mean(F.filter(a, is_finite))
+    return let(middle, lambda m: F.transform(a, lambda x: F.when(is_finite(x), x - m).otherwise(F.lit(0.0))))
 
 
 def center_normalize(a: Column | str) -> Column:
     """Subtract the mean of the finite elements, set the others to 0, divide by the norm (by 1 if that is 0)."""
-    finite = F.filter(_col(a), is_finite)
-    centred = F.transform(_col(a), lambda x: F.when(is_finite(x), x - mean(finite)).otherwise(F.lit(0.0)))
-    return F.transform(centred, lambda x: x / F.when(norm(centred) == 0, F.lit(1.0)).otherwise(norm(centred)))
+    return let(_minus_mean(_col(a)), lambda c: let(norm(c), lambda n: F.transform(c, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))))
 
 
 def pearson(a: Column | str, b: Column | str) -> Column:
     """Correlation of two vectors; NULL if one is constant."""
-    left, right = F.transform(_col(a), lambda x: x - mean(a)), F.transform(_col(b), lambda x: x - mean(b))
-    return cosine(left, right)
+    centred = lambda v: let(mean(v), lambda m: F.transform(v, lambda x: x - m))
+    return let(centred(_col(a)), lambda x: let(centred(_col(b)), lambda y: cosine(x, y)))
 
 
 def correlation_distance(a: Column | str, b: Column | str) -> Column:
@@ -89,8 +102,7 @@ def scalar_projection(a: Column | str, b: Column | str) -> Column:
 
 def trajectory(x: Column | str, start: Column | str, target: Column | str) -> Column:
     """Where x stands on the way from start (0) to target (1)."""
-    axis = subtract(target, start)
-    return F.try_divide(dot(subtract(x, start), axis), dot(axis, axis))
+    return let(subtract(target, start), lambda axis: F.try_divide(dot(subtract(x, start), axis), dot(axis, axis)))
 
 
 def per_feature(value: Column, a: Column | str) -> Column:

@@ -45,7 +45,7 @@ def drift(df: DataFrame, width: int, keys: list[str], learn: str, target: str, c
     goal = mean_vectors(df.where(F.col(condition) == target), keys, width, name="_t").where("n_trials >= 2").drop("n_trials")
     j = first.join(second, keys).where("n_s + n_e >= 4").join(goal, keys)
     moved, axis = V.subtract("_e", "_s"), V.subtract("_t", "_s")
-    return j.select(*keys, V.cosine(moved, axis).alias("drift_cosine"), V.scalar_projection(moved, axis).alias("drift_projection")).where("drift_cosine is not null")
+    return j.select(*keys, V.let(moved, lambda m: V.let(axis, lambda a: V.cosine(m, a))).alias("drift_cosine"), V.let(moved, lambda m: V.let(axis, lambda a: V.scalar_projection(m, a))).alias("drift_projection")).where("drift_cosine is not null")
 
 
 def rdm(df: DataFrame, width: int, keys: list[str], condition: str = "condition", min_trials: int = 1) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trialweave.plans import ordered_queries
+from trialweave.plans import ordered_queries, vector_queries
 
-QUERIES = dict(ordered_queries.QUERIES)
-ORACLE = dict(ordered_queries.ORACLE)
+QUERIES = ordered_queries.QUERIES | vector_queries.QUERIES
+ORACLE = ordered_queries.ORACLE | vector_queries.ORACLE
 FLAGSHIP = "drift_by_group"
