@@ -104,7 +104,7 @@ def _scan(held: Broadcast, text: str):
                 had = batch.column("_items").to_pylist() if "_items" in batch.schema.names else [[]] * len(batch)
                 hits = [_merged([(x["start"], x["end"]) for x in was[k]] + spans.get(k, [])) for k in range(len(batch))]
                 named = [sorted({*had[k], *items.get(k, ())}) for k in range(len(batch))]
-                columns = {n: batch.column(n) for n in batch.schema.names} | {
+                columns = {n: batch.column(n) for n in batch.schema.names if n not in ("_hits", "_items")} | {
                     "_n_words": pa.array(np.diff(found.first), pa.int64()),
                     "_hits": pa.array([[{"start": a, "end": b} for a, b in x] for x in hits], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     "_items": pa.array(named, pa.list_(pa.string())),
