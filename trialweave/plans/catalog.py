@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trialweave.plans import model_queries, ordered_queries, vector_queries
+from trialweave.plans import model_queries, ordered_queries, selection_queries, vector_queries
 
-QUERIES = ordered_queries.QUERIES | vector_queries.QUERIES | model_queries.QUERIES
-ORACLE = ordered_queries.ORACLE | vector_queries.ORACLE | model_queries.ORACLE
+QUERIES = ordered_queries.QUERIES | vector_queries.QUERIES | model_queries.QUERIES | selection_queries.QUERIES
+ORACLE = ordered_queries.ORACLE | vector_queries.ORACLE | model_queries.ORACLE | selection_queries.ORACLE
 FLAGSHIP = "drift_by_group"
