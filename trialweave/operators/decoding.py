@@ -235,6 +235,79 @@ def nested(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, ou
     return _grouped(df, keys, condition, pair, order, vector, body, "n_groups bigint, accuracy double, strength double")
 
 
+def permuted_accuracy(df: DataFrame, keys: list[str], pair: tuple[str, str], n_perm: int = 50, k: int = 4, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
+    """Cross-validated accuracy, and the share of label shuffles that reach it, as (c + 1) / (n + 1)."""
+
+    def accuracy(x, y, seed):
+        s = cv_scores(x, y, folds(y, k, seed))
+        ok = np.isfinite(s)
+        return ((s > 0) == y)[ok].mean()
+
+    def body(x, y, key, _pdf):
+        if min((y == 0).sum(), (y == 1).sum()) < k:
+            return None
+        r, observed = np.random.default_rng(seed_of(*key)), accuracy(x, y, 0)
+        null = np.array([accuracy(x, r.permutation(y), j) for j in range(n_perm)])
+        return {"accuracy": [float(observed)], "null_mean": [float(null.mean())], "p": [float(((null >= observed).sum() + 1) / (n_perm + 1))]}
+
+    return _grouped(df, keys, condition, pair, order, vector, body, "accuracy double, null_mean double, p double")
+
+
+def bootstrap_patterns(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, n_boot: int = 20, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
+    """Mean pattern (covariance of features with scores) over draws of groups with replacement, and its z over the draws. Rows are centred by group first."""
+
+    def body(x, y, key, pdf):
+        g = pdf[group].to_numpy()
+        names = np.unique(g)
+        x = x - np.stack([x[g == n].mean(0) for n in names])[np.searchsorted(names, g)]
+        drawn = []
+        for j in range(n_boot):
+            pick = np.random.default_rng(seed_of(*key, j)).choice(names, len(names))
+            at = np.concatenate([np.flatnonzero(g == n) for n in pick])
+            if len(np.unique(y[at])) < 2:
+                continue
+            s = decision(x[at], fit(x[at], y[at]))
+            drawn.append((x[at] - x[at].mean(0)).T @ (s - s.mean()) / (len(at) - 1))
+        if not drawn:
+            return None
+        drawn = np.array(drawn)
+        return {"pos": np.arange(x.shape[1]), "pattern": drawn.mean(0), "z": drawn.mean(0) / (drawn.std(0) + 1e-12)}
+
+    return _grouped(df, keys, condition, pair, order, vector, body, "pos bigint, pattern double, z double")
+
+
+def platt(score: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of scores, with the labels drawn in a little as Platt (1999) has it."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    a = np.column_stack([score, np.ones(len(y))])
+    w = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
+        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + 1e-9 * np.eye(2), a.T @ (p - target))
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def calibrated(df: DataFrame, keys: list[str], pair: tuple[str, str], k: int = 4, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
+    """Out-of-fold probability of the second condition for each trial; inside a fold, scores of an inner split fit the curve."""
+
+    def body(x, y, key, pdf):
+        if min((y == 0).sum(), (y == 1).sum()) < k:
+            return None
+        fold, p = folds(y, k, seed_of(*key)), np.full(len(y), np.nan)
+        for f in range(k):
+            train = fold != f
+            inner = cv_scores(x[train], y[train], folds(y[train], 3, seed_of(*key, f)))
+            slope, shift = platt(inner, y[train])
+            p[~train] = 1 / (1 + np.exp(-(slope * decision(x[~train], fit(x[train], y[train])) + shift)))
+        return {order: pdf[order].to_numpy(), condition: pdf[condition].to_numpy(), "probability": p}
+
+    return _grouped(df, keys, condition, pair, order, vector, body, f"{order} bigint, {condition} string, probability double")
+
+
 def shrunk_covariance(x: np.ndarray) -> np.ndarray:
     """Covariance shrunk to a multiple of the identity by the Ledoit-Wolf (2004) rule; rows are centred first."""
     n, p = x.shape

@@ -86,6 +86,20 @@ def interaction(df: DataFrame, keys: list[str], first: str, a: tuple[str, str],
     return df.groupBy(*keys).agg(total.alias("n"), F.when(ok, effect).alias("interaction"), F.when(ok, F.try_divide(effect, F.sqrt(F.try_divide(inner, total - 4) * wide))).alias("t"))
 
 
+def contrast_battery(df: DataFrame, keys: list[str], group: str, groups: tuple[str, str], drug: str, drugs: tuple[str, str], x: str, least: int = 2) -> DataFrame:
+    """The effects of a two-by-two study for each key, as rows: within a cell, between groups, between drugs, interaction.
+
+    An effect with a cell of fewer than ``least`` values is left out.
+    """
+    cell = lambda g, d: F.when((F.col(group) == g) & (F.col(drug) == d), F.col(x))
+    cells = [(g, d) for g in groups for d in drugs]
+    stats = df.groupBy(*keys).agg(*[F.avg(cell(*c)).alias(f"m{k}") for k, c in enumerate(cells)], *[F.count(cell(*c)).alias(f"n{k}") for k, c in enumerate(cells)])
+    (g1, g2), (d1, d2) = groups, drugs
+    effects = [(f"{g1}_{d1}>0", "m0", [0]), (f"{g2}_{d1}>0", "m2", [2]), (f"{g1}>{g2}|{d1}", "m0 - m2", [0, 2]), (f"{d2}>{d1}|{g1}", "m1 - m0", [1, 0]), (f"{d2}>{d1}|{g2}", "m3 - m2", [3, 2]), ("interaction", "(m1 - m3) - (m0 - m2)", [0, 1, 2, 3])]
+    rows = [F.struct(F.lit(n).alias("contrast"), F.when(F.least(*[F.col(f"n{k}") for k in used], F.lit(10**9)) >= least, F.expr(e)).alias("effect")) for n, e, used in effects]
+    return stats.select(*keys, F.inline(F.array(*rows))).where("effect is not null")
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").when(p.isNotNull(), "ns")
 

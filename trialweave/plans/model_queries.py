@@ -148,3 +148,36 @@ def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = A.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("feature_id"), F.col("l_returnflag").alias("condition"), F.col("l_quantity").alias("value"))
     m = centroids.region_means(line, A.features(spark, sf_dir), ["condition"])
     return m.select("roi", "condition", F.round("mean_value", 6).alias("mean_value"), F.col("n_features").alias("n"))
+
+
+@query()
+def permuted_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of each subject against its own label shuffles."""
+    return decoding.permuted_accuracy(A.trials(spark, sf_dir), ["subject"], PAIR, 20)
+
+
+@query()
+def bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns over draws of subjects, in cohorts of eight."""
+    t = A.trials(spark, sf_dir).withColumn("cohort", F.floor(F.col("subject") / 8).cast("bigint"))
+    return decoding.bootstrap_patterns(t, ["cohort"], PAIR, "subject")
+
+
+@query()
+def calibrated_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated probabilities of trials, binned against what they were."""
+    p = decoding.calibrated(A.trials(spark, sf_dir), ["subject"], PAIR)
+    return decoding.calibration(p, [], F.col("condition") == PAIR[1])
+
+
+_CELLS = "WITH m AS (SELECT l_suppkey AS subject, l_partkey AS feature_id, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2), g AS (SELECT feature_id, CASE WHEN subject % 2 = 0 THEN 'G1' ELSE 'G2' END AS grp, CASE WHEN subject // 2 % 2 = 0 THEN 'D1' ELSE 'D2' END AS drug, value FROM m), c AS (SELECT feature_id, avg(value) FILTER (grp = 'G1' AND drug = 'D1') AS a, avg(value) FILTER (grp = 'G1' AND drug = 'D2') AS b, avg(value) FILTER (grp = 'G2' AND drug = 'D1') AS c, avg(value) FILTER (grp = 'G2' AND drug = 'D2') AS d, count(*) FILTER (grp = 'G1' AND drug = 'D1') AS na, count(*) FILTER (grp = 'G1' AND drug = 'D2') AS nb, count(*) FILTER (grp = 'G2' AND drug = 'D1') AS nc, count(*) FILTER (grp = 'G2' AND drug = 'D2') AS nd FROM g GROUP BY feature_id)"
+
+
+@query(_CELLS + """ SELECT feature_id, contrast, round(effect, 6) AS effect FROM (SELECT feature_id, 'G1_D1>0' AS contrast, a AS effect FROM c WHERE na >= 2 UNION ALL SELECT feature_id, 'G2_D1>0', c FROM c WHERE nc >= 2 UNION ALL SELECT feature_id, 'G1>G2|D1', a - c FROM c WHERE least(na, nc) >= 2
+UNION ALL SELECT feature_id, 'D2>D1|G1', b - a FROM c WHERE least(na, nb) >= 2 UNION ALL SELECT feature_id, 'D2>D1|G2', d - c FROM c WHERE least(nc, nd) >= 2 UNION ALL SELECT feature_id, 'interaction', (b - d) - (a - c) FROM c WHERE least(na, nb, nc, nd) >= 2)""")
+def map_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and drug effects of every feature of the maps."""
+    from trialweave.operators import inference
+
+    m = A.maps(spark, sf_dir).select("feature_id", "value", *A.groups())
+    return inference.contrast_battery(m, ["feature_id"], "grp", ("G1", "G2"), "drug", ("D1", "D2"), "value").select("feature_id", "contrast", F.round("effect", 6).alias("effect"))
