@@ -30,6 +30,8 @@ from trialweave.llm.scratch import materialize
 
 EDITS = 2
 MIN_CHARS = 20
+#: Letters whose counts go with each posting, common ones in several languages.
+LETTERS = "eanirtsohd"
 
 
 def _segment(length: str, number: int, edits: int) -> tuple[str, str]:
@@ -64,6 +66,18 @@ def probes(edits: int) -> Column:
     return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
 
 
+def letter_counts() -> Column:
+    """How often each of ``LETTERS`` is in a line, modulo 64, side by side in one bigint."""
+    counts = [f"shiftleft(cast((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 63 as bigint), {6 * k})" for k, c in enumerate(LETTERS)]
+    return F.expr(" | ".join(counts))
+
+
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """One edit takes a letter away, brings one, or both; so counts of near lines differ by ``2 * edits`` in all at most."""
+    gaps = [(F.shiftright(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * k).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(63)) for k in range(len(LETTERS))]
+    return sum((F.least(g, 64 - g) for g in gaps[1:]), F.least(gaps[0], 64 - gaps[0])) <= 2 * edits
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0, empty lines count), line, line_id of every line."""
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
@@ -76,10 +90,15 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
         raise ValueError("min_chars must be over edits, so that no segment is empty")
     long = occurrences(docs).where(F.length("line") >= min_chars)
     distinct = long.groupBy("line_id").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
-    held = distinct.select(F.explode(postings(edits)).alias("key"), F.col("line_id").alias("a"))
-    asked = distinct.select(F.inline(probes(edits)), F.col("line_id").alias("b"))
+    counted = distinct.withColumn("letters", letter_counts())
+    held = counted.select(F.explode(postings(edits)).alias("key"), F.col("line_id").alias("a"), F.col("letters").alias("letters_a"))
+    asked = counted.select(F.inline(probes(edits)), F.col("line_id").alias("b"), F.col("letters"))
+    # whether both lines have one length goes in the sign, as the counts take 60 bits
+    asked = asked.select("key", "b", F.when(F.col("shorter") > 0, F.col("letters")).otherwise(-F.col("letters") - 1).alias("packed"))
+    same_length, letters_b = F.col("packed") < 0, F.when(F.col("packed") < 0, -F.col("packed") - 1).otherwise(F.col("packed"))
     # of two lines of one length, both are posted and both probe
-    met = asked.join(held, "key").where((F.col("a") != F.col("b")) & ((F.col("shorter") > 0) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    once = (F.col("a") != F.col("b")) & (~same_length | (F.col("a") < F.col("b")))
+    met = asked.join(held, "key").where(once & may_be_near(F.col("letters_a"), letters_b, edits)).select("a", "b").distinct()
     text = distinct.select("line_id", "line")
     both = met.join(text.select(F.col("line_id").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("line_id").alias("b"), F.col("line").alias("line_b")), "b")
     return both.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b")
@@ -95,11 +114,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     n_links = linked.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count(F.lit(1)).alias("n_links"))
     places = materialize(occurrences(docs).select("doc_id", "line_no", "line_id"), "line-places")
     first = places.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    named = first.join(components(linked).withColumnRenamed("node", "line_id"), "line_id", "left").join(n_links, "line_id", "left")
-    named = named.select("line_id", "first", F.coalesce("component", "line_id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    heads = named.groupBy("class").agg(F.min("first").alias("head"))
-    every = named.join(heads, "class").select("line_id", "head", "n_links")
-    out = places.join(every, "line_id")
+    # only linked lines can have a class other than their copies; they are few beside all lines
+    members = components(linked).withColumnRenamed("node", "line_id").join(n_links, "line_id").join(first, "line_id")
+    members = materialize(members, "line-members")
+    heads = members.groupBy("component").agg(F.min("first").alias("head"))
+    members = materialize(members.join(heads, "component").select("line_id", "head", "n_links"), "line-heads")
+    out = places.join(first, "line_id").join(members, "line_id", "left")
+    out = out.select("doc_id", "line_no", F.coalesce("head", "first").alias("head"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     kept = F.struct("doc_id", "line_no") == F.col("head")
     return out.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "n_links", kept.alias("kept"))
 
