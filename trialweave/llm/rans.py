@@ -167,12 +167,47 @@ class Segment:
         return ids
 
 
+def _byte_names() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+_BYTE_NAMES = _byte_names()
+
+
+class _Pieces(dict):
+    """Ids of pieces, made when first asked for. A piece that begins with neither a line feed nor a carriage return has a space before it."""
+
+    def __init__(self, encoder: _Encoder):
+        self.model = encoder.tokenizer.model
+        self.encoded = encoder._encoded
+        self.marks = dict(zip(".,\n", self.encoded([".", ",", "\n"]), strict=True))
+
+    def __missing__(self, piece: str) -> bytes:
+        lead, core = (piece[0], piece[1:]) if piece[:1] in ("\n", "\r") else ("", piece)
+        end = core[-1] if core[-1:] in (".", ",") else ""
+        core = core[:-1] if end else core
+        if not core.isalpha():
+            ids = self.encoded([core + end if lead == "\r" else (lead or " ") + core + end])[0]
+        elif end or lead == "\n":
+            ids = (self.marks["\n"] if lead == "\n" else b"") + self["\r" + core if lead else core] + (self.marks[end] if end else b"")
+        else:
+            named = (core if lead else " " + core).encode().decode("latin-1").translate(_BYTE_NAMES)
+            ids = np.array([t.id for t in self.model.tokenize(named)], "<u4").tobytes()
+        if len(self) < CACHED:
+            self[piece] = ids
+        return ids
+
+
 class _Encoder:
     """Ids of texts under one tokenizer file.
 
     Where the tokenizer cuts texts by the usual byte-level pattern, a space or line feed
     between two other characters always begins a new piece, and pieces are encoded on
-    their own; so each distinct piece need be encoded only once.
+    their own; so each distinct piece need be encoded only once. A piece of letters, which
+    the pattern does not cut, goes straight to the library's model; one that has a line
+    feed before or a stop or comma after its letters is put together from such.
     """
 
     def __init__(self, path: str):
@@ -184,37 +219,25 @@ class _Encoder:
             spec = json.load(f)
         cut = spec.get("pre_tokenizer") or {}
         self.by_piece = not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and all(t["content"].strip() and " " not in t["content"] and "\n" not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes | None] = [None] * len(texts)
-        cut: list[list[str]] = []
         whole: list[int] = []
-        apart: list[int] = []
+        get = self.pieces.__getitem__
         for k, text in enumerate(texts):
             flat = text.replace("\n", " ")
             if self.by_piece and flat and flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " ":
                 pieces = text.replace("\n", " \n").split(" ")
                 pieces[0] = "\r" + pieces[0]  # has no space before it; no printable text has this character
-                cut.append(pieces)
-                apart.append(k)
+                out[k] = b"".join(map(get, pieces))
             else:
                 whole.append(k)
         for k, ids in zip(whole, self._encoded([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        new = list(set().union(*cut).difference(self.pieces))
-        found = dict(zip(new, self._encoded([x[1:] if x[0] == "\r" else x if x[0] == "\n" else " " + x for x in new]), strict=True))
-        if len(self.pieces) + len(found) <= CACHED:
-            self.pieces.update(found)
-            get = self.pieces.__getitem__
-        else:
-            both, held = found, self.pieces
-            get = lambda x: held[x] if x in held else both[x]
-        for k, pieces in zip(apart, cut, strict=True):
-            out[k] = b"".join(map(get, pieces))
         return [np.frombuffer(x, "<u4") for x in out]
 
 
