@@ -53,7 +53,7 @@ def postings(edits: int) -> Column:
 
 
 def probes(edits: int) -> Column:
-    """Array of (key, shorter): substrings that may be segments of a line shorter by ``shorter``."""
+    """Array of (key, shorter): substrings that may be segments of a line shorter by ``shorter``, but for the line's own segments."""
     out = []
     for shorter in range(edits + 1):
         length = f"(n - {shorter})"
@@ -61,6 +61,8 @@ def probes(edits: int) -> Column:
             start, size = _segment(length, i, edits)
             low, high = max(-(i - 1), shorter - (edits + 1 - i)), min(i - 1, shorter + edits + 1 - i)
             for move in range(low, high + 1):
+                if not shorter and not move:
+                    continue  # the line's own segment, which is posted
                 at = f"({start} + {move})"
                 out.append(f"if({at} >= 1 and {at} + {size} - 1 <= n, named_struct('key', {_key(length, i, at, size)}, 'shorter', {shorter}), null)")
     return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
@@ -98,7 +100,11 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     same_length, letters_b = F.col("packed") < 0, F.when(F.col("packed") < 0, -F.col("packed") - 1).otherwise(F.col("packed"))
     # of two lines of one length, both are posted and both probe
     once = (F.col("a") != F.col("b")) & (~same_length | (F.col("a") < F.col("b")))
-    met = asked.join(held, "key").where(once & may_be_near(F.col("letters_a"), letters_b, edits)).select("a", "b").distinct()
+    probed = asked.join(held, "key").where(once & may_be_near(F.col("letters_a"), letters_b, edits)).select("a", "b")
+    # the same segment at the same place: posted lines meet one another
+    other = held.select("key", F.col("a").alias("b"), F.col("letters_a").alias("letters_b"))
+    posted = held.join(other, "key").where((F.col("a") < F.col("b")) & may_be_near(F.col("letters_a"), F.col("letters_b"), edits)).select("a", "b")
+    met = probed.union(posted).distinct()
     text = distinct.select("line_id", "line")
     both = met.join(text.select(F.col("line_id").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("line_id").alias("b"), F.col("line").alias("line_b")), "b")
     return both.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b")
@@ -113,14 +119,16 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     linked = materialize(links(docs, edits, min_chars), "line-links")
     n_links = linked.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count(F.lit(1)).alias("n_links"))
     places = materialize(occurrences(docs).select("doc_id", "line_no", "line_id"), "line-places")
-    first = places.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    # only linked lines can have a class other than their copies; they are few beside all lines
-    members = components(linked).withColumnRenamed("node", "line_id").join(n_links, "line_id").join(first, "line_id")
-    members = materialize(members, "line-members")
-    heads = members.groupBy("component").agg(F.min("first").alias("head"))
-    members = materialize(members.join(heads, "component").select("line_id", "head", "n_links"), "line-heads")
-    out = places.join(first, "line_id").join(members, "line_id", "left")
-    out = out.select("doc_id", "line_no", F.coalesce("head", "first").alias("head"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    counted = places.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    members = components(linked).withColumnRenamed("node", "line_id").join(n_links, "line_id")
+    # a line that occurs once and is near no other is its own class: only the others need be looked up
+    special = materialize(counted.join(members, "line_id", "left").where("n > 1 or component is not null"), "line-members")
+    heads = special.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
+    special = special.join(heads, "component", "left").select("line_id", F.coalesce("head", "first").alias("head"), "n_links")
+    # tables on both sides of the last join: the partition of a very frequent line can be split
+    out = places.join(materialize(special, "line-heads"), "line_id", "left")
+    own = F.struct("doc_id", "line_no")
+    out = out.select("doc_id", "line_no", F.coalesce("head", own).alias("head"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     kept = F.struct("doc_id", "line_no") == F.col("head")
     return out.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), "n_links", kept.alias("kept"))
 
