@@ -123,8 +123,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     members = components(linked).withColumnRenamed("node", "line_id").join(n_links, "line_id")
     # a line that occurs once and is near no other is its own class: only the others need be looked up
     special = materialize(counted.join(members, "line_id", "left").where("n > 1 or component is not null"), "line-members")
-    heads = special.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
-    special = special.join(heads, "component", "left").select("line_id", F.coalesce("head", "first").alias("head"), "n_links")
+    linked_lines, copies = special.where("component is not null"), special.where("component is null")
+    heads = linked_lines.groupBy("component").agg(F.min("first").alias("head"))
+    special = linked_lines.join(heads, "component").select("line_id", "head", "n_links").union(copies.select("line_id", "first", "n_links"))
     # tables on both sides of the last join: the partition of a very frequent line can be split
     out = places.join(materialize(special, "line-heads"), "line_id", "left")
     own = F.struct("doc_id", "line_no")
