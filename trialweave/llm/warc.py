@@ -90,7 +90,7 @@ def records(body: bytes) -> Iterator[bytes]:
     """The records of an archive, from one inflation of its stream (or streams), a piece at a time."""
     held, at, inflate, need = bytearray(), 0, zlib.decompressobj(31), 0
     while at < len(body) or inflate.unconsumed_tail:
-        piece = inflate.unconsumed_tail or body[at : (at := at + PIECE)]
+        piece = inflate.unconsumed_tail or body[at : (at := min(at + PIECE, len(body)))]
         held += inflate.decompress(piece, PIECE)
         if inflate.eof:
             at -= len(inflate.unused_data)
