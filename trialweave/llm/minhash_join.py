@@ -149,7 +149,7 @@ def _post(counts, parts: int):
             part = (name % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             at, begin = np.unique(part[order], return_index=True)
-            cut = [order[a:b] for a, b in zip(begin, [*begin[1:], len(order)], strict=True)]
+            cut = [order[a:b] for a, b in zip(begin, [*begin[1:], len(order)][: len(begin)], strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "part": at,
@@ -214,7 +214,7 @@ def _confirm(_key: tuple, table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
     order, links = np.argsort(group, kind="stable"), []
     begin = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
-    for a, b in zip(begin, [*begin[1:], len(order)], strict=True):
+    for a, b in zip(begin, [*begin[1:], len(order)][: len(begin)], strict=True):
         own = order[a:b]
         if len(own) < 2:
             continue

@@ -83,7 +83,7 @@ def _by_part(bucket: int | None, values: np.ndarray, parts: int, width: int) ->
     part = (W.mix(values) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     at, begin = np.unique(part[order], return_index=True)
-    packed = [_pack(values[order[a:b]], width) for a, b in zip(begin, [*begin[1:], len(order)], strict=True)]
+    packed = [_pack(values[order[a:b]], width) for a, b in zip(begin, [*begin[1:], len(order)][: len(begin)], strict=True)]
     return pa.table({"part": pa.array(at, pa.int64()), "bucket": pa.array([bucket] * len(at), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
@@ -101,7 +101,7 @@ def _shared(earlier_only: bool, width: int):
         values, bucket = values[hit], bucket[hit]
         order = np.argsort(bucket, kind="stable")
         at, begin = np.unique(bucket[order], return_index=True)
-        return pa.table({"bucket": pa.array(at, pa.int64()), "packed": pa.array([_pack(values[order[a:b]], width) for a, b in zip(begin, [*begin[1:], len(order)], strict=True)], pa.binary())})
+        return pa.table({"bucket": pa.array(at, pa.int64()), "packed": pa.array([_pack(values[order[a:b]], width) for a, b in zip(begin, [*begin[1:], len(order)][: len(begin)], strict=True)], pa.binary())})
 
     return answer
 
