@@ -11,6 +11,8 @@ from trialweave.llm.scratch import materialize
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Tokens that the mixture gives, by those of its input, and how often it may take a document.
 MIX_SHARE, MIX_EPOCHS = 1.0, 2
+#: Least likeness of near duplicates, in percent of the shingles of both.
+NEAR_PERCENT = 80
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    return minhash_join.deduplicate(docs.select(*COLUMNS))
+    return minhash_join.deduplicate(docs.select(*COLUMNS), NEAR_PERCENT)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,31 @@ def test_pipeline(spark):
         docs = out
     assert all(0 < b <= a for a, b in sizes) and sizes[0][1] < sizes[0][0] and sizes[1][1] < sizes[1][0]
     assert docs.count() > 0
+
+
+def test_near_dedup_stage_takes_likeness_of_80(spark):
+    """Pairs from below 0.80 to over 0.85, against brute force at 0.80."""
+    import corpus_pipeline as p
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    rows, between = [], 0
+    for k in range(24):
+        words = [f"w{k}x{j}" for j in range(104)]
+        changed = words[:]
+        for at in range(20, 20 + 25 * (1 + k % 3), 25):
+            changed[at] = f"c{k}x{at}"
+        cut = k // 3
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed[cut:]))]
+    gone = set()
+    for (_, x), (b, y) in zip(rows[::2], rows[1::2], strict=True):
+        both, either = len(shingles(x) & shingles(y)), len(shingles(x) | shingles(y))
+        between += 80 * either <= 100 * both < 85 * either
+        if 100 * both >= 80 * either:
+            gone.add(b)
+    assert between > 2 and len(gone) < 24
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r["doc_id"] for r in p.near_dedup(spark, docs, "").collect()}
+    assert left == {k for k, _ in rows} - gone

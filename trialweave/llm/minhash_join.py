@@ -2,14 +2,14 @@
 
 1. Each document becomes its set of distinct 5-word shingles (hashes) and a signature of
    ``COORDINATES`` minima. Documents with equal sets are one class; one member stands for it.
-2. A class is posted under (coordinate, value) pairs. Two sets with a Jaccard likeness of
-   0.85 agree on at least ``MATCHES`` of 64 coordinates but for a chance under 1e-8, so
-   they share a pair among any ``COORDINATES - MATCHES + 1`` of their own, taken in one
-   common order. That order is by how often pairs occur, rare first (the prefix), so
+2. A class is posted under (coordinate, value) pairs. Two sets whose Jaccard likeness is
+   ``percent`` in a hundred agree on at least ``matches_at(percent)`` of 64 coordinates but
+   for a chance under 1e-8, so they share a pair among any ``COORDINATES - matches + 1`` of
+   their own, taken in one common order. That order is by how often pairs occur, rare first (the prefix), so
    pairs that very many documents hold are posted only where a document has hardly any
    others. The counts that give the order are kept in 2**18 cells, whatever the input.
 3. The postings of a pair are compared by signature; classes that collide in at least
-   ``MATCHES`` coordinates are joined. A class is compared with the others of a list only
+   that many coordinates are joined. A class is compared with the others of a list only
    until the list hangs together; a list skips all classes in its largest part.
    A list of more than ``LIST`` classes is dealt in blocks: each two blocks meet in one task.
 4. The parts so found are confirmed on full shingle sets in the same way, again in blocks
@@ -27,6 +27,7 @@ and is kept; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,12 @@ from trialweave.llm.scratch import materialize
 
 SHINGLE = 5
 COORDINATES = 64
-MATCHES = 36
-PREFIX = COORDINATES - MATCHES + 1
 LIST = 2048
 BLOCK = 1024
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= percent * union.
 PERCENT = 85
+#: The chance to miss two sets of just that likeness stays under this.
+MISS = 1e-8
 _CELLS = 18
 
 _RANDOM = np.random.default_rng(20240229)
@@ -55,6 +56,17 @@ _SALT = W.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 _ZEROS = np.array([(k < 16) + (k % 16 == 0) for k in range(256)], np.uint8)
 
 
+def matches_at(percent: int) -> int:
+    """The most coordinates on which two sets of that likeness agree but for a chance under ``MISS``; 1 at least."""
+    p, missed, matches = percent / 100, 0.0, 0
+    while matches < COORDINATES:
+        missed += comb(COORDINATES, matches) * p**matches * (1 - p) ** (COORDINATES - matches)
+        if missed >= MISS:
+            break
+        matches += 1
+    return max(matches, 1)
+
+
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; lower-cases A-Z."""
     data, offsets = W.strings(column)
@@ -126,7 +138,7 @@ def pair_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _post(counts, parts: int):
+def _post(counts, parts: int, prefix: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         for batch in batches:
@@ -135,8 +147,8 @@ def _post(counts, parts: int):
             names = _pairs(minima)
             held = often[names >> np.uint64(64 - _CELLS)]
             rank = (np.minimum(held, (1 << 23) - 1).astype(np.uint64) << np.uint64(40)) | (names >> np.uint64(24))
-            rare = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
-            row = np.repeat(np.arange(len(node)), PREFIX)
+            rare = np.argpartition(rank, prefix - 1, axis=1)[:, :prefix]
+            row = np.repeat(np.arange(len(node)), prefix)
             name, many = np.take_along_axis(names, rare, 1).ravel(), np.take_along_axis(held, rare, 1).ravel()
             blocks = -(-many // LIST)
             if blocks.max(initial=1) > 1:  # to every list where two blocks meet that has this class's block
@@ -182,24 +194,27 @@ def spanning(n: int, linked) -> list[tuple[int, int]]:
                 part[part == p] = part[k]
 
 
-def _collide(_key: tuple, table: pa.Table) -> pa.Table:
-    names, nodes, shorts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("names", np.uint64), ("nodes", np.int64), ("shorts", np.uint8)))
-    shorts, order = shorts.reshape(-1, COORDINATES // 2), np.argsort(names, kind="stable")
-    names, seen, links = names[order], set(), set()
-    begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(names)]]))
-    for a, n in zip(begin[size > 1], size[size > 1], strict=True):
-        own, first = np.unique(nodes[order[a : a + n]], return_index=True)
-        if len(own) < 2 or (key := own.tobytes()) in seen:
-            continue
-        seen.add(key)
-        short = shorts[order[a : a + n][first]]
-        if len(own) == 2:
-            if _ZEROS[short[0] ^ short[1]].sum() >= MATCHES:
-                links.add((int(own[0]), int(own[1])))
-            continue
-        links.update((int(own[min(x, y)]), int(own[max(x, y)])) for x, y in spanning(len(own), lambda k, s=short: np.flatnonzero(_ZEROS[s ^ s[k]].sum(1) >= MATCHES)))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+def _collide(matches: int):
+    def collide(_key: tuple, table: pa.Table) -> pa.Table:
+        names, nodes, shorts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("names", np.uint64), ("nodes", np.int64), ("shorts", np.uint8)))
+        shorts, order = shorts.reshape(-1, COORDINATES // 2), np.argsort(names, kind="stable")
+        names, seen, links = names[order], set(), set()
+        begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(names)]]))
+        for a, n in zip(begin[size > 1], size[size > 1], strict=True):
+            own, first = np.unique(nodes[order[a : a + n]], return_index=True)
+            if len(own) < 2 or (key := own.tobytes()) in seen:
+                continue
+            seen.add(key)
+            short = shorts[order[a : a + n][first]]
+            if len(own) == 2:
+                if _ZEROS[short[0] ^ short[1]].sum() >= matches:
+                    links.add((int(own[0]), int(own[1])))
+                continue
+            links.update((int(own[min(x, y)]), int(own[max(x, y)])) for x, y in spanning(len(own), lambda k, s=short: np.flatnonzero(_ZEROS[s ^ s[k]].sum(1) >= matches)))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return collide
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,31 +224,41 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "component": batch.column("component"), "blocks": batch.column("blocks"), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
 
-def _confirm(_key: tuple, table: pa.Table) -> pa.Table:
-    group, node = table["group"].to_numpy(), table["node"].to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
-    order, links = np.argsort(group, kind="stable"), []
-    begin = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
-    for a, b in zip(begin, [*begin[1:], len(order)][: len(begin)], strict=True):
-        own = order[a:b]
-        if len(own) < 2:
-            continue
-        size = np.array([len(sets[k]) for k in own])
-        values, inverse = np.unique(np.concatenate([sets[k] for k in own]), return_inverse=True)
-        edge = np.concatenate([[0], np.cumsum(size)])
+def _confirm(percent: int):
+    def confirm(_key: tuple, table: pa.Table) -> pa.Table:
+        group, node = table["group"].to_numpy(), table["node"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        order, links = np.argsort(group, kind="stable"), []
+        begin = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+        for a, b in zip(begin, [*begin[1:], len(order)][: len(begin)], strict=True):
+            own = order[a:b]
+            if len(own) < 2:
+                continue
+            size = np.array([len(sets[k]) for k in own])
+            values, inverse = np.unique(np.concatenate([sets[k] for k in own]), return_inverse=True)
+            edge = np.concatenate([[0], np.cumsum(size)])
+
+            def linked(k: int, inverse=inverse, edge=edge, size=size, n=len(values)) -> np.ndarray:
+                mine = np.zeros(n, np.int32)
+                mine[inverse[edge[k] : edge[k + 1]]] = 1
+                both = np.add.reduceat(mine[inverse], edge[:-1])
+                return np.flatnonzero(100 * both >= percent * (size + size[k] - both))
 
-        def linked(k: int, inverse=inverse, edge=edge, size=size, n=len(values)) -> np.ndarray:
-            mine = np.zeros(n, np.int32)
-            mine[inverse[edge[k] : edge[k + 1]]] = 1
-            both = np.add.reduceat(mine[inverse], edge[:-1])
-            return np.flatnonzero(100 * both >= PERCENT * (size + size[k] - both))
+            links += [(int(node[own[x]]), int(node[own[y]])) for x, y in spanning(len(own), linked)]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-        links += [(int(node[own[x]]), int(node[own[y]])) for x, y in spanning(len(own), linked)]
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+    return confirm
 
 
-def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document. ``target_bytes``: of postings or sets for one task."""
+def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document.
+
+    ``target_bytes``: of postings or sets for one task. ``percent``: the least likeness of a link.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    matches = matches_at(percent)
+    prefix = COORDINATES - matches + 1
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketched = materialize(sketch(docs), "sketch")
@@ -241,9 +266,9 @@ def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
     classes = materialize(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes")
     n = classes.count()
     counts = spark.sparkContext.broadcast(pair_counts(classes))
-    parts = max(4 * shuffles, n * PREFIX * 48 // target_bytes)
-    posted = classes.select("node", "signature").mapInArrow(_post(counts, parts), "part bigint, names binary, nodes binary, shorts binary")
-    candidates = components(posted.groupBy("part").applyInArrow(_collide, "a bigint, b bigint"))
+    parts = max(4 * shuffles, n * prefix * 48 // target_bytes)
+    posted = classes.select("node", "signature").mapInArrow(_post(counts, parts, prefix), "part bigint, names binary, nodes binary, shorts binary")
+    candidates = components(posted.groupBy("part").applyInArrow(_collide(matches), "a bigint, b bigint"))
     candidates = materialize(candidates, "candidates")
     sizes = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
     named = candidates.join(sizes, "component")
@@ -253,7 +278,7 @@ def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("group", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")))
     dealt = dealt.select(F.pmod("group", F.lit(parts)).alias("part"), "group", "node", "shingles")
-    links = dealt.groupBy("part").applyInArrow(_confirm, "a bigint, b bigint")
+    links = dealt.groupBy("part").applyInArrow(_confirm(percent), "a bigint, b bigint")
     labels = components(links).withColumnRenamed("component", "component_id")
     class_label = classes.select("key1", "key2", "node").join(labels, "node", "left").select("key1", "key2", F.coalesce("component_id", "node").alias("component_id"))
     out = sketched.drop("signature").join(class_label, ["key1", "key2"], "left")
@@ -262,8 +287,8 @@ def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id; a row without id stays."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_duplicates(docs, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
     with_id = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
