@@ -437,6 +437,26 @@ def test_contamination_odd_tables(spark, odd, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_contamination_by_items_without_id(spark, odd, block_bytes):
+    """Their passages count as any other; rows as by the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    items = [(None, "one two three"), (None, "größe ünïcode"), (1, "tick tock tick tock tick tock tick tock tick tock tick"), (2, "Two Three"), (None, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contamination(odd, bench, block_bytes=block_bytes)
+    got = {r["doc_id"]: r for r in found.collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert tuple(got[13])[2:] == (2, 1, nothing, True)
+    assert tuple(got[9])[1:] == (3, 3, 2, hashlib.sha256(b"2").hexdigest(), True)
+    assert {9, 10, 13, 14}.isdisjoint(r["doc_id"] for r in decontaminate.decontaminate(odd, bench, block_bytes=block_bytes).collect())
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()])
+    duck.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = duck.execute(decontaminate.ORACLE).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found.collect())
+
+
 # 9
 
 

@@ -11,8 +11,9 @@ one block (the usual case) takes one pass; a larger one takes a pass for each bl
 of which adds its hits to those before, so no broadcast grows with the benchmark.
 
 Edge cases: a null or empty text has no words and is clean; a null or empty item has no
-window; repeated items all count, items of equal text each by its own id; a null item_id
-is left out of the items; repeated documents are each judged alone; extra columns of the
+window; repeated items all count, items of equal text each by its own id; items without
+an id hit like any other and are one null among the items: ``n_items`` counts it once, as
+the SQL does, and ``items_sha256`` leaves it out; repeated documents are each judged alone; extra columns of the
 documents stay, except for the operator's own names, which are replaced.
 """
 
@@ -42,8 +43,8 @@ HITS = "_hits array<struct<start:int,end:int>>, _items array<string>"
 class NgramSet:
     """The windows of some items: {length: (sorted hashes, bitmap)} and {words: item ids}."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
-        self.items: dict[bytes, set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
+        self.items: dict[bytes, set[str | None]] = {}
         lengths: dict[int, set[bytes]] = {}
         for item, text in items:
             found = _WORD.findall(text.translate(_UPPER))
@@ -61,7 +62,7 @@ class NgramSet:
             bitmap[hashes >> np.uint64(64 - _BITS)] = True
             self.lengths[n] = hashes, bitmap
 
-    def hits(self, data: np.ndarray, found: W.Words) -> list[tuple[int, int, set[str]]]:
+    def hits(self, data: np.ndarray, found: W.Words) -> list[tuple[int, int, set[str | None]]]:
         """(first word, word after the last, items) of each occurrence; word numbers count over all texts."""
         out = []
         for n, (hashes, bitmap) in self.lengths.items():
@@ -72,7 +73,7 @@ class NgramSet:
                 text = np.searchsorted(found.first, at, "right")
                 for k in at[at + n <= found.first[text]]:
                     window = b" ".join(data[a:b].tobytes().translate(_UPPER) for a, b in zip(found.starts[k : k + n], found.ends[k : k + n], strict=True))
-                    if ids := self.items.get(window):
+                    if (ids := self.items.get(window)) is not None:
                         out.append((int(k), int(k) + n, ids))
         return out
 
@@ -95,7 +96,7 @@ def _scan(held: Broadcast, text: str):
                 data, offsets = W.strings(batch.column(text))
                 found = W.words(data, offsets, W.ALNUM, W.LOWER)
                 spans: dict[int, list[tuple[int, int]]] = {}
-                items: dict[int, set[str]] = {}
+                items: dict[int, set[str | None]] = {}
                 for a, b, ids in ngrams.hits(data, found):
                     row = int(np.searchsorted(found.first, a, "right")) - 1
                     spans.setdefault(row, []).append((a - int(found.first[row]), b - int(found.first[row])))
@@ -103,7 +104,7 @@ def _scan(held: Broadcast, text: str):
                 was = batch.column("_hits").to_pylist() if "_hits" in batch.schema.names else [[]] * len(batch)
                 had = batch.column("_items").to_pylist() if "_items" in batch.schema.names else [[]] * len(batch)
                 hits = [_merged([(x["start"], x["end"]) for x in was[k]] + spans.get(k, [])) for k in range(len(batch))]
-                named = [sorted({*had[k], *items.get(k, ())}) for k in range(len(batch))]
+                named = [sorted({*had[k], *items.get(k, ())}, key=lambda x: (x is not None, x)) for k in range(len(batch))]
                 columns = {n: batch.column(n) for n in batch.schema.names if n not in ("_hits", "_items")} | {
                     "_n_words": pa.array(np.diff(found.first), pa.int64()),
                     "_hits": pa.array([[{"start": a, "end": b} for a, b in x] for x in hits], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
@@ -116,9 +117,9 @@ def _scan(held: Broadcast, text: str):
 
 def ngram_blocks(benchmark: DataFrame, size: int, block_bytes: int, item: str, text: str) -> Iterator[NgramSet]:
     """The benchmark's windows, ``block_bytes`` of text at a time; at least one set, which may be empty."""
-    block: list[tuple[str, bytes]] = []
+    block: list[tuple[str | None, bytes]] = []
     held = made = 0
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("string"), F.col(text).cast("binary"))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string"), F.col(text).cast("binary"))
     for key, value in rows.toLocalIterator():
         block.append((key, bytes(value)))
         held += len(value)
@@ -130,7 +131,7 @@ def ngram_blocks(benchmark: DataFrame, size: int, block_bytes: int, item: str, t
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_n_words`` bigint, ``_hits`` (merged spans of word numbers, end exclusive) and ``_items`` (sorted ids as strings)."""
+    """``docs`` with ``_n_words`` bigint, ``_hits`` (merged spans of word numbers, end exclusive) and ``_items`` (sorted ids as strings, first null if an item without id is hit)."""
     spark: SparkSession = docs.sparkSession
     out = docs.drop("_n_words", "_hits", "_items")
     for ngrams in ngram_blocks(benchmark, size, block_bytes, item, item_text):
