@@ -391,6 +391,15 @@ def test_near_odd_tables(odd, empty, docs):
     assert minhash_join.deduplicate(docs).columns == docs.columns
 
 
+def test_deduplicate_keeps_other_texts_of_an_id(spark):
+    a, b, c = prose(21, 60), prose(22, 60), prose(23, 60)
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (4, c), (4, c), (9, "one two"), (9, "six seven"), (9, "SIX seven"), (2, "six eight")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(k, x, None, None, None) for k, x in order], SCHEMA).repartition(3)
+        got = sorted((r["doc_id"], r["text"].lower()) for r in minhash_join.deduplicate(df).collect())
+        assert got == sorted([(3, a), (5, b), (4, c), (9, "one two"), (9, "six seven"), (2, "six eight")])
+
+
 # 8
 
 

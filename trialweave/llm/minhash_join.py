@@ -288,7 +288,19 @@ def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20, percent: int =
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id; a row without id stays."""
-    kept = near_duplicates(docs, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    with_id = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each component, that with the smallest id; a row without id stays.
+
+    Rows of one id and one text are one document. Rows of one id but different texts are a document each, so none goes but for a near copy that stays.
+    """
+    own, text = F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.where(F.col("doc_id").isNotNull()).groupBy(own.alias("_id")).agg(F.min(text).alias("_first"), F.max(text).alias("_last"))
+    several = materialize(texts.where("_first <> _last").select("_id", "_first"), "repeated-ids")
+    # the texts of an id after its first go under a hash with the second highest bit set
+    hashed = F.xxhash64("_id", text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = docs.join(several, own == F.col("_id"), "left").withColumn("_node", F.when(F.col("_id").isNull() | (text == F.col("_first")), own).otherwise(hashed))
+    near = near_duplicates(named.select(F.col("_node").alias("doc_id"), "text"), percent=percent).where("doc_id is not null").select(F.col("doc_id").alias("_node"), "component_id")
+    ids = materialize(named.where("_id is not null").select("_node", "_id").distinct(), "repeated-nodes")
+    first = F.min(F.struct(F.coalesce("_id", "_node"), F.col("_node"))).alias("_kept")
+    kept = near.join(ids, "_node", "left").groupBy("component_id").agg(first).select(F.col("_kept._node").alias("_node"))
+    with_id = named.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
     return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
