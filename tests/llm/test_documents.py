@@ -244,6 +244,27 @@ def test_line_links_at_every_edit(spark, edits):
     assert got == plain_lines(pairs, edits)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_short_line_links(spark, edits):
+    """Lines of 1 to 21 characters, against the plain version without its least length."""
+    r, lines = random.Random(30 + edits), ["a", "b", "é", "\U0001f600", "ab", "ba", "xy", "abc", "xay", "bxa", "abcd", "xaby", "wxyz"]
+    for n in range(3, 22):
+        line = "".join(r.choice("abcdefgé") for _ in range(n))
+        lines += [line, line[1:], line[:-2], "z" + line, line[: n // 2] + "zz" + line[n // 2 + 1 :]]
+    pairs = list(enumerate(lines))
+    df = spark.createDataFrame([(k, x, None, None, None) for k, x in pairs], SCHEMA)
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["n_links"], r["kept"]) for r in line_join.line_classes(df, edits, min_chars=1).collect()}
+    assert got == plain_lines(pairs, edits, 0)
+
+
+def test_line_query_links_short_lines(spark, tmp_path):
+    from trialweave.llm.queries import op3_line_edit_join
+
+    spark.createDataFrame([(1, "Home page", None, None, None), (2, "Home pages\nx", None, None, None)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["n_links"]) for r in op3_line_edit_join(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (1, 1), (2, 0): (1, 1), (2, 1): (2, 0)}
+
+
 def test_line_odd_tables(odd, empty):
     assert line_join.line_classes(odd).count() > 0
     assert line_join.line_classes(empty).count() == 0

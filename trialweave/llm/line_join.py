@@ -8,13 +8,18 @@ segment's number) and probes with those substrings of its own that could be a se
 line of its length, or up to ``EDITS`` characters shorter. Pairs that meet are verified by
 the edit distance in a band of ``EDITS``; each linked pair comes once.
 
+Segments need lines of more than ``EDITS`` characters. Of the shorter ones, any two are
+within ``EDITS`` edits; with a line of more characters, which has at most ``2 * EDITS``,
+they share a character, by which they meet. There are few such lines, whatever the input.
+
 The verification is Spark's ``levenshtein`` with a threshold, a banded dynamic program in
 the JVM: a bit-parallel one has no form in SQL expressions. Everything else is joins and
 expressions too; the text of the lines is shuffled once, by line.
 
 Edge cases: empty lines are not lines; a null or empty text has none; a line of fewer than
-``MIN_CHARS`` characters (where two edits are a large part of a line) is linked with
-nothing, and its class is its copies; rows of one doc_id each have their lines, and equal
+``min_chars`` characters is linked with nothing, and its class is its copies (1 links all
+lines, as the query does; the default leaves out lines of which two edits are a large
+part, as nearly all of the shortest lines hang together); rows of one doc_id each have their lines, and equal
 places among them are ties, of which all are kept; a row without doc_id comes first; an
 empty table gives no rows; extra columns are not read. Lines are told apart by 64-bit
 hashes, as links between n distinct lines meet wrongly with a chance of n * n / 2**65.
@@ -32,6 +37,8 @@ EDITS = 2
 MIN_CHARS = 20
 #: Letters whose counts go with each posting, common ones in several languages.
 LETTERS = "eanirtsohd"
+#: Lines of at most ``EDITS`` characters meet one another in so many rows and columns.
+_GRID = 16
 
 
 def _segment(length: str, number: int, edits: int) -> tuple[str, str]:
@@ -86,10 +93,31 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
+def short_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """a, b: linked lines of which one has at most ``edits`` characters, each pair once."""
+    lines = occurrences(docs).where(F.length("line").between(min_chars, 2 * edits)).select("line_id", "line").distinct()
+    lines = materialize(lines, "short-lines").withColumn("n", F.length("line"))
+    least, more = lines.where(F.col("n") <= edits), lines.where(F.col("n") > edits)
+    # any two of the least are within so many edits: each meets each in one cell of a grid
+    every = F.explode(F.sequence(F.lit(0), F.lit(_GRID - 1)))
+    rows = least.select(F.col("line_id").alias("a"), F.pmod("line_id", F.lit(_GRID)).cast("int").alias("row"), every.alias("column"))
+    columns = least.select(F.col("line_id").alias("b"), F.pmod("line_id", F.lit(_GRID)).cast("int").alias("column"), every.alias("row"))
+    both = rows.join(columns, ["row", "column"]).where(F.col("a") < F.col("b")).select("a", "b")
+    char = F.explode(F.expr("array_distinct(transform(sequence(1, n), k -> substring(line, k, 1)))")).alias("char")
+    one = least.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"), char)
+    other = more.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"), char)
+    near = one.join(other, "char").where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b").distinct()
+    return both.union(near)
+
+
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """a, b: ids of distinct lines within ``edits`` edits, each pair once."""
-    if min_chars <= edits:
-        raise ValueError("min_chars must be over edits, so that no segment is empty")
+    found = segment_links(docs, edits, max(min_chars, edits + 1))
+    return found.union(short_links(docs, edits, min_chars)) if min_chars <= edits else found
+
+
+def segment_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """a, b: linked lines of at least ``min_chars`` characters, which must be over ``edits``, each pair once."""
     long = occurrences(docs).where(F.length("line") >= min_chars)
     distinct = long.groupBy("line_id").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
     counted = distinct.withColumn("letters", letter_counts())

@@ -22,7 +22,7 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_join.line_classes(table(spark, sf_dir, "documents"))
+    return line_join.line_classes(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op4_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
