@@ -153,3 +153,13 @@ def test_readers(spark, tmp_path):
     assert [r["s"] for r in names] == ["rh_V1", "lh_Default-3", "x"]
     with pytest.raises(ValueError, match="2"):
         readers.complete(spark.createDataFrame([(0,), (1,), (3,)], "chunk bigint"), 4)
+
+
+def test_resampling_defaults_are_the_reference_counts():
+    import inspect
+
+    from trialweave.operators import decoding
+
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert default(decoding.importance, "repeats") == default(decoding.permuted_accuracy, "n_perm") == 5000
+    assert default(decoding.bootstrap_patterns, "n_boot") == 50

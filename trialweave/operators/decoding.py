@@ -191,7 +191,7 @@ def calibration(probabilities: DataFrame, keys: list[str], positive: Column, bin
     return b.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_probability"), F.avg(y).alias("share_positive"), F.avg((F.col(p) - y) * (F.col(p) - y)).alias("brier"))
 
 
-def importance(df: DataFrame, keys: list[str], pair: tuple[str, str], repeats: int = 20, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
+def importance(df: DataFrame, keys: list[str], pair: tuple[str, str], repeats: int = 5000, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
     """Drop of the mean margin when a feature is shuffled, in sample: mean over repeats, and (c + 1) / (n + 1) for drops of 0 or less.
 
     The model is linear, so a shuffle of one feature changes scores by its weight alone.
@@ -235,7 +235,7 @@ def nested(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, ou
     return _grouped(df, keys, condition, pair, order, vector, body, "n_groups bigint, accuracy double, strength double")
 
 
-def permuted_accuracy(df: DataFrame, keys: list[str], pair: tuple[str, str], n_perm: int = 50, k: int = 4, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
+def permuted_accuracy(df: DataFrame, keys: list[str], pair: tuple[str, str], n_perm: int = 5000, k: int = 4, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
     """Cross-validated accuracy, and the share of label shuffles that reach it, as (c + 1) / (n + 1)."""
 
     def accuracy(x, y, seed):
@@ -253,7 +253,7 @@ def permuted_accuracy(df: DataFrame, keys: list[str], pair: tuple[str, str], n_p
     return _grouped(df, keys, condition, pair, order, vector, body, "accuracy double, null_mean double, p double")
 
 
-def bootstrap_patterns(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, n_boot: int = 20, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
+def bootstrap_patterns(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, n_boot: int = 50, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
     """Mean pattern (covariance of features with scores) over draws of groups with replacement, and its z over the draws. Rows are centred by group first."""
 
     def body(x, y, key, pdf):
