@@ -265,8 +265,59 @@ def test_line_query_links_short_lines(spark, tmp_path):
     assert got == {(1, 0): (1, 1), (2, 0): (1, 1), (2, 1): (2, 0)}
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_of_hot_segments(spark, monkeypatch, edits):
+    """Keys of more than two lines are joined by their rests: footers, headers, one word in a sentence, chains of near lines."""
+    monkeypatch.setattr(line_join, "LIST", 2)
+    r, lines = random.Random(60 + edits), []
+    word = lambda n: "".join(r.choice("abcé") for _ in range(n))
+    foot, head = word(40), word(25)
+    lines += [word(12) + foot for _ in range(12)] + [head + word(9) for _ in range(12)] + [head[:20] + word(r.randint(3, 5)) + foot[:20] for _ in range(25)]
+    lines += [word(r.randint(1, 5)) for _ in range(30)]
+    for x in lines[:30]:
+        k = r.randrange(len(x))
+        lines += [x[:k] + "z" + x[k:], x[:k] + "yz" + x[k + 1 :], x[1:]]
+    lines = [x for x in lines if x]
+    pairs = list(enumerate(lines))
+    df = spark.createDataFrame([(k, x, None, None, None) for k, x in pairs], SCHEMA)
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["n_links"], r["kept"]) for r in line_join.line_classes(df, edits, min_chars=1).collect()}
+    assert got == plain_lines(pairs, edits, 0)
+
+
+def test_lines_with_a_footer_make_few_pairs(spark):
+    """Lines with one long footer: pairs that are tried grow with the lines, not with their square."""
+    r, tried = random.Random(8), []
+    for n in (500, 2000):
+        lines = ["".join(r.choice("abcdefghij") for _ in range(24)) + " and the same footer under every one of these lines" for _ in range(n)]
+        texts = spark.createDataFrame([(k, 0, x) for k, x in enumerate(lines)], "id bigint, prefix bigint, rest string")
+        hot = line_join._hot(texts, 2, line_join.LIST)
+        cores = line_join._rests(texts, hot, 2).distinct()
+        assert 0 < hot.count() < 20 and line_join._hot(cores, 2, line_join.LIST).isEmpty()
+        tried.append(line_join._meet(texts, hot, 2).count() + line_join._meet(cores, None, 2).count())
+    assert tried[1] < 40 * 2000
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
+def test_verification_against_plain_distance(spark, edits):
+    from pyspark.sql import functions as F
+
+    r, pairs = random.Random(edits), [("", ""), ("", "ab")]
+    for _ in range(1500):
+        a = [r.choice("abé\U0001f600") for _ in range(r.randint(1, 80 if r.random() < 0.1 else 14))]
+        b = a[:]
+        for _ in range(r.randint(0, edits + 1)):
+            k = r.randrange(len(b)) if b else 0
+            b[k : k + r.randint(0, 1)] = [r.choice("abé\U0001f600")] * r.randint(0, 1)
+        pairs.append(tuple(sorted(("".join(a), "".join(b)), key=len)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert all(x["near"] == (levenshtein(x["a"], x["b"]) <= edits) for x in df.select("a", "b", line_join.within(F.col("a"), F.col("b"), edits).alias("near")).collect())
+
+
 def test_line_odd_tables(odd, empty):
-    assert line_join.line_classes(odd).count() > 0
+    places = [(r["doc_id"], k, x) for r in odd.collect() for k, x in enumerate((r["text"] or "").split("\n")) if x]
+    got = sorted(((r["doc_id"], r["line_no"]) for r in line_join.line_classes(odd).collect()), key=str)
+    assert got == sorted(((key, k) for key, k, _ in places), key=str)
+    assert {r["class_doc_id"] for r in line_join.line_classes(odd).where("doc_id = 4").collect()} == {None}  # a row without id comes first
     assert line_join.line_classes(empty).count() == 0
     assert line_join.deduplicate(odd.where("doc_id = 11").distinct()).first()["text"] == "the same line of text, again and again\nshort"
 

@@ -3,26 +3,38 @@
 Equal lines are one line first. A line of n characters is cut into ``EDITS + 1`` segments
 of near equal length. Of two lines within ``EDITS`` edits, the longer holds at least one
 segment of the shorter unchanged, at a place that the segment's number and the difference
-in length bound. So each line is posted under its own segments (with its length and the
-segment's number) and probes with those substrings of its own that could be a segment of a
-line of its length, or up to ``EDITS`` characters shorter. Pairs that meet are verified by
-the edit distance in a band of ``EDITS``; each linked pair comes once.
-
-Segments need lines of more than ``EDITS`` characters. Of the shorter ones, any two are
-within ``EDITS`` edits; with a line of more characters, which has at most ``2 * EDITS``,
-they share a character, by which they meet. There are few such lines, whatever the input.
-
-The verification is Spark's ``levenshtein`` with a threshold, a banded dynamic program in
-the JVM: a bit-parallel one has no form in SQL expressions. Everything else is joins and
-expressions too; the text of the lines is shuffled once, by line.
+in length bound. So each line is posted under its own segments and probes with those
+substrings of its own that could be a segment of a line of its length, or up to ``EDITS``
+characters shorter; a segment's length and number tell the lengths of the lines that have
+it, so the index need not name them. A text of at most ``EDITS`` characters has no
+segments: it is posted under a key of all such texts, which texts of at most
+``2 * EDITS`` characters probe.
+
+A key with more than ``LIST`` lines makes no pairs. What its lines have beside the shared
+segment is within ``EDITS`` edits too for every link, so these rests are joined in the same
+way, within the key, as often as needed. Before, the longest common begin and end of all
+rests of a key are taken off (they follow from the least and the greatest rest, forwards
+and backwards), so that the next segments lie where the lines differ. So a line meets at
+most ``LIST`` others for each of its keys, however many lines share a footer, and a key is
+never one task's group: counts, minima and joins are all that is made of it.
+
+Counts of letters tell most pairs that meet apart. The others are verified by a banded
+bit-parallel automaton: a set of bits for each number of edits has the diagonals of the
+band that are reachable, and all sets move by one character in a few bit operators on one
+bigint. Pairs of rests are verified at once, so few whole lines are. Everything is joins
+and expressions; the text of the lines is shuffled once by line, and then only for pairs
+that meet.
+
+Links are pairs of different lines, so a line has no more of them than there are different
+lines within ``EDITS`` edits; copies make none.
 
 Edge cases: empty lines are not lines; a null or empty text has none; a line of fewer than
 ``min_chars`` characters is linked with nothing, and its class is its copies (1 links all
 lines, as the query does; the default leaves out lines of which two edits are a large
-part, as nearly all of the shortest lines hang together); rows of one doc_id each have their lines, and equal
-places among them are ties, of which all are kept; a row without doc_id comes first; an
-empty table gives no rows; extra columns are not read. Lines are told apart by 64-bit
-hashes, as links between n distinct lines meet wrongly with a chance of n * n / 2**65.
+part, as nearly all of the shortest lines hang together); rows of one doc_id each have
+their lines, and equal places among them are ties, of which all are kept; a row without
+doc_id comes first; an empty table gives no rows; extra columns are not read. Lines are
+told apart by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,54 +47,184 @@ from trialweave.llm.scratch import materialize
 
 EDITS = 2
 MIN_CHARS = 20
-#: Letters whose counts go with each posting, common ones in several languages.
+#: Lines that may meet all others of a key; with more, their rests are joined.
+LIST = 256
+#: Letters whose counts tell most texts apart before they are verified, common ones in several languages.
 LETTERS = "eanirtsohd"
-#: Lines of at most ``EDITS`` characters meet one another in so many rows and columns.
-_GRID = 16
 
 
-def _segment(length: str, number: int, edits: int) -> tuple[str, str]:
-    """SQL for the first place (from 1) and the length of a segment (from 1); the last ones are longer by one."""
+def _segments(length: int, base: int, edits: int) -> list[tuple[int, int, int]]:
+    """Number, place (from 1) and length of each segment of a text of ``length`` characters, the last ones longer by one.
+
+    As for a text with ``base`` times ``edits + 1`` characters more: place and length are given less
+    ``base * (number - 1)`` and ``base``.
+    """
     parts = edits + 1
-    base, longer = f"({length} div {parts})", f"greatest(0, {number} - 1 - ({parts} - {length} % {parts}))"
-    size = f"({base} + if({number} > {parts} - {length} % {parts}, 1, 0))"
-    return f"({base} * {number - 1} + {longer} + 1)", size
+    short, longer = divmod(length, parts)
+    out = []
+    for i in range(1, parts + 1):
+        before = max(0, i - 1 - (parts - longer))
+        out.append((i, (short - base) * (i - 1) + before + 1, short - base + (i > parts - longer)))
+    return out
 
 
-def _key(length: str, number: int, start: str, size: str) -> str:
-    return f"xxhash64(cast({length} as int), {number}, substring(line, cast({start} as int), cast({size} as int)))"
+def slots(residue: int, edits: int) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], int]]:
+    """For texts of ``residue`` characters beyond a multiple of ``edits + 1``: their own segments, and the other
+    substrings that they probe, each with the least number of characters by which a line that has it is shorter.
+    """
+    parts = edits + 1
+    base = 10  # any number will do
+    length = base * parts + residue
+    own, probed = _segments(length, base, edits), {}
+    for shorter in range(edits + 1):
+        for i, at, size in _segments(length - shorter, base, edits):
+            low, high = max(-(i - 1), shorter - (parts - i)), min(i - 1, shorter + parts - i)
+            for move in range(low, high + 1):
+                slot = i, at + move, size
+                if slot not in own:
+                    probed[slot] = min(shorter, probed.get(slot, shorter))
+    return own, probed
 
 
-def postings(edits: int) -> Column:
-    """Array of a line's own segments."""
-    keys = [_key("n", i, *_segment("n", i, edits)) for i in range(1, edits + 2)]
-    return F.expr(f"array({', '.join(keys)})")
+def _entries(edits: int, posted: bool, places: bool) -> Column:
+    """Array of keys (with ``places``: structs of key, at and size) of ``rest`` (n characters, also as ``bytes``) under ``prefix``; some are null."""
+    parts = edits + 1
 
+    def entry(number: int, at: str, size: str) -> str:
+        # a substring of bytes where each character is one need not count characters
+        cut = f"if(n = octet_length(rest), substring(bytes, {at}, {size}), cast(substring(rest, {at}, {size}) as binary))"
+        key = f"xxhash64(prefix, {number}, {cut})"
+        return f"named_struct('key', {key}, 'at', {at}, 'size', {size})" if places else key
 
-def probes(edits: int) -> Column:
-    """Array of (key, shorter): substrings that may be segments of a line shorter by ``shorter``, but for the line's own segments."""
-    out = []
-    for shorter in range(edits + 1):
-        length = f"(n - {shorter})"
-        for i in range(1, edits + 2):
-            start, size = _segment(length, i, edits)
-            low, high = max(-(i - 1), shorter - (edits + 1 - i)), min(i - 1, shorter + edits + 1 - i)
-            for move in range(low, high + 1):
-                if not shorter and not move:
-                    continue  # the line's own segment, which is posted
-                at = f"({start} + {move})"
-                out.append(f"if({at} >= 1 and {at} + {size} - 1 <= n, named_struct('key', {_key(length, i, at, size)}, 'shorter', {shorter}), null)")
-    return F.expr(f"filter(array({', '.join(out)}), x -> x is not null)")
+    everything = entry(0, "1", "0")  # the key of all short texts
+    cases = []
+    for residue in range(parts):
+        own, probed = slots(residue, edits)
+        exprs = []
+        for (i, at, size), least in [(x, 0) for x in own] if posted else probed.items():
+            made = entry(i, f"(n div {parts}) * {i - 1} + {at}", f"(n div {parts}) + {size}")
+            exprs.append(made if posted else f"if(n >= {parts + least}, {made}, null)")
+        if not posted:
+            exprs.append(f"if(n <= {2 * edits}, {everything}, null)")
+        cases.append(f"when {residue} then array({', '.join(exprs)})")
+    short = f"array({everything})" if posted else f"array(cast(null as {'struct<key:bigint,at:int,size:int>' if places else 'bigint'}))"
+    return F.expr(f"if(n <= {edits}, {short}, case n % {parts} {' '.join(cases)} end)")
 
 
-def letter_counts() -> Column:
-    """How often each of ``LETTERS`` is in a line, modulo 64, side by side in one bigint."""
-    counts = [f"shiftleft(cast((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 63 as bigint), {6 * k})" for k, c in enumerate(LETTERS)]
+def _flat(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("n", F.length("rest")).withColumn("bytes", F.col("rest").cast("binary"))
+
+
+def _keys(texts: DataFrame, edits: int, posted: bool, *more: str) -> DataFrame:
+    """key, id, n (and ``more``) of each posting or probe."""
+    return _flat(texts).select(F.explode(_entries(edits, posted, False)).alias("key"), "id", "n", *more).where("key is not null")
+
+
+def _hot(texts: DataFrame, edits: int, most: int) -> DataFrame:
+    """Keys with more than ``most`` postings of different texts, but for those of texts without segments: near texts all.
+
+    ``texts`` may have copies: only keys that are frequent with them are counted without.
+    """
+    postings = _flat(texts).where(F.col("n") > edits).select(F.explode(_entries(edits, True, False)).alias("key"), "id")
+    often = materialize(postings.groupBy("key").count().where(F.col("count") > most).select("key"), "line-often")
+    if often.isEmpty():
+        return often
+    counted = postings.join(often, "key").distinct().groupBy("key").count()
+    return materialize(counted.where(F.col("count") > most).select("key"), "line-keys")
+
+
+def _rests(texts: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
+    """id, prefix (the hot key) and rest of the texts that have a key in ``hot``, less the begin and end that all rests of the key have."""
+    flat = _flat(texts)
+    every = [flat.select("id", "prefix", F.xxhash64("rest").alias("form"), F.explode(_entries(edits, posted, True)).alias("e")).where("e is not null") for posted in (True, False)]
+    # narrow rows first: texts travel only for what has such a key
+    held = materialize(every[0].union(every[1]).select("id", "prefix", "form", "e.*").join(hot, "key").distinct(), "line-hot")
+    own = texts.withColumn("form", F.xxhash64("rest"))
+    rest = F.expr("concat(substring(rest, 1, at - 1), substring(rest, at + size))")
+    joined = materialize(held.join(own, ["id", "prefix", "form"]).select("id", "key", rest.alias("rest")).distinct(), "line-rests")
+    back = F.reverse("rest")
+    ends = joined.groupBy("key").agg(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"), F.min(F.length("rest")).alias("least"))
+    begin, end = _common(F.col("a"), F.col("b")), _common(F.col("c"), F.col("d"))
+    ends = ends.select("key", begin.alias("begin"), F.least(end, F.col("least") - begin).alias("end"))
+    core = F.expr("substring(rest, begin + 1, length(rest) - begin - end)")
+    return materialize(joined.join(materialize(ends, "line-ends"), "key").select("id", F.col("key").alias("prefix"), core.alias("rest")), "line-cores")
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Characters that two texts have in common at their begin."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    differ = F.array_position(same, False)
+    return F.when(a == b, F.length(a)).otherwise(F.greatest(differ - 1, F.lit(0))).cast("int")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once: in a lambda, what is no variable is made again for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _same(x: Column, y: Column) -> Column:
+    """Elements that two arrays have in common at their begin."""
+    differ = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+    return F.when(differ == 0, F.size(x)).otherwise(differ - 1).cast("int")
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two texts, of which ``b`` is not the shorter, are within so many edits.
+
+    Their common begin and end are left out. Lane e of the state, of 2 * edits + 1 bits, has the diagonals
+    on which the part of ``a`` read so far is within e edits of that part of ``b`` which ends there. A
+    character keeps the diagonals on which it is equal; one edit more replaces it, leaves it out (a diagonal
+    down), or takes one more of ``b`` (a diagonal up).
+    """
+    width, lanes = 2 * edits + 1, edits + 1
+    if width * lanes > 63:
+        raise ValueError("at most 4 edits fit a bigint")
+    each = sum(1 << (width * e) for e in range(lanes))
+    below_last = (1 << (width * edits)) - 1
+    not_bottom = each * ((1 << width) - 2)
+
+    def both(p: Column, mask: int) -> Column:
+        return p.bitwiseAND(F.lit(mask).cast("bigint"))
+
+    def inserted(s: Column) -> Column:
+        out = s
+        for e in range(1, edits + 1):  # e more characters of b: e lanes on, e diagonals up
+            free = (each * ((1 << (width - e)) - 1)) & ((1 << (width * (lanes - e))) - 1)
+            out = out.bitwiseOR(F.shiftleft(both(s, free), e * (width + 1)))
+        return out
+
+    def step(s: Column, mask: Column) -> Column:
+        s = inserted(s)
+        return s.bitwiseAND(mask).bitwiseOR(F.shiftleft(both(s, below_last), width)).bitwiseOR(F.shiftleft(both(s, below_last & not_bottom), width - 1))
+
+    def diagonals(y: Column, c: Column, i: Column) -> Column:
+        bits = [F.when(F.get(y, i + d) == c, F.lit(each << (d + edits)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for d in range(-edits, edits + 1)]
+        return sum(bits[1:], bits[0])
+
+    def run(x: Column, y: Column) -> Column:
+        masks = F.transform(x, lambda c, i: diagonals(y, c, i))
+        end = F.aggregate(masks, F.lit(each << edits).cast("bigint"), step, inserted)
+        return F.call_function("shiftright", end, F.size(y) - F.size(x) + F.lit(width * edits + edits)).bitwiseAND(F.lit(1)) == 1
+
+    def inner(x: Column, y: Column, begin: Column, end: Column) -> Column:
+        return _let(F.slice(y, begin + 1, F.size(y) - begin - end), lambda rest: run(F.slice(x, begin + 1, F.size(x) - begin - end), rest))
+
+    def ends(x: Column, y: Column, begin: Column) -> Column:
+        return _let(F.least(_same(F.reverse(x), F.reverse(y)), F.size(x) - begin), lambda end: inner(x, y, begin, end))
+
+    found = _let(F.split(a, ""), lambda x: _let(F.split(b, ""), lambda y: _let(_same(x, y), lambda begin: ends(x, y, begin))))
+    gap = F.length(b) - F.length(a)
+    return F.when((F.length(a) == 0) | (gap > edits), gap <= edits).otherwise(found)
+
+
+def letter_counts(text: str) -> Column:
+    """How often each of ``LETTERS`` is in a text, modulo 64, side by side in one bigint."""
+    counts = [f"shiftleft(cast((octet_length({text}) - octet_length(replace({text}, '{c}', ''))) & 63 as bigint), {6 * k})" for k, c in enumerate(LETTERS)]
     return F.expr(" | ".join(counts))
 
 
 def may_be_near(a: Column, b: Column, edits: int) -> Column:
-    """One edit takes a letter away, brings one, or both; so counts of near lines differ by ``2 * edits`` in all at most."""
+    """One edit takes a letter away, brings one, or both; so counts of near texts differ by ``2 * edits`` in all at most."""
     gaps = [(F.shiftright(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * k).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(63)) for k in range(len(LETTERS))]
     return sum((F.least(g, 64 - g) for g in gaps[1:]), F.least(gaps[0], 64 - gaps[0])) <= 2 * edits
 
@@ -90,52 +232,54 @@ def may_be_near(a: Column, b: Column, edits: int) -> Column:
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0, empty lines count), line, line_id of every line."""
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.where("line <> ''").withColumn("line_id", F.xxhash64("line"))
-
-
-def short_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """a, b: linked lines of which one has at most ``edits`` characters, each pair once."""
-    lines = occurrences(docs).where(F.length("line").between(min_chars, 2 * edits)).select("line_id", "line").distinct()
-    lines = materialize(lines, "short-lines").withColumn("n", F.length("line"))
-    least, more = lines.where(F.col("n") <= edits), lines.where(F.col("n") > edits)
-    # any two of the least are within so many edits: each meets each in one cell of a grid
-    every = F.explode(F.sequence(F.lit(0), F.lit(_GRID - 1)))
-    rows = least.select(F.col("line_id").alias("a"), F.pmod("line_id", F.lit(_GRID)).cast("int").alias("row"), every.alias("column"))
-    columns = least.select(F.col("line_id").alias("b"), F.pmod("line_id", F.lit(_GRID)).cast("int").alias("column"), every.alias("row"))
-    both = rows.join(columns, ["row", "column"]).where(F.col("a") < F.col("b")).select("a", "b")
-    char = F.explode(F.expr("array_distinct(transform(sequence(1, n), k -> substring(line, k, 1)))")).alias("char")
-    one = least.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"), char)
-    other = more.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"), char)
-    near = one.join(other, "char").where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b").distinct()
-    return both.union(near)
+    return lines.where("line <> ''").withColumn("line_id", F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")))
+
+
+def _meet(texts: DataFrame, hot: DataFrame | None, edits: int, verify: bool = False) -> DataFrame:
+    """a, b (a < b): texts of which one is posted under a key, not in ``hot``, that the other is posted under or probes.
+
+    ``verify``: only those within ``edits`` edits, for short texts that may travel with their keys.
+    """
+    more = ["rest", "letters"] * verify
+    if verify:
+        texts = texts.withColumn("letters", letter_counts("rest"))
+    posted, probing = _keys(texts, edits, True, *more), _keys(texts, edits, False, *more)
+    if hot is not None:
+        posted = posted.join(hot, "key", "left_anti")
+    mine, other = posted.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in more]), F.col("id")
+    probed = mine.join(probing, "key").where((F.col("a") != other) & (F.col("n") - F.col("n_a")).between(0, edits))
+    twice = mine.join(posted, "key").where((F.col("a") < other) & (F.abs(F.col("n") - F.col("n_a")) <= edits))
+    if verify:
+        probed, twice = (x.where(may_be_near(F.col("letters_a"), F.col("letters"), edits) & _near("rest_a", "rest", edits)) for x in (probed, twice))
+    return probed.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).union(twice.select("a", F.col("id").alias("b")))
+
+
+def _near(a: str, b: str, edits: int) -> Column:
+    swap = F.length(a) > F.length(b)
+    return within(F.when(swap, F.col(b)).otherwise(F.col(a)), F.when(swap, F.col(a)).otherwise(F.col(b)), edits)
 
 
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """a, b: ids of distinct lines within ``edits`` edits, each pair once."""
-    found = segment_links(docs, edits, max(min_chars, edits + 1))
-    return found.union(short_links(docs, edits, min_chars)) if min_chars <= edits else found
-
-
-def segment_links(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """a, b: linked lines of at least ``min_chars`` characters, which must be over ``edits``, each pair once."""
-    long = occurrences(docs).where(F.length("line") >= min_chars)
-    distinct = long.groupBy("line_id").agg(F.first("line").alias("line")).withColumn("n", F.length("line"))
-    counted = distinct.withColumn("letters", letter_counts())
-    held = counted.select(F.explode(postings(edits)).alias("key"), F.col("line_id").alias("a"), F.col("letters").alias("letters_a"))
-    asked = counted.select(F.inline(probes(edits)), F.col("line_id").alias("b"), F.col("letters"))
-    # whether both lines have one length goes in the sign, as the counts take 60 bits
-    asked = asked.select("key", "b", F.when(F.col("shorter") > 0, F.col("letters")).otherwise(-F.col("letters") - 1).alias("packed"))
-    same_length, letters_b = F.col("packed") < 0, F.when(F.col("packed") < 0, -F.col("packed") - 1).otherwise(F.col("packed"))
-    # of two lines of one length, both are posted and both probe
-    once = (F.col("a") != F.col("b")) & (~same_length | (F.col("a") < F.col("b")))
-    probed = asked.join(held, "key").where(once & may_be_near(F.col("letters_a"), letters_b, edits)).select("a", "b")
-    # the same segment at the same place: posted lines meet one another
-    other = held.select("key", F.col("a").alias("b"), F.col("letters_a").alias("letters_b"))
-    posted = held.join(other, "key").where((F.col("a") < F.col("b")) & may_be_near(F.col("letters_a"), F.col("letters_b"), edits)).select("a", "b")
-    met = probed.union(posted).distinct()
-    text = distinct.select("line_id", "line")
-    both = met.join(text.select(F.col("line_id").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("line_id").alias("b"), F.col("line").alias("line_b")), "b")
-    return both.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b")
+    every = occurrences(docs).where(F.length("line") >= min_chars)
+    lines = every.groupBy("line_id").agg(F.first("line").alias("rest"))
+    texts = lines.select(F.col("line_id").alias("id"), F.lit(0).cast("bigint").alias("prefix"), "rest")
+    # with copies, as that takes no shuffle of texts
+    rows = every.select(F.col("line_id").alias("id"), F.lit(0).cast("bigint").alias("prefix"), F.col("line").alias("rest"))
+    hot, met = _hot(rows, edits, LIST), []
+    first = now = None if hot.isEmpty() else hot
+    while now is not None:
+        rests = _rests(rows, now, edits).distinct()
+        hot, rows = _hot(rests, edits, LIST), rests
+        now = None if hot.isEmpty() else hot
+        met.append(materialize(_meet(rests, now, edits, verify=True).distinct(), "line-pairs"))
+    pairs = _meet(texts, first, edits)
+    for more in met:
+        pairs = pairs.union(more)
+    text_a, text_b = (lines.select(F.col("line_id").alias(c), F.col("rest").alias(f"line_{c}")) for c in "ab")
+    both = pairs.distinct().join(text_a, "a").join(text_b, "b")
+    counts = [letter_counts(c) for c in ("line_a", "line_b")]
+    return both.where(may_be_near(*counts, edits) & _near("line_a", "line_b", edits)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
