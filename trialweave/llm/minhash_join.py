@@ -7,13 +7,17 @@
    for a chance under 1e-8, so they share a pair among any ``COORDINATES - matches + 1`` of
    their own, taken in one common order. That order is by how often pairs occur, rare first (the prefix), so
    pairs that very many documents hold are posted only where a document has hardly any
-   others. The counts that give the order are kept in 2**18 cells, whatever the input.
-3. The postings of a pair are compared by signature; classes that collide in at least
-   that many coordinates are joined. A class is compared with the others of a list only
-   until the list hangs together; a list skips all classes in its largest part.
-   A list of more than ``LIST`` classes is dealt in blocks: each two blocks meet in one task.
+   others. Any common order will do; this one is by counts in 2**18 cells, whatever the input.
+3. The postings of a pair are counted exactly, by a shuffle. A pair that one class alone is
+   posted under goes no further. The others get the values of their classes at all
+   coordinates (the low byte of each), and collisions are counted coordinate by coordinate:
+   classes that collide in at least that many are joined. A class is compared with the
+   others of a list only until the list hangs together; a list skips all classes in its
+   largest part. A list of more than ``LIST`` classes is dealt in blocks: each two blocks
+   meet in one task.
 4. The parts so found are confirmed on full shingle sets in the same way, again in blocks
-   of ``BLOCK`` classes, and the confirmed links give the components.
+   of at most about ``BLOCK`` classes and ``BLOCK_BYTES`` of sets, and the confirmed links
+   give the components.
 
 No step emits all pairs of a group: a group of n emits at most n - 1 links for each two
 blocks. Hot copies vanish with the classes (a minimum, combined before the shuffle).
@@ -42,6 +46,7 @@ SHINGLE = 5
 COORDINATES = 64
 LIST = 2048
 BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 #: Links: 100 * intersection >= percent * union.
 PERCENT = 85
 #: The chance to miss two sets of just that likeness stays under this.
@@ -52,8 +57,6 @@ _RANDOM = np.random.default_rng(20240229)
 _XOR = _RANDOM.integers(0, 1 << 32, COORDINATES, np.uint32)
 _TIMES = _RANDOM.integers(0, 1 << 32, COORDINATES, np.uint32) | np.uint32(1)
 _SALT = W.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-#: How many of its two 4-bit halves a byte has at zero.
-_ZEROS = np.array([(k < 16) + (k % 16 == 0) for k in range(256)], np.uint8)
 
 
 def matches_at(percent: int) -> int:
@@ -90,7 +93,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that name the set, the signature (null without shingles)."""
+    """doc_id, n_shingles, two 64-bit sums that name the set, the signature and the low byte of each of its values (null without shingles)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -98,6 +101,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(batch.column("text"))
                 full = [x for x in sets if len(x)]
                 minima = iter(signatures(full)) if full else iter(())
+                held = [next(minima) if len(x) else None for x in sets]
                 sums = np.array([[W.mix(x + np.uint64(k)).sum(dtype=np.uint64) for k in (1, 2)] for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -105,11 +109,12 @@ def sketch(docs: DataFrame) -> DataFrame:
                         "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                         "key1": sums[:, 0],
                         "key2": sums[:, 1],
-                        "signature": pa.array([next(minima).tobytes() if len(x) else None for x in sets], pa.binary()),
+                        "signature": pa.array([None if x is None else x.tobytes() for x in held], pa.binary()),
+                        "values": pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in held], pa.binary()),
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, signature binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(measure, "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, signature binary, values binary")
 
 
 def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
@@ -138,42 +143,36 @@ def pair_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _post(counts, parts: int, prefix: int):
+def _post(counts, prefix: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         for batch in batches:
             node = batch.column("node").to_numpy(zero_copy_only=False)
-            minima = _matrix(batch.column("signature"), np.uint32, COORDINATES)
-            names = _pairs(minima)
+            names = _pairs(_matrix(batch.column("signature"), np.uint32, COORDINATES))
             held = often[names >> np.uint64(64 - _CELLS)]
             rank = (np.minimum(held, (1 << 23) - 1).astype(np.uint64) << np.uint64(40)) | (names >> np.uint64(24))
             rare = np.argpartition(rank, prefix - 1, axis=1)[:, :prefix]
-            row = np.repeat(np.arange(len(node)), prefix)
-            name, many = np.take_along_axis(names, rare, 1).ravel(), np.take_along_axis(held, rare, 1).ravel()
-            blocks = -(-many // LIST)
-            if blocks.max(initial=1) > 1:  # to every list where two blocks meet that has this class's block
-                own = (W.mix(node.astype(np.uint64))[row] % blocks.astype(np.uint64)).astype(np.int64)
-                other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                row, name, own = (np.repeat(x, blocks) for x in (row, name, own))
-                name = name + W.mix((np.minimum(own, other) * 1_000_003 + np.maximum(own, other)).astype(np.uint64) + np.uint64(1))
-            short = (minima & np.uint32(15)).astype(np.uint8)
-            short = short[:, ::2] << 4 | short[:, 1::2]
-            part = (name % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at, begin = np.unique(part[order], return_index=True)
-            cut = [order[a:b] for a, b in zip(begin, [*begin[1:], len(order)][: len(begin)], strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": at,
-                    "names": pa.array([name[x].tobytes() for x in cut], pa.binary()),
-                    "nodes": pa.array([node[row[x]].tobytes() for x in cut], pa.binary()),
-                    "shorts": pa.array([short[row[x]].tobytes() for x in cut], pa.binary()),
-                }
-            )
+            yield pa.RecordBatch.from_pydict({"name": np.take_along_axis(names, rare, 1).ravel().view(np.int64), "node": np.repeat(node, prefix)})
 
     return post
 
 
+def postings(classes: DataFrame, prefix: int) -> DataFrame:
+    """name of a (coordinate, value) pair and node, for the ``prefix`` rarest pairs of each class."""
+    counts = classes.sparkSession.sparkContext.broadcast(pair_counts(classes))
+    return materialize(classes.select("node", "signature").mapInArrow(_post(counts, prefix), "name bigint, node bigint"), "postings")
+
+
+def lists(posted: DataFrame) -> DataFrame:
+    """list, node: the postings of pairs that several classes have; of a long one, once for each two blocks that meet."""
+    shared = posted.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(shared.select("name", F.ceil(F.col("n") / LIST).cast("bigint").alias("blocks")), "shared-pairs")
+    held = posted.join(shared, "name")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("name", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "node")
+
+
 def spanning(n: int, linked) -> list[tuple[int, int]]:
     """Links that join what belongs together among n: ``linked(k)`` tells with which all k is linked.
 
@@ -196,9 +195,10 @@ def spanning(n: int, linked) -> list[tuple[int, int]]:
 
 def _collide(matches: int):
     def collide(_key: tuple, table: pa.Table) -> pa.Table:
-        names, nodes, shorts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("names", np.uint64), ("nodes", np.int64), ("shorts", np.uint8)))
-        shorts, order = shorts.reshape(-1, COORDINATES // 2), np.argsort(names, kind="stable")
-        names, seen, links = names[order], set(), set()
+        names, nodes = table["list"].to_numpy(), table["node"].to_numpy()
+        values = np.frombuffer(b"".join(x.as_buffer() for x in table["values"]), np.uint8).reshape(-1, COORDINATES)
+        order, seen, links = np.argsort(names, kind="stable"), set(), set()
+        names = names[order]
         begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         size = np.diff(np.concatenate([begin, [len(names)]]))
         for a, n in zip(begin[size > 1], size[size > 1], strict=True):
@@ -206,12 +206,12 @@ def _collide(matches: int):
             if len(own) < 2 or (key := own.tobytes()) in seen:
                 continue
             seen.add(key)
-            short = shorts[order[a : a + n][first]]
+            held = values[order[a : a + n][first]]
             if len(own) == 2:
-                if _ZEROS[short[0] ^ short[1]].sum() >= matches:
+                if (held[0] == held[1]).sum() >= matches:
                     links.add((int(own[0]), int(own[1])))
                 continue
-            links.update((int(own[min(x, y)]), int(own[max(x, y)])) for x, y in spanning(len(own), lambda k, s=short: np.flatnonzero(_ZEROS[s ^ s[k]].sum(1) >= matches)))
+            links.update((int(own[min(x, y)]), int(own[max(x, y)])) for x, y in spanning(len(own), lambda k, v=held: np.flatnonzero((v == v[k]).sum(1) >= matches)))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return collide
@@ -263,15 +263,18 @@ def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20, percent: int =
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketched = materialize(sketch(docs), "sketch")
     full = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = materialize(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes")
-    n = classes.count()
-    counts = spark.sparkContext.broadcast(pair_counts(classes))
-    parts = max(4 * shuffles, n * prefix * 48 // target_bytes)
-    posted = classes.select("node", "signature").mapInArrow(_post(counts, parts, prefix), "part bigint, names binary, nodes binary, shorts binary")
-    candidates = components(posted.groupBy("part").applyInArrow(_collide(matches), "a bigint, b bigint"))
-    candidates = materialize(candidates, "candidates")
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
-    named = candidates.join(sizes, "component")
+    one = [F.first(c).alias(c) for c in ("n_shingles", "signature", "values")]
+    classes = materialize(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), *one), "classes")
+    dealt = materialize(lists(postings(classes, prefix)), "lists")
+    parts = max(shuffles, dealt.count() * (COORDINATES + 16) // target_bytes)
+    valued = dealt.join(classes.select("node", "values"), "node").select(F.pmod(F.xxhash64("list"), F.lit(parts)).alias("part"), "list", "node", "values")
+    candidates = components(valued.groupBy("part").applyInArrow(_collide(matches), "a bigint, b bigint"))
+    candidates = materialize(candidates.join(classes.select("node", "n_shingles"), "node"), "candidates")
+    set_bytes = F.sum(F.col("n_shingles") * 8)
+    sizes = candidates.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(set_bytes / BLOCK_BYTES)).cast("bigint").alias("blocks"), set_bytes.alias("bytes"))
+    sizes = materialize(sizes, "candidate-sizes")
+    parts = max(shuffles, (sizes.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0) // target_bytes)
+    named = candidates.drop("n_shingles").join(sizes.drop("bytes"), "component")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(named.hint("merge"), "node").select("node", "text", "component", "blocks")
     sets = texts.mapInArrow(_with_sets, "node bigint, component bigint, blocks bigint, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -281,7 +284,7 @@ def near_duplicates(docs: DataFrame, target_bytes: int = 8 << 20, percent: int =
     links = dealt.groupBy("part").applyInArrow(_confirm(percent), "a bigint, b bigint")
     labels = components(links).withColumnRenamed("component", "component_id")
     class_label = classes.select("key1", "key2", "node").join(labels, "node", "left").select("key1", "key2", F.coalesce("component_id", "node").alias("component_id"))
-    out = sketched.drop("signature").join(class_label, ["key1", "key2"], "left")
+    out = sketched.drop("signature", "values").join(class_label, ["key1", "key2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -304,3 +307,19 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = near.join(ids, "_node", "left").groupBy("component_id").agg(first).select(F.col("_kept._node").alias("_node"))
     with_id = named.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
     return with_id.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[k:k + least(5, len(words)) - 1], ' ') AS shingle FROM w, unnest(range(1, greatest(2, len(words) - 3))) AS u(k) WHERE len(words) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), near AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)
+), links AS (SELECT a, b FROM near UNION SELECT b, a FROM near
+), reach(node, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other
+), c AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
