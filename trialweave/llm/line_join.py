@@ -313,3 +313,21 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     kept = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x, k: F.when(~F.array_contains(F.col("_gone"), k), x)), lambda x: x.isNotNull()), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left").withColumn("text", text).select(*docs.columns)
+
+
+#: DuckDB's distance is one of bytes: characters beyond ASCII, if there are at most 26 of them, are put on control characters first.
+ORACLE = """
+WITH RECURSIVE t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), o AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS line_no, lines[k] AS line FROM t, unnest(range(1, CAST(len(lines) + 1 AS BIGINT))) AS u(k) WHERE lines[k] <> ''
+), wide AS (SELECT DISTINCT unnest(string_split(regexp_replace(line, '[\\x00-\\x7F]', '', 'g'), '')) AS c FROM o
+), ranked AS (SELECT c, row_number() OVER (ORDER BY c) AS r FROM wide WHERE c <> ''
+), m AS (SELECT coalesce(string_agg(c, '' ORDER BY r), '') AS a, coalesce(string_agg(chr(CAST(r + CASE WHEN r > 8 THEN 5 ELSE 0 END AS INTEGER)), '' ORDER BY r), '') AS b FROM ranked
+), d AS (SELECT line, length(line) AS n, translate(line, a, b) AS flat, min((doc_id, line_no)) AS place, row_number() OVER (ORDER BY line) AS id FROM o, m GROUP BY line, a, b
+), near AS (SELECT x.id AS a, y.id AS b FROM d x JOIN d y ON y.n >= x.n AND y.n <= x.n + 2 WHERE x.id <> y.id AND (y.n > x.n OR x.id < y.id) AND levenshtein(x.flat, y.flat) <= 2
+), links AS (SELECT a, b FROM near UNION SELECT b, a FROM near
+), reach(node, other) AS (SELECT id, id FROM d UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other
+), heads AS (SELECT node, min(place) AS head FROM reach JOIN d ON d.id = other GROUP BY node
+), counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, line_no, head[1] AS class_doc_id, head[2] AS class_line_no, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, (doc_id, line_no) = head AS kept
+FROM o JOIN d USING (line) JOIN heads ON heads.node = d.id LEFT JOIN counted ON counted.a = d.id
+"""

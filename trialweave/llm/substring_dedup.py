@@ -170,3 +170,13 @@ def removed_words(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     return removed_words(docs).select(F.when(F.col("doc_id") != _FIRST, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), wins AS (SELECT doc_id, k, array_to_string(words[k:k + 19], ' ') AS win FROM w, unnest(range(1, CAST(len(words) - 18 AS BIGINT))) AS u(k) WHERE len(words) >= 20
+), again AS (SELECT doc_id, k FROM wins QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, k) > 1
+), gone AS (SELECT DISTINCT doc_id, p FROM again, unnest(range(k, k + 20)) AS u(p)
+), kept AS (SELECT doc_id, string_agg(words[p], ' ' ORDER BY p) AS kept, count(*) AS n FROM w, unnest(range(1, CAST(len(words) + 1 AS BIGINT))) AS u(p) WHERE (doc_id, p) NOT IN (SELECT doc_id, p FROM gone) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
