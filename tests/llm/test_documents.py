@@ -532,6 +532,18 @@ def test_contamination_odd_tables(spark, odd, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_contamination_keeps_own_columns(spark, docs):
+    """Columns with the operator's own names stay; with many blocks no plan has a chain of passes."""
+    bench = spark.createDataFrame([(k, prose(99, 60) if k == 3 else prose(500 + k, 30)) for k in range(6)], "item_id bigint, text string")
+    own = docs.selectExpr("*", "'mine' as _n_words", "'mine' as _hits", "'mine' as _items", "'mine' as _h1")
+    for block_bytes in (1 << 20, 150):
+        found, names = decontaminate.find_hits(own, bench, block_bytes=block_bytes)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1
+        kept = decontaminate.decontaminate(own, bench, block_bytes=block_bytes)
+        assert kept.columns == own.columns
+        assert {(r["doc_id"], r["_n_words"], r["_hits"], r["_items"]) for r in kept.collect()} == {(k, "mine", "mine", "mine") for k in range(1, 17) if k not in (4, 5)}
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 1])
 def test_contamination_by_items_without_id(spark, odd, block_bytes):
     """Their passages count as any other; rows as by the SQL."""
