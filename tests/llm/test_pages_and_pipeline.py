@@ -3,7 +3,9 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
+import zlib
 
 import pytest
 
@@ -17,15 +19,19 @@ PAGES = "page_id bigint, url string, html string"
 def through(spark, pages, min_bytes=0, archive_bytes=2000):
     first, second = new_path(spark, "warc"), new_path(spark, "members")
     warc.write_archives(pages, first, min_bytes, archive_bytes)
-    warc.normalise(spark.read.schema("name string, body binary").parquet(first), second)
+    warc.normalise(warc.archives(spark, first), first, second)
     return first, second
 
 
-def test_archives(spark, tmp_path):
+def local(folder, name):
+    return open(f"{folder.removeprefix('file://')}/{name}", "rb").read()
+
+
+def test_archives(spark):
     rows = [(k, f"http://x.example/{k} a\r\nb", f"<p>page {k % 7} é</p>" * (k % 7 * 30)) for k in range(60)] + [(60, None, None), (61, "http://y.example/", "")]
-    pages = spark.createDataFrame(rows, PAGES).withColumnRenamed("url", "url").selectExpr("*", "1 as body", "2 as name").repartition(3)
+    pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 as body", "2 as name", "3 as _digest", "4 as first_id").repartition(3)
     first, second = through(spark, pages)
-    got = {r["page_id"]: r for r in warc.read_archives(spark, second).collect()}
+    got = {r["page_id"]: r for r in warc.page_records(spark, second, True).collect()}
     assert len(got) == len(rows)
     seen = {}
     for key, _, html in rows:
@@ -35,33 +41,71 @@ def test_archives(spark, tmp_path):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if own == key else ("revisit", own))
         assert r["payload"] == (bytearray(data) if own == key else None)
-    for r in spark.read.parquet(first).collect():
-        assert gzip.decompress(bytes(r["body"])).count(b"WARC/1.1\r\n") >= 1
-    bodies = {r["name"]: bytes(r["body"]) for r in spark.read.parquet(second).collect()}
-    for r in warc.sidecar(spark, second).collect():
-        one = gzip.decompress(bodies[r["name"]][r["offset"] : r["offset"] + r["length"]])
+    listed = warc.archives(spark, first).collect()
+    assert sum(r["records"] for r in listed) == len(rows) and len(listed) > 3
+    for r in listed:
+        assert gzip.decompress(local(first, r["name"])).count(b"WARC/1.1\r\n") == r["records"]
+    places = warc.sidecar(spark, second).collect()
+    assert len(places) == len(rows)
+    for r in places:
+        one = gzip.decompress(local(second, r["name"])[r["offset"] : r["offset"] + r["length"]])
         assert one.startswith(b"WARC/1.1\r\n") and r["record_id"].encode() in one
-    warc.export_files(spark, second, str(tmp_path))
-    assert len(list(tmp_path.glob("*.warc.gz"))) == len(list(tmp_path.glob("*.cdx"))) == len(bodies)
 
 
 def test_records_in_small_pieces(monkeypatch):
     made = [warc.record(k, "http://a/", bytes([k]) * (k * 997), None, False) for k in range(12)]
     for piece in (1, 7, 1000, 1 << 20):
         monkeypatch.setattr(warc, "PIECE", piece)
-        assert list(warc.records(warc.member(b"".join(made)))) == made
-        assert list(warc.records(b"".join(map(warc.member, made)))) == made
+        assert list(warc.records(warc.cut(warc.member(b"".join(made))))) == made
+        assert list(warc.records(warc.cut(b"".join(map(warc.member, made))))) == made
+    whole = warc.member(b"".join(made))
+    for broken in (warc.member(made[3][:-9]), whole[:-5], whole[: len(whole) // 2], warc.member(b"HTTP/1.1 200 OK\r\n\r\n")):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.cut(broken)))
+    # a stream that is cut where a record ends
+    pack = zlib.compressobj(wbits=31)
     with pytest.raises(ValueError):
-        list(warc.records(warc.member(made[3][:-9])))
+        list(warc.records(warc.cut(pack.compress(made[1] + made[2]) + pack.flush(zlib.Z_SYNC_FLUSH))))
+
+
+def test_archives_of_other_tools(spark):
+    """Records of every kind, ids of other forms, records without digest or target, several members."""
+
+    def one(kind, fields, block):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Date: 2020-01-01T00:00:00Z", *fields, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<html>"
+    made = [
+        one("warcinfo", ["WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: some\r\n"),
+        one("request", ["WARC-Record-ID: <urn:uuid:2>", "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"),
+        one("response", ["WARC-Record-ID: <urn:uuid:3>", "WARC-Target-URI: http://a/b\r\n c", "content-type: application/http;msgtype=response"], page),
+        one("response", ["WARC-Record-ID: <urn:uuid:4>", "WARC-Payload-Digest: sha256:abc", "Content-Type: application/http"], page),
+        one("revisit", ["WARC-Record-ID: <urn:uuid:5>", "WARC-Refers-To: <urn:uuid:3>"], b""),
+        one("metadata", ["WARC-Record-ID: <urn:uuid:6>"], b"\xff\x00 anything"),
+    ]
+    source, target = new_path(spark, "foreign"), new_path(spark, "members")
+    os.makedirs(source.removeprefix("file://"))
+    with open(source.removeprefix("file://") + "/x.warc.gz", "wb") as f:
+        f.write(warc.member(b"".join(made[:4])) + warc.member(b"".join(made[4:])))
+    warc.normalise(spark.createDataFrame([("x.warc.gz",)], "name string"), source, target)
+    got = {r["record_id"]: r for r in warc.read_archives(spark, target).collect()}
+    html = base64.b32encode(hashlib.sha1(b"<html>").digest()).decode()
+    assert [got[f"<urn:uuid:{k}>"]["record_type"] for k in range(1, 7)] == ["warcinfo", "request", "response", "response", "revisit", "metadata"]
+    assert (got["<urn:uuid:3>"]["payload"], got["<urn:uuid:3>"]["payload_digest"]) == (bytearray(b"<html>"), html)
+    assert got["<urn:uuid:4>"]["payload_digest"] == "sha256:abc" and got["<urn:uuid:5>"]["refers_to"] == "<urn:uuid:3>"
+    assert got["<urn:uuid:6>"]["payload"] == bytearray(b"\xff\x00 anything") and got["<urn:uuid:1>"]["uri"] is None
+    assert {r["record_id"] for r in warc.sidecar(spark, target).collect()} == set(got)
+    assert warc.page_records(spark, target).count() == 0
 
 
 def test_archive_odd_tables(spark):
     rows = [(1, "u", "same"), (1, "u", "same"), (None, None, "same"), (None, "v", None), (3, "w", "long enough to share")] + [(4, "w", "long enough to share")]
     _, second = through(spark, spark.createDataFrame(rows, PAGES), min_bytes=5)
-    got = sorted((r["page_id"] or 0, r["record_type"]) for r in warc.read_archives(spark, second, False).collect())
+    got = sorted((r["page_id"] or 0, r["record_type"]) for r in warc.page_records(spark, second).collect())
     assert got == [(0, "response"), (0, "response"), (1, "response"), (1, "response"), (3, "response"), (4, "revisit")]
     _, second = through(spark, spark.createDataFrame([], PAGES))
-    assert warc.read_archives(spark, second).count() == 0
+    assert warc.page_records(spark, second).count() == 0
 
 
 def test_components_against_union_find(spark):

@@ -39,8 +39,8 @@ def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     written, normal = new_path(spark, "warc"), new_path(spark, "warc-members")
     warc.write_archives(table(spark, sf_dir, "pages"), written)
-    warc.normalise(spark.read.schema("name string, body binary").parquet(written), normal)
-    return warc.read_archives(spark, normal, with_payload=False)
+    warc.normalise(warc.archives(spark, written), written, normal)
+    return warc.page_records(spark, normal)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def op10_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_multiset_fingerprint, op2_quality_crf, op3_line_edit_join, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op7_warc_normaliser, op8_decontaminate, op9_rans_tokens, op10_cover_anchors)}
-ORACLE = {"op3_line_edit_join": line_join.ORACLE, "op6_minhash_join": minhash_join.ORACLE, "op10_cover_anchors": substring_dedup.ORACLE, "op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+ORACLE = {"op3_line_edit_join": line_join.ORACLE, "op6_minhash_join": minhash_join.ORACLE, "op7_warc_normaliser": warc.ORACLE, "op10_cover_anchors": substring_dedup.ORACLE, "op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
