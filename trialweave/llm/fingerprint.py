@@ -1,8 +1,8 @@
 """Document fingerprints: a homomorphic hash of a document's multiset of paragraphs.
 
 A paragraph is a non-empty line. It hashes to a wide vector with two parts: ``STRONG``
-lanes of 32 bits from the whole paragraph, summed modulo 2**32, and ``SIGNS`` lanes of 16
-bits, summed modulo 2**16, each the sum of signs (+1 or -1) hashed from the paragraph's
+lanes of 32 bits from the whole paragraph, summed modulo 2**32, and ``SIGNS`` lanes, also
+summed modulo 2**32, each the sum of signs (+1 or -1) hashed from the paragraph's
 pieces of up to ``PIECE`` characters. The fingerprint of a document is the sum of its
 paragraphs' vectors. Hence it does not depend on their order; a paragraph is inserted by
 adding its vector (:func:`added`) and deleted by subtracting it (:func:`removed`). Equal
@@ -20,9 +20,10 @@ bucket travels again, to the bucket before.
 
 Edge cases: a null text is empty; an empty text has the zero vector, likeness 1 to another
 empty text and 0 to any other; a lone document is its own next; rows with equal ids follow
-one another in the order of their texts; a row without id comes first; an empty table
-gives no rows; extra columns are not read; widely spread ids make small buckets, which is
-slower, not wrong.
+one another in the order of their texts; rows without id come first, in the order of the first
+10 bits of their texts' hashes, then of their texts (so there are 1,024 buckets of them);
+an empty table gives no rows; extra columns are not read; widely spread ids make small
+buckets, which is slower, not wrong.
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ def vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def _centred(x: Column) -> Column:
-    """Modulo 2**16, from -2**15."""
-    return F.pmod(x + 32768, F.lit(65536)) - 32768
+    """Modulo 2**32, from -2**31."""
+    return F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
 
 
 def added(strong: tuple[Column, Column], signs: tuple[Column, Column]) -> tuple[Column, Column]:
@@ -78,7 +79,7 @@ def removed(strong: tuple[Column, Column], signs: tuple[Column, Column]) -> tupl
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("bigint"), lambda total, x: total + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda total, x: total + x)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -89,7 +90,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(strong: Column, signs: Column) -> Column:
     """A fingerprint as hexadecimal digits, lane by lane."""
-    digits = [F.transform(strong, lambda x: F.lpad(F.hex(x), 8, "0")), F.transform(signs, lambda x: F.lpad(F.hex(F.pmod(x, F.lit(65536))), 4, "0"))]
+    digits = [F.transform(strong, lambda x: F.lpad(F.hex(x), 8, "0")), F.transform(signs, lambda x: F.lpad(F.hex(F.pmod(x, F.lit(1 << 32))), 8, "0"))]
     return F.lower(F.array_join(F.concat(*digits), ""))
 
 
@@ -114,8 +115,9 @@ def following(keys: DataFrame, key: str) -> DataFrame:
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
-    bucket = F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(_FIRST))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", bucket)
+    without_id = F.lit(_FIRST) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 54)
+    bucket = F.coalesce(F.shiftright(F.col("doc_id").cast("bigint"), BUCKET_BITS), without_id)
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), bucket.alias("bucket"))
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     rows = base.select(
         "bucket", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("ahead"), F.lag(F.lit(1)).over(order).isNull().alias("first"), F.lead(F.lit(1)).over(order).isNull().alias("last")
