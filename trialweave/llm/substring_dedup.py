@@ -18,8 +18,8 @@ steps share.
    words that such windows cover are removed.
 
 A bucket sends each hash once, however often it occurs, and no step makes pairs: a passage
-in a third of all documents is one hash of every bucket. Windows are told apart by 64-bit
-hashes (two of n differing windows meet with a chance of n * n / 2**65).
+in a third of all documents is one hash of every bucket. Windows are told apart by two
+64-bit hashes each, made from hashes of their words by different polynomials.
 
 Edge cases: a null or empty text has no words; a text of fewer than 20 words loses
 nothing; rows of one doc_id count in the order of their texts, each as a place of its own;
@@ -41,6 +41,8 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 BUCKET_BITS = 9
+#: Text in one task.
+TASK_BYTES = 16 << 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _FIRST = -(1 << 62)
 
@@ -66,21 +68,45 @@ def _anchors(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at] >> np.uint64(16)
 
 
+#: Two hashes of a window, as one value that numpy sorts.
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def _window_hashes(found: W.Words) -> np.ndarray:
+    out = np.empty(max(0, len(found.hashes) - WINDOW + 1), _PAIR)
+    out["a"] = W.windows(found.hashes, WINDOW)
+    out["b"] = W.windows(W.mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D)), WINDOW, 0x14057B7EF767814F)
+    return out
+
+
 def _pack(values: np.ndarray, width: int) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return values.tobytes() if width == 16 else values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(packed: list, width: int) -> np.ndarray:
     """Values of several packed columns, one after the other."""
+    if width == 16:
+        return np.frombuffer(b"".join(packed), _PAIR)
     raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw
     return out.reshape(-1).view("<u8")
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """As np.lexsort: the last key counts first."""
+    flat = [c for k in keys for c in ((k["b"], k["a"]) if k.dtype == _PAIR else (k,))]
+    return np.lexsort(flat) if len(flat) > 1 else np.argsort(flat[0], kind="stable")
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = values[_order(values)]
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def _by_part(bucket: int | None, values: np.ndarray, parts: int, width: int) -> pa.Table:
     """Sorted distinct values, dealt by value."""
-    part = (W.mix(values) % np.uint64(parts)).astype(np.int64)
+    part = (W.mix(values["a"] if values.dtype == _PAIR else values) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     at, begin = np.unique(part[order], return_index=True)
     packed = [_pack(values[order[a:b]], width) for a, b in zip(begin, [*begin[1:], len(order)][: len(begin)], strict=True)]
@@ -94,7 +120,7 @@ def _shared(earlier_only: bool, width: int):
         packed, buckets = table["packed"].to_pylist(), table["bucket"].to_numpy()
         values = _unpack(packed, width)
         bucket = np.repeat(buckets, [len(x) // width for x in packed])
-        order = np.lexsort((bucket, values))
+        order = _order(bucket, values)
         values, bucket = values[order], bucket[order]
         as_before = np.concatenate([[False], values[1:] == values[:-1]])
         hit = as_before if earlier_only else as_before | np.concatenate([as_before[1:], [False]])
@@ -106,19 +132,27 @@ def _shared(earlier_only: bool, width: int):
     return answer
 
 
-def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values are in another array, by one sort of both."""
+    both = np.concatenate([held, values])
+    mine = np.arange(len(both)) >= len(held)
+    order = _order(mine, both)
+    begins = np.concatenate([[True], both[order][1:] != both[order][:-1]]) if len(both) else np.zeros(0, bool)
+    has = ~mine[order][np.flatnonzero(begins)][np.cumsum(begins) - 1]
+    out = np.empty(len(both), bool)
+    out[order] = has
+    return out[len(held) :]
 
 
 def removed_words(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words, one space between two) for every document."""
-    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
     if parts is None:
-        parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() >> 13)
-    bucket = F.coalesce(F.shiftright(F.col("doc_id"), BUCKET_BITS), F.lit(_FIRST))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("bucket", bucket).repartition("bucket")
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    without_id = F.lit(_FIRST) + F.shiftrightunsigned(F.xxhash64(text), 54)
+    bucket = F.coalesce(F.shiftright(F.col("doc_id").cast("bigint"), BUCKET_BITS), without_id)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", bucket.alias("bucket")).repartition(parts, "bucket")
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         _, data, offsets = _texts(table)
@@ -126,26 +160,27 @@ def removed_words(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     def send_windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table) or not len(answers):
-            return _by_part(None, np.zeros(0, np.uint64), parts, 8)
+            return _by_part(None, np.zeros(0, _PAIR), parts, 16)
         _, data, offsets = _texts(table)
         found = W.words(data, offsets)
         at, anchors = _anchors(found)
         marked = np.zeros(len(found.hashes) + 1, np.int64)
-        marked[at[_among(anchors, np.sort(_unpack(answers["packed"].to_pylist(), 6)))] + 1] = 1
+        marked[at[_among(anchors, _unpack(answers["packed"].to_pylist(), 6))] + 1] = 1
         upto = np.cumsum(marked)
         inside = W.inside_text(found.first, WINDOW)
         start = np.flatnonzero(inside & (upto[PERIOD : PERIOD + len(inside)] > upto[: len(inside)]))
-        return _by_part(key[0].as_py(), np.unique(W.windows(found.hashes, WINDOW)[start]), parts, 8)
+        return _by_part(key[0].as_py(), _distinct(_window_hashes(found)[start]), parts, 16)
 
     def remove(_key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         order, data, offsets = _texts(table)
         found = W.words(data, offsets)
         start = np.flatnonzero(W.inside_text(found.first, WINDOW))
-        hashes = W.windows(found.hashes, WINDOW)[start]
-        again = np.ones(len(start), bool)
-        again[np.unique(hashes, return_index=True)[1]] = False
+        hashes = _window_hashes(found)[start]
+        order_of = _order(np.arange(len(start)), hashes)
+        again = np.zeros(len(start), bool)
+        again[order_of[1:]] = hashes[order_of][1:] == hashes[order_of][:-1]
         if len(answers):
-            again |= _among(hashes, np.sort(_unpack(answers["packed"].to_pylist(), 8)))
+            again |= _among(hashes, _unpack(answers["packed"].to_pylist(), 16))
         change = np.zeros(len(found.hashes) + 1, np.int32)
         np.add.at(change, start[again], 1)
         np.add.at(change, start[again] + WINDOW, -1)
@@ -162,7 +197,7 @@ def removed_words(docs: DataFrame, parts: int | None = None) -> DataFrame:
     sent, answer = "part bigint, bucket bigint, packed binary", "bucket bigint, packed binary"
     anchors = texts.groupBy("bucket").applyInArrow(send_anchors, sent).groupBy("part").applyInArrow(_shared(False, 6), answer)
     windows = texts.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(send_windows, sent)
-    earlier = windows.groupBy("part").applyInArrow(_shared(True, 8), answer)
+    earlier = windows.groupBy("part").applyInArrow(_shared(True, 16), answer)
     held = texts.groupBy("bucket").cogroup(earlier.groupBy("bucket"))
     return held.applyInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
