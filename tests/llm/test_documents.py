@@ -192,6 +192,49 @@ def test_chain_against_enumeration():
     assert np.allclose(pair, pairs)
 
 
+def test_objective_falls_along_its_gradient():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    size = r.integers(1, 6, 12)
+    first, label = np.concatenate([[0], np.cumsum(size)]), r.integers(0, 2, 12)
+    x = r.normal(size=(first[-1], 4))
+    parts = [r.normal(size=4), r.normal(size=1), r.normal(size=(2, 2))]
+    loss, gradient = quality_crf.objective(x, first, label, *parts, 0.01)
+    for k, part in enumerate(parts):
+        for at in np.ndindex(part.shape):
+            moved = [p.copy() for p in parts]
+            moved[k][at] += 1e-6
+            assert abs((quality_crf.objective(x, first, label, *moved, 0.01)[0] - loss) / 1e-6 - gradient[k][at]) < 1e-4
+    losses = [loss]
+
+    def step():
+        found = quality_crf.objective(x, first, label, *parts, 0.01)
+        losses.append(found[0])
+        return found[1]
+
+    quality_crf._adam(parts, step, 200, 0.05)
+    assert losses[-1] < losses[0] / 2 and losses[-1] < losses[50]
+
+
+def test_quality_sample_is_bounded_in_lines(graded):
+    docs, labels, truth = graded
+    got = quality_crf.score_documents(docs, labels, sample_lines=40).collect()
+    assert len(got) == len(truth)
+    assert {r["score"] for r in quality_crf.score_documents(docs, labels, sample_lines=0).collect()} == {0.5}
+
+
+def test_features_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", "one\n", "\n\n", "a, b. C!\n" * 30, "x" * 500 + "\n\tq", None, "é\n1"]
+    whole = quality_crf.features(*quality_crf.W.strings(pa.array(texts)))
+    monkeypatch.setattr(quality_crf.W, "PIECE", 7)
+    for a, b in zip(whole, quality_crf.features(*quality_crf.W.strings(pa.array(texts))), strict=True):
+        assert np.allclose(a, b)
+
+
 # 3
 
 

@@ -8,9 +8,12 @@ weighted by line length, is the document's quality, put on the scale of the labe
 logistic curve of two parameters.
 
 The model is fitted on a bounded sample: at most ``sample_docs`` labelled documents of at
-most ``sample_bytes`` bytes each, those with the smallest hashes of their ids, and never
-one of the held-out fold (crc32 of the id as text, modulo 4, is 2). A line of a sampled
-document takes the document's label. Scoring covers every line of every document, in the
+most ``sample_bytes`` bytes each, those with the smallest hashes of their ids, as far as
+they have at most ``sample_lines`` lines in all, and never one of the held-out fold (crc32
+of the id as text, modulo 4, is 2). Emissions and transitions maximise one likelihood, in
+which both labels weigh alike and the lines of a document share its weight. A line of a
+sampled document takes the document's label, as no line has one of its own: so the chain
+learns how strongly neighbours agree, not where quality changes within a document. Scoring covers every line of every document, in the
 tasks that read them: there is no shuffle.
 
 Edge cases: a null or empty text is one empty line and gets a score; labels that are null
@@ -26,13 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.llm import words as W
 
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 32 << 10
+SAMPLE_LINES = 200_000
 THRESHOLD = 0.7
 
 _GROUPS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".", b",", b"|", b"#", b"%", b"&", b"*", b"$", b"()[]{}<>", b"=;/\\", b"@:_-+", b"!?'\"`~^")
@@ -61,11 +65,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, first = lines(data, offsets)
     n = len(starts)
     length = ends - starts
-    line_of = np.repeat(np.arange(n), length)
-    inside = np.repeat(starts - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(len(line_of))
-    kinds = _CLASS[data[inside]]
     own = np.zeros((n, OWN), np.float32)
-    own[:, :_CLASSES] = np.bincount(line_of * _CLASSES + kinds, minlength=n * _CLASSES).reshape(n, _CLASSES) / np.maximum(length, 1)[:, None]
+    for lo in range(0, len(data), W.PIECE):  # arrays of 8 bytes a byte are made for a piece only
+        place = np.arange(lo, min(lo + W.PIECE, len(data)))
+        line = np.searchsorted(starts, place, "right") - 1
+        line, kinds = line[place < ends[line]], _CLASS[data[place[place < ends[line]]]]
+        if len(line):
+            a, many = line[0], line[-1] - line[0] + 1
+            own[a : a + many, :_CLASSES] += np.bincount((line - a) * _CLASSES + kinds, minlength=many * _CLASSES).reshape(many, _CLASSES)
+    own[:, :_CLASSES] /= np.maximum(length, 1)[:, None]
     found = W.words(data, offsets)
     word_line = np.searchsorted(starts, found.starts, "right") - 1
     n_words = np.bincount(word_line, minlength=n)
@@ -99,11 +107,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return full, length, first
 
 
-def chain(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chain(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over chains side by side.
 
     ``emission``: log-odds of good for each line; ``transition``: scores [from, to], 1 is good.
-    Returns each line's probability of good, the expected number of each transition and log Z of each chain.
+    Returns each line's probability of good, the expected number of each transition (each to a line counts by its ``weight``) and log Z of each chain.
     """
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
@@ -126,7 +134,8 @@ def chain(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tu
     inner = np.ones(len(emission), bool)
     inner[first[:-1]] = False
     to = np.flatnonzero(inner)
-    pair = np.exp(alpha[to - 1, :, None] + transition + (score[to] + beta[to])[:, None, :] - z[to, None, None]).sum(0)
+    pair = np.exp(alpha[to - 1, :, None] + transition + (score[to] + beta[to])[:, None, :] - z[to, None, None])
+    pair = pair.sum(0) if weight is None else np.tensordot(weight[to], pair, 1)
     return np.clip(good, 0, 1), pair, log_z
 
 
@@ -166,24 +175,30 @@ def _adam(parts: list[np.ndarray], gradient, steps: int, rate: float) -> None:
             x -= rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8)
 
 
+def objective(x: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray, bias: np.ndarray, transition: np.ndarray, penalty: float) -> tuple[float, list[np.ndarray]]:
+    """Minus the weighted log-likelihood of the label sequences, with a ridge on all but the bias, and its gradient."""
+    size = np.diff(first)
+    # both classes weigh alike; a document's lines share its weight
+    by_doc = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) / len(label) / size
+    by_line, y = np.repeat(by_doc, size), np.repeat(label, size).astype(float)
+    emission = (x @ weight + bias[0]).astype(float)
+    good, pair, log_z = chain(emission, first, transition, by_line)
+    stays = np.array([[np.sum(by_doc * (size - 1) * (label == k)) if j == k else 0.0 for j in (0, 1)] for k in (0, 1)])
+    loss = by_doc @ log_z - by_line @ (emission * y) - (stays * transition).sum() + penalty / 2 * (weight @ weight + (transition**2).sum())
+    off = (good - y) * by_line
+    return float(loss), [off @ x + penalty * weight, np.array([off.sum()]), pair - stays + penalty * transition]
+
+
 def fit(full: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 80, penalty: float = 1e-3) -> Model:
-    """Maximum likelihood of the line labels, each document with the weight of one; then the logistic curve of the mean."""
+    """The chain of the greatest likelihood, then the logistic curve of the documents' means."""
     if len(label) == 0 or label.min() == label.max():
         return Model(*[np.zeros(0)] * 3, 0.0, np.zeros((2, 2)), constant=float(label.mean()) if len(label) else 0.5)
     mean, scale = full.mean(0), full.std(0) + 1e-3
     x = ((full - mean) / scale).astype(np.float32)
-    size = np.diff(first)
-    # both classes weigh alike; a document's lines share its weight
-    by_doc = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) / len(label)
-    line_weight = np.repeat(by_doc / size, size)
-    y = np.repeat(label, size).astype(float)
     weight, bias, transition = np.zeros(x.shape[1]), np.zeros(1), np.zeros((2, 2))
-    stays = np.array([[np.sum((size - 1) * (label == k)) if j == k else 0 for j in (0, 1)] for k in (0, 1)], float)
 
     def gradient() -> list[np.ndarray]:
-        good, pair, _ = chain(x @ weight + bias[0], first, transition)
-        off = (good - y) * line_weight
-        return [off @ x + penalty * weight, np.array([off.sum()]), (pair - stays) / max(1, len(y)) + 0.1 * transition]
+        return objective(x, first, label, weight, bias, transition, penalty)[1]
 
     _adam([weight, bias, transition], gradient, steps, 0.08)
     model = Model(mean, scale, weight.astype(np.float32), float(bias[0]), transition)
@@ -204,11 +219,14 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, sample_lines: int = SAMPLE_LINES) -> Model:
     """Fit on the sample; the driver gets the features of its lines only."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))  # sample_docs rows
     texts = docs.select("doc_id", "text").join(sample, "doc_id").where(F.octet_length(F.coalesce("text", F.lit(""))) <= sample_bytes)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # of sample_docs ids
+    lines_of = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    texts = texts.withColumn("_lines", F.sum(lines_of).over(order)).where(F.col("_lines") <= sample_lines).drop("_lines")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
