@@ -30,6 +30,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_column(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns: extra columns of any name, also ones that clash with an operator's own, go no further."""
-    return df.select(*columns)
+def discard(df: DataFrame) -> None:
+    """Delete the table that :func:`materialize` wrote for ``df``, when nothing will read it again."""
+    jvm = df.sparkSession._jvm
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if folder.startswith(shared_folder(df.sparkSession)):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
