@@ -40,3 +40,19 @@ def test_entry_module(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_core_queries_stand_alone(monkeypatch):
+    """Whatever of the training-data operators cannot be imported, the core queries are there."""
+    import importlib
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in [n for n in sys.modules if n.startswith("trialweave.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "trialweave.llm", None)
+    with pytest.warns(UserWarning):
+        assert set(importlib.reload(e).queries()) == set(catalog.QUERIES)
+    with pytest.warns(UserWarning):
+        assert set(e.oracle_sql()) == set(catalog.ORACLE)
