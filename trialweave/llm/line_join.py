@@ -86,8 +86,11 @@ def slots(residue: int, edits: int) -> tuple[list[tuple[int, int, int]], dict[tu
     return own, probed
 
 
-def _entries(edits: int, posted: bool, places: bool) -> Column:
-    """Array of keys (with ``places``: structs of key, at and size) of ``rest`` (n characters, also as ``bytes``) under ``prefix``; some are null."""
+def _entries(edits: int, probes: bool, places: bool) -> Column:
+    """Array of keys (with ``places``: structs of key, at and size) of ``rest`` (n characters, also as ``bytes``) under ``prefix``.
+
+    The text's own keys come first, ``edits + 1`` of them, or one for a text without segments; with ``probes`` then the others, of which some are null.
+    """
     parts = edits + 1
 
     def entry(number: int, at: str, size: str) -> str:
@@ -100,32 +103,25 @@ def _entries(edits: int, posted: bool, places: bool) -> Column:
     cases = []
     for residue in range(parts):
         own, probed = slots(residue, edits)
-        exprs = []
-        for (i, at, size), least in [(x, 0) for x in own] if posted else probed.items():
-            made = entry(i, f"(n div {parts}) * {i - 1} + {at}", f"(n div {parts}) + {size}")
-            exprs.append(made if posted else f"if(n >= {parts + least}, {made}, null)")
-        if not posted:
+        place = lambda i, at, size: entry(i, f"(n div {parts}) * {i - 1} + {at}", f"(n div {parts}) + {size}")
+        exprs = [place(*slot) for slot in own]
+        if probes:
+            exprs += [f"if(n >= {parts + least}, {place(*slot)}, null)" for slot, least in probed.items()]
             exprs.append(f"if(n <= {2 * edits}, {everything}, null)")
         cases.append(f"when {residue} then array({', '.join(exprs)})")
-    short = f"array({everything})" if posted else f"array(cast(null as {'struct<key:bigint,at:int,size:int>' if places else 'bigint'}))"
-    return F.expr(f"if(n <= {edits}, {short}, case n % {parts} {' '.join(cases)} end)")
+    return F.expr(f"if(n <= {edits}, array({everything}), case n % {parts} {' '.join(cases)} end)")
 
 
 def _flat(texts: DataFrame) -> DataFrame:
     return texts.withColumn("n", F.length("rest")).withColumn("bytes", F.col("rest").cast("binary"))
 
 
-def _keys(texts: DataFrame, edits: int, posted: bool, *more: str) -> DataFrame:
-    """key, id, n (and ``more``) of each posting or probe."""
-    return _flat(texts).select(F.explode(_entries(edits, posted, False)).alias("key"), "id", "n", *more).where("key is not null")
-
-
 def _hot(texts: DataFrame, edits: int, most: int) -> DataFrame:
     """Keys with more than ``most`` postings of different texts, but for those of texts without segments: near texts all.
 
     ``texts`` may have copies: only keys that are frequent with them are counted without.
     """
-    postings = _flat(texts).where(F.col("n") > edits).select(F.explode(_entries(edits, True, False)).alias("key"), "id")
+    postings = _flat(texts).where(F.col("n") > edits).select(F.explode(_entries(edits, False, False)).alias("key"), "id")
     often = materialize(postings.groupBy("key").count().where(F.col("count") > most).select("key"), "line-often")
     if often.isEmpty():
         return often
@@ -135,10 +131,9 @@ def _hot(texts: DataFrame, edits: int, most: int) -> DataFrame:
 
 def _rests(texts: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
     """id, prefix (the hot key) and rest of the texts that have a key in ``hot``, less the begin and end that all rests of the key have."""
-    flat = _flat(texts)
-    every = [flat.select("id", "prefix", F.xxhash64("rest").alias("form"), F.explode(_entries(edits, posted, True)).alias("e")).where("e is not null") for posted in (True, False)]
+    every = _flat(texts).select("id", "prefix", F.xxhash64("rest").alias("form"), F.explode(_entries(edits, True, True)).alias("e")).where("e is not null")
     # narrow rows first: texts travel only for what has such a key
-    held = materialize(every[0].union(every[1]).select("id", "prefix", "form", "e.*").join(hot, "key").distinct(), "line-hot")
+    held = materialize(every.select("id", "prefix", "form", "e.*").join(hot, "key").distinct(), "line-hot")
     own = texts.withColumn("form", F.xxhash64("rest"))
     rest = F.expr("concat(substring(rest, 1, at - 1), substring(rest, at + size))")
     joined = materialize(held.join(own, ["id", "prefix", "form"]).select("id", "key", rest.alias("rest")).distinct(), "line-rests")
@@ -243,15 +238,18 @@ def _meet(texts: DataFrame, hot: DataFrame | None, edits: int, verify: bool = Fa
     more = ["rest", "letters"] * verify
     if verify:
         texts = texts.withColumn("letters", letter_counts("rest"))
-    posted, probing = _keys(texts, edits, True, *more), _keys(texts, edits, False, *more)
+    flat = _flat(texts)
+    held = flat.select(F.explode(_entries(edits, False, False)).alias("key"), F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in more])
     if hot is not None:
-        posted = posted.join(hot, "key", "left_anti")
-    mine, other = posted.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in more]), F.col("id")
-    probed = mine.join(probing, "key").where((F.col("a") != other) & (F.col("n") - F.col("n_a")).between(0, edits))
-    twice = mine.join(posted, "key").where((F.col("a") < other) & (F.abs(F.col("n") - F.col("n_a")) <= edits))
+        held = held.join(hot, "key", "left_anti")
+    asked = flat.select(F.posexplode(_entries(edits, True, False)).alias("at", "key"), F.col("id").alias("b"), F.col("n"), *more).where("key is not null")
+    own = F.col("at") < F.when(F.col("n") <= edits, 1).otherwise(edits + 1)
+    gap = F.col("n") - F.col("n_a")
+    # of two texts that are posted, each meets the other
+    met = held.join(asked, "key").where((F.col("a") != F.col("b")) & (gap <= edits) & F.when(own, (gap >= -edits) & (F.col("a") < F.col("b"))).otherwise(gap >= 0))
     if verify:
-        probed, twice = (x.where(may_be_near(F.col("letters_a"), F.col("letters"), edits) & _near("rest_a", "rest", edits)) for x in (probed, twice))
-    return probed.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).union(twice.select("a", F.col("id").alias("b")))
+        met = met.where(may_be_near(F.col("letters_a"), F.col("letters"), edits) & _near("rest_a", "rest", edits))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _near(a: str, b: str, edits: int) -> Column:
