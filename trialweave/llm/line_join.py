@@ -48,7 +48,7 @@ from trialweave.llm.scratch import materialize
 EDITS = 2
 MIN_CHARS = 20
 #: Lines that may meet all others of a key; with more, their rests are joined.
-LIST = 64
+LIST = 128
 #: Letters whose counts tell most texts apart before they are verified, common ones in several languages.
 LETTERS = "eanirtsohd"
 
