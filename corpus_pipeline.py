@@ -1,4 +1,9 @@
-"""From raw documents to training shards: five stages, each a table that the next one reads."""
+"""From raw documents to training shards: five stages, each a table that the next one reads.
+
+All stages take any rows: nulls in every column, empty and very long texts, repeated rows
+and ids, extra columns (which go no further), and empty tables, which give empty ones. What
+becomes of such rows is told with each stage.
+"""
 
 from __future__ import annotations
 
@@ -20,27 +25,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the line model scores under the threshold."""
+    """Rejects documents that the line model scores under the threshold.
+
+    A null text is scored as an empty one. Repeated rows have equal scores, so all go or all stay. Without usable labels the score is 0.5, under the threshold.
+    """
     return quality_crf.keep_good(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, that with the smallest id.
+
+    Null and empty texts are near nothing and stay, once for each id. Of rows that repeat id and text one stays; different texts of an id are documents of their own. A row without id always stays.
+    """
     return minhash_join.deduplicate(docs.select(*COLUMNS), NEAR_PERCENT)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents in which a benchmark passage occurs."""
+    """Removes documents in which a benchmark passage occurs.
+
+    Null and empty texts are clean. Each row is judged alone, so repeated rows all go or all stay.
+    """
     return decontaminate.decontaminate(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents, some of them twice, so that domains, languages and sources come to their weights."""
+    """Takes documents, some of them twice, so that domains, languages and sources come to their weights.
+
+    A null language or source is a value of its own. Texts without words cost nothing of a budget and come with the prefix they fall in. Rows of one id are taken together or not at all.
+    """
     return mixing.mix(docs.select(*COLUMNS), share=MIX_SHARE, max_epochs=MIX_EPOCHS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals the rows into shards of near equal bytes."""
+    """Deals the rows into shards of near equal bytes.
+
+    A null text has size 1. Rows without id share one slot; repeated rows have a place each.
+    """
     return slots.shard(docs.select(*COLUMNS))
 
 
