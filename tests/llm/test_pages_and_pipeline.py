@@ -171,3 +171,30 @@ def test_near_dedup_stage_takes_likeness_of_80(spark):
     docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = {r["doc_id"] for r in p.near_dedup(spark, docs, "").collect()}
     assert left == {k for k, _ in rows} - gone
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty, long and repeated rows, clashing names, an empty table: what the docstrings say."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    long = " ".join(f"Word{k} of a very long text." for k in range(40_000))
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, text, "en", "s1", 9), (1, text, "en", "s1", 9), (2, text, None, None, None), (3, None, "en", "s1", None), (4, "", "en", None, 0), (5, long, "de", "s2", 9), (None, text, "en", "s1", 9), (None, None, None, None, None), (6, "x", "en", "s1", 1), (6, "y", "en", "s1", 1)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    names = ("score", "_quality_score", "_n_words", "_hits", "_mix_times", "_node", "_id", "component", "shard", "slot")
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", *[f"'other' as {n}" for n in names])
+    got = {}
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, sf)
+        assert name == p.STAGES[-1][0] or out.columns == list(p.COLUMNS)
+        got[name] = out.collect()
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    ids = {name: sorted(str(r["doc_id"]) for r in out) for name, out in got.items()}
+    kept = [[r["doc_id"] for r in got["quality"]].count(k) for k in (1,)]
+    assert kept[0] in (0, 2)  # repeated rows all go or all stay
+    assert ids["near_dedup"] == ["1", "3", "4", "5", "6", "6", "None", "None"]
+    assert ids["clean_of_benchmark"] == sorted(str(r[0]) for r in rows)
+    assert ids["mixture"].count("1") in (0, 2, 4)
+    assert ids["sharding"] == sorted(str(r[0]) for r in rows)
+    assert {r["size"] for r in got["sharding"] if r["doc_id"] in (3, 4)} == {1}
