@@ -62,9 +62,10 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Population variance, deviation and excess kurtosis; quartiles with linear interpolation."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.var_pop(value).alias("variance"), F.stddev_pop(value).alias("deviation"), F.kurtosis(value).alias("kurtosis"), F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.75)).alias("q75")
-    )
+    from trialweave.operators.ordered import quantiles, same
+
+    m = df.groupBy(*keys).agg(F.count(value).alias("n"), F.var_pop(value).alias("variance"), F.stddev_pop(value).alias("deviation"), F.kurtosis(value).alias("kurtosis"))
+    return same(m, quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}), keys, "left")
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 20, low: float = 0.0, high: float = 1.0) -> DataFrame:

@@ -55,25 +55,81 @@ def bh_within(df: DataFrame, keys: list[str], p: str, tie: str, name: str = "q")
     return raw.withColumn(name, F.when(valid, F.greatest(F.lit(0.0), F.least(F.lit(1.0), least)))).drop("_raw")
 
 
-def bh(df: DataFrame, p: str, name: str = "q", bins: int = 4096) -> DataFrame:
-    """Benjamini-Hochberg q over all rows, without one window over them.
+def same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of one name in which NULL equals NULL; the right ones go."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    match = F.lit(True)
+    for c in on:
+        match = match & left[c].eqNullSafe(named[f"_r_{c}"])
+    return left.join(named, match, how).drop(*[f"_r_{c}" for c in on])
+
+
+def bucketed(df: DataFrame, x: str, parts: int = 32) -> DataFrame:
+    """Adds _bucket, which never falls as x grows: ``parts`` ** 2 ranges between approximate quantiles, so no range holds much more than its share of the rows."""
+    n = parts * parts
+    cuts = df.agg(F.percentile_approx(x, [k / n for k in range(1, n)], 4 * n).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _c, i: (i + 1) % parts == 0))
+    b = df.crossJoin(F.broadcast(cuts))  # one row of n numbers
+    b = b.withColumn("_at", F.size(F.filter("_coarse", lambda c: c < F.col(x))))
+    fine = F.size(F.filter(F.slice("_cuts", F.col("_at") * parts + 1, F.lit(parts - 1)), lambda c: c < F.col(x)))
+    return b.withColumn("_bucket", F.col("_at") * parts + fine).drop("_cuts", "_coarse", "_at")
+
+
+def running(values: DataFrame, keys: list[str], x: str, counts: list[str]) -> DataFrame:
+    """For one row of each keys and x: {count}_upto, the sum of counts up to x, {count}_all, that of all x, and _bucket.
+
+    Only sums of buckets are ordered as a whole, so no task holds a group.
+    """
+    b = bucketed(values, x)
+    per = b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_in{k}") for k, c in enumerate(counts)])
+    whole, own = Window.partitionBy(*keys), Window.partitionBy(*keys, "_bucket").orderBy(x)
+    before = [(F.sum(f"_in{k}").over(whole.orderBy("_bucket")) - F.col(f"_in{k}")).alias(f"_before{k}") for k in range(len(counts))]
+    total = [F.sum(f"_in{k}").over(whole).alias(f"{c}_all") for k, c in enumerate(counts)]
+    j = same(b, per.select(*keys, "_bucket", *before, *total), [*keys, "_bucket"])
+    for k, c in enumerate(counts):
+        j = j.withColumn(f"{c}_upto", F.col(f"_before{k}") + F.sum(c).over(own)).drop(f"_before{k}")
+    return j
+
+
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles by linear interpolation within keys, a column for each name; NULL and NaN are left out."""
+    values = df.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*keys, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    r = running(values, keys, "_x", ["_n"])
+
+    def at(share: float) -> Column:
+        place = (F.col("_n_all") - 1) * F.lit(share)
+        low = F.min(F.when(F.col("_n_upto") > F.floor(place), F.col("_x")))
+        high = F.min(F.when(F.col("_n_upto") > F.ceil(place), F.col("_x")))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return r.groupBy(*keys).agg(*[at(share).alias(name) for name, share in shares.items()])
+
+
+def digest_rank(df: DataFrame, keys: list[str], digest: str, tie: str, name: str, digits: int = 2) -> DataFrame:
+    """Row number within keys in the order of a column of hex digests; windows hold the rows of one prefix of the digest."""
+    b = df.withColumn("_bucket", F.substring(digest, 1, digits))
+    per = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
+    before = per.select(*keys, "_bucket", (F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_in")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(digest, tie))
+    return same(b.withColumn(name, own), before, [*keys, "_bucket"]).withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_before")
+
+
+def bh(df: DataFrame, p: str, name: str = "q", keys: list[str] | None = None) -> DataFrame:
+    """Benjamini-Hochberg q within keys (over all rows without any), without one window over a group.
 
     q of a value is the least p * m / (number of values up to p) from there on. Equal p
-    are one row first; ``bins`` ranges of p carry counts and minima over, so only these
-    are ordered as a whole.
+    are one row first; counts and minima of ranges of p are carried over, so only these
+    are ordered as a whole. NULL and NaN have no q.
     """
-    values = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    values = values.withColumn("_bin", F.least(F.floor(F.col("_p") * bins), F.lit(bins - 1)))
-    all_bins, inner = Window.orderBy("_bin"), Window.partitionBy("_bin")
-    upto = values.groupBy("_bin").agg(F.sum("_n").alias("_in"))
-    upto = upto.select("_bin", (F.sum("_in").over(all_bins) - F.col("_in")).alias("_before"), F.sum("_in").over(all_bins.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_m"))
-    ranked = values.join(F.broadcast(upto), "_bin")  # at most ``bins`` rows
-    ranked = ranked.withColumn("_raw", F.col("_p") * F.col("_m") / (F.col("_before") + F.sum("_n").over(inner.orderBy("_p"))))
-    low = ranked.groupBy("_bin").agg(F.min("_raw").alias("_low"))
-    later = low.select("_bin", F.min("_low").over(Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
-    within = F.min("_raw").over(inner.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    q = ranked.withColumn("_own", within).join(F.broadcast(later), "_bin").select("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_own", "_later")).alias(name))
-    return df.join(q, df[p] == q["_p"], "left").drop("_p")
+    keys = keys or []
+    values = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(values, keys, "_p", ["_n"]).withColumn("_raw", F.col("_p") * F.col("_n_all") / F.col("_n_upto"))
+    low = ranked.groupBy(*keys, "_bucket").agg(F.min("_raw").alias("_low"))
+    after = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = low.select(*keys, "_bucket", F.min("_low").over(after).alias("_later"))
+    within = F.min("_raw").over(Window.partitionBy(*keys, "_bucket").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    q = same(ranked.withColumn("_own", within), later, [*keys, "_bucket"]).select(*keys, "_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_own", "_later")).alias(name))
+    return same(df.withColumn("_p", F.col(p)), q, [*keys, "_p"], "left").drop("_p")
 
 
 def bh_reject(df: DataFrame, p: str, alpha: float = 0.05, name: str = "rejected") -> DataFrame:

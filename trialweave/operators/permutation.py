@@ -1,7 +1,7 @@
 """Permutation nulls from keyed hashes: the same draw on any cluster, and in any engine that has md5.
 
 Permutation k orders subjects by the md5 of "k-subject"; the subject at rank r gets the
-label of the subject whose base rank is r. Signs follow from the first digit of the md5.
+label of the subject whose rank in permutation 0 is r. Signs follow from the first digit of the md5.
 Draws are made by exploding subjects, one row for each permutation, and only counts and
 moments of the null are kept.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.operators.ordered import digest_rank, same
+
 
 def draw_key(perm: str, subject: str) -> Column:
     return F.md5(F.concat(F.col(perm).cast("string"), F.lit("-"), F.col(subject).cast("string")))
@@ -39,12 +41,19 @@ def _exceed(null: DataFrame, observed: DataFrame, keys: list[str], n_perm: int,
 
 
 def relabelled(df: DataFrame, subject: str, label: str, n_perm: int, arms: list[str] | None = None) -> DataFrame:
-    """perm_id, subject and permuted label, shuffled within arms; one row of ``df`` for each subject."""
+    """perm_id, subject and permuted label, shuffled within arms; one row of ``df`` for each subject.
+
+    Draw 0 says whose label a rank gets. Ranks go by prefixes of the md5, so no task holds an arm.
+    """
     arms = arms or []
-    base = df.select(*arms, subject, label).withColumn("_rank", F.row_number().over(Window.partitionBy(*arms).orderBy(subject)))
-    drawn = draws(base.select(*arms, subject), n_perm)
-    drawn = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy("perm_id", *arms).orderBy(draw_key("perm_id", subject), subject)))
-    return drawn.join(base.select(*arms, "_rank", F.col(label).alias("_label")), [*arms, "_rank"]).select("perm_id", subject, *arms, F.col("_label").alias(label))
+    people = df.select(*arms, subject, label)
+
+    def place(first: int, last: int) -> DataFrame:
+        drawn = people.withColumn("perm_id", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("_key", draw_key("perm_id", subject))
+        return digest_rank(drawn, ["perm_id", *arms], "_key", subject, "_rank").drop("_key")
+
+    base = place(0, 0).select(*arms, "_rank", F.col(label).alias("_label"))
+    return same(place(1, n_perm).drop(label), base, [*arms, "_rank"]).select("perm_id", subject, *arms, F.col("_label").alias(label))
 
 
 def group_difference(df: DataFrame, keys: list[str], subject: str, label: str, a: str, b: str, x: str, n_perm: int, tail: str = "two") -> DataFrame:

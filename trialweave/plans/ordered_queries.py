@@ -141,7 +141,7 @@ q AS (SELECT roi, feature_id, least(1.0, min(p * m / k) OVER (PARTITION BY roi O
 SELECT roi, feature_id, round(q, 9) AS q, q <= 0.05 AS rejected FROM q""")
 def fdr_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.features(spark, sf_dir).withColumn("p", (F.col("feature_id") * 7919 % 100003).cast("double") / 100003)
-    q = ordered.bh_within(p, ["roi"], "p", "feature_id")
+    q = ordered.bh(p, "p", keys=["roi"])
     return q.select("roi", "feature_id", F.round("q", 9).alias("q"), (F.col("q") <= 0.05).alias("rejected"))
 
 
@@ -162,7 +162,7 @@ SELECT roi, CAST(sum(CASE WHEN weight >= cut AND weight > 0 THEN 1 ELSE 0 END) A
 def percentile_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features at or over the 95th percentile, counted by region."""
     f = A.features(spark, sf_dir)
-    cut = f.agg(F.percentile("weight", F.lit(0.95)).alias("cut"))
+    cut = ordered.quantiles(f, [], "weight", {"cut": 0.95})
     sel = f.crossJoin(F.broadcast(cut)).withColumn("sel", F.when((F.col("weight") >= F.col("cut")) & (F.col("weight") > 0), 1).otherwise(0))
     return sel.groupBy("roi").agg(F.sum("sel").alias("n_selected"), (100 * F.avg("sel")).alias("percent")).select("roi", "n_selected", *r6("percent"))
 
@@ -190,15 +190,6 @@ def missing_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(A.table(spark, sf_dir, "orders"), F.col("subject") == F.col("o_custkey"), "left_anti")
 
 
-@query(f"""WITH {SCORES}, s AS (SELECT subject, condition, avg(score) AS m FROM scores GROUP BY ALL), g AS (SELECT *, {A.group_sql('subject')} FROM s)
-SELECT condition, round(avg(CASE WHEN grp = 'G1' THEN m END) - avg(CASE WHEN grp = 'G2' THEN m END), 6) AS difference,
- round((avg(CASE WHEN grp = 'G1' THEN m END) - avg(CASE WHEN grp = 'G2' THEN m END)) / sqrt(var_samp(CASE WHEN grp = 'G1' THEN m END) / count(CASE WHEN grp = 'G1' THEN m END) + var_samp(CASE WHEN grp = 'G2' THEN m END) / count(CASE WHEN grp = 'G2' THEN m END)), 6) AS t,
- round((avg(CASE WHEN grp = 'G1' THEN m END) - avg(CASE WHEN grp = 'G2' THEN m END)) / sqrt((var_samp(CASE WHEN grp = 'G1' THEN m END) + var_samp(CASE WHEN grp = 'G2' THEN m END)) / 2), 6) AS cohen_d FROM g GROUP BY condition""")
-def welch_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _subject_means(spark, sf_dir)
-    return inference.welch_t(s, ["condition"], "grp", "G1", "G2", "m").select("condition", *r6("difference", "t", "cohen_d"))
-
-
 def _subject_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.scores(spark, sf_dir).groupBy(*KEYS).agg(F.avg("score").alias("m")).select("*", *A.groups())
 
@@ -206,36 +197,49 @@ def _subject_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEANS = f"WITH {SCORES}, s AS (SELECT subject, condition, avg(score) AS m FROM scores GROUP BY ALL), g AS (SELECT *, {A.group_sql('subject')} FROM s)"
 
 
-@query(_MEANS + """, a AS (SELECT condition, avg(m) FILTER (grp = 'G1') AS ma, avg(m) FILTER (grp = 'G2') AS mb, var_samp(m) FILTER (grp = 'G1') AS va, var_samp(m) FILTER (grp = 'G2') AS vb, count(m) FILTER (grp = 'G1') AS na, count(m) FILTER (grp = 'G2') AS nb FROM g GROUP BY condition),
-p AS (SELECT *, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS v FROM a) SELECT condition, round(ma - mb, 6) AS difference, round((ma - mb) / sqrt(v * (1.0 / na + 1.0 / nb)), 6) AS t, round((ma - mb) / sqrt(v), 6) AS cohen_d, CAST(na + nb - 2 AS BIGINT) AS df FROM p""")
+_ARMS = "a AS (SELECT condition, avg(m) FILTER (grp = 'G1') AS ma, avg(m) FILTER (grp = 'G2') AS mb, var_samp(m) FILTER (grp = 'G1') AS va, var_samp(m) FILTER (grp = 'G2') AS vb, count(m) FILTER (grp = 'G1') AS na, count(m) FILTER (grp = 'G2') AS nb FROM g GROUP BY condition)"
+
+
+@query(_MEANS + f""", {_ARMS}, w AS (SELECT condition, ma - mb AS difference, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS free, (ma - mb) / sqrt((va + vb) / 2) AS cohen_d FROM a),
+tested AS (SELECT *, {A.p_sql('t', 'free')} AS p FROM w), {A.q_sql('tested', '', 'condition')}
+SELECT condition, round(difference, 6) AS difference, round(t, 6) AS t, round(free, 5) AS df, round(cohen_d, 6) AS cohen_d, round(p, 6) AS p, round(q, 6) AS q FROM with_q""")
+def welch_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Welch's t of the groups in each condition, q over conditions."""
+    w = inference.welch_t(_subject_means(spark, sf_dir), ["condition"], "grp", "G1", "G2", "m")
+    return ordered.bh(w, "p").select("condition", *r6("difference", "t"), F.round("df", 5).alias("df"), *r6("cohen_d", "p", "q"))
+
+
+@query(_MEANS + f""", {_ARMS}, v AS (SELECT *, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS v FROM a), w AS (SELECT condition, ma - mb AS difference, (ma - mb) / sqrt(v * (1.0 / na + 1.0 / nb)) AS t, (ma - mb) / sqrt(v) AS cohen_d, CAST(na + nb - 2 AS BIGINT) AS df FROM v)
+SELECT condition, round(difference, 6) AS difference, round(t, 6) AS t, round(cohen_d, 6) AS cohen_d, df, round({A.p_sql('t', 'df')}, 6) AS p FROM w""")
 def student_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _subject_means(spark, sf_dir)
-    return inference.two_sample_t(s, ["condition"], "grp", "G1", "G2", "m").select("condition", *r6("difference", "t", "cohen_d"), F.col("df").cast("bigint").alias("df"))
+    return inference.two_sample_t(s, ["condition"], "grp", "G1", "G2", "m").select("condition", *r6("difference", "t", "cohen_d"), F.col("df").cast("bigint").alias("df"), *r6("p"))
 
 
-@query(_MEANS + "SELECT grp, condition, count(m) AS n, round(avg(m), 6) AS mean, round(avg(m) / (stddev_samp(m) / sqrt(count(m))), 6) AS t, count(m) - 1 AS df FROM g GROUP BY ALL")
+@query(_MEANS + f""", w AS (SELECT grp, condition, count(m) AS n, avg(m - 50) AS mean, avg(m - 50) / (stddev_samp(m) / sqrt(count(m))) AS t, count(m) - 1 AS df FROM g GROUP BY ALL), tested AS (SELECT *, {A.p_sql('t', 'df')} AS p FROM w), {A.q_sql('tested', 'grp', 'condition')}
+SELECT grp, condition, n, round(mean, 6) AS mean, round(t, 6) AS t, df, round(p, 6) AS p, round(q, 6) AS q FROM with_q""")
 def one_sample_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.one_sample_t(_subject_means(spark, sf_dir), ["grp", "condition"], "m").select("grp", "condition", "n", *r6("mean", "t"), "df")
+    """Means against the middle of the scale, q over each group's conditions."""
+    w = inference.one_sample_t(_subject_means(spark, sf_dir).withColumn("m", F.col("m") - 50), ["grp", "condition"], "m")
+    return ordered.bh(w, "p", keys=["grp"]).select("grp", "condition", "n", *r6("mean", "t"), "df", *r6("p", "q"))
 
 
 @query()
 def student_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided p, q over conditions, stars and signed z of the group differences; tails are not in SQL."""
-    from trialweave.functions.tails import t_p_two_sided
-
     t = inference.two_sample_t(_subject_means(spark, sf_dir), ["condition"], "grp", "G1", "G2", "m")
-    t = t.withColumn("p", t_p_two_sided(F.col("t"), F.col("df").cast("double")))
     t = ordered.bh(t, "p")
     return t.select("condition", *r6("difference", "t", "p", "q"), inference.stars(F.col("p")).alias("stars"), F.round(inference.signed_z(F.col("difference"), F.col("p")), 6).alias("z"))
 
 
 @query(f"""WITH {SCORES}, x AS (SELECT condition, score, {A.group_sql('subject')} FROM scores), v AS (SELECT DISTINCT condition, score FROM x),
 c AS (SELECT condition, score, count(*) FILTER (grp = 'G1') AS a, count(*) FILTER (grp = 'G2') AS b FROM x GROUP BY ALL), f AS (SELECT condition, abs(CAST(sum(a) OVER w AS DOUBLE) / sum(a) OVER (PARTITION BY condition) - CAST(sum(b) OVER w AS DOUBLE) / sum(b) OVER (PARTITION BY condition)) AS d, a, b FROM c WINDOW w AS (PARTITION BY condition ORDER BY score))
-SELECT condition, round(max(d), 6) AS ks, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b FROM f GROUP BY condition""")
+, m AS (SELECT condition, max(d) AS ks, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b FROM f GROUP BY condition), l AS (SELECT *, ks * sqrt(CAST(n_a AS DOUBLE) * n_b / (n_a + n_b)) AS l FROM m)
+SELECT condition, round(ks, 6) AS ks, n_a, n_b, round(CASE WHEN l < 0.2 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0::DOUBLE * k * k * l * l))))) END, 6) AS p FROM l""")
 def score_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance of the groups' scores."""
+    """Two-sample Kolmogorov-Smirnov distance of the groups' scores, and its p."""
     x = A.scores(spark, sf_dir).select("*", *A.groups())
-    return inference.ks(x, ["condition"], "grp", "G1", "G2", "score").select("condition", *r6("ks"), "n_a", "n_b")
+    return inference.ks(x, ["condition"], "grp", "G1", "G2", "score").select("condition", *r6("ks"), "n_a", "n_b", *r6("p"))
 
 
 _MERGED = f"""WITH {SUBJECTS}, o AS (SELECT o_custkey AS subject, count(*) AS n_orders, sum(o_totalprice) AS spent, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1), m AS (SELECT * FROM subjects JOIN o USING (subject))"""
@@ -246,35 +250,36 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.subjects(spark, sf_dir).join(o, "subject")
 
 
-@query(_MERGED + """, l AS (SELECT grp, clinical, unnest(['n_orders', 'spent', 'mean_price']) AS metric, unnest([CAST(n_orders AS DOUBLE), spent, mean_price]) AS value FROM m), c AS (SELECT grp, metric, count(*) AS n, corr(value, clinical) AS r FROM l GROUP BY ALL)
-SELECT grp, metric, n, CASE WHEN n >= 6 THEN round(r, 6) END AS r, CASE WHEN n >= 6 THEN round(r * sqrt((n - 2) / (1 - r * r)), 5) END AS t FROM c""")
+@query(_MERGED + """, l AS (SELECT grp, clinical, unnest(['n_orders', 'spent', 'mean_price']) AS metric, unnest([CAST(n_orders AS DOUBLE), spent, mean_price]) AS value FROM m), c AS (SELECT grp, metric, count(*) AS n, CASE WHEN count(*) >= 6 THEN corr(value, clinical) END AS r FROM l GROUP BY ALL), w AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)
+SELECT grp, metric, n, round(r, 6) AS r, round(t, 5) AS t, """ + f"round({A.p_sql('t', '(n - 2)')}, 6) AS p FROM w")
 def clinical_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = inference.correlations(_merged(spark, sf_dir), ["grp"], ["n_orders", "spent", "mean_price"], "clinical")
-    return c.select("grp", "metric", "n", *r6("r"), F.round("t", 5).alias("t"))
+    return c.select("grp", "metric", "n", *r6("r"), F.round("t", 5).alias("t"), *r6("p"))
 
 
-@query(_MERGED + """, c AS (SELECT grp, count(*) AS n, corr(spent, clinical) AS xy, corr(spent, n_orders) AS xz, corr(clinical, n_orders) AS yz FROM m GROUP BY grp)
-SELECT grp, n, round(xy, 6) AS r, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial_r FROM c""")
+@query(_MERGED + """, c AS (SELECT grp, count(*) AS n, corr(spent, clinical) AS xy, corr(spent, n_orders) AS xz, corr(clinical, n_orders) AS yz FROM m GROUP BY grp), w AS (SELECT grp, n, xy AS r, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS partial_r FROM c), v AS (SELECT *, partial_r * sqrt((n - 2) / (1 - partial_r * partial_r)) AS t FROM w)
+SELECT grp, n, round(r, 6) AS r, round(partial_r, 6) AS partial_r, """ + f"round({A.p_sql('t', '(n - 2)')}, 6) AS p FROM v")
 def clinical_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.partial_correlation(_merged(spark, sf_dir), ["grp"], "spent", "clinical", "n_orders").select("grp", "n", *r6("r", "partial_r"))
+    return inference.partial_correlation(_merged(spark, sf_dir), ["grp"], "spent", "clinical", "n_orders").select("grp", "n", *r6("r", "partial_r", "p"))
 
 
-@query(_MERGED + """, c AS (SELECT grp, CAST(count(*) AS DOUBLE) AS n, regr_slope(spent, clinical) AS slope, regr_intercept(spent, clinical) AS intercept, regr_sxx(spent, clinical) AS xx, regr_syy(spent, clinical) AS yy, regr_sxy(spent, clinical) AS xy FROM m GROUP BY grp)
-SELECT grp, n, round(slope, 4) AS slope, round(intercept, 3) AS intercept, round(slope / sqrt((yy - slope * xy) / (n - 2) / xx), 5) AS t, round(xy * xy / (xx * yy), 6) AS r2 FROM c""")
+@query(_MERGED + """, c AS (SELECT grp, CAST(count(*) AS DOUBLE) AS n, regr_slope(spent, clinical) AS slope, regr_intercept(spent, clinical) AS intercept, regr_sxx(spent, clinical) AS xx, regr_syy(spent, clinical) AS yy, regr_sxy(spent, clinical) AS xy FROM m GROUP BY grp), w AS (SELECT *, slope / sqrt((yy - slope * xy) / (n - 2) / xx) AS t FROM c)
+SELECT grp, n, round(slope, 4) AS slope, round(intercept, 3) AS intercept, round(t, 5) AS t, round(xy * xy / (xx * yy), 6) AS r2, """ + f"round({A.p_sql('t', '(n - 2)')}, 6) AS p FROM w")
 def clinical_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = inference.ols(_merged(spark, sf_dir), ["grp"], "clinical", "spent")
-    return c.select("grp", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("t", 5).alias("t"), *r6("r2"))
+    return c.select("grp", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("t", 5).alias("t"), *r6("r2", "p"))
 
 
-@query(_MEANS + """, c AS (SELECT condition, grp, drug, count(m) AS n, avg(m) AS mean, var_pop(m) * count(m) AS ss FROM g GROUP BY ALL), t AS (SELECT condition, sum(n) AS n, sum(CASE WHEN (grp = 'G1') = (drug = 'D1') THEN mean ELSE -mean END) AS effect, sum(ss) AS ss, sum(1.0 / n) AS wide FROM c GROUP BY condition)
-SELECT condition, CAST(n AS DOUBLE) AS n, round(effect, 6) AS interaction, round(effect / sqrt(ss / (n - 4) * wide), 6) AS t FROM t""")
+@query(_MEANS + """, c AS (SELECT condition, grp, drug, count(m) AS n, avg(m) AS mean, var_pop(m) * count(m) AS ss FROM g GROUP BY ALL), t AS (SELECT condition, sum(n) AS n, sum(CASE WHEN (grp = 'G1') = (drug = 'D1') THEN mean ELSE -mean END) AS effect, sum(ss) AS ss, sum(1.0 / n) AS wide FROM c GROUP BY condition), w AS (SELECT condition, CAST(n AS DOUBLE) AS n, effect, effect / sqrt(ss / (n - 4) * wide) AS t FROM t)
+SELECT condition, n, round(effect, 6) AS interaction, round(t, 6) AS t, """ + f"round({A.p_sql('t', '(n - 4)')}, 6) AS p FROM w")
 def group_by_drug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interaction of group and drug in each condition."""
     s = _subject_means(spark, sf_dir)
-    return inference.interaction(s, ["condition"], "grp", ("G1", "G2"), "drug", ("D1", "D2"), "m").select("condition", "n", *r6("interaction", "t"))
+    return inference.interaction(s, ["condition"], "grp", ("G1", "G2"), "drug", ("D1", "D2"), "m").select("condition", "n", *r6("interaction", "t", "p"))
 
 
-_N = 100
+#: Draws of each permutation test, as the reference has it.
+_N = 5000
 _DRAW = f"unnest(range(1, {_N + 1})) AS perm_id"
 
 
@@ -286,7 +291,7 @@ def sign_flip_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perm.sign_flip(s, ["condition"], "subject", "x", _N).select("condition", *r6("observed"), "n_beyond", *r6("p", "null_mean", "null_sd"))
 
 
-_LABELS = f"""ids AS (SELECT DISTINCT subject, grp, drug FROM g), base AS (SELECT *, row_number() OVER (ARM ORDER BY subject) AS k FROM ids), drawn AS (SELECT subject, drug, {_DRAW} FROM ids),
+_LABELS = f"""ids AS (SELECT DISTINCT subject, grp, drug FROM g), base AS (SELECT *, row_number() OVER (ARM ORDER BY md5('0-' || subject), subject) AS k FROM ids), drawn AS (SELECT subject, drug, {_DRAW} FROM ids),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY perm_id ARM2 ORDER BY md5(perm_id || '-' || subject), subject) AS k FROM drawn)"""
 
 

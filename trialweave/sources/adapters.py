@@ -70,3 +70,16 @@ FEATURES = """features AS (SELECT p_partkey AS feature_id, p_brand AS roi, CAST(
 
 def group_sql(s: str) -> str:
     return f"CASE WHEN {s} % 2 = 0 THEN 'G1' ELSE 'G2' END AS grp, CASE WHEN {s} // 2 % 2 = 0 THEN 'D1' ELSE 'D2' END AS drug"
+
+
+def p_sql(t: str, free: str) -> str:
+    """Two-sided p of a t in SQL: Simpson's rule with 2,000 steps on the density over the angle atan(t / sqrt(df))."""
+    angle = f"atan(abs({t}) / sqrt({free}))"
+    area = f"list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(cos({angle} * k / 2000), {free} - 1)))"
+    return f"greatest(0, 1 - 2 * exp(lgamma(({free} + 1) / 2.0::DOUBLE) - lgamma({free} / 2.0::DOUBLE)) / sqrt(pi()) * {angle} / 6000 * {area})"
+
+
+def q_sql(source: str, keys: str, tie: str) -> str:
+    """Benjamini-Hochberg q of ``p`` as CTEs ranked_q and with_q over a table, within keys (SQL text, may be empty)."""
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"ranked_q AS (SELECT *, row_number() OVER ({part} ORDER BY p, {tie}) AS place, count(*) OVER ({part}) AS size_of FROM {source}), with_q AS (SELECT *, least(1.0, min(p * size_of / place) OVER ({part} ORDER BY p DESC, {tie} DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ranked_q)"
