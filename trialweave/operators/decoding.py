@@ -155,6 +155,42 @@ def forced_choice(scored: DataFrame, subject: str, pair: tuple[str, str], condit
     return per.agg(F.count(F.lit(1)).alias("n_subjects"), F.avg((F.col("_high") > F.col("_low")).cast("int")).alias("accuracy"))
 
 
+def centroid_scores(train: DataFrame, test: DataFrame, keys: list[str], pair: tuple[str, str], width: int, condition: str = "condition", vector: str = "features") -> DataFrame:
+    """Rows of both conditions with their place on the axis between the training centroids of their keys: 0 in the middle, over 0 on the second's side. Keys without both centroids give no rows."""
+    from trialweave.operators.centroids import mean_vectors
+
+    m = mean_vectors(train.where(F.col(condition).isin(*pair)), [*keys, condition], width, vector)
+    of = lambda c, name: m.where(F.col(condition) == c).select(*keys, F.col("centroid").alias(name))
+    axis = of(pair[0], "_low").join(of(pair[1], "_high"), keys)
+    axis = axis.select(*keys, V.subtract("_high", "_low").alias("_axis"), F.zip_with("_high", "_low", lambda x, y: (x + y) / 2).alias("_middle"))
+    j = test.where(F.col(condition).isin(*pair)).join(axis, keys)
+    return j.withColumn("score", V.dot(V.subtract(vector, "_middle"), "_axis")).drop("_axis", "_middle", vector)
+
+
+def shuffled_choice(scored: DataFrame, pair: tuple[str, str], n_perm: int = 5000, subject: str | None = None, condition: str = "condition", trial: str = "trial_idx") -> DataFrame:
+    """Accuracy of fixed scores, and how often labels shuffled over all trials reach it, p = (c + 1) / (n + 1).
+
+    Accuracy is the share of trials on the side of their label; with ``subject``, the share of subjects
+    whose mean score is higher for the second condition, over those that have both.
+    """
+    from trialweave.operators.permutation import relabelled
+
+    own = scored.select(*([subject] if subject else []), trial, F.col(condition).alias("_label"), "score")
+    drawn = relabelled(own, trial, "_label", n_perm).join(own.drop("_label"), trial)
+    every = drawn.unionByName(own.withColumn("perm_id", F.lit(0)))
+    if subject:
+        of = lambda c: F.avg(F.when(F.col("_label") == c, F.col("score")))
+        per = every.groupBy("perm_id", subject).agg(of(pair[0]).alias("_low"), of(pair[1]).alias("_high")).where("_low is not null and _high is not null")
+        hit = F.col("_high") > F.col("_low")
+    else:
+        per, hit = every, (F.col("score") > 0) == (F.col("_label") == pair[1])
+    marks = per.groupBy("perm_id").agg(F.avg(hit.cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    seen = marks.where("perm_id = 0").select("accuracy", "n")
+    null = marks.where("perm_id > 0").select(F.col("accuracy").alias("_null")).crossJoin(F.broadcast(seen))  # one row
+    c = F.count(F.when(F.round("_null", 9) >= F.round("accuracy", 9), 1))
+    return null.groupBy("accuracy", "n").agg(c.alias("n_beyond"), ((c + 1) / F.lit(float(n_perm + 1))).alias("p"), F.avg("_null").alias("null_mean"))
+
+
 def separation(scored: DataFrame, keys: list[str], pair: tuple[str, str], condition: str = "condition") -> DataFrame:
     """Mean probability of the second condition in its trials less that in the other's."""
     of = lambda c: F.avg(F.when(F.col(condition) == c, F.col("probability")))

@@ -69,11 +69,11 @@ def dissimilarity(df: DataFrame, width: int, keys: list[str], condition: str = "
     return t.groupBy(*keys).agg(F.when(F.count("distance") == 3, F.avg("distance")).alias("dissimilarity"))
 
 
-def coupling(left: DataFrame, right: DataFrame, keys: list[str], on: list[str], x: str, y: str) -> DataFrame:
-    """Pearson r of two trial series within keys, with at least three pairs and two distinct values on both sides."""
+def coupling(left: DataFrame, right: DataFrame, keys: list[str], on: list[str], x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """Pearson r of two trial series within keys (and ``by``, columns of the left one), with at least three pairs and two distinct values on both sides."""
     j = left.join(right, [*keys, *on]).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ok = (F.count(F.lit(1)) >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.when(ok, F.corr(x, y)).alias("r"))
+    return j.groupBy(*keys, *(by or [])).agg(F.count(F.lit(1)).alias("n_pairs"), F.when(ok, F.corr(x, y)).alias("r"))
 
 
 def _window(keys: list[str], order: str):

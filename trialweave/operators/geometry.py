@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.operators.lineage import cut
+
 AXES = ("i", "j", "k")
 
 
@@ -37,23 +39,21 @@ def nearest(points: DataFrame, k: int, radius: float, key: str = "feature_id", r
     """center, neighbor, distance, rank of the k nearest, the point itself included; ties by key.
 
     Spheres of growing radius: whoever has k neighbours within the radius has its nearest
-    among them, the others go on with twice the radius.
+    among them, the others go on with twice the radius. Each round is written, so none is
+    computed again; points left after the last are an error.
     """
-    from pyspark.sql import functions as F
-
     out, left = None, points.select(key)
-    n = points.count()
+    least = min(k, points.count())
     for step in range(rounds):
-        own = radius * 2**step
-        found = sphere(points, own, key).join(left.select(F.col(key).alias("center")), "center", "left_semi")
-        found = found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("center")))
-        done = found.where(F.col("_n") >= min(k, n))
-        ranked = done.withColumn("rank", F.row_number().over(Window.partitionBy("center").orderBy("distance", "neighbor"))).where(F.col("rank") <= k).drop("_n")
+        found = sphere(points, radius * 2**step, key).join(left.select(F.col(key).alias("center")), "center", "left_semi")
+        w = Window.partitionBy("center")
+        ranked = found.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
+        ranked = cut(ranked.withColumn("rank", F.row_number().over(w.orderBy("distance", "neighbor"))).where(F.col("rank") <= k).drop("_n"))
         out = ranked if out is None else out.unionByName(ranked)
-        left = left.join(done.select(F.col("center").alias(key)).distinct(), key, "left_anti")
+        left = cut(left.join(ranked.where("rank = 1").select(F.col("center").alias(key)), key, "left_anti"))
         if left.isEmpty():
             return out
-    return out
+    raise RuntimeError(f"points without {least} neighbours within {radius * 2 ** (rounds - 1)}")
 
 
 def overlay(base: DataFrame, top: DataFrame, label: str = "label") -> DataFrame:

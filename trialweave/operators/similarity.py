@@ -38,6 +38,17 @@ def within_between(units: DataFrame, keys: list[str], width: int, condition: str
     return j.select(*keys, condition, inner.alias("within"), outer.alias("between"), (inner - outer).alias("score"))
 
 
+def neighbourhoods(df: DataFrame, near: DataFrame, vector: str = "features") -> DataFrame:
+    """Each row once for every centre, with the elements of its vector that ``near`` (center, neighbor as place in the vector, rank) gives.
+
+    ``near`` goes to every task as one row of lists: it has the parcels of an atlas, at most as many as a vector has elements.
+    """
+    lists = near.groupBy("center").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor"))), lambda s: s["neighbor"]).alias("_near"))
+    one = lists.agg(F.collect_list(F.struct("center", "_near")).alias("_all"))
+    j = df.crossJoin(F.broadcast(one)).withColumn("_c", F.explode("_all"))
+    return j.withColumn(vector, F.transform("_c._near", lambda i: F.get(F.col(vector), i.cast("int")))).withColumn("center", F.col("_c.center")).drop("_all", "_c")
+
+
 def between_pairs(units: DataFrame, keys: list[str], width: int, condition: str = "condition", vector: str = "features") -> DataFrame:
     """Mean similarity of each pair of conditions (cond_a < cond_b) within keys."""
     means = _sums(units, [*keys, condition], width, vector).select(*keys, F.col(condition).alias("c"), V.scale("_sum", 1.0 / F.col("n")).alias("m"))

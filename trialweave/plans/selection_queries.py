@@ -9,7 +9,7 @@ from trialweave.functions import vectors as V
 from trialweave.operators import centroids, geometry, selection, similarity
 from trialweave.operators import permutation as perm
 from trialweave.sources import adapters as A
-from trialweave.sources.adapters import FEATURES, LONG, MAPS, SCORES, WIDTH
+from trialweave.sources.adapters import FEATURES, LONG, MAPS, SCORES, TRIALS, WIDTH
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -113,7 +113,10 @@ def region_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("n >= 3")
 
 
-@query()
+@query(f"""WITH {TRIALS}, c AS (SELECT subject, phase, trial_idx, list_transform(features, lambda x: x - list_avg(features)) AS c FROM trials),
+n AS (SELECT subject, phase FROM trials GROUP BY ALL HAVING count(*) > 1)
+SELECT a.subject, a.phase, a.trial_idx AS row, b.trial_idx AS col, CASE WHEN a.trial_idx <> b.trial_idx THEN round(list_cosine_similarity(a.c, b.c), 6) END AS value FROM c a JOIN c b ON a.subject = b.subject AND a.phase = b.phase JOIN n ON n.subject = a.subject AND n.phase = a.phase""")
 def trial_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both triangles of each subject's trial matrix, NULL on the diagonal."""
-    return similarity.matrix(similarity.pairs(A.trials(spark, sf_dir), ["subject", "phase"]), ["subject", "phase"])
+    m = similarity.matrix(similarity.pairs(A.trials(spark, sf_dir), ["subject", "phase"]), ["subject", "phase"])
+    return m.withColumn("value", F.round("value", 6))
