@@ -121,9 +121,60 @@ def test_shrunk_covariance():
 def test_clusters():
     ijk = np.array([(0, 0, 0), (1, 1, 1), (5, 5, 5), (2, 2, 2), (9, 0, 0)])
     assert (clusters.labels(ijk) == [0, 0, 2, 0, 4]).all()
-    t = np.array([3.0, 4.0, 5.0, 2.5, -6.0])
-    assert np.allclose(clusters.masses(t, ijk, 2.3), [2.6, 2.6, 2.7, 2.6, 3.7])
-    assert (clusters.enhanced(t, ijk) > 0).all()
+    assert (clusters.enhanced(np.array([3.0, 4.0, 5.0, 2.5, -6.0]), ijk) > 0).all()
+
+
+def plain_masses(t, ijk, limit):
+    out = np.zeros(len(t))
+    for side in (1, -1):
+        over = np.flatnonzero(side * t > limit)
+        if len(over):
+            part = clusters.labels(ijk[over])
+            out[over] = np.bincount(part, np.abs(t[over]) - limit, minlength=len(over))[part]
+    return out
+
+
+def test_cluster_masses_and_family_wise_p(spark):
+    """Masses of every draw, and p, against NumPy on the t-maps; a snake of voxels takes many rounds of labels."""
+    r = np.random.default_rng(7)
+    ijk = np.array([(x, y, z) for x in range(6) for y in range(6) for z in range(3)])
+    grid = spark.createDataFrame([(f, *map(int, v)) for f, v in enumerate(ijk)], "feature_id long, i long, j long, k long")
+    values = r.normal(0.4, 1, (12, len(ijk)))
+    maps = spark.createDataFrame([(s, f, float(values[s, f])) for s in range(12) for f in range(len(ijk)) if (s + f) % 11], "subject long, feature_id long, value double")
+    t = clusters.t_maps(maps, 40).toPandas()
+    seen = t[t.perm_id == 0].set_index("feature_id")["t"]
+    for f in (0, 5, 50):
+        x = np.array([values[s, f] for s in range(12) if (s + f) % 11])
+        assert math.isclose(seen[f], x.mean() / (x.std(ddof=1) / math.sqrt(len(x))), rel_tol=1e-9)
+    assert t.perm_id.nunique() == 41
+    got = clusters.masses(clusters.t_maps(maps, 40), grid, 1.0).toPandas().set_index(["perm_id", "feature_id"])["mass"]
+    wide, most = t.pivot(index="perm_id", columns="feature_id", values="t"), {}
+    for perm_id, row in wide.iterrows():
+        want = plain_masses(row.to_numpy(), ijk, 1.0)
+        assert np.allclose([got.get((perm_id, f), 0.0) for f in range(len(ijk))], want)
+        most[perm_id] = want.max()
+        if perm_id == 0:
+            own = want
+    p = clusters.family_wise(maps, grid, 40, 1.0).toPandas().set_index("feature_id")["p"]
+    null = np.array([v for k, v in most.items() if k])
+    assert np.allclose([p[f] for f in range(len(ijk))], [((null >= m - 1e-9).sum() + 1) / 41 for m in own])
+    snake = np.array([(x, y, 0) for y in range(0, 20, 2) for x in range(12)] + [(11 if y % 4 == 1 else 0, y, 0) for y in range(1, 19, 2)])
+    line = spark.createDataFrame([(f, *map(int, v)) for f, v in enumerate(snake)], "feature_id long, i long, j long, k long")
+    one_map = line.select(F.lit(0).alias("perm_id"), "feature_id", F.lit(3.3).alias("t"))
+    assert np.allclose(clusters.masses(one_map, line).toPandas()["mass"], len(snake))
+
+
+def test_models_take_a_bounded_sample(spark):
+    """A group over the bound is fitted on about that many rows, one under it on all its rows."""
+    r = np.random.default_rng(3)
+    rows = [(g, i, "B" if i % 2 else "C", [float(v) for v in r.normal(i % 2, 1, 3)]) for g, n in ((1, 4000), (2, 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, trial_idx long, condition string, features array<double>")
+    for bound in (10_000, 500):
+        got = {m["g"]: m for m in decoding.models(df, ["g"], ("B", "C"), sample_rows=bound).collect()}
+        small = np.array([f for g, _, _, f in rows if g == 2])
+        assert np.allclose(got[2]["mean"], small.mean(0))
+        exact = np.allclose(got[1]["mean"], np.array([f for g, _, _, f in rows if g == 1]).mean(0))
+        assert exact == (bound == 10_000)
 
 
 def test_designs(spark):

@@ -1,4 +1,4 @@
-"""Cluster-mass and threshold-free inference on voxel maps by sign flips of subjects: t-maps by aggregation, clusters in one task a permutation."""
+"""Cluster-mass and threshold-free inference on voxel maps by sign flips of subjects: t-maps by aggregation, clusters by joins of touching voxels."""
 
 from __future__ import annotations
 
@@ -7,16 +7,57 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.operators.lineage import cut
 from trialweave.operators.permutation import draw_key
 
-
-def t_maps(maps: DataFrame, n_perm: int, subject: str = "subject", feature: str = "feature_id", value: str = "value") -> DataFrame:
-    """perm_id (0 is as observed), feature and t against 0 under random signs of subjects."""
-    drawn = maps.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n_perm))))
-    x = F.when((F.col("perm_id") == 0) | (F.substring(draw_key("perm_id", subject), 1, 1) < "8"), F.col(value)).otherwise(-F.col(value))
-    signed = drawn.withColumn("_x", x)
-    t = F.try_divide(F.avg("_x"), F.stddev_samp("_x") / F.sqrt(F.count("_x").cast("double")))
-    return signed.groupBy("perm_id", feature).agg(t.alias("t"), F.count("_x").alias("n")).where("n >= 3 and t is not null").drop("n")
+#: Draws that one md5 gives: its first eight digits as bits, a sign each.
+PER_DIGEST = 32
+
+
+def t_maps(maps: DataFrame, n_perm: int = 5000, subject: str = "subject", feature: str = "feature_id", value: str = "value") -> DataFrame:
+    """perm_id (0 is as observed), feature and t against 0 under random signs of subjects; none under three values or without spread.
+
+    A row is read once for every 32 draws, whose sums are columns of one aggregation; squares do not depend on signs.
+    """
+    blocks = (n_perm + PER_DIGEST - 1) // PER_DIGEST
+    x = F.col(value).cast("double")
+    drawn = maps.where(x.isNotNull()).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks)))).withColumn("_x", x)
+    bits = F.conv(F.substring(draw_key("_block", subject), 1, 8), 16, 10).cast("bigint")
+    drawn = drawn.withColumn("_bits", F.when(F.col("_block") == 0, F.lit(0).cast("bigint")).otherwise(bits))  # block 0 has one draw, as observed
+    signs = [F.when(F.col("_bits").bitwiseAND(F.lit(1 << d)) == 0, F.col("_x")).otherwise(-F.col("_x")) for d in range(PER_DIGEST)]
+    sums = drawn.groupBy("_block", feature).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.col("_x") * F.col("_x")).alias("_square"), F.array(*[F.sum(s) for s in signs]).alias("_sums")).where("_n >= 3")
+    each = sums.select("_block", feature, "_n", "_square", F.posexplode(F.when(F.col("_block") == 0, F.slice("_sums", 1, 1)).otherwise(F.col("_sums"))).alias("_d", "_s"))
+    perm = F.when(F.col("_block") == 0, 0).otherwise((F.col("_block") - 1) * PER_DIGEST + F.col("_d") + 1).cast("int")
+    var = (F.col("_square") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1)
+    t = F.when(var > 1e-12, F.col("_s") / F.col("_n") / F.sqrt(var / F.col("_n")))
+    return each.select(perm.alias("perm_id"), feature, t.alias("t")).where(F.col("t").isNotNull() & (F.col("perm_id") <= n_perm))
+
+
+def masses(tmaps: DataFrame, grid: DataFrame, limit: float = 2.3, feature: str = "feature_id") -> DataFrame:
+    """perm_id, feature, mass for voxels with abs(t) over the limit: the sum of abs(t) - limit over the cluster of voxels on the same side that touch by face, edge or corner.
+
+    Each voxel takes the smallest label of its neighbours, and then its label's label, until none
+    changes; every round is written to the shared folder.
+    """
+    key = ["perm_id", "_side"]
+    over = tmaps.where(F.abs("t") > limit).join(grid.select(feature, "i", "j", "k"), feature)
+    over = cut(over.select("perm_id", F.signum("t").cast("int").alias("_side"), F.col(feature).alias("_a"), "i", "j", "k", (F.abs("t") - limit).alias("_over")))
+    moves = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", m, strict=True)]) for m in np.ndindex(3, 3, 3) if m != (1, 1, 1)])
+    places = [(F.col(c) + F.col(f"_m.{m}") - 1).alias(c) for c, m in zip("ijk", "xyz", strict=True)]
+    moved = over.select(*key, "_a", "i", "j", "k", F.explode(moves).alias("_m")).select(*key, "_a", *places)
+    links = cut(moved.join(over.select(*key, F.col("_a").alias("_b"), "i", "j", "k"), [*key, "i", "j", "k"]).select(*key, "_a", "_b"))
+    label = over.select(*key, "_a", F.col("_a").alias("_label"))
+    while True:
+        near = links.join(label.select(*key, F.col("_a").alias("_b"), F.col("_label").alias("_l")), [*key, "_b"]).groupBy(*key, "_a").agg(F.min("_l").alias("_l"))
+        least = label.join(near, [*key, "_a"], "left").select(*key, "_a", F.col("_label").alias("_was"), F.least("_label", "_l").alias("_label"))
+        up = least.select(*key, F.col("_a").alias("_label"), F.col("_label").alias("_up"))
+        label = cut(least.join(up, [*key, "_label"]).select(*key, "_a", "_was", F.col("_up").alias("_label")))
+        if label.where("_label <> _was").isEmpty():
+            break
+        label = label.drop("_was")
+    labelled = over.join(label, [*key, "_a"])
+    total = labelled.groupBy(*key, "_label").agg(F.sum("_over").alias("mass"))
+    return labelled.join(total, [*key, "_label"]).select("perm_id", F.col("_a").alias(feature), "mass")
 
 
 def labels(ijk: np.ndarray) -> np.ndarray:
@@ -40,17 +81,6 @@ def labels(ijk: np.ndarray) -> np.ndarray:
     return np.array([find(k) for k in range(len(ijk))], int)
 
 
-def masses(t: np.ndarray, ijk: np.ndarray, limit: float) -> np.ndarray:
-    """For each voxel the sum of abs(t) - limit over its cluster of voxels beyond the limit on its side; 0 elsewhere."""
-    out = np.zeros(len(t))
-    for side in (1, -1):
-        over = np.flatnonzero(side * t > limit)
-        if len(over):
-            part = labels(ijk[over])
-            out[over] = np.bincount(part, np.abs(t[over]) - limit, minlength=len(over))[part]
-    return out
-
-
 def enhanced(t: np.ndarray, ijk: np.ndarray, step: float = 0.1, e: float = 0.5, h: float = 2.0) -> np.ndarray:
     """Threshold-free enhancement: sum over heights of extent**e * height**h * step, for each side."""
     out = np.zeros(len(t))
@@ -63,20 +93,29 @@ def enhanced(t: np.ndarray, ijk: np.ndarray, step: float = 0.1, e: float = 0.5,
     return out
 
 
-def family_wise(tmaps: DataFrame, grid: DataFrame, n_perm: int, kind: str = "mass", limit: float = 2.3, feature: str = "feature_id") -> DataFrame:
-    """feature, statistic and p = (number of permutations whose largest statistic is at least it + 1) / (n + 1)."""
+def family_wise(maps: DataFrame, grid: DataFrame, n_perm: int = 5000, limit: float = 2.3, feature: str = "feature_id") -> DataFrame:
+    """For a long map of subjects: feature, statistic (its cluster's mass, 0 outside clusters) and p = (number of draws whose largest mass is at least it + 1) / (n + 1)."""
+    m = cut(masses(t_maps(maps, n_perm, feature=feature), grid, limit, feature))
+    null = m.where("perm_id > 0").groupBy("perm_id").agg(F.round(F.max("mass"), 9).alias("_most")).agg(F.collect_list("_most").alias("_null"))  # n_perm numbers
+    own = m.where("perm_id = 0").select(feature, "mass")
+    observed = t_maps(maps, 0, feature=feature).select(feature).join(grid.select(feature), feature).join(own, feature, "left").crossJoin(F.broadcast(null))
+    beyond = F.when(F.col("mass").isNull(), n_perm).otherwise(F.size(F.filter("_null", lambda x: x >= F.round("mass", 9))))
+    return observed.select(feature, F.coalesce("mass", F.lit(0.0)).alias("statistic"), ((beyond + 1) / F.lit(float(n_perm + 1))).alias("p"))
+
+
+def enhanced_family_wise(maps: DataFrame, grid: DataFrame, n_perm: int, feature: str = "feature_id") -> DataFrame:
+    """As :func:`family_wise` with threshold-free enhancement; a task holds the map of one draw."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(feature)
-        ijk, t = pdf[["i", "j", "k"]].to_numpy(np.int64), pdf["t"].to_numpy()
-        value = masses(t, ijk, limit) if kind == "mass" else enhanced(t, ijk)
+        value = enhanced(pdf["t"].to_numpy(), pdf[["i", "j", "k"]].to_numpy(np.int64))
         if pdf["perm_id"].iloc[0] == 0:
             return pd.DataFrame({"perm_id": 0, feature: pdf[feature], "statistic": value})
         return pd.DataFrame({"perm_id": pdf["perm_id"].iloc[:1], feature: [-1], "statistic": [value.max(initial=0.0)]})
 
-    placed = tmaps.join(grid.select(feature, "i", "j", "k"), feature)
+    placed = t_maps(maps, n_perm, feature=feature).join(grid.select(feature, "i", "j", "k"), feature)
     made = placed.groupBy("perm_id").applyInPandas(run, f"perm_id int, {feature} bigint, statistic double")
-    null = made.where("perm_id > 0").agg(F.sort_array(F.collect_list("statistic")).alias("_null"))  # n_perm numbers
+    null = made.where("perm_id > 0").agg(F.collect_list("statistic").alias("_null"))  # n_perm numbers
     observed = made.where("perm_id = 0").crossJoin(F.broadcast(null))
     beyond = F.size(F.filter("_null", lambda x: x >= F.col("statistic")))
     return observed.select(feature, "statistic", ((beyond + 1) / F.lit(float(n_perm + 1))).alias("p"))

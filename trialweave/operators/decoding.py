@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions import vectors as V
+from trialweave.operators.ordered import same
 
 MODEL = "mean array<double>, scale array<double>, coef array<double>, intercept double"
 
@@ -123,8 +124,13 @@ def decode(df: DataFrame, keys: list[str], pair: tuple[str, str], condition: str
 
 def models(df: DataFrame, keys: list[str], pair: tuple[str, str], condition: str = "condition", order: str = "trial_idx", vector: str = "features", c: float = 1.0, sample_rows: int = 20_000) -> DataFrame:
     """A fitted model as a row for each group, for joins; of a larger group, ``sample_rows`` rows by the hashes of ``order``."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(order), order)
-    df = df.where(F.col(condition).isin(*pair)).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= sample_rows).drop("_place")
+    df = df.where(F.col(condition).isin(*pair))
+    # of a large group only rows with hashes in a range that holds about 1.2 times the sample are ordered
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    share = F.xxhash64(order).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+    near = same(df, sizes, keys).where((F.col("_size") <= sample_rows) | (share * F.col("_size") <= 1.2 * sample_rows))
+    w = Window.partitionBy(*keys).orderBy(share, order)
+    df = near.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= sample_rows).drop("_place", "_size")
 
     def body(x, y, _key, _pdf):
         if len(np.unique(y)) < 2:

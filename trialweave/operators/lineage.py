@@ -1,20 +1,21 @@
-"""Cutting the lineage of iterated plans, in the shared folder of the session."""
+"""Cutting the lineage of iterated plans, by tables in the shared folder of the session."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from files in the folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir names no shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    """The same rows, read from a table in the folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    path = f"{shared.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
