@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.operators.lineage import cut
-from trialweave.operators.permutation import draw_key
-
-#: Draws that one md5 gives: its first eight digits as bits, a sign each.
-PER_DIGEST = 32
+from trialweave.operators.permutation import PER_DIGEST, draw_key
 
 
 def t_maps(maps: DataFrame, n_perm: int = 5000, subject: str = "subject", feature: str = "feature_id", value: str = "value") -> DataFrame:
@@ -22,6 +19,7 @@ def t_maps(maps: DataFrame, n_perm: int = 5000, subject: str = "subject", featur
     blocks = (n_perm + PER_DIGEST - 1) // PER_DIGEST
     x = F.col(value).cast("double")
     drawn = maps.where(x.isNotNull()).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks)))).withColumn("_x", x)
+    # the first eight digits of the md5 are 32 bits, a sign each
     bits = F.conv(F.substring(draw_key("_block", subject), 1, 8), 16, 10).cast("bigint")
     drawn = drawn.withColumn("_bits", F.when(F.col("_block") == 0, F.lit(0).cast("bigint")).otherwise(bits))  # block 0 has one draw, as observed
     signs = [F.when(F.col("_bits").bitwiseAND(F.lit(1 << d)) == 0, F.col("_x")).otherwise(-F.col("_x")) for d in range(PER_DIGEST)]

@@ -1,9 +1,9 @@
 """Permutation nulls from keyed hashes: the same draw on any cluster, and in any engine that has md5.
 
 Permutation k orders subjects by the md5 of "k-subject"; the subject at rank r gets the
-label of the subject whose rank in permutation 0 is r. Signs follow from the first digit of the md5.
-Draws are made by exploding subjects, one row for each permutation, and only counts and
-moments of the null are kept.
+label of the subject whose rank in permutation 0 is r. Signs follow from the 32 digits of one md5, so a row
+is read once for 32 draws; labels need a row for each permutation. Only counts and moments
+of the null are kept.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from trialweave.operators.ordered import digest_rank, same
 
+#: Draws of signs that one md5 gives, one for each hex digit.
+PER_DIGEST = 32
+
 
 def draw_key(perm: str, subject: str) -> Column:
     return F.md5(F.concat(F.col(perm).cast("string"), F.lit("-"), F.col(subject).cast("string")))
@@ -26,8 +29,10 @@ def draws(df: DataFrame, n_perm: int) -> DataFrame:
 def sign_flip(df: DataFrame, keys: list[str], subject: str, x: str, n_perm: int, tail: str = "two") -> DataFrame:
     """Mean against 0 by random signs of subjects: observed mean, exceedances and p = (c + 1) / (n + 1)."""
     observed = df.groupBy(*keys).agg(F.avg(x).alias("observed"), F.count(x).alias("n"))
-    signed = draws(df.select(*keys, subject, x), n_perm).withColumn("_x", F.when(F.substring(draw_key("perm_id", subject), 1, 1) < "8", F.col(x)).otherwise(-F.col(x)))
-    null = signed.groupBy(*keys, "perm_id").agg(F.avg("_x").alias("_null"))
+    drawn = df.select(*keys, subject, F.col(x).alias("_x")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // PER_DIGEST)))).withColumn("_key", draw_key("_block", subject))
+    means = [F.avg(F.when(F.substring("_key", d + 1, 1) < "8", F.col("_x")).otherwise(-F.col("_x"))) for d in range(PER_DIGEST)]
+    null = drawn.groupBy(*keys, "_block").agg(F.array(*means).alias("_means")).select(*keys, "_block", F.posexplode("_means").alias("_d", "_null"))
+    null = null.withColumn("perm_id", F.col("_block") * PER_DIGEST + F.col("_d") + 1).where(F.col("perm_id") <= n_perm).drop("_block", "_d")
     return _exceed(null, observed, keys, n_perm, tail)
 
 

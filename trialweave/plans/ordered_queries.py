@@ -284,7 +284,7 @@ _DRAW = f"unnest(range(1, {_N + 1})) AS perm_id"
 
 
 @query(_MEANS + f""", o AS (SELECT condition, avg(m - 50) AS observed, count(m) AS n FROM g GROUP BY condition), d AS (SELECT condition, subject, m - 50 AS x, {_DRAW} FROM g),
-z AS (SELECT condition, perm_id, avg(CASE WHEN substr(md5(perm_id || '-' || subject), 1, 1) < '8' THEN x ELSE -x END) AS v FROM d GROUP BY ALL)
+z AS (SELECT condition, perm_id, avg(CASE WHEN substr(md5(((perm_id - 1) // 32) || '-' || subject), CAST((perm_id - 1) % 32 AS INT) + 1, 1) < '8' THEN x ELSE -x END) AS v FROM d GROUP BY ALL)
 SELECT condition, round(observed, 6) AS observed, CAST(sum(CASE WHEN abs(round(v, 9)) >= abs(round(observed, 9)) THEN 1 ELSE 0 END) AS BIGINT) AS n_beyond, round((sum(CASE WHEN abs(round(v, 9)) >= abs(round(observed, 9)) THEN 1 ELSE 0 END) + 1) / {_N + 1}.0, 6) AS p, round(avg(v), 6) AS null_mean, round(stddev_pop(v), 6) AS null_sd FROM z JOIN o USING (condition) GROUP BY condition, observed""")
 def sign_flip_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _subject_means(spark, sf_dir).withColumn("x", F.col("m") - 50)
