@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions import vectors as V
+from trialweave.operators.lineage import cut
 
 
 def counter(df: DataFrame, keys: list[str], order: list[str], name: str = "trial_no") -> DataFrame:
@@ -78,9 +79,10 @@ def bucketed(df: DataFrame, x: str, parts: int = 32) -> DataFrame:
 def running(values: DataFrame, keys: list[str], x: str, counts: list[str]) -> DataFrame:
     """For one row of each keys and x: {count}_upto, the sum of counts up to x, {count}_all, that of all x, and _bucket.
 
-    Only sums of buckets are ordered as a whole, so no task holds a group.
+    Only sums of buckets are ordered as a whole, so no task holds a group. The rows are written
+    once, as cuts, sums and places each read them.
     """
-    b = bucketed(values, x)
+    b = bucketed(cut(values), x)
     per = b.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_in{k}") for k, c in enumerate(counts)])
     whole, own = Window.partitionBy(*keys), Window.partitionBy(*keys, "_bucket").orderBy(x)
     before = [(F.sum(f"_in{k}").over(whole.orderBy("_bucket")) - F.col(f"_in{k}")).alias(f"_before{k}") for k in range(len(counts))]
