@@ -206,6 +206,45 @@ def test_readers(spark, tmp_path):
         readers.complete(spark.createDataFrame([(0,), (1,), (3,)], "chunk bigint"), 4)
 
 
+def test_refits_of_all_draws_at_once():
+    """Draws together give what a fit a draw gives, with more features than rows and with fewer."""
+    r = np.random.default_rng(2)
+    for n, d in ((12, 30), (40, 5)):
+        x = r.normal(size=(n, d))
+        ys = r.permuted(np.tile(np.arange(n) % 2, (7, 1)), axis=1)
+        w, b = decoding.logistic_draws(x[None], ys)
+        for j, y in enumerate(ys):
+            coef, shift = decoding.logistic(x, y)
+            assert np.allclose(w[j], coef, atol=1e-6) and math.isclose(b[j], shift, abs_tol=1e-6)
+        fold = decoding.fold_draws(ys, 4, r)
+        for j, y in enumerate(ys):
+            assert all(np.ptp(np.bincount(fold[j][y == v], minlength=4)) <= 1 for v in (0, 1))
+        got = decoding.cv_accuracy_draws(x, ys, fold)
+        assert np.allclose(got, [((decoding.cv_scores(x, y, f) > 0) == y).mean() for y, f in zip(ys, fold, strict=True)])
+
+
+def test_shuffled_fits_and_accuracy(spark):
+    """One feature carries the condition: it alone is beyond the refits of shuffled labels; a group of noise is not."""
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(32):
+        for g in (1, 2):
+            x = r.normal(size=5)
+            x[2] += 3.0 * (i % 2) * (g == 1)
+            rows.append((g, i, "B" if i % 2 else "C", [float(v) for v in x]))
+    rows += [(3, i, "B", [0.0] * 5) for i in range(4)]
+    df = spark.createDataFrame(rows, "g long, trial_idx long, condition string, features array<double>")
+    f = decoding.shuffled_fits(df, ["g"], ("C", "B"), 700, 300).toPandas().set_index(["g", "pos"]).sort_index()
+    assert len(f) == 10  # a group of one condition has none
+    own = np.array([v for g, _, _, v in rows if g == 1])
+    coef = decoding.fit(own, np.array([i % 2 for g, i, _, _ in rows if g == 1]))[2]
+    assert np.allclose(f.loc[1]["weight"], coef, atol=1e-6)
+    assert f.loc[(1, 2)]["importance_p"] == f.loc[(1, 2)]["weight_p"] == 1 / 701
+    assert (f.loc[1].drop(2)["weight_p"] > 0.02).all() and (f.loc[2]["importance_p"] > 0.001).all()
+    p = decoding.permuted_accuracy(df, ["g"], ("C", "B"), 700).toPandas().set_index("g")
+    assert p.loc[1]["p"] == 1 / 701 and p.loc[2]["p"] > 0.01 and abs(p.loc[1]["null_mean"] - 0.5) < 0.05 and len(p) == 2
+
+
 def test_resampling_defaults_are_the_reference_counts():
     import inspect
 
@@ -214,3 +253,5 @@ def test_resampling_defaults_are_the_reference_counts():
     default = lambda f, name: inspect.signature(f).parameters[name].default
     assert default(decoding.importance, "repeats") == default(decoding.permuted_accuracy, "n_perm") == 5000
     assert default(decoding.bootstrap_patterns, "n_boot") == 50
+    assert default(decoding.shuffled_fits, "n_perm") == default(decoding.shuffled_fits, "repeats") == 5000
+    assert [default(decoding.nested, k) for k in ("repeats", "outer", "inner")] == [10, 5, 5] and len(decoding.STRENGTHS) == 20

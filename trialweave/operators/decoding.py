@@ -49,6 +49,30 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, penalize_intercept: b
     return (w[:-1] if basis is x else basis @ w[:-1]), float(w[-1])
 
 
+def logistic_draws(x: np.ndarray, ys: np.ndarray, c: float = 1.0, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`logistic` for each row of labels in ``ys``, in Newton steps of all draws at once: coefficients (draws by features) and intercepts.
+
+    ``x`` is draws by rows by features, or has one entry for all draws.
+    """
+    n, n_pos = ys.shape[1], ys.sum(1, keepdims=True)
+    weight = np.where(ys == 1, n / (2 * n_pos), n / (2 * (n - n_pos)))
+    basis = None if x.shape[2] <= n else np.linalg.qr(x.swapaxes(1, 2))[0]
+    z = x if basis is None else x @ basis
+    a = np.concatenate([z, np.ones((*z.shape[:2], 1))], 2)
+    ridge = np.full(a.shape[2], 1.0)
+    ridge[-1] = 1e-10
+    w = np.zeros((len(ys), a.shape[2]))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip((a @ w[:, :, None])[:, :, 0], -35, 35)))
+        grad = c * (a.swapaxes(1, 2) @ (weight * (p - ys))[:, :, None])[:, :, 0] + ridge * w
+        hess = c * a.swapaxes(1, 2) @ (a * (weight * p * (1 - p))[:, :, None]) + np.diag(ridge)
+        step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (w[:, :-1] if basis is None else (basis @ w[:, :-1, None])[:, :, 0]), w[:, -1]
+
+
 def fit(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     mean, scale = standardizer(x)
     coef, intercept = logistic((x - mean) / scale, y, c)
@@ -80,6 +104,31 @@ def group_folds(y: np.ndarray, groups: np.ndarray, k: int, seed: int) -> np.ndar
     return np.array([fold[g] for g in groups])
 
 
+def fold_draws(ys: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
+    """Stratified folds of each row of labels with equal class counts, so a fold has the same size in every draw."""
+    by_class = np.argsort(ys + r.random(ys.shape), 1)  # a class after the other, each shuffled
+    n_pos = int(ys[0].sum())
+    dealt = np.concatenate([np.arange(ys.shape[1] - n_pos) % k, np.arange(n_pos) % k])
+    out = np.empty(ys.shape, int)
+    np.put_along_axis(out, by_class, np.broadcast_to(dealt, ys.shape), 1)
+    return out
+
+
+def cv_accuracy_draws(x: np.ndarray, ys: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Cross-validated accuracy of each row of labels with its own folds."""
+    hits = np.zeros(len(ys))
+    for f in np.unique(fold):
+        order = np.argsort(fold == f, 1, kind="stable")
+        train, test = np.split(order, [int((fold[0] != f).sum())], 1)
+        rows = x[train]
+        mean, scale = rows.mean(1, keepdims=True), rows.std(1, keepdims=True)
+        scale = np.where(scale == 0, 1.0, scale)
+        coef, shift = logistic_draws((rows - mean) / scale, np.take_along_axis(ys, train, 1))
+        s = (((x[test] - mean) / scale) @ coef[:, :, None])[:, :, 0] + shift[:, None]
+        hits += ((s > 0) == np.take_along_axis(ys, test, 1)).sum(1)
+    return hits / ys.shape[1]
+
+
 def cv_scores(x: np.ndarray, y: np.ndarray, fold: np.ndarray, c: float = 1.0) -> np.ndarray:
     """Decision scores of rows from models that did not see their fold; NaN where a class is missing."""
     out = np.full(len(y), np.nan)
@@ -90,8 +139,12 @@ def cv_scores(x: np.ndarray, y: np.ndarray, fold: np.ndarray, c: float = 1.0) ->
     return out
 
 
-def _grouped(df: DataFrame, keys: list[str], condition: str, pair: tuple[str, str], order: str, vector: str, body, schema: str) -> DataFrame:
-    """``body(x, y, key, table)`` on each group's two conditions, the second as 1."""
+def _grouped(df: DataFrame, keys: list[str], condition: str, pair: tuple[str, str], order: str, vector: str, body, schema: str, spread: bool = True) -> DataFrame:
+    """``body(x, y, key, table)`` on each group's two conditions, the second as 1.
+
+    Fits cost time, not bytes: with ``spread`` they keep the session's number of partitions, which
+    adaptive execution would merge to a few as the rows are small.
+    """
     kinds = dict(df.dtypes)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +158,23 @@ def _grouped(df: DataFrame, keys: list[str], condition: str, pair: tuple[str, st
         return frame[[*keys, *names]]
 
     full = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema
-    return df.where(F.col(condition).isin(*pair)).groupBy(*keys).applyInPandas(run, full)
+    rows = df.where(F.col(condition).isin(*pair))
+    if spread:
+        rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.groupBy(*keys).applyInPandas(run, full)
+
+
+#: Draws of a block: refits of a group are spread over tasks by blocks.
+PER_BLOCK = 500
+
+
+def _blocks(df: DataFrame, n_draws: int) -> DataFrame:
+    """Each row once for every block of draws, numbered in _block."""
+    return df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_draws - 1) // PER_BLOCK))))
+
+
+def _block_size(block: int, n_draws: int) -> int:
+    return min(PER_BLOCK, n_draws - block * PER_BLOCK)
 
 
 def decode(df: DataFrame, keys: list[str], pair: tuple[str, str], condition: str = "condition", order: str = "trial_idx", vector: str = "features", k: int = 4, min_trials: int = 4) -> DataFrame:
@@ -138,7 +207,7 @@ def models(df: DataFrame, keys: list[str], pair: tuple[str, str], condition: str
         mean, scale, coef, intercept = fit(x, y, c)
         return {"mean": [mean.tolist()], "scale": [scale.tolist()], "coef": [coef.tolist()], "intercept": [intercept]}
 
-    return _grouped(df, keys, condition, pair, order, vector, body, MODEL)
+    return _grouped(df, keys, condition, pair, order, vector, body, MODEL, spread=False)  # already dealt by the windows
 
 
 def score(vector: str = "features") -> Column:
@@ -253,8 +322,15 @@ def importance(df: DataFrame, keys: list[str], pair: tuple[str, str], repeats: i
     return _grouped(df, keys, condition, pair, order, vector, body, "pos bigint, importance double, p double")
 
 
-def nested(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, outer: int = 3, inner: int = 3, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
-    """Nested cross-validation by whole groups (subjects): forced-choice accuracy of held-out groups, with the strength chosen inside."""
+#: Strengths of nested cross-validation: 20 from 0.01 to 100, evenly in the logarithm.
+STRENGTHS = tuple(float(v) for v in np.logspace(-2, 2, 20))
+
+
+def nested(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, repeats: int = 10, outer: int = 5, inner: int = 5, grid: tuple[float, ...] = STRENGTHS, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
+    """Repeated nested cross-validation by whole groups (subjects): forced-choice accuracy of held-out groups, with the strength chosen inside.
+
+    Mean and deviation over repeats, each of which is a task of its own, and the median strength.
+    """
 
     def forced(s, y, g):
         hits = [s[(g == k) & (y == 1)].mean() > s[(g == k) & (y == 0)].mean() for k in np.unique(g) if len(np.unique(y[g == k])) == 2]
@@ -267,32 +343,72 @@ def nested(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, ou
         fold, got, chosen = group_folds(y, g, outer, seed_of(*key)), [], []
         for f in np.unique(fold):
             train = fold != f
+            if len(np.unique(y[train])) < 2:
+                continue
             within = group_folds(y[train], g[train], inner, seed_of(*key, f))
             marks = [np.nan_to_num(forced(cv_scores(x[train], y[train], within, c), y[train], g[train])) for c in grid]
             c = grid[int(np.argmax(marks))]
             got.append(forced(decision(x[~train], fit(x[train], y[train], c)), y[~train], g[~train]))
             chosen.append(c)
+        if not np.isfinite(got).any():
+            return None
         return {"n_groups": [len(np.unique(g))], "accuracy": [float(np.nanmean(got))], "strength": [float(np.median(chosen))]}
 
-    return _grouped(df, keys, condition, pair, order, vector, body, "n_groups bigint, accuracy double, strength double")
+    again = df.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    each = _grouped(again, [*keys, "_repeat"], condition, pair, order, vector, body, "n_groups bigint, accuracy double, strength double")
+    return each.groupBy(*keys).agg(F.max("n_groups").alias("n_groups"), F.count(F.lit(1)).alias("n_repeats"), F.avg("accuracy").alias("accuracy"), F.stddev_samp("accuracy").alias("accuracy_sd"), F.median("strength").alias("strength"))
 
 
 def permuted_accuracy(df: DataFrame, keys: list[str], pair: tuple[str, str], n_perm: int = 5000, k: int = 4, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
-    """Cross-validated accuracy, and the share of label shuffles that reach it, as (c + 1) / (n + 1)."""
-
-    def accuracy(x, y, seed):
-        s = cv_scores(x, y, folds(y, k, seed))
-        ok = np.isfinite(s)
-        return ((s > 0) == y)[ok].mean()
+    """Cross-validated accuracy, and the share of label shuffles (each with folds of its own) that reach it, as (c + 1) / (n + 1)."""
 
     def body(x, y, key, _pdf):
         if min((y == 0).sum(), (y == 1).sum()) < k:
             return None
-        r, observed = np.random.default_rng(seed_of(*key)), accuracy(x, y, 0)
-        null = np.array([accuracy(x, r.permutation(y), j) for j in range(n_perm)])
-        return {"accuracy": [float(observed)], "null_mean": [float(null.mean())], "p": [float(((null >= observed).sum() + 1) / (n_perm + 1))]}
+        observed = cv_accuracy_draws(x, y[None], folds(y, k, 0)[None])[0]
+        r, n = np.random.default_rng(seed_of(*key)), _block_size(key[-1], n_perm)
+        ys = r.permuted(np.tile(y, (n, 1)), axis=1)
+        null = cv_accuracy_draws(x, ys, fold_draws(ys, k, r))
+        return {"accuracy": [float(observed)], "n": [n], "total": [float(null.sum())], "n_beyond": [int((null >= observed - 1e-12).sum())]}
 
-    return _grouped(df, keys, condition, pair, order, vector, body, "accuracy double, null_mean double, p double")
+    each = _grouped(_blocks(df, n_perm), [*keys, "_block"], condition, pair, order, vector, body, "accuracy double, n bigint, total double, n_beyond bigint")
+    return each.groupBy(*keys).agg(F.max("accuracy").alias("accuracy"), (F.sum("total") / F.sum("n")).alias("null_mean"), ((F.sum("n_beyond") + 1) / (F.sum("n") + 1)).alias("p"))
+
+
+def shuffled_fits(df: DataFrame, keys: list[str], pair: tuple[str, str], n_perm: int = 5000, repeats: int = 5000, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
+    """Weight and importance of each feature beside those of models refitted on shuffled labels.
+
+    ``importance`` is the drop of the mean margin when a feature is shuffled, in sample, over
+    ``repeats``; its p counts refits whose drop (one shuffle each) reaches it. ``weight_z`` and
+    ``weight_p`` hold the weight against the refits' weights, two-sided. p is (c + 1) / (n + 1).
+    Groups with fewer than two trials of a condition give no rows.
+    """
+
+    def drops(z, signs, r):
+        return 2 / z.shape[0] * (signs - r.permuted(signs, axis=1)) @ z
+
+    def body(x, y, key, _pdf):
+        if min(y.sum(), len(y) - y.sum()) < 2:
+            return None
+        mean, scale = standardizer(x)
+        z, own = (x - mean) / scale, np.random.default_rng(seed_of(*key[:-1]))
+        weight = logistic_draws(z[None], y[None])[0][0]
+        seen = weight * drops(z, np.tile(2 * y - 1, (repeats, 1)), own).mean(0)
+        r, n = np.random.default_rng(seed_of(*key)), _block_size(key[-1], n_perm)
+        ys = r.permuted(np.tile(y, (n, 1)), axis=1)
+        drawn = logistic_draws(z[None], ys)[0]
+        lost = drawn * drops(z, 2 * ys - 1, r)
+        return {
+            "pos": np.arange(x.shape[1]), "weight": weight, "importance": seen, "n": n, "total": drawn.sum(0), "squares": (drawn * drawn).sum(0),
+            "n_weight": (np.abs(drawn) >= np.abs(weight) - 1e-9).sum(0), "n_importance": (lost >= seen).sum(0),
+        }
+
+    schema = "pos bigint, weight double, importance double, n bigint, total double, squares double, n_weight bigint, n_importance bigint"
+    each = _grouped(_blocks(df, n_perm), [*keys, "_block"], condition, pair, order, vector, body, schema)
+    n, m = F.sum("n"), F.sum("total") / F.sum("n")
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.sum("squares") / n - m * m))
+    p = lambda c: (F.sum(c) + 1) / (n + 1)
+    return each.groupBy(*keys, "pos").agg(F.max("weight").alias("weight"), ((F.max("weight") - m) / (sd + 1e-12)).alias("weight_z"), p("n_weight").alias("weight_p"), F.max("importance").alias("importance"), p("n_importance").alias("importance_p"))
 
 
 def bootstrap_patterns(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, n_boot: int = 50, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.operators import centroids, clusters, decoding, design
+from trialweave.operators import centroids, clusters, decoding, design, ordered
 from trialweave.sources import adapters as A
 from trialweave.sources import readers
 from trialweave.sources.adapters import SCORES
@@ -165,7 +165,22 @@ def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permuted_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of each subject against its own label shuffles."""
-    return decoding.permuted_accuracy(A.trials(spark, sf_dir), ["subject"], PAIR, 20)
+    return decoding.permuted_accuracy(A.trials(spark, sf_dir), ["subject"], PAIR)
+
+
+@query()
+def empirical_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each subject whose importance is positive and beyond that of models of shuffled labels (p < 0.05)."""
+    f = decoding.shuffled_fits(A.trials(spark, sf_dir), ["subject"], PAIR)
+    return f.select("subject", "pos", "importance", F.col("importance_p").alias("p"), ((F.col("importance_p") < 0.05) & (F.col("importance") > 0)).alias("selected"))
+
+
+@query()
+def weight_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of each subject's model against those of shuffled labels: z, p and q over the subject's features."""
+    f = decoding.shuffled_fits(A.trials(spark, sf_dir), ["subject"], PAIR, repeats=1)
+    q = ordered.bh_within(f.select("subject", "pos", "weight", F.col("weight_z").alias("z"), F.col("weight_p").alias("p")), ["subject"], "p", "pos")
+    return q.withColumn("rejected", F.col("q") <= 0.05)
 
 
 @query()
