@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import tails
 from trialweave.functions import vectors as V
-from trialweave.operators import clusters, decoding, design, geometry, ordered
+from trialweave.operators import clusters, decoding, design, geometry, ordered, selection, similarity
 from trialweave.operators import permutation as perm
 from trialweave.sources import readers
 
@@ -245,6 +245,32 @@ def test_shuffled_fits_and_accuracy(spark):
     assert p.loc[1]["p"] == 1 / 701 and p.loc[2]["p"] > 0.01 and abs(p.loc[1]["null_mean"] - 0.5) < 0.05 and len(p) == 2
 
 
+def test_largest_values_with_ties(spark):
+    """The same rows as a sort of each group; ties at the edge go to the larger feature."""
+    r = np.random.default_rng(11)
+    rows = [(g, f, float(v)) for g in (1, 2) for f, v in enumerate(r.integers(-6, 7, 300))] + [(1, 900, None), (1, 901, math.nan)]
+    df = spark.createDataFrame(rows, "g long, feature_id long, value double")
+    for n in (1, 17, 60, 299, 1000):
+        got = {(x["g"], x["feature_id"]) for x in selection.largest(df, ["g"], "value", "feature_id", n).collect()}
+        want = {(g, f) for k in (1, 2) for g, f, _ in sorted((x for x in rows if x[0] == k and x[2] is not None and not math.isnan(x[2])), key=lambda x: (-abs(x[2]), -x[1]))[:n]}
+        assert got == want
+
+
+def test_cube_pairs_and_region_matrix(spark):
+    """Missing elements and small cubes give NULL; a region without spread has no rows."""
+    x = [[1.0, 2.0, 4.0, 1.0], [2.0, 1.0, 5.0, 1.0], [0.0, 3.0, math.nan, 1.0], [4.0, 1.0, 1.0, 1.0]]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "subject long, trial_idx long, features array<double>")
+    near = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 1), (2, 0), (2, 1)], "center long, neighbor long")
+    pairs = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 3, 4)], "subject long, trial_a long, trial_b long")
+    got = {(r["trial_a"], r["center"]): (r["pearson"], r["cosine"]) for r in similarity.cube_pairs(df, pairs, near, ["subject"]).collect()}
+    assert set(got) == {(a, c) for a in (0, 1) for c in (0, 1, 2)}
+    assert math.isclose(got[0, 0][0], np.corrcoef(x[0][:3], x[1][:3])[0, 1]) and math.isclose(got[0, 2][1], 4 / 5)
+    assert got[0, 1] == got[1, 0] == (None, None) and got[1, 2][0] is not None
+    m = similarity.region_matrix(df.where("trial_idx <> 2"), ["subject"], {"a": [0], "b": [1, 2], "c": [3]}).collect()
+    assert {(r["region_a"], r["region_b"]) for r in m} == {("a", "b"), ("b", "a")}
+    assert all(math.isclose(r["r"], np.corrcoef([1, 2, 4], [3, 3, 1])[0, 1]) for r in m)
+
+
 def test_resampling_defaults_are_the_reference_counts():
     import inspect
 

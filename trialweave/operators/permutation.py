@@ -80,6 +80,22 @@ def interaction(df: DataFrame, keys: list[str], subject: str, label: str, a: str
     return _exceed(null, observed, keys, n_perm, "two")
 
 
+def map_similarity(maps: DataFrame, subject: str, label: str, a: str, b: str, vector: str, width: int, n_perm: int = 5000) -> DataFrame:
+    """Cosine of the mean maps of two groups against shuffled groups; one row, p = 2 * min(share at or below, share at or above), at most 1."""
+    from trialweave.functions import vectors as V
+    from trialweave.operators.centroids import mean_vectors
+
+    own = maps.select(subject, label, vector)
+    every = relabelled(own.select(subject, label), subject, label, n_perm).unionByName(own.select(F.lit(0).alias("perm_id"), subject, label))
+    m = mean_vectors(every.join(own.select(subject, vector), subject), ["perm_id", label], width, vector, "_m")
+    of = lambda g: F.any_value(F.when(F.col(label) == g, F.col("_m")), True)
+    c = m.groupBy("perm_id").agg(of(a).alias("_a"), of(b).alias("_b")).select("perm_id", F.round(V.cosine("_a", "_b"), 9).alias("_c"))
+    seen, null = F.any_value(F.when(F.col("perm_id") == 0, F.col("_c")), True), F.collect_list(F.when(F.col("perm_id") > 0, F.col("_c")))
+    one = c.agg(seen.alias("similarity"), null.alias("_null"))  # n_perm numbers
+    one = one.withColumn("n_below", F.size(F.filter("_null", lambda x: x <= F.col("similarity"))).cast("bigint")).withColumn("n_above", F.size(F.filter("_null", lambda x: x >= F.col("similarity"))).cast("bigint"))
+    return one.select("similarity", "n_below", "n_above", F.least(F.lit(1.0), 2.0 * F.least("n_below", "n_above") / F.lit(float(n_perm))).alias("p"), V.mean("_null").alias("null_mean"))
+
+
 def within_subject_labels(df: DataFrame, subject: str, trial: str, label: str, n_perm: int) -> DataFrame:
     """perm_id, subject, trial and label, shuffled among a subject's trials."""
     base = df.select(subject, trial, label).withColumn("_rank", F.row_number().over(Window.partitionBy(subject).orderBy(trial)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.functions import vectors as V
+from trialweave.operators.ordered import running, same
+
 #: How trial numbers stand in names, tried in this order.
 TRIAL_PATTERNS = [r"trial[-_]?([0-9]+)", r"#([0-9]+)", r"_([0-9]+)$", r"([0-9]+)"]
 
@@ -28,6 +31,18 @@ def top_by_size(df: DataFrame, keys: list[str], value: str, feature: str, n: int
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def largest(df: DataFrame, keys: list[str], value: str, tie: str, n: int) -> DataFrame:
+    """The n largest absolute values within keys, ties to the larger ``tie``; NULL and NaN are left out.
+
+    Counts are carried over ranges of the values, so only rows of one value are ordered in a task.
+    """
+    sized = df.withColumn("_size", F.abs(F.col(value).cast("double"))).where(F.col("_size").isNotNull() & ~F.isnan("_size"))
+    counts = running(sized.groupBy(*keys, "_size").agg(F.count(F.lit(1)).alias("_n")), keys, "_size", ["_n"])
+    above = counts.select(*keys, "_size", (F.col("_n_all") - F.col("_n_upto")).alias("_above")).where(F.col("_above") < n)
+    w = Window.partitionBy(*keys, "_size").orderBy(F.col(tie).desc())
+    return same(sized, above, [*keys, "_size"]).withColumn("_at", F.row_number().over(w)).where(F.col("_above") + F.col("_at") <= n).drop("_size", "_above", "_at")
+
+
 def matched(df: DataFrame, group: str, a: str, b: str, hit: Column, size: str, feature: str, share: float = 0.02) -> DataFrame:
     """Hits of both groups; a group without any takes as many of its largest as the other has, and both the top ``share`` if neither has one."""
     marked = df.where(F.col(group).isin(a, b)).withColumn("_hit", hit)
@@ -36,7 +51,7 @@ def matched(df: DataFrame, group: str, a: str, b: str, hit: Column, size: str, f
         return marked.where("_hit").drop("_hit")
     n = c["a"] or c["b"] or max(1, round(c["n"] * share))
     bare = [g for g, k in ((a, c["a"]), (b, c["b"])) if not k]
-    chosen = top_by_size(marked.where(F.col(group).isin(*bare)), [group], size, feature, n).drop("rank")
+    chosen = largest(marked.where(F.col(group).isin(*bare)), [group], size, feature, n)
     return chosen.unionByName(marked.where(F.col("_hit") & ~F.col(group).isin(*bare))).drop("_hit")
 
 
@@ -47,6 +62,27 @@ def importance_mask(df: DataFrame, score: str, p: str, alpha: float = 0.05, leas
     return positive.crossJoin(F.broadcast(primary)).where((F.col("_n") < least) | (F.col(p) < alpha)).drop("_n")
 
 
+def valid_features(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys whose values are all finite and vary: n and population variance."""
+    fine = V.is_finite(F.col(value))
+    m = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(fine, 1)).alias("_fine"), F.var_pop(F.when(fine, F.col(value))).alias("variance"))
+    return m.where("n = _fine and variance > 0").drop("_fine")
+
+
+def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of the smallest ``order`` for each of keys, combined before the shuffle; a table joined for display has each key once."""
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    return df.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in (order, *rest)])
+
+
+def group_of_prefix(subject: str, groups: dict[str, str]) -> Column:
+    """Group by the first characters of an id; NULL for others."""
+    out = F.lit(None).cast("string")
+    for prefix, group in groups.items():
+        out = F.when(F.col(subject).cast("string").startswith(prefix), group).otherwise(out)
+    return out
+
+
 def coverage(df: DataFrame, keys: list[str], condition: str, least: int) -> DataFrame:
     """For each condition: how many keys have trials, and how many have at least ``least``."""
     n = df.groupBy(*keys, condition).agg(F.count(F.lit(1)).alias("_n"))

@@ -131,3 +131,33 @@ def _window(keys: list[str], order: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(*keys).orderBy(order)
+
+
+def cube_pairs(df: DataFrame, pairs: DataFrame, near: DataFrame, keys: list[str], trial: str = "trial_idx", vector: str = "features") -> DataFrame:
+    """pearson and cosine of two trials' elements around each centre: keys, trial_a, trial_b, center.
+
+    ``pairs`` has keys, trial_a and trial_b; pairs with a trial that is not there give no rows. NULL
+    where a neighbourhood has fewer than two elements or one that is missing. ``near`` is bounded
+    by the length of the vector, as for :func:`neighbourhoods`.
+    """
+    of = lambda side: df.select(*keys, F.col(trial).alias(f"trial_{side}"), F.col(vector).alias(f"_{side}"))
+    two = pairs.select(*keys, "trial_a", "trial_b").join(of("a"), [*keys, "trial_a"]).join(of("b"), [*keys, "trial_b"])
+    zipped = two.select(*keys, "trial_a", "trial_b", F.zip_with("_a", "_b", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("_v"))
+    around = neighbourhoods(zipped, near.withColumn("rank", F.col("neighbor")), "_v")
+    around = around.withColumn("_x", F.transform("_v", lambda s: s["x"])).withColumn("_y", F.transform("_v", lambda s: s["y"]))
+    ok = (F.size("_v") >= 2) & F.forall("_v", lambda s: V.is_finite(s["x"]) & V.is_finite(s["y"]))
+    return around.select(*keys, "trial_a", "trial_b", "center", F.when(ok, V.pearson("_x", "_y")).alias("pearson"), F.when(ok, V.cosine("_x", "_y")).alias("cosine"))
+
+
+def region_matrix(df: DataFrame, keys: list[str], regions: dict[str, list[int]], vector: str = "features") -> DataFrame:
+    """region_a, region_b, n_trials, r: correlation of two regions' means over the trials of keys, both ways round.
+
+    All pairs of regions are columns of one aggregation, so trials are shuffled as sums only.
+    Regions without spread or with missing values have no rows.
+    """
+    names = list(regions)
+    means = df.select(*keys, *[V.mean(V.gather(vector, at)).alias(f"_{n}") for n, at in regions.items()])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    wide = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trials"), *[F.corr(f"_{a}", f"_{b}").alias(f"_r{k}") for k, (a, b) in enumerate(pairs)])
+    rows = [F.struct(F.lit(x).alias("region_a"), F.lit(y).alias("region_b"), F.col(f"_r{k}").alias("r")) for k, (a, b) in enumerate(pairs) for x, y in ((a, b), (b, a))]
+    return wide.select(*keys, "n_trials", F.inline(F.array(*rows))).where(F.col("r").isNotNull() & ~F.isnan("r"))
