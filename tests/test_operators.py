@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import tails
 from trialweave.functions import vectors as V
-from trialweave.operators import clusters, decoding, design, geometry, ordered, selection, similarity
+from trialweave.operators import clusters, decoding, design, drift, geometry, inference, ordered, selection, similarity
 from trialweave.operators import permutation as perm
 from trialweave.sources import readers
 
@@ -271,6 +271,19 @@ def test_cube_pairs_and_region_matrix(spark):
     assert all(math.isclose(r["r"], np.corrcoef([1, 2, 4], [3, 3, 1])[0, 1]) for r in m)
 
 
+def test_correlations_of_constants(spark):
+    """A group in which one side does not vary has no r, beside groups that have one."""
+    rows = [(g, float(i), float(i * i % 5), float(i) if g == 1 else 2.0) for g in (1, 2) for i in range(8)]
+    df = spark.createDataFrame(rows, "g long, index double, cov double, m double")
+    r = {x["g"]: x["r"] for x in inference.correlations(df, ["g"], ["m"], "index").collect()}
+    assert math.isclose(r[1], 1.0) and r[2] is None
+    part = {x["g"]: x["partial_r"] for x in inference.partial_correlation(df, ["g"], "cov", "m", "index").collect()}
+    assert part[2] is None
+    pairs = df.withColumn("no", F.col("index").cast("long"))
+    c = {x["g"]: x["r"] for x in drift.coupling(pairs.select("g", "no", "cov"), pairs.select("g", "no", "m"), ["g"], ["no"], "cov", "m").collect()}
+    assert c[2] is None and math.isclose(c[1], np.corrcoef([i * i % 5 for i in range(8)], range(8))[0, 1])
+
+
 def test_resampling_defaults_are_the_reference_counts():
     import inspect
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions import vectors as V
+from trialweave.functions.aggregates import corr
 from trialweave.operators.centroids import mean_vectors
 from trialweave.operators.ordered import halves
 
@@ -73,7 +74,7 @@ def coupling(left: DataFrame, right: DataFrame, keys: list[str], on: list[str],
     """Pearson r of two trial series within keys (and ``by``, columns of the left one), with at least three pairs and two distinct values on both sides."""
     j = left.join(right, [*keys, *on]).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ok = (F.count(F.lit(1)) >= 3) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return j.groupBy(*keys, *(by or [])).agg(F.count(F.lit(1)).alias("n_pairs"), F.when(ok, F.corr(x, y)).alias("r"))
+    return j.groupBy(*keys, *(by or [])).agg(F.count(F.lit(1)).alias("n_pairs"), F.when(ok, corr(x, y)).alias("r"))
 
 
 def _window(keys: list[str], order: str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.functions.aggregates import corr
 from trialweave.functions.tails import t_p_two_sided, t_p_upper, z_from_p
 from trialweave.operators.ordered import running
 
@@ -64,7 +65,7 @@ def correlations(df: DataFrame, keys: list[str], metrics: list[str], index: str,
     """Pearson r of each metric with an index, its t and two-sided p; NULL under ``min_n`` complete rows."""
     long = df.select(*keys, index, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")).select(*keys, index, "_m.metric", "_m.value")
     full = long.where(F.col("value").isNotNull() & F.col(index).isNotNull())
-    r = F.corr("value", index)
+    r = corr("value", index)
     out = full.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= min_n, r).alias("r"))
     return with_p(out.withColumn("t", _t_of_r("r")), free=F.col("n") - 2)
 
@@ -76,7 +77,7 @@ def _t_of_r(r: str) -> Column:
 def partial_correlation(df: DataFrame, keys: list[str], x: str, y: str, covariate: str) -> DataFrame:
     """Correlation of what a covariate leaves of x and y; its p takes the residuals as data, with n - 2 degrees of freedom."""
     full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(covariate).isNotNull())
-    t = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("_xy"), F.corr(x, covariate).alias("_xz"), F.corr(y, covariate).alias("_yz"))
+    t = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), corr(x, y).alias("_xy"), corr(x, covariate).alias("_xz"), corr(y, covariate).alias("_yz"))
     part = F.try_divide(F.col("_xy") - F.col("_xz") * F.col("_yz"), F.sqrt((1 - F.col("_xz") * F.col("_xz")) * (1 - F.col("_yz") * F.col("_yz"))))
     out = t.select(*keys, "n", F.col("_xy").alias("r"), F.when(F.col("n") > 3, part).otherwise(F.col("_xy")).alias("partial_r"))
     return with_p(out.withColumn("t", _t_of_r("partial_r")), free=F.col("n") - 2)

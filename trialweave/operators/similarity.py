@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions import vectors as V
+from trialweave.functions.aggregates import corr
 from trialweave.operators.centroids import mean_vectors
 from trialweave.operators.ordered import slices
 
@@ -158,6 +159,6 @@ def region_matrix(df: DataFrame, keys: list[str], regions: dict[str, list[int]],
     names = list(regions)
     means = df.select(*keys, *[V.mean(V.gather(vector, at)).alias(f"_{n}") for n, at in regions.items()])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    wide = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trials"), *[F.corr(f"_{a}", f"_{b}").alias(f"_r{k}") for k, (a, b) in enumerate(pairs)])
+    wide = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trials"), *[corr(f"_{a}", f"_{b}").alias(f"_r{k}") for k, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(x).alias("region_a"), F.lit(y).alias("region_b"), F.col(f"_r{k}").alias("r")) for k, (a, b) in enumerate(pairs) for x, y in ((a, b), (b, a))]
     return wide.select(*keys, "n_trials", F.inline(F.array(*rows))).where(F.col("r").isNotNull() & ~F.isnan("r"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions import vectors as V
+from trialweave.functions.aggregates import corr
 from trialweave.operators import centroids, geometry, selection, similarity
 from trialweave.operators import permutation as perm
 from trialweave.sources import adapters as A
@@ -84,7 +85,7 @@ def sphere_dissimilarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = geometry.sphere(A.features(spark, sf_dir), 1.0).join(wide, "neighbor")
     ok = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     pairs = [("A", "N"), ("A", "R"), ("N", "R")]
-    r = j.groupBy("center").agg(*[F.corr(F.when(ok(a, b), F.col(a)), F.when(ok(a, b), F.col(b))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)], *[F.count(F.when(ok(a, b), 1)).alias(f"n{k}") for k, (a, b) in enumerate(pairs)])
+    r = j.groupBy("center").agg(*[corr(F.when(ok(a, b), F.col(a)), F.when(ok(a, b), F.col(b))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)], *[F.count(F.when(ok(a, b), 1)).alias(f"n{k}") for k, (a, b) in enumerate(pairs)])
     full = r.where(" and ".join(f"n{k} >= 5 and r{k} is not null and not isnan(r{k})" for k in range(3)))
     return full.select("center", F.round(((1 - F.col("r0")) + (1 - F.col("r1")) + (1 - F.col("r2"))) / 3, 5).alias("dissimilarity"))
 
@@ -109,7 +110,7 @@ def label_permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of a region's mean (its first 16 features) with trial order."""
     t = A.trials(spark, sf_dir).withColumn("m", V.mean(V.gather("features", list(range(16)))))
-    g = t.groupBy("subject", "phase", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("m", F.col("trial_idx").cast("double")), 6).alias("r"))
+    g = t.groupBy("subject", "phase", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(corr("m", F.col("trial_idx").cast("double")), 6).alias("r"))
     return g.where("n >= 3")
 
 
