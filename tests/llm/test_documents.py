@@ -719,3 +719,38 @@ def test_substring_odd_tables(odd, empty, spark):
     many = spark.createDataFrame([(None, prose(700 + k % 3, 40)) for k in range(30)], "doc_id bigint, text string")
     assert substring_dedup.digest(many).where("n_removed = 0").count() == 3 and substring_dedup.digest(many).where("n_removed = n_words").count() == 27
     assert substring_dedup.digest(empty).count() == 0
+
+
+def thue_morse(n: int, swap: bool = False) -> str:
+    """Words of n letters that every polynomial hash modulo a power of two confuses, from 1,024 letters on."""
+    return "".join("ab"[bin(k).count("1") % 2 ^ swap] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 120, 128, 136, 1024, 4096])
+def test_long_words_are_told_apart(spark, n):
+    """Documents whose windows differ in one long word: nothing is removed, and sets differ."""
+    start = " ".join(f"word{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{start} {thue_morse(n)}"), (2, f"{start} {thue_morse(n, True)}")], "doc_id bigint, text string")
+    assert [r.n_removed for r in substring_dedup.digest(docs).collect()] == [0, 0]
+    found = {r.doc_id: r for r in minhash_join.sketch(docs).collect()}
+    assert (found[1].key1, found[1].key2) != (found[2].key1, found[2].key2)
+
+
+def test_word_hashes_depend_on_words_alone():
+    import numpy as np
+    import pyarrow as pa
+
+    from trialweave.llm import words as W
+
+    texts = [f"{'x' * k} {'y' * (300 - k)}" for k in range(1, 300)] + ["", "a", "x" * 8, "ABCdefgh" * 3, "abcdefgh" * 3]
+    data, offsets = W.strings(pa.array(texts))
+    for fold, same in ((W.SAME, lambda w: w), (W.LOWER, lambda w: w.lower())):
+        for seed in (0, 1):
+            found = W.words(data, offsets, fold=fold)
+            hashes = W.hashes(data, found.starts, found.ends, fold, seed)
+            by = defaultdict(set)
+            for a, b, h in zip(found.starts, found.ends, hashes, strict=True):
+                by[same(data[a:b].tobytes())].add(int(h))
+            assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
+            if not seed:
+                assert np.array_equal(hashes, found.hashes)

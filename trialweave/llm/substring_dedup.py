@@ -19,7 +19,7 @@ steps share.
 
 A bucket sends each hash once, however often it occurs, and no step makes pairs: a passage
 in a third of all documents is one hash of every bucket. Windows are told apart by two
-64-bit hashes each, made from hashes of their words by different polynomials.
+64-bit hashes each, made from two independent hashes of each word.
 
 Edge cases: a null or empty text has no words; a text of fewer than 20 words loses
 nothing; rows of one doc_id count in the order of their texts, each as a place of its own;
@@ -72,10 +72,10 @@ def _anchors(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def _window_hashes(found: W.Words) -> np.ndarray:
+def _window_hashes(data: np.ndarray, found: W.Words) -> np.ndarray:
     out = np.empty(max(0, len(found.hashes) - WINDOW + 1), _PAIR)
     out["a"] = W.windows(found.hashes, WINDOW)
-    out["b"] = W.windows(W.mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D)), WINDOW, 0x14057B7EF767814F)
+    out["b"] = W.windows(W.hashes(data, found.starts, found.ends, seed=1), WINDOW, 0x14057B7EF767814F)
     return out
 
 
@@ -169,13 +169,13 @@ def removed_words(docs: DataFrame, parts: int | None = None) -> DataFrame:
         upto = np.cumsum(marked)
         inside = W.inside_text(found.first, WINDOW)
         start = np.flatnonzero(inside & (upto[PERIOD : PERIOD + len(inside)] > upto[: len(inside)]))
-        return _by_part(key[0].as_py(), _distinct(_window_hashes(found)[start]), parts, 16)
+        return _by_part(key[0].as_py(), _distinct(_window_hashes(data, found)[start]), parts, 16)
 
     def remove(_key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         order, data, offsets = _texts(table)
         found = W.words(data, offsets)
         start = np.flatnonzero(W.inside_text(found.first, WINDOW))
-        hashes = _window_hashes(found)[start]
+        hashes = _window_hashes(data, found)[start]
         order_of = _order(np.arange(len(start)), hashes)
         again = np.zeros(len(start), bool)
         again[order_of[1:]] = hashes[order_of][1:] == hashes[order_of][:-1]

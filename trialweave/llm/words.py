@@ -1,12 +1,15 @@
-"""Words of many texts at once: byte tables find them, polynomial hashes name them.
+"""Words of many texts at once: byte tables find them, hashes of their bytes name them.
 
 All functions take the bytes of consecutive UTF-8 texts and the offsets of the texts in
-them, as Arrow keeps a string column. Arrays of 8 bytes a byte are made for
-:data:`PIECE` bytes at a time, so memory stays at a few times the size of the text.
+them, as Arrow keeps a string column. A word's hash takes its bytes in blocks of eight and
+spreads them over all bits after each, so no words have equal hashes by their form; words
+of more than ``LONG`` bytes are hashed by BLAKE2. Hashes of another ``seed`` are
+independent of the first.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,17 +17,11 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_UP, _DOWN = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
+#: Words of more bytes are hashed one by one.
+LONG = 128
+#: Words hashed at a time.
+_MANY = 1 << 18
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Bytes that are part of a word: all but space and \t\n\v\f\r.
 NOT_SPACE = np.ones(256, bool)
@@ -74,6 +71,27 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         lo = hi
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = SAME, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word after ``fold``."""
+    padded = np.concatenate([fold[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), _MANY):
+        at, length = starts[lo : lo + _MANY], (ends - starts)[lo : lo + _MANY]
+        h = mix(length.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (1 << 64) - 1))
+        h = mix(h ^ (eight[at] & _BELOW[np.minimum(length, 8)]))
+        left, step = np.flatnonzero((length > 8) & (length <= LONG)), 8
+        while len(left):
+            block = eight[at[left] + step] & _BELOW[np.minimum(length[left] - step, 8)]
+            h[left] = mix(h[left] ^ block)
+            step += 8
+            left = left[length[left] > step]
+        for k in np.flatnonzero(length > LONG):
+            h[k] = int.from_bytes(hashlib.blake2b(padded[at[k] : at[k] + length[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+        out[lo : lo + _MANY] = h
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE, fold: np.ndarray = SAME) -> Words:
     """Every maximal run of ``inside`` bytes within one text, hashed after ``fold``."""
     n = len(data)
@@ -84,15 +102,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE,
     starts[1:] &= ~is_in[:-1] | begins[1:n]
     ends[:-1] &= ~is_in[1:] | begins[1:n]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    hashes, lo = np.empty(len(starts), np.uint64), 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, "right")))
-        a, b = starts[lo], ends[hi - 1]
-        up, down = (_UP, _DOWN) if b - a <= PIECE else (_powers(_BASE, b - a), _powers(_INVERSE, b - a))
-        value = (fold[data[a:b]].astype(np.uint64) + np.uint64(1)) * is_in[a:b] * up[: b - a]
-        hashes[lo:hi] = np.add.reduceat(value, starts[lo:hi] - a) * down[starts[lo:hi] - a]
-        lo = hi
-    return Words(starts, ends, mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets))
+    return Words(starts, ends, hashes(data, starts, ends, fold), np.searchsorted(starts, offsets))
 
 
 def windows(hashes: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
