@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, fill_in_middle, fingerprint, kneser_ney, line_join, minhash_join, mixing, quality_crf, rans, slots, substring_dedup, warc
+from trialweave.llm import decontaminate, fill_in_middle, fingerprint, kneser_ney, line_join, minhash_join, mixing, quality_crf, rans, slots, spelling, substring_dedup, warc
 from trialweave.llm.scratch import new_path
 
 
@@ -63,9 +63,13 @@ def op11_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_multiset_fingerprint, op2_quality_crf, op3_line_edit_join, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op7_warc_normaliser, op8_decontaminate, op9_rans_tokens, op10_cover_anchors, op11_kneser_ney, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_multiset_fingerprint, op2_quality_crf, op3_line_edit_join, op4_slot_sharding, op5_hierarchical_mixing, op6_minhash_join, op7_warc_normaliser, op8_decontaminate, op9_rans_tokens, op10_cover_anchors, op11_kneser_ney, op12_permuterm_variants, op13_fill_in_middle)}
 ORACLE = {"op3_line_edit_join": line_join.ORACLE, "op6_minhash_join": minhash_join.ORACLE, "op7_warc_normaliser": warc.ORACLE, "op10_cover_anchors": substring_dedup.ORACLE, "op5_hierarchical_mixing": mixing.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE}
