@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import tails
 from trialweave.functions import vectors as V
-from trialweave.operators import clusters, decoding, design, drift, geometry, inference, ordered, selection, similarity
+from trialweave.operators import clusters, decoding, design, drift, enhancement, geometry, inference, ordered, selection, similarity
 from trialweave.operators import permutation as perm
 from trialweave.sources import readers
 
@@ -118,10 +118,43 @@ def test_shrunk_covariance():
     assert np.allclose(decoding.shrunk_covariance(np.zeros((5, 3))), 0)
 
 
-def test_clusters():
+def plain_labels(ijk: np.ndarray) -> np.ndarray:
+    """Component number of each voxel, neighbours sharing a face, edge or corner."""
+    index = {tuple(v): k for k, v in enumerate(ijk)}
+    part = np.arange(len(ijk))
+
+    def find(x: int) -> int:
+        while part[x] != x:
+            part[x] = part[part[x]]
+            x = part[x]
+        return x
+
+    moves = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
+    for k, (a, b, c) in enumerate(ijk):
+        for da, db, dc in moves:
+            other = index.get((a + da, b + db, c + dc))
+            if other is not None:
+                x, y = find(k), find(other)
+                part[max(x, y)] = min(x, y)
+    return np.array([find(k) for k in range(len(ijk))], int)
+
+
+def plain_enhanced(t: np.ndarray, ijk: np.ndarray, step: float = 0.1, e: float = 0.5, h: float = 2.0) -> np.ndarray:
+    """Threshold-free enhancement: sum over heights of extent**e * height**h * step, for each side."""
+    out = np.zeros(len(t))
+    for height in np.arange(step, np.abs(t).max(initial=0) + step, step):
+        for side in (1, -1):
+            over = np.flatnonzero(side * t >= height)
+            if len(over):
+                part = plain_labels(ijk[over])
+                out[over] += np.bincount(part, minlength=len(over))[part] ** e * height**h * step
+    return out
+
+
+def test_plain_clusters():
     ijk = np.array([(0, 0, 0), (1, 1, 1), (5, 5, 5), (2, 2, 2), (9, 0, 0)])
-    assert (clusters.labels(ijk) == [0, 0, 2, 0, 4]).all()
-    assert (clusters.enhanced(np.array([3.0, 4.0, 5.0, 2.5, -6.0]), ijk) > 0).all()
+    assert (plain_labels(ijk) == [0, 0, 2, 0, 4]).all()
+    assert (plain_enhanced(np.array([3.0, 4.0, 5.0, 2.5, -6.0]), ijk) > 0).all()
 
 
 def plain_masses(t, ijk, limit):
@@ -129,7 +162,7 @@ def plain_masses(t, ijk, limit):
     for side in (1, -1):
         over = np.flatnonzero(side * t > limit)
         if len(over):
-            part = clusters.labels(ijk[over])
+            part = plain_labels(ijk[over])
             out[over] = np.bincount(part, np.abs(t[over]) - limit, minlength=len(over))[part]
     return out
 
@@ -294,3 +327,36 @@ def test_resampling_defaults_are_the_reference_counts():
     assert default(decoding.bootstrap_patterns, "n_boot") == 50
     assert default(decoding.shuffled_fits, "n_perm") == default(decoding.shuffled_fits, "repeats") == 5000
     assert [default(decoding.nested, k) for k in ("repeats", "outer", "inner")] == [10, 5, 5] and len(decoding.STRENGTHS) == 20
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_component_trees(seed):
+    """Many draws at once, holes, equal values and values on a height, against a labelling at every height."""
+    r = np.random.default_rng(seed)
+    ijk = np.array([v for v in np.ndindex(7, 6, 5) if r.random() < 0.8])
+    t = np.round(r.normal(0.3, 1.5, (9, len(ijk))), 1 if seed == 1 else 3)
+    t[0, ::3] = t[0, 0]
+    near = enhancement.neighbours(ijk)
+    got = sum(enhancement.Trees(sign * t, near).scores() for sign in (1, -1))
+    assert np.allclose(got, [plain_enhanced(x, ijk) for x in t], rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("side", [48, 4, 3])
+def test_enhanced_maps_in_blocks(spark, side):
+    """One block and many give the same values as the whole map, in every draw, and so the same p."""
+    r = np.random.default_rng(11)
+    ijk = np.array([v for v in np.ndindex(9, 6, 5) if r.random() < 0.85]) - 4
+    grid = spark.createDataFrame([(f, *map(int, v)) for f, v in enumerate(ijk)], "feature_id long, i long, j long, k long")
+    values = r.normal(0.5, 1, (10, len(ijk))) + np.sin(ijk.sum(1) / 2)
+    maps = spark.createDataFrame([(s, f, float(values[s, f])) for s in range(10) for f in range(len(ijk)) if (s + f) % 7], "subject long, feature_id long, value double")
+    wide = clusters.t_maps(maps, 40).toPandas().pivot(index="perm_id", columns="feature_id", values="t")
+    want = {p: plain_enhanced(x.to_numpy(), ijk) for p, x in wide.iterrows()}
+    e = enhancement.enhanced(maps, grid, 40, side=side).toPandas()
+    own = e[e.perm_id == 0].set_index("feature_id")["statistic"]
+    assert np.allclose([own[f] for f in range(len(ijk))], want[0], rtol=1e-6)
+    most = e[e.perm_id > 0].groupby("perm_id")["statistic"].max()
+    assert sorted(most.index) == list(range(1, 41))
+    assert np.allclose([most[p] for p in range(1, 41)], [want[p].max() for p in range(1, 41)], rtol=1e-6)
+    p = enhancement.family_wise(maps, grid, 40, side=side).toPandas().set_index("feature_id")["p"]
+    null = np.array([want[k].max() for k in range(1, 41)])
+    assert np.allclose([p[f] for f in range(len(ijk))], [((null >= x - 1e-9).sum() + 1) / 41 for x in want[0]])

@@ -1,9 +1,8 @@
-"""Cluster-mass and threshold-free inference on voxel maps by sign flips of subjects: t-maps by aggregation, clusters by joins of touching voxels."""
+"""Cluster-mass inference on voxel maps by sign flips of subjects: t-maps by aggregation, clusters by joins of touching voxels."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +10,8 @@ from trialweave.operators.lineage import cut
 from trialweave.operators.permutation import PER_DIGEST, draw_key
 
 
-def t_maps(maps: DataFrame, n_perm: int = 5000, subject: str = "subject", feature: str = "feature_id", value: str = "value") -> DataFrame:
-    """perm_id (0 is as observed), feature and t against 0 under random signs of subjects; none under three values or without spread.
+def draw_sums(maps: DataFrame, n_perm: int = 5000, subject: str = "subject", feature: str = "feature_id", value: str = "value") -> DataFrame:
+    """_block of draws, feature, _n, _square (of squares) and _sums under the random signs of 32 draws; none under three values. Block 0 is as observed.
 
     A row is read once for every 32 draws, whose sums are columns of one aggregation; squares do not depend on signs.
     """
@@ -23,7 +22,12 @@ def t_maps(maps: DataFrame, n_perm: int = 5000, subject: str = "subject", featur
     bits = F.conv(F.substring(draw_key("_block", subject), 1, 8), 16, 10).cast("bigint")
     drawn = drawn.withColumn("_bits", F.when(F.col("_block") == 0, F.lit(0).cast("bigint")).otherwise(bits))  # block 0 has one draw, as observed
     signs = [F.when(F.col("_bits").bitwiseAND(F.lit(1 << d)) == 0, F.col("_x")).otherwise(-F.col("_x")) for d in range(PER_DIGEST)]
-    sums = drawn.groupBy("_block", feature).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.col("_x") * F.col("_x")).alias("_square"), F.array(*[F.sum(s) for s in signs]).alias("_sums")).where("_n >= 3")
+    return drawn.groupBy("_block", feature).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.col("_x") * F.col("_x")).alias("_square"), F.array(*[F.sum(s) for s in signs]).alias("_sums")).where("_n >= 3")
+
+
+def t_maps(maps: DataFrame, n_perm: int = 5000, subject: str = "subject", feature: str = "feature_id", value: str = "value") -> DataFrame:
+    """perm_id (0 is as observed), feature and t against 0 under random signs of subjects; none under three values or without spread."""
+    sums = draw_sums(maps, n_perm, subject, feature, value)
     each = sums.select("_block", feature, "_n", "_square", F.posexplode(F.when(F.col("_block") == 0, F.slice("_sums", 1, 1)).otherwise(F.col("_sums"))).alias("_d", "_s"))
     perm = F.when(F.col("_block") == 0, 0).otherwise((F.col("_block") - 1) * PER_DIGEST + F.col("_d") + 1).cast("int")
     var = (F.col("_square") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1)
@@ -58,39 +62,6 @@ def masses(tmaps: DataFrame, grid: DataFrame, limit: float = 2.3, feature: str =
     return labelled.join(total, [*key, "_label"]).select("perm_id", F.col("_a").alias(feature), "mass")
 
 
-def labels(ijk: np.ndarray) -> np.ndarray:
-    """Component number of each voxel, neighbours sharing a face, edge or corner."""
-    index = {tuple(v): k for k, v in enumerate(ijk)}
-    part = np.arange(len(ijk))
-
-    def find(x: int) -> int:
-        while part[x] != x:
-            part[x] = part[part[x]]
-            x = part[x]
-        return x
-
-    moves = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
-    for k, (a, b, c) in enumerate(ijk):
-        for da, db, dc in moves:
-            other = index.get((a + da, b + db, c + dc))
-            if other is not None:
-                x, y = find(k), find(other)
-                part[max(x, y)] = min(x, y)
-    return np.array([find(k) for k in range(len(ijk))], int)
-
-
-def enhanced(t: np.ndarray, ijk: np.ndarray, step: float = 0.1, e: float = 0.5, h: float = 2.0) -> np.ndarray:
-    """Threshold-free enhancement: sum over heights of extent**e * height**h * step, for each side."""
-    out = np.zeros(len(t))
-    for height in np.arange(step, np.abs(t).max(initial=0) + step, step):
-        for side in (1, -1):
-            over = np.flatnonzero(side * t >= height)
-            if len(over):
-                part = labels(ijk[over])
-                out[over] += np.bincount(part, minlength=len(over))[part] ** e * height**h * step
-    return out
-
-
 def family_wise(maps: DataFrame, grid: DataFrame, n_perm: int = 5000, limit: float = 2.3, feature: str = "feature_id") -> DataFrame:
     """For a long map of subjects: feature, statistic (its cluster's mass, 0 outside clusters) and p = (number of draws whose largest mass is at least it + 1) / (n + 1)."""
     m = cut(masses(t_maps(maps, n_perm, feature=feature), grid, limit, feature))
@@ -100,20 +71,3 @@ def family_wise(maps: DataFrame, grid: DataFrame, n_perm: int = 5000, limit: flo
     beyond = F.when(F.col("mass").isNull(), n_perm).otherwise(F.size(F.filter("_null", lambda x: x >= F.round("mass", 9))))
     return observed.select(feature, F.coalesce("mass", F.lit(0.0)).alias("statistic"), ((beyond + 1) / F.lit(float(n_perm + 1))).alias("p"))
 
-
-def enhanced_family_wise(maps: DataFrame, grid: DataFrame, n_perm: int, feature: str = "feature_id") -> DataFrame:
-    """As :func:`family_wise` with threshold-free enhancement; a task holds the map of one draw."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(feature)
-        value = enhanced(pdf["t"].to_numpy(), pdf[["i", "j", "k"]].to_numpy(np.int64))
-        if pdf["perm_id"].iloc[0] == 0:
-            return pd.DataFrame({"perm_id": 0, feature: pdf[feature], "statistic": value})
-        return pd.DataFrame({"perm_id": pdf["perm_id"].iloc[:1], feature: [-1], "statistic": [value.max(initial=0.0)]})
-
-    placed = t_maps(maps, n_perm, feature=feature).join(grid.select(feature, "i", "j", "k"), feature)
-    made = placed.groupBy("perm_id").applyInPandas(run, f"perm_id int, {feature} bigint, statistic double")
-    null = made.where("perm_id > 0").agg(F.collect_list("statistic").alias("_null"))  # n_perm numbers
-    observed = made.where("perm_id = 0").crossJoin(F.broadcast(null))
-    beyond = F.size(F.filter("_null", lambda x: x >= F.col("statistic")))
-    return observed.select(feature, "statistic", ((beyond + 1) / F.lit(float(n_perm + 1))).alias("p"))
