@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import tails
 from trialweave.functions import vectors as V
-from trialweave.operators import clusters, decoding, design, drift, enhancement, geometry, inference, ordered, selection, similarity
+from trialweave.operators import clusters, decoding, design, drift, enhancement, geometry, group_models, inference, ordered, selection, similarity
 from trialweave.operators import permutation as perm
 from trialweave.sources import readers
 
@@ -324,9 +324,9 @@ def test_resampling_defaults_are_the_reference_counts():
 
     default = lambda f, name: inspect.signature(f).parameters[name].default
     assert default(decoding.importance, "repeats") == default(decoding.permuted_accuracy, "n_perm") == 5000
-    assert default(decoding.bootstrap_patterns, "n_boot") == 50
+    assert default(group_models.bootstrap, "n_boot") == 50
     assert default(decoding.shuffled_fits, "n_perm") == default(decoding.shuffled_fits, "repeats") == 5000
-    assert [default(decoding.nested, k) for k in ("repeats", "outer", "inner")] == [10, 5, 5] and len(decoding.STRENGTHS) == 20
+    assert [default(group_models.nested, k) for k in ("repeats", "outer", "inner")] == [10, 5, 5] and len(decoding.STRENGTHS) == 20
 
 
 @pytest.mark.parametrize("seed", [1, 2])

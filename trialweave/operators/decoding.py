@@ -326,39 +326,6 @@ def importance(df: DataFrame, keys: list[str], pair: tuple[str, str], repeats: i
 STRENGTHS = tuple(float(v) for v in np.logspace(-2, 2, 20))
 
 
-def nested(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, repeats: int = 10, outer: int = 5, inner: int = 5, grid: tuple[float, ...] = STRENGTHS, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
-    """Repeated nested cross-validation by whole groups (subjects): forced-choice accuracy of held-out groups, with the strength chosen inside.
-
-    Mean and deviation over repeats, each of which is a task of its own, and the median strength.
-    """
-
-    def forced(s, y, g):
-        hits = [s[(g == k) & (y == 1)].mean() > s[(g == k) & (y == 0)].mean() for k in np.unique(g) if len(np.unique(y[g == k])) == 2]
-        return float(np.mean(hits)) if hits else np.nan
-
-    def body(x, y, key, pdf):
-        g = pdf[group].to_numpy()
-        if len(np.unique(g)) < 2 or len(np.unique(y)) < 2:
-            return None
-        fold, got, chosen = group_folds(y, g, outer, seed_of(*key)), [], []
-        for f in np.unique(fold):
-            train = fold != f
-            if len(np.unique(y[train])) < 2:
-                continue
-            within = group_folds(y[train], g[train], inner, seed_of(*key, f))
-            marks = [np.nan_to_num(forced(cv_scores(x[train], y[train], within, c), y[train], g[train])) for c in grid]
-            c = grid[int(np.argmax(marks))]
-            got.append(forced(decision(x[~train], fit(x[train], y[train], c)), y[~train], g[~train]))
-            chosen.append(c)
-        if not np.isfinite(got).any():
-            return None
-        return {"n_groups": [len(np.unique(g))], "accuracy": [float(np.nanmean(got))], "strength": [float(np.median(chosen))]}
-
-    again = df.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    each = _grouped(again, [*keys, "_repeat"], condition, pair, order, vector, body, "n_groups bigint, accuracy double, strength double")
-    return each.groupBy(*keys).agg(F.max("n_groups").alias("n_groups"), F.count(F.lit(1)).alias("n_repeats"), F.avg("accuracy").alias("accuracy"), F.stddev_samp("accuracy").alias("accuracy_sd"), F.median("strength").alias("strength"))
-
-
 def permuted_accuracy(df: DataFrame, keys: list[str], pair: tuple[str, str], n_perm: int = 5000, k: int = 4, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
     """Cross-validated accuracy, and the share of label shuffles (each with folds of its own) that reach it, as (c + 1) / (n + 1)."""
 
@@ -411,29 +378,6 @@ def shuffled_fits(df: DataFrame, keys: list[str], pair: tuple[str, str], n_perm:
     return each.groupBy(*keys, "pos").agg(F.max("weight").alias("weight"), ((F.max("weight") - m) / (sd + 1e-12)).alias("weight_z"), p("n_weight").alias("weight_p"), F.max("importance").alias("importance"), p("n_importance").alias("importance_p"))
 
 
-def bootstrap_patterns(df: DataFrame, keys: list[str], pair: tuple[str, str], group: str, n_boot: int = 50, condition: str = "condition", order: str = "trial_idx", vector: str = "features") -> DataFrame:
-    """Mean pattern (covariance of features with scores) over draws of groups with replacement, and its z over the draws. Rows are centred by group first."""
-
-    def body(x, y, key, pdf):
-        g = pdf[group].to_numpy()
-        names = np.unique(g)
-        x = x - np.stack([x[g == n].mean(0) for n in names])[np.searchsorted(names, g)]
-        drawn = []
-        for j in range(n_boot):
-            pick = np.random.default_rng(seed_of(*key, j)).choice(names, len(names))
-            at = np.concatenate([np.flatnonzero(g == n) for n in pick])
-            if len(np.unique(y[at])) < 2:
-                continue
-            s = decision(x[at], fit(x[at], y[at]))
-            drawn.append((x[at] - x[at].mean(0)).T @ (s - s.mean()) / (len(at) - 1))
-        if not drawn:
-            return None
-        drawn = np.array(drawn)
-        return {"pos": np.arange(x.shape[1]), "pattern": drawn.mean(0), "z": drawn.mean(0) / (drawn.std(0) + 1e-12)}
-
-    return _grouped(df, keys, condition, pair, order, vector, body, "pos bigint, pattern double, z double")
-
-
 def platt(score: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and shift of the logistic curve of scores, with the labels drawn in a little as Platt (1999) has it."""
     n1, n0 = y.sum(), len(y) - y.sum()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.operators import centroids, clusters, decoding, design, enhancement, ordered
+from trialweave.operators import centroids, clusters, decoding, design, enhancement, group_models, ordered
 from trialweave.sources import adapters as A
 from trialweave.sources import readers
 from trialweave.sources.adapters import SCORES
@@ -76,9 +77,17 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nested_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested cross-validation by subjects, in cohorts of eight."""
-    t = A.trials(spark, sf_dir).withColumn("cohort", F.floor(F.col("subject") / 8).cast("bigint"))
-    return decoding.nested(t, ["cohort"], PAIR, "subject")
+    """Repeated nested cross-validation over the whole group: weights and pattern of the final model by feature, beside the held-out accuracy."""
+    n = group_models.nested(A.trials(spark, sf_dir), PAIR, "subject", decoding.STRENGTHS)
+    tested = n.accuracy[np.isfinite(n.accuracy)]
+    rows = [(k, float(n.coef[k]), float(n.pattern[k]), float(tested.mean()), float(tested.std()), len(tested), n.strength, n.n_subjects) for k in range(len(n.coef))]
+    return spark.createDataFrame(rows, "pos bigint, weight double, pattern double, accuracy double, accuracy_sd double, n_folds bigint, strength double, n_subjects bigint")
+
+
+@query()
+def heldout_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fall of the forced-choice accuracy of held-out subjects when a feature is shuffled."""
+    return group_models.importance(A.trials(spark, sf_dir), PAIR, "subject", "trial_idx")
 
 
 @query()
@@ -184,9 +193,9 @@ def weight_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns over draws of subjects, in cohorts of eight."""
-    t = A.trials(spark, sf_dir).withColumn("cohort", F.floor(F.col("subject") / 8).cast("bigint"))
-    return decoding.bootstrap_patterns(t, ["cohort"], PAIR, "subject")
+    """Patterns over draws of subjects from the whole group."""
+    pattern, z = group_models.bootstrap(A.trials(spark, sf_dir), PAIR, "subject")
+    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(pattern, z, strict=True))], "pos bigint, pattern double, z double")
 
 
 @query()
