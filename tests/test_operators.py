@@ -360,3 +360,38 @@ def test_enhanced_maps_in_blocks(spark, side):
     p = enhancement.family_wise(maps, grid, 40, side=side).toPandas().set_index("feature_id")["p"]
     null = np.array([want[k].max() for k in range(1, 41)])
     assert np.allclose([p[f] for f in range(len(ijk))], [((null >= x - 1e-9).sum() + 1) / 41 for x in want[0]])
+
+
+@pytest.mark.parametrize("statistic", ["mean", "t"])
+def test_groups_drawn_anew(spark, statistic):
+    """All draws one by one: missing values, several keys, a third group that stays out, subjects of one key only."""
+    import hashlib
+
+    r = np.random.default_rng(8)
+    people = {s: "AABC"[s % 4] for s in range(41)}
+    rows = [(s, g, k, float(r.normal()) if r.random() < 0.9 else None) for s, g in people.items() for k in ("x", "y", None) if (s + len(k or "")) % 5]
+    df = spark.createDataFrame(rows, "subject long, grp string, key string, value double")
+    got = {x["key"]: x for x in perm.group_difference(df, ["key"], "subject", "grp", "A", "B", "value", 50, statistic=statistic).collect()}
+    two = sorted({s for s, g, *_ in rows if g in "AB"})
+    size = len({s for s, g, *_ in rows if g == "A"})
+
+    def compare(a, b):
+        gap = np.mean(a) - np.mean(b)
+        pooled = (np.var(a) * len(a) + np.var(b) * len(b)) / (len(a) + len(b) - 2)
+        return gap if statistic == "mean" else gap / math.sqrt(pooled * (1 / len(a) + 1 / len(b)))
+
+    def number(d, s):
+        return hashlib.md5(f"{d // 4}-{s}".encode()).hexdigest()[8 * (d % 4) : 8 * (d % 4) + 8], s
+
+    for key in ("x", "y", None):
+        values = {s: v for s, g, k, v in rows if k == key and v is not None and g in "AB"}
+        seen = compare([v for s, v in values.items() if people[s] == "A"], [v for s, v in values.items() if people[s] == "B"])
+        null = []
+        for d in range(50):
+            first = set(sorted(two, key=lambda s: number(d, s))[:size])
+            null.append(compare([v for s, v in values.items() if s in first], [v for s, v in values.items() if s not in first]))
+        beyond = sum(abs(v) >= abs(seen) - 1e-12 for v in null)
+        assert math.isclose(got[key]["observed"], seen, abs_tol=1e-9) and got[key]["n_beyond"] == beyond
+        assert math.isclose(got[key]["p"], (beyond + 1) / 51) and math.isclose(got[key]["null_sd"], np.std(null), abs_tol=1e-9)
+    whole = perm.group_difference(df, [], "subject", "grp", "A", "B", "value", 50, statistic=statistic).collect()
+    assert len(whole) == 1 and 0 < whole[0]["p"] <= 1

@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import vectors as V
 from trialweave.operators.centroids import mean_vectors
-from trialweave.operators.lineage import cut
+from trialweave.operators.lineage import PACKED, cut, packed_rows, packed_sums
 from trialweave.operators.ordered import digest_rank, same
 
 ROWS = 512
 HISTORY = 12
-_PART = "id int, body binary"
 
 #: Weights of sets [rows, sets], from the arrays beside the rows.
 Members = Callable[[np.ndarray], np.ndarray]
@@ -77,20 +76,6 @@ def _batches(batches: Iterator[pa.RecordBatch], centre: np.ndarray, unit: np.nda
             yield (wide("x", float) - centre) / unit, b.column("y").to_numpy(zero_copy_only=False), wide("attrs", np.int64)
 
 
-def _sums(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Arrays of doubles added up by id; a row an id reaches the driver."""
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in table["body"].to_pylist())
-        return pa.table({"id": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
-
-    return {r["id"]: np.frombuffer(r["body"], np.float64) for r in parts.groupBy("id").applyInArrow(add, _PART).collect()}
-
-
-def _rows(found: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"id": pa.array(list(found), pa.int32()), "body": pa.array([v.tobytes() for v in found.values()], pa.binary())})
-
-
 def moments(rows: DataFrame, members: Members, n_sets: int, width: int) -> Moments:
     """One pass over rows (x, y of 0 or 1, attrs)."""
     spread = rows.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("pos").collect()
@@ -109,10 +94,10 @@ def moments(rows: DataFrame, members: Members, n_sets: int, width: int) -> Momen
                         new = np.concatenate([[wo.sum()], (wo * xo).sum(0), (xo.T @ (wo * xo)).ravel()])
                         found[2 * s + k] = found[2 * s + k] + new if 2 * s + k in found else new
         if found:
-            yield _rows(found)
+            yield packed_rows(found)
 
     out = np.zeros((2 * n_sets, 1 + width + width * width))
-    for k, v in _sums(rows.mapInArrow(run, _PART)).items():
+    for k, v in packed_sums(rows.mapInArrow(run, PACKED)).items():
         out[k] = v
     out = out.reshape(n_sets, 2, -1)
     return Moments(out[:, :, 0], out[:, :, 1 : 1 + width], out[:, :, 1 + width :].reshape(n_sets, 2, width, width), centre, unit)
@@ -186,11 +171,11 @@ def fit(rows: DataFrame, members: Members, m: Moments, of: np.ndarray, c: np.nda
                     new = np.concatenate([(left.T @ xo).ravel(), left.sum(0), loss])
                     found[s] = found[s] + new if s in found else new
             if found:
-                yield _rows(found)
+                yield packed_rows(found)
 
         f, grad = np.zeros(len(models)), np.zeros((len(models), width + 1))
         place = {int(k): j for j, k in enumerate(models)}
-        for s, v in _sums(rows.mapInArrow(run, _PART)).items():
+        for s, v in packed_sums(rows.mapInArrow(run, PACKED)).items():
             k = by_set[s]
             j, n = [place[int(x)] for x in k], len(k)
             raw, total, loss = v[: n * width].reshape(n, width), v[n * width : n * width + n], v[n * width + n :]
@@ -316,9 +301,9 @@ def forced_choices(subjects: DataFrame, splits: list[Split], coef: dict[int, np.
                     new = np.concatenate([[on.sum()], (d[on] @ w.T > 0).sum(0)]).astype(float)
                     found[k] = found[k] + new if k in found else new
         if found:
-            yield _rows(found)
+            yield packed_rows(found)
 
-    return _sums(subjects.mapInArrow(run, _PART))
+    return packed_sums(subjects.mapInArrow(run, PACKED))
 
 
 class Nested(NamedTuple):

@@ -2,19 +2,27 @@
 
 Permutation k orders subjects by the md5 of "k-subject"; the subject at rank r gets the
 label of the subject whose rank in permutation 0 is r. Signs follow from the 32 digits of one md5, so a row
-is read once for 32 draws; labels need a row for each permutation. Only counts and moments
-of the null are kept.
+is read once for 32 draws; two groups are drawn by
+numbers that tasks work out, all draws at once; other labels need a row for each permutation. Only counts and moments of the null are kept.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.operators.lineage import PACKED, cut, packed_rows, packed_sums
 from trialweave.operators.ordered import digest_rank, same
 
 #: Draws of signs that one md5 gives, one for each hex digit.
 PER_DIGEST = 32
+#: Draws of two groups that one md5 serves, with 32 bits each, and bytes of sums that a task holds.
+PER_KEY, HELD_SUMS = 4, 64 << 20
 
 
 def draw_key(perm: str, subject: str) -> Column:
@@ -37,7 +45,7 @@ def sign_flip(df: DataFrame, keys: list[str], subject: str, x: str, n_perm: int,
 
 
 def _exceed(null: DataFrame, observed: DataFrame, keys: list[str], n_perm: int, tail: str) -> DataFrame:
-    j = null.join(observed, keys) if keys else null.crossJoin(F.broadcast(observed))  # one row
+    j = same(null, observed, keys) if keys else null.crossJoin(F.broadcast(observed))  # one row
     # rounding keeps ties of equal sums equal, whatever the order of addition
     a, b = F.round("_null", 9), F.round("observed", 9)
     beyond = F.abs(a) >= F.abs(b) if tail == "two" else a >= b
@@ -61,13 +69,139 @@ def relabelled(df: DataFrame, subject: str, label: str, n_perm: int, arms: list[
     return same(place(1, n_perm).drop(label), base, [*arms, "_rank"]).select("perm_id", subject, *arms, F.col("_label").alias(label))
 
 
-def group_difference(df: DataFrame, keys: list[str], subject: str, label: str, a: str, b: str, x: str, n_perm: int, tail: str = "two") -> DataFrame:
-    """Difference of two groups' means against shuffled labels of subjects."""
-    gap = lambda: F.avg(F.when(F.col(label) == a, F.col(x))) - F.avg(F.when(F.col(label) == b, F.col(x)))
-    observed = df.groupBy(*keys).agg(gap().alias("observed"))
-    labels = relabelled(df.select(subject, label).distinct(), subject, label, n_perm)
-    null = df.drop(label).join(labels, subject).groupBy(*keys, "perm_id").agg(gap().alias("_null"))
-    return _exceed(null, observed, keys, n_perm, tail)
+def draw_numbers(subjects: list[str], n_perm: int) -> np.ndarray:
+    """[subjects, draws]: numbers of 32 bits; the md5 of "k-subject" serves the draws 4k + 1 to 4k + 4."""
+    n = -(-n_perm // PER_KEY)
+    digests = b"".join(hashlib.md5(f"{k}-{s}".encode()).digest() for s in subjects for k in range(n))
+    return np.frombuffer(digests, ">u4").reshape(len(subjects), n * PER_KEY)[:, :n_perm]
+
+
+def drawn_limits(people: DataFrame, subject: str, label: str, a: str, b: str, n_perm: int) -> tuple[np.ndarray, list]:
+    """The last number, and its subject, that is in the first of two groups in each draw: the group takes the smallest numbers (ties by subject) and keeps its size.
+
+    Counts of the upper eight bits find the range of that number; only numbers of this range are
+    ordered, by draw. A number and a subject a draw reach the driver.
+    """
+    spread = int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    two = cut(people.where(F.col(label).isin(a, b) & F.col(subject).isNotNull()).select(F.col(subject).alias("_s"), F.col(subject).cast("string").alias("_t"), F.col(label).alias("_l")).distinct().repartition(spread, "_s"))
+    size = two.where(F.col("_l") == a).count()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((n_perm, 256))
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                top = draw_numbers(batch.column("_t").slice(lo, 64).to_pylist(), n_perm) >> 24
+                found += np.bincount((np.arange(n_perm) * 256 + top).ravel(), minlength=n_perm * 256).reshape(n_perm, 256)
+        yield packed_rows({lo: found[lo : lo + 500].ravel() for lo in range(0, n_perm, 500)})
+
+    counts = np.zeros((n_perm, 256))
+    for lo, rows in packed_sums(two.select("_t").mapInArrow(count, PACKED)).items():
+        counts[lo : lo + 500] = rows.reshape(-1, 256)
+    upto = counts.cumsum(1)
+    top = (upto < size).sum(1)
+    place = size - np.take_along_axis(np.pad(upto, ((0, 0), (1, 0))), top[:, None], 1)[:, 0]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                number = draw_numbers(part.column("_t").to_pylist(), n_perm)
+                at, d = np.nonzero((number >> 24) == top)
+                yield pa.RecordBatch.from_pydict({"_d": pa.array(d, pa.int32()), "_number": pa.array(number[at, d].astype(np.int64), pa.int64()), "_place": pa.array(place[d].astype(np.int64), pa.int64()), "_s": part.column("_s").take(pa.array(at))})
+
+    kind = dict(two.dtypes)["_s"]
+    close = two.select("_s", "_t").mapInArrow(near, f"_d int, _number bigint, _place bigint, _s {kind}")
+    last = close.withColumn("_row", F.row_number().over(Window.partitionBy("_d").orderBy("_number", "_s"))).where("_row = _place").select("_d", "_number", "_s").collect()
+    numbers, names = np.full(n_perm, -1, np.int64), [None] * n_perm
+    for r in last:
+        numbers[r["_d"]], names[r["_d"]] = r["_number"], r["_s"]
+    return numbers, names
+
+
+def drawn_sums(df: DataFrame, keys: list[str], subject: str, x: str, limits: tuple[np.ndarray, list]) -> DataFrame:
+    """keys, perm_id, _n, _s, _q: count, sum and sum of squares of x (not null) over the members of the first group in each draw.
+
+    Tasks multiply memberships [rows, draws] by values, and their sums are added up; a task
+    holds the sums of the keys it has met, up to ``HELD_SUMS``.
+    """
+    numbers, names = limits
+    n_perm, kinds = len(numbers), dict(df.dtypes)
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys, F.col(subject).alias("_s"), F.col(subject).cast("string").alias("_t"), F.col(x).alias("_x")).repartition(spread, "_s")
+    at = {k: f"_k{i}" for i, k in enumerate(keys)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, np.ndarray] = {}
+
+        def send() -> pa.RecordBatch:
+            columns = {k: pa.array([key[i] for key in found], schema.field(at[k]).type) for i, k in enumerate(keys)}
+            return pa.RecordBatch.from_arrays([*columns.values(), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=[*at.values(), "body"])
+
+        schema = None
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                schema = schema or pa.schema([pa.field(at[k], part.column(k).type) for k in keys])
+                subjects, texts = part.column("_s").to_pylist(), part.column("_t").to_pylist()
+                order = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+                number = draw_numbers(list(order), n_perm)
+                member = number < numbers
+                own = {t: s for t, s in zip(texts, subjects, strict=True)}
+                for i, d in zip(*np.nonzero(number == numbers), strict=True):
+                    member[i, d] = own[list(order)[i]] <= names[d]
+                v = part.column("_x").to_numpy(zero_copy_only=False)
+                value = np.stack([np.ones(len(v)), v, v * v], 1)
+                of, group = np.array([order[t] for t in texts]), list(zip(*(part.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(part)
+                for key in set(group):
+                    on = np.array([g == key for g in group])
+                    new = value[on].T @ member[of[on]]
+                    found[key] = found[key] + new if key in found else new
+                if len(found) * n_perm * 24 > HELD_SUMS:
+                    yield send()
+                    found.clear()
+        if found:
+            yield send()
+
+    schema_of = "".join(f"{at[k]} {kinds[k]}, " for k in keys)
+    sums = rows.mapInArrow(run, schema_of + "body binary")
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v, np.float64) for v in table["body"].to_pylist()).reshape(3, n_perm)
+        columns = {at[k]: pa.array([table[at[k]][0].as_py()] * n_perm, table.schema.field(at[k]).type) for k in keys}
+        return pa.table(columns | {"perm_id": pa.array(np.arange(1, n_perm + 1), pa.int32())} | dict(zip(("_n", "_s", "_q"), total, strict=True)))
+
+    each = sums.groupBy(*at.values()) if keys else sums.groupBy(F.lit(0))
+    out = each.applyInArrow(add, schema_of + "perm_id int, _n double, _s double, _q double")
+    return out.select(*[F.col(n).alias(k) for k, n in at.items()], "perm_id", "_n", "_s", "_q")
+
+
+def _compared(n: Column, s: Column, q: Column, statistic: str) -> Column:
+    """Difference of two groups' means, or Student's t of it, from the first's count, sum and squares and those of both."""
+    m, rest_s, rest_q = F.col("_n_all") - n, F.col("_s_all") - s, F.col("_q_all") - q
+    gap = F.try_divide(s, n) - F.try_divide(rest_s, m)
+    if statistic == "mean":
+        return gap
+    spread = (q - F.try_divide(s * s, n)) + (rest_q - F.try_divide(rest_s * rest_s, m))
+    error = F.try_divide(spread, n + m - 2) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), m))
+    return F.when(error > 1e-18, gap / F.sqrt(error))
+
+
+def group_difference(df: DataFrame, keys: list[str], subject: str, label: str, a: str, b: str, x: str, n_perm: int, tail: str = "two", statistic: str = "mean") -> DataFrame:
+    """Difference of two groups' means (``mean``) or Student's t of it (``t``) against draws of the first group from the subjects of both.
+
+    Tasks sum counts, values and squares of all draws at once; values are taken from
+    their mean first, so that squares keep their digits.
+    """
+    two = df.where(F.col(label).isin(a, b) & F.col(x).isNotNull()).select(*keys, subject, label, F.col(x).cast("double").alias("_x"))
+    middle = two.agg(F.avg("_x").alias("_middle"))
+    two = two.crossJoin(F.broadcast(middle)).withColumn("_x", F.col("_x") - F.col("_middle")).drop("_middle")
+    totals = two.groupBy(*keys).agg(F.count("_x").cast("double").alias("_n_all"), F.sum("_x").alias("_s_all"), F.sum(F.col("_x") * F.col("_x")).alias("_q_all"), *[f(F.when(F.col(label) == a, v)).cast("double").alias(n) for f, v, n in ((F.count, F.col("_x"), "_n"), (F.sum, F.col("_x"), "_s"), (F.sum, F.col("_x") * F.col("_x"), "_q"))])
+    observed = totals.select(*keys, "_n_all", "_s_all", "_q_all", _compared(F.col("_n"), F.col("_s"), F.col("_q"), statistic).alias("observed"))
+    each = drawn_sums(two, keys, subject, "_x", drawn_limits(df, subject, label, a, b, n_perm))
+    sizes = totals.select(*keys, "_n_all", "_s_all", "_q_all")
+    each = same(each, sizes, keys) if keys else each.crossJoin(F.broadcast(sizes))  # one row
+    null = each.select(*keys, "perm_id", _compared(F.col("_n"), F.col("_s"), F.col("_q"), statistic).alias("_null"))
+    return _exceed(null, observed.select(*keys, "observed"), keys, n_perm, tail)
 
 
 def interaction(df: DataFrame, keys: list[str], subject: str, label: str, a: str, b: str, arm: str, first: str, second: str, x: str, n_perm: int) -> DataFrame:

@@ -295,15 +295,29 @@ _LABELS = f"""ids AS (SELECT DISTINCT subject, grp, drug FROM g), base AS (SELEC
 ranked AS (SELECT *, row_number() OVER (PARTITION BY perm_id ARM2 ORDER BY md5(perm_id || '-' || subject), subject) AS k FROM drawn)"""
 
 
-@query(_MEANS + ", " + _LABELS.replace("ARM2", "").replace("ARM", "") + f""", labels AS (SELECT r.perm_id, r.subject, b.grp FROM ranked r JOIN base b USING (k)),
-o AS (SELECT condition, avg(m) FILTER (grp = 'G1') - avg(m) FILTER (grp = 'G2') AS observed FROM g GROUP BY condition),
-z AS (SELECT condition, perm_id, avg(m) FILTER (l.grp = 'G1') - avg(m) FILTER (l.grp = 'G2') AS v FROM g JOIN labels l USING (subject) GROUP BY ALL)
-SELECT condition, round(observed, 6) AS observed, CAST(sum(CASE WHEN abs(round(v, 9)) >= abs(round(observed, 9)) THEN 1 ELSE 0 END) AS BIGINT) AS n_beyond, round((sum(CASE WHEN abs(round(v, 9)) >= abs(round(observed, 9)) THEN 1 ELSE 0 END) + 1) / {_N + 1}.0, 6) AS p, round(avg(v), 6) AS null_mean, round(stddev_pop(v), 6) AS null_sd FROM z JOIN o USING (condition) GROUP BY condition, observed""")
+# two groups drawn anew: the first has the subjects with the smallest keys
+_TWO = f"""ids AS (SELECT DISTINCT subject, grp FROM g), keyed AS (SELECT subject, {_DRAW} FROM ids),
+placed AS (SELECT perm_id, subject, row_number() OVER (PARTITION BY perm_id ORDER BY substr(md5(((perm_id - 1) // 4) || '-' || subject), CAST(8 * ((perm_id - 1) % 4) + 1 AS INT), 8), subject) AS k FROM keyed),
+labels AS (SELECT perm_id, subject, CASE WHEN k <= (SELECT count(*) FROM ids WHERE grp = 'G1') THEN 'G1' ELSE 'G2' END AS grp FROM placed)"""
+_BEYOND = f"""SELECT condition, round(observed, 6) AS observed, CAST(sum(CASE WHEN abs(round(v, 9)) >= abs(round(observed, 9)) THEN 1 ELSE 0 END) AS BIGINT) AS n_beyond, round((sum(CASE WHEN abs(round(v, 9)) >= abs(round(observed, 9)) THEN 1 ELSE 0 END) + 1) / {_N + 1}.0, 6) AS p, round(avg(v), 6) AS null_mean, round(stddev_pop(v), 6) AS null_sd FROM z JOIN o USING (condition) GROUP BY condition, observed"""
+_T = "(avg(m) FILTER ({0}.grp = 'G1') - avg(m) FILTER ({0}.grp = 'G2')) / sqrt((var_pop(m) FILTER ({0}.grp = 'G1') * count(m) FILTER ({0}.grp = 'G1') + var_pop(m) FILTER ({0}.grp = 'G2') * count(m) FILTER ({0}.grp = 'G2')) / (count(m) - 2) * (1.0 / count(m) FILTER ({0}.grp = 'G1') + 1.0 / count(m) FILTER ({0}.grp = 'G2')))"
+
+
+@query(_MEANS + ", " + _TWO + f""", o AS (SELECT condition, avg(m) FILTER (grp = 'G1') - avg(m) FILTER (grp = 'G2') AS observed FROM g GROUP BY condition),
+z AS (SELECT condition, perm_id, avg(m) FILTER (l.grp = 'G1') - avg(m) FILTER (l.grp = 'G2') AS v FROM g JOIN labels l USING (subject) GROUP BY ALL) {_BEYOND}""")
 def group_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of two groups' means against groups drawn anew."""
     s = _subject_means(spark, sf_dir).drop("drug")
     return perm.group_difference(s, ["condition"], "subject", "grp", "G1", "G2", "m", _N).select("condition", *r6("observed"), "n_beyond", *r6("p", "null_mean", "null_sd"))
 
 
+@query(_MEANS + ", " + _TWO + f""", o AS (SELECT condition, {_T.format('g')} AS observed FROM g GROUP BY condition), z AS (SELECT condition, perm_id, {_T.format('l')} AS v FROM g JOIN labels l USING (subject) GROUP BY ALL) {_BEYOND}""")
+def group_permutation_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Student's t of two groups against that of groups drawn anew."""
+    s = _subject_means(spark, sf_dir).drop("drug")
+    return perm.group_difference(s, ["condition"], "subject", "grp", "G1", "G2", "m", _N, statistic="t").select("condition", *r6("observed"), "n_beyond", *r6("p", "null_mean", "null_sd"))
+
+
 _CELL = "(avg(m) FILTER ({0}.grp = 'G1' AND g.drug = 'D1') - avg(m) FILTER ({0}.grp = 'G2' AND g.drug = 'D1')) - (avg(m) FILTER ({0}.grp = 'G1' AND g.drug = 'D2') - avg(m) FILTER ({0}.grp = 'G2' AND g.drug = 'D2'))"
 
 
