@@ -170,7 +170,7 @@ def drawn_sums(df: DataFrame, keys: list[str], subject: str, x: str, limits: tup
         columns = {at[k]: pa.array([table[at[k]][0].as_py()] * n_perm, table.schema.field(at[k]).type) for k in keys}
         return pa.table(columns | {"perm_id": pa.array(np.arange(1, n_perm + 1), pa.int32())} | dict(zip(("_n", "_s", "_q"), total, strict=True)))
 
-    each = sums.groupBy(*at.values()) if keys else sums.groupBy(F.lit(0))
+    each = sums.groupBy(*at.values()) if keys else sums.withColumn("_all", F.lit(0)).groupBy("_all")
     out = each.applyInArrow(add, schema_of + "perm_id int, _n double, _s double, _q double")
     return out.select(*[F.col(n).alias(k) for k, n in at.items()], "perm_id", "_n", "_s", "_q")
 
