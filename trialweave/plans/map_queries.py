@@ -28,7 +28,7 @@ def query(sql: str):
     return register
 
 
-def _grid(spark: SparkSession) -> DataFrame:
+def grid(spark: SparkSession) -> DataFrame:
     pos = F.col("id")
     return spark.range(WIDTH).select(pos.alias("feature_id"), (pos % 4).alias("i"), (F.floor(pos / 4) % 4).alias("j"), F.floor(pos / 16).alias("k"))
 
@@ -49,7 +49,7 @@ names AS (SELECT DISTINCT subject, phase, condition FROM trials), every AS (SELE
 SELECT subject, phase, center, part, condition, score FROM every LEFT JOIN marks USING (part, subject, phase, center, condition)""")
 def condition_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within less between similarity of each condition around every voxel, over all trials and over both halves."""
-    m = maps.condition_maps(A.trials(spark, sf_dir), _grid(spark), RADIUS, KEYS, side=SIDE)
+    m = maps.condition_maps(A.trials(spark, sf_dir), grid(spark), RADIUS, KEYS, side=SIDE)
     return m.select(*KEYS, "center", "part", "condition", *r6("score"))
 
 
@@ -57,7 +57,7 @@ def condition_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.subject, a.phase, a.center, a.condition AS cond_a, b.condition AS cond_b, round(sum(a.m * b.m), 6) AS similarity FROM s a JOIN s b USING (subject, phase, center, pos) WHERE a.condition < b.condition GROUP BY ALL""")
 def pair_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity between the trials of two conditions around every voxel."""
-    return maps.pair_maps(A.trials(spark, sf_dir), _grid(spark), RADIUS, KEYS, side=SIDE).select(*KEYS, "center", "cond_a", "cond_b", *r6("similarity"))
+    return maps.pair_maps(A.trials(spark, sf_dir), grid(spark), RADIUS, KEYS, side=SIDE).select(*KEYS, "center", "cond_a", "cond_b", *r6("similarity"))
 
 
 @query(f"""WITH {LONG}, {_NEAR}, {_UNITS.format(keys='subject, phase, condition, trial_idx', source='long')}, s AS (SELECT subject, phase, condition, center, pos, sum(u) AS s, count(*) AS n FROM u GROUP BY ALL),
@@ -66,7 +66,7 @@ SELECT u.subject, u.phase, u.center, u.condition, u.trial_idx, CASE WHEN max(n)
 FROM u JOIN t USING (subject, phase, condition, center, pos) GROUP BY ALL""")
 def trial_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each trial around every voxel."""
-    return maps.trial_maps(A.trials(spark, sf_dir), _grid(spark), RADIUS, KEYS, side=SIDE).select(*KEYS, "center", "condition", "trial_idx", *r6("score"))
+    return maps.trial_maps(A.trials(spark, sf_dir), grid(spark), RADIUS, KEYS, side=SIDE).select(*KEYS, "center", "condition", "trial_idx", *r6("score"))
 
 
 _MEANS = "m AS (SELECT subject, phase, condition, pos - 1 AS pos, avg(x) AS m FROM long GROUP BY ALL)"
@@ -78,14 +78,14 @@ every AS (SELECT a.subject, center, a.condition AS cond_a, b.condition AS cond_b
 SELECT subject, center, cond_a, cond_b, CASE WHEN n = CASE WHEN cond_a = cond_b THEN 1 ELSE 2 END THEN round(s, 6) END AS similarity FROM every LEFT JOIN ways USING (subject, center, cond_a, cond_b)""")
 def cross_phase_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of conditions across phases around every voxel."""
-    return maps.cross_phase_maps(A.trials(spark, sf_dir), _grid(spark), RADIUS, ["subject"], "learn", "test", side=SIDE).select("subject", "center", "cond_a", "cond_b", *r6("similarity"))
+    return maps.cross_phase_maps(A.trials(spark, sf_dir), grid(spark), RADIUS, ["subject"], "learn", "test", side=SIDE).select("subject", "center", "cond_a", "cond_b", *r6("similarity"))
 
 
 @query(f"""WITH {LONG}, {_NEAR}, {_MEANS} SELECT l.subject, center, l.phase, l.condition, trial_idx, CASE WHEN count(m.m) > 0 THEN round(sum(x * m.m) / sqrt(sum(x * x) * sum(m.m * m.m)), 6) END AS similarity
 FROM long l JOIN near n ON n.pos = l.pos - 1 LEFT JOIN m ON m.subject = l.subject AND m.condition = l.condition AND m.pos = n.pos AND m.phase <> l.phase GROUP BY ALL""")
 def cross_phase_trial_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each trial with its condition's pattern in the other phase, around every voxel."""
-    m = maps.cross_phase_trial_maps(A.trials(spark, sf_dir), _grid(spark), RADIUS, ["subject"], "learn", "test", side=SIDE)
+    m = maps.cross_phase_trial_maps(A.trials(spark, sf_dir), grid(spark), RADIUS, ["subject"], "learn", "test", side=SIDE)
     return m.select("subject", "center", "phase", "condition", "trial_idx", *r6("similarity"))
 
 
@@ -102,13 +102,13 @@ way AS (SELECT subject, phase, center, least(condition, other) AS cond_a, greate
 SELECT subject, phase, center, cond_a, cond_b, round(delta, 6) AS delta, round(slope, 6) AS slope FROM delta JOIN way USING (subject, phase, center, cond_a, cond_b)""")
 def dynamic_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of the similarity of two conditions from early to late trials, and its slope, around every voxel."""
-    return maps.dynamic_maps(A.trials(spark, sf_dir), _grid(spark), RADIUS, KEYS, side=SIDE).select(*KEYS, "center", "cond_a", "cond_b", *r6("delta", "slope"))
+    return maps.dynamic_maps(A.trials(spark, sf_dir), grid(spark), RADIUS, KEYS, side=SIDE).select(*KEYS, "center", "cond_a", "cond_b", *r6("delta", "slope"))
 
 
 @query(f"WITH {LONG}, {_NEAR}, {_MEANS}, {_SIMILAR} SELECT subject, phase, center, condition, other, trial_idx, round(s, 6) AS similarity FROM alike")
 def dynamic_trial_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of each trial with the pattern of every other condition, around every voxel."""
-    return maps.dynamic_trial_maps(A.trials(spark, sf_dir), _grid(spark), RADIUS, KEYS, side=SIDE).select(*KEYS, "center", "condition", "other", "trial_idx", *r6("similarity"))
+    return maps.dynamic_trial_maps(A.trials(spark, sf_dir), grid(spark), RADIUS, KEYS, side=SIDE).select(*KEYS, "center", "condition", "other", "trial_idx", *r6("similarity"))
 
 
 @query(f"""WITH {FEATURES}, n AS (SELECT feature_id, row_number() OVER (ORDER BY feature_id) - 1 AS k, count(*) OVER () AS n FROM features)
