@@ -97,7 +97,7 @@ def test_scores_as_plainly_counted(spark, lines, order):
 def test_scores_in_small_pieces(spark, lines, monkeypatch):
     """Texts over several pieces, tasks that send more than once, buckets of two, several parts."""
     rows = [*lines, (80, " ".join(t or "" for _, t in lines))]
-    for name, value in (("TASK_TOKENS", 50), ("SLICE_TOKENS", 7), ("BUCKET", 2), ("SLICE_BYTES", 40)):
+    for name, value in (("TASK_TOKENS", 50), ("PART_TOKENS", 50), ("SLICE_TOKENS", 7), ("BUCKET", 2), ("SLICE_BYTES", 40)):
         monkeypatch.setattr(kneser_ney, name, value)
     model = kneser_ney.train(frame(spark, [r for r in rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 != 1]))
     assert model.parts > 4
@@ -128,6 +128,13 @@ def test_scores_of_few_rows(spark, rows):
     same_scores(kneser_ney.score_documents(frame(spark, rows)).collect(), plain_scores(rows, 3))
 
 
+def test_coded_counts():
+    r = np.random.default_rng(2)
+    for values in (r.integers(0, 400, (2000, 1)), r.integers(0, 20, (5000, 4)), np.array([[1 << 40], [3]]), np.array([[0, 1 << 40, 2, 3]])):
+        f = {f"x_{k}": v for k, v in kneser_ney.coded(values).items()}
+        assert np.array_equal(kneser_ney.decoded(f, "x", np.arange(len(values))), values)
+
+
 def test_packed_columns():
     r = np.random.default_rng(1)
     for n in (0, 1, 1000):

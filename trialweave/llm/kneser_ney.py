@@ -51,10 +51,10 @@ from trialweave.llm.scratch import materialize, new_path
 ORDER = 3
 #: Fold of the documents that the model does not learn from: crc32(doc_id) mod FOLDS.
 FOLDS, HELD_OUT = 5, 1
-#: Tokens that a task counts at once, and about as many as one part has.
-TASK_TOKENS = 1 << 21
+#: Tokens that a task counts at once, and about as many as the n-grams of one part come from.
+TASK_TOKENS, PART_TOKENS = 1 << 21, 1 << 20
 #: Text, and tokens of one text, that are looked up at once.
-SLICE_BYTES, SLICE_TOKENS = 8 << 20, 1 << 20
+SLICE_BYTES, SLICE_TOKENS = 4 << 20, 1 << 19
 BUCKET = 16
 START, UNKNOWN = 0, -1
 _END = np.uint64(0xE4D1E4D1E4D1E4D1)
@@ -144,9 +144,13 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def coded(values: np.ndarray) -> dict[str, np.ndarray]:
-    """Rows of counts as bytes: codes of the 255 most frequent rows; the others are listed with their places."""
+    """Rows of counts as bytes: codes of the 255 most frequent rows (of single counts, of 0 to 254); the others are listed with their places."""
     if not len(values):
         return {"code": np.zeros(0, np.uint8), "book": values, "places": np.zeros(0, np.int64), "others": values}
+    if values.shape[1] == 1:  # counts up to 254 are their own codes
+        code = np.minimum(values[:, 0], 255).astype(np.uint8)
+        places = np.flatnonzero(code == 255)
+        return {"code": code, "book": np.arange(255)[:, None], "places": places, "others": values[places]}
     mixed = np.zeros(len(values), np.uint64)
     for c in values.T:
         mixed = W.mix(mixed + c.astype(np.uint64))
@@ -481,7 +485,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     counted = texts.mapInArrow(_count_words(parts), "part int, hashes binary, counts binary")
     named = materialize(counted.groupBy("part").applyInArrow(_write_words(folder), _ROWS), "model-words")
     words = Vocabulary(named.collect(), parts)  # a row a file
-    parts = max(parts, -(-words.tokens // TASK_TOKENS))
+    parts = max(parts, -(-words.tokens // PART_TOKENS))
     shared = spark.sparkContext.broadcast(words)
     rows = texts.mapInArrow(_count_ngrams(shared, order, parts), _ROWS)
     for level in range(order, 0, -1):
