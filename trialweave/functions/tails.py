@@ -81,3 +81,11 @@ def z_from_p(p: pd.Series) -> pd.Series:
     out = pd.Series(np.nan, p.index)
     out[ok] = normal_isf(np.clip(p[ok].to_numpy(float), 1e-300, 1) / 2)
     return out.where(ok, None)
+
+
+@F.pandas_udf(DoubleType())
+def z_p_two_sided(z: pd.Series) -> pd.Series:
+    ok = z.notna()
+    out = pd.Series(np.nan, z.index)
+    out[ok] = 2 * normal_upper(z[ok].abs().to_numpy(float))
+    return out.where(ok, None)
