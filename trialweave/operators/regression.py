@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions.tails import z_p_two_sided
@@ -130,6 +130,8 @@ def random_intercept(df: DataFrame, keys: list[str], predictors: list[str], y: s
     own = rows.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v{k}").alias(f"_t{k}") for k in range(size)], *products)
     outer = [F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")).alias(f"_o{k}") for k, (i, j) in enumerate(pairs)]
     alike = own.groupBy(*keys, "_n").agg(F.count(F.lit(1)).alias("_subjects"), *outer, *[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(len(pairs))])
+    total = F.sum(F.col("_n") * F.col("_subjects")).over(Window.partitionBy(*(keys or [F.lit(0)])))
+    alike = alike.withColumn("_rows", total).where(F.col("_rows") > len(names))
     kinds = dict(df.dtypes)
 
     def square(values: np.ndarray) -> np.ndarray:
@@ -141,14 +143,9 @@ def random_intercept(df: DataFrame, keys: list[str], predictors: list[str], y: s
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_n")
         sizes, subjects = pdf["_n"].to_numpy(float), pdf["_subjects"].to_numpy(float)
-        n = int((sizes * subjects).sum())
-        made = {k: [] for k in [*keys, "term", "n", "n_subjects", "slope", "se", "var_subject", "var_residual", "log_likelihood"]}
-        if n > len(names):
-            slopes, errors, between, within, value = restricted_fit(sizes, subjects, square(pdf[[f"_o{k}" for k in range(len(pairs))]].to_numpy()), square(pdf[[f"_p{k}" for k in range(len(pairs))]].to_numpy().sum(0)))
-            for name, slope, error in zip(names, slopes, errors, strict=True):
-                for k, v in zip(made, [*pdf[keys].iloc[0].tolist(), name, n, int(subjects.sum()), slope, error, between, within, value], strict=True):
-                    made[k].append(v)
-        return pd.DataFrame(made)
+        slopes, errors, between, within, value = restricted_fit(sizes, subjects, square(pdf[[f"_o{k}" for k in range(len(pairs))]].to_numpy()), square(pdf[[f"_p{k}" for k in range(len(pairs))]].to_numpy().sum(0)))
+        made = {k: pdf[k].iloc[0] for k in keys} | {"term": names, "n": int((sizes * subjects).sum()), "n_subjects": int(subjects.sum()), "slope": slopes, "se": errors}
+        return pd.DataFrame(made | {"var_subject": between, "var_residual": within, "log_likelihood": value})
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["term string, n bigint, n_subjects bigint, slope double, se double, var_subject double, var_residual double, log_likelihood double"])
     fitted = alike.groupBy(*keys).applyInPandas(run, schema) if keys else alike.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, schema)  # a row a number of rows
