@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.operators import centroids, clusters, decoding, design, enhancement, group_models, ordered
+from trialweave.operators import centroids, clusters, decoding, design, enhancement, group_models, ordered, regions
 from trialweave.sources import adapters as A
 from trialweave.sources import readers
 from trialweave.sources.adapters import SCORES
@@ -216,3 +216,10 @@ def map_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     m = A.maps(spark, sf_dir).select("feature_id", "value", *A.groups())
     return inference.contrast_battery(m, ["feature_id"], "grp", ("G1", "G2"), "drug", ("D1", "D2"), "value").select("feature_id", "contrast", F.round("effect", 6).alias("effect"))
+
+
+@query()
+def region_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding report of each subject and region, of eight ranges of the vector; every 13th trial is not usable."""
+    atlas = spark.createDataFrame([(f"r{k}", 8 * k, 8) for k in range(A.WIDTH // 8)], "region string, start int, size int")
+    return regions.report(A.trials(spark, sf_dir), atlas, "subject", ("B", "C"), "A", "learn", "test", usable=F.col("trial_idx") % 13 != 0)
