@@ -428,18 +428,23 @@ def test_mixing_takes_prefixes_of_epochs(spark):
         leaves[x["domain"], x["lang"], x["source"]].append(x)
     total = sum(x["n_tokens"] for x in got.values())
     given = sum({k: v[0]["leaf_budget"] for k, v in leaves.items()}.values())
-    assert int(total * 1.3) - 20 <= given <= int(total * 1.3)
+    assert given == int(total * 1.3) == sum(x["copies"] * x["n_tokens"] + x["cut_tokens"] for x in got.values())
     for members in leaves.values():
         budget, tokens = members[0]["leaf_budget"], sum(x["n_tokens"] for x in members)
         epochs, left = divmod(budget, tokens)
         key = lambda x, e=epochs: hashlib.md5(f"{mixing.SEED}|{e + 1}|{x['doc_id']}".encode()).hexdigest()
         for x in sorted(members, key=key):
-            left -= x["n_tokens"]
+            before, left = left, left - x["n_tokens"]
             assert x["copies"] == epochs + (budget % tokens > 0 and left >= 0)
-    mixed = defaultdict(int)
+            assert x["cut_tokens"] == (before if 0 < before < x["n_tokens"] else 0)
+    mixed, texts = defaultdict(list), {r[0]: r[1] for r in rows}
     for x in mixing.mix(df, share=1.3, max_epochs=3).collect():
-        mixed[x["doc_id"]] += 1
-    assert mixed == {k: x["copies"] for k, x in got.items() if x["copies"]}
+        mixed[x["doc_id"]].append(x["text"])
+    for k, x in got.items():
+        whole = [t for t in mixed[k] if t == texts[k]]
+        assert len(whole) == x["copies"] and len(mixed[k]) == x["copies"] + (x["cut_tokens"] > 0)
+        for cut in (t for t in mixed[k] if t != texts[k]):
+            assert texts[k].startswith(cut) and len(cut.split()) == x["cut_tokens"] and not cut.endswith(" ")
 
 
 def test_mixing_shortage_stays_among_siblings(spark):
@@ -450,11 +455,29 @@ def test_mixing_shortage_stays_among_siblings(spark):
 
 
 def test_mixing_odd_tables(odd, empty, docs):
-    assert mixing.copies(odd).count() == odd.count()
+    """Nulls in every column, repeated rows: budgets add up by leaf, nulls are leaves of their own, and a prefix that ends among equal ids gives each its part."""
+    got = mixing.copies(odd, share=0.9).collect()
+    assert len(got) == odd.count()
+    leaves = {(r["domain"], r["lang"], r["source"]): r["leaf_budget"] for r in got}
+    assert sum(leaves.values()) == int(sum(r["n_tokens"] for r in got) * 0.9)
+    assert {s for _, _, s in leaves} >= {None} and {lang for _, lang, _ in leaves} >= {None}
+    for leaf, budget in leaves.items():
+        own = [r for r in got if (r["domain"], r["lang"], r["source"]) == leaf]
+        given = sum(r["copies"] * r["n_tokens"] + r["cut_tokens"] for r in own)
+        assert budget - len(own) < given <= budget
+        for r in own:
+            assert len({(q["copies"], q["cut_tokens"]) for q in own if q["doc_id"] == r["doc_id"] and q["n_tokens"] == r["n_tokens"]}) == 1
     assert mixing.copies(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert mixing.mix(docs).columns == docs.columns
 
 
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+
+    for text, n, want in (("  a b\tc ", 2, "  a b"), ("a", 1, "a"), ("a\u0001b \u0001 c", 2, "a\u0001b \u0001"), ("é  語\nx", 2, "é  語"), ("a b", 9, "a b")):
+        assert spark.createDataFrame([(text, n)], "t string, n long").select(mixing.first_words(F.col("t"), F.col("n"))).first()[0] == want
+
+
 # 6
 
 

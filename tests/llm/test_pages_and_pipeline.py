@@ -195,6 +195,6 @@ def test_stages_on_odd_tables(spark):
     assert kept[0] in (0, 2)  # repeated rows all go or all stay
     assert ids["near_dedup"] == ["1", "3", "4", "5", "6", "6", "None", "None"]
     assert ids["clean_of_benchmark"] == sorted(str(r[0]) for r in rows)
-    assert ids["mixture"].count("1") in (0, 2, 4)
+    assert ids["mixture"].count("1") % 2 == 0  # rows of one id together, the last of them cut
     assert ids["sharding"] == sorted(str(r[0]) for r in rows)
     assert {r["size"] for r in got["sharding"] if r["doc_id"] in (3, 4)} == {1}
