@@ -51,9 +51,11 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents, some of them twice, so that domains, languages and sources come to their weights.
 
-    A null language or source is a value of its own. Texts without words cost nothing of a budget and come with the prefix they fall in. Rows of one id are taken together or not at all.
+    A null language or source is a value of its own. Texts without words cost nothing of a budget and come with the prefix they fall in. Rows of one id are taken together. The last document of a leaf's prefix has its first words only, and ``n_chars`` follows.
     """
-    return mixing.mix(docs.select(*COLUMNS), share=MIX_SHARE, max_epochs=MIX_EPOCHS)
+    mixed = mixing.mix(docs.select(*COLUMNS), share=MIX_SHARE, max_epochs=MIX_EPOCHS)
+    size = F.char_length("text").cast("bigint")
+    return mixed.withColumn("n_chars", F.when(size < F.col("n_chars"), size).otherwise(F.col("n_chars")))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
