@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.operators.lineage import cut
+from trialweave.operators.ordered import running
 
 AXES = ("i", "j", "k")
 
@@ -66,3 +67,25 @@ def overlay(base: DataFrame, top: DataFrame, label: str = "label") -> DataFrame:
 def volume(values: DataFrame, grid: DataFrame, value: str = "value") -> DataFrame:
     """Values painted into a grid, 0 where there is none."""
     return grid.select(*AXES).join(values.select(*AXES, value), list(AXES), "left").select(*AXES, F.coalesce(value, F.lit(0.0)).alias(value))
+
+
+def flat_places(grid: DataFrame, regions: DataFrame, feature: str = "feature_id", region: str = "roi") -> DataFrame:
+    """feature, region, pos: the place of each voxel in a flat vector that holds one region after the other, in the order of ``regions`` (region, order), and a region's voxels by number. Regions that are not listed have no place."""
+    own = grid.join(regions.select(region, F.col("order").alias("_order")), region)
+    ranked = running(own.select(F.col(region).alias("_r"), F.col(feature).alias("_f"), F.lit(1).alias("_one")), ["_r"], "_f", ["_one"])
+    sizes = own.groupBy(region, "_order").agg(F.count(F.lit(1)).alias("_size"))
+    begin = F.coalesce(F.sum("_size").over(Window.orderBy("_order", region).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a region
+    offsets = sizes.select(F.col(region).alias("_r"), begin.alias("_begin"))
+    return ranked.join(F.broadcast(offsets), "_r").select(F.col("_f").alias(feature), F.col("_r").alias(region), (F.col("_begin") + F.col("_one_upto") - 1).cast("bigint").alias("pos"))
+
+
+def scatter(values: DataFrame, grid: DataFrame, regions: DataFrame, feature: str = "feature_id", region: str = "roi", value: str = "value") -> DataFrame:
+    """feature, region, value: a flat vector (pos, value) put back into the voxels of its regions. A vector without a value for a place is an error; values beyond the last place are left out."""
+    placed = flat_places(grid, regions, feature, region).join(values.select("pos", value, F.lit(1).alias("_there")), "pos", "left")
+    whole = F.assert_true(F.col("_there").isNotNull(), "the vector is too short for its regions")
+    return placed.where(whole.isNull()).select(feature, region, value)
+
+
+def flattened(values: DataFrame, grid: DataFrame, regions: DataFrame, feature: str = "feature_id", region: str = "roi", value: str = "value") -> DataFrame:
+    """pos, value: the values of voxels as a flat vector, the inverse of :func:`scatter`."""
+    return flat_places(grid, regions, feature, region).join(values.select(feature, value), feature).select("pos", value)

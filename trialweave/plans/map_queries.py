@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.operators import maps
+from trialweave.operators import geometry, maps
 from trialweave.plans.ordered_queries import r6
 from trialweave.sources import adapters as A
 from trialweave.sources.adapters import FEATURES, LONG, WIDTH
@@ -116,3 +116,16 @@ SELECT feature_id, CAST(c AS BIGINT) AS chunk FROM n, range({CHUNKS}) AS r(c) WH
 def voxel_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels in chunks of near equal size, in order."""
     return maps.chunked(A.features(spark, sf_dir), CHUNKS).select("feature_id", "chunk")
+
+
+_ORDER = "o AS (SELECT roi, row_number() OVER (ORDER BY min(feature_id)) AS k, count(*) AS n FROM features GROUP BY roi), begins AS (SELECT roi, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM o), places AS (SELECT feature_id, roi, b + row_number() OVER (PARTITION BY roi ORDER BY feature_id) - 1 AS pos FROM features JOIN begins USING (roi))"
+
+
+@query(f"WITH {FEATURES}, {_ORDER}, v AS (SELECT l_partkey AS pos, avg(l_quantity) AS value FROM lineitem GROUP BY 1) SELECT feature_id, roi, round(coalesce(value, 0), 6) AS value FROM places LEFT JOIN v USING (pos)")
+def region_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat vector of one value a line-item part, put into the voxels of the regions, which come in the order of their first voxel."""
+    grid = A.features(spark, sf_dir)
+    order = grid.groupBy("roi").agg(F.min("feature_id").alias("order"))
+    means = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pos")).agg(F.avg("l_quantity").alias("value"))
+    every = grid.select(F.col("feature_id").alias("pos")).join(means, "pos", "full").select("pos", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return geometry.scatter(every, grid, order).select("feature_id", "roi", *r6("value"))
