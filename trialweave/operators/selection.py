@@ -100,3 +100,12 @@ def event_lists(df: DataFrame, keys: list[str], order: str, *columns: str) -> Da
     """Ordered lists of onsets, durations or other columns for each key."""
     rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order])))
     return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, *[F.col(f"_rows.{c}").alias(f"{c}s") for c in columns])
+
+
+def beside_others(df: DataFrame, keys: list[str], value: str, own: str = "own", others: str = "others") -> DataFrame:
+    """Each row with its value and the mean of the others within keys (NULL without others): sums of the keys less the own value, so no group is squared. NULL values count neither way."""
+    x = F.col(value).cast("double")
+    sums = df.groupBy(*keys).agg(F.count(x).alias("_n"), F.sum(x).alias("_s"))
+    j = same(df, sums, keys)
+    rest = F.try_divide(F.col("_s") - F.coalesce(x, F.lit(0.0)), (F.col("_n") - x.isNotNull().cast("int")).cast("double"))
+    return j.withColumn(own, x).withColumn(others, rest).drop("_n", "_s")

@@ -15,6 +15,8 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 PAIR = ("B", "C")
 N_PERM = 5000
+#: The map is of random numbers, of which few have a small q.
+REPORT_Q = 0.99
 NEAR = 20
 
 
@@ -105,3 +107,14 @@ def labelled_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = inference.one_sample_t(A.maps(spark, sf_dir).withColumn("value", F.col("value") - 25), ["feature_id"], "value", 3).where("t is not null")
     q = ordered.bh(t.withColumn("p", F.round("p", 9)), "p")
     return q.join(A.features(spark, sf_dir).select("feature_id", "roi"), "feature_id").select("feature_id", "roi", *r6("mean", "t", "p", "q"), F.signum("mean").cast("int").alias("direction"))
+
+
+@query(f"""WITH {MAPS}, {FEATURES}, g AS (SELECT feature_id, count(value) AS n, avg(value - 25) AS mean, stddev_samp(value) AS sd FROM maps GROUP BY feature_id), w AS (SELECT feature_id, mean, mean / (sd / sqrt(n)) AS t, n - 1 AS free FROM g WHERE n >= 3 AND sd > 0),
+tested AS (SELECT *, round({A.p_sql('t', 'free')}, 9) AS p FROM w), {A.q_sql('tested', '', 'feature_id')}
+SELECT feature_id, roi, round(mean, 6) AS effect, round(q, 6) AS q FROM with_q JOIN features USING (feature_id) WHERE q <= {REPORT_Q} ORDER BY abs(round(mean, 6)) DESC, feature_id LIMIT 10""")
+def largest_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest effects of the mean map, either way, among features with a q up to the report's limit."""
+    t = inference.one_sample_t(A.maps(spark, sf_dir).withColumn("value", F.col("value") - 25), ["feature_id"], "value", 3).where("t is not null")
+    q = ordered.bh(t.withColumn("p", F.round("p", 9)), "p").where(F.col("q") <= REPORT_Q)
+    named = q.join(A.features(spark, sf_dir).select("feature_id", "roi"), "feature_id").select("feature_id", "roi", F.round("mean", 6).alias("effect"), F.round("q", 6).alias("q"))
+    return named.orderBy(F.desc(F.abs("effect")), "feature_id").limit(10)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialweave.operators import centroids, clusters, decoding, design, enhancement, group_models, ordered, regions
 from trialweave.sources import adapters as A
-from trialweave.sources import readers
+from trialweave.sources import files, readers
 from trialweave.sources.adapters import SCORES
 
 QUERIES: dict = {}
@@ -223,3 +223,11 @@ def region_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoding report of each subject and region, of eight ranges of the vector; every 13th trial is not usable."""
     atlas = spark.createDataFrame([(f"r{k}", 8 * k, 8) for k in range(A.WIDTH // 8)], "region string, start int, size int")
     return regions.report(A.trials(spark, sf_dir), atlas, "subject", ("B", "C"), "A", "learn", "test", usable=F.col("trial_idx") % 13 != 0)
+
+
+@query()
+def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of each table, from the metadata of the folder."""
+    found = files.scan(spark, sf_dir, "*.parquet")
+    table = F.regexp_extract("path", r"/([A-Za-z_]+)\.parquet(/|$)", 1)
+    return found.groupBy(table.alias("table")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))

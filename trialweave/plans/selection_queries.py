@@ -58,9 +58,9 @@ def condition_event_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SCORES}, j AS (SELECT a.subject, a.condition, a.trial_no AS target, avg(b.score) FILTER (a.trial_no = b.trial_no) AS own, avg(b.score) FILTER (a.trial_no <> b.trial_no) AS others FROM scores a JOIN scores b ON a.subject = b.subject AND a.condition = b.condition GROUP BY ALL) SELECT subject, condition, target, round(own, 6) AS own, round(others, 6) AS others FROM j""")
 def trial_against_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each trial beside the mean of the others of its subject and condition."""
-    j = selection.one_against_others(A.scores(spark, sf_dir).select("subject", "condition", "trial_no", "score"), ["subject", "condition"], "trial_no")
-    of = lambda r: F.avg(F.when(F.col("role") == r, F.col("score")))
-    return j.groupBy("subject", "condition", "target").agg(F.round(of("trial"), 6).alias("own"), F.round(of("others"), 6).alias("others"))
+    s = A.scores(spark, sf_dir).select("subject", "condition", F.col("trial_no").alias("target"), "score")
+    j = selection.beside_others(s, ["subject", "condition"], "score")
+    return j.select("subject", "condition", "target", F.round("own", 6).alias("own"), F.round("others", 6).alias("others"))
 
 
 @query("""SELECT CAST(user_id AS BIGINT) AS subject FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 99""")
