@@ -67,3 +67,32 @@ def vest_lines(design: DataFrame, order: str, row: str = "design_row") -> DataFr
     head = stats.select(F.posexplode(F.array(F.concat(F.lit("/NumWaves "), "w"), F.concat(F.lit("/NumPoints "), "n"), F.lit("/Matrix"))).alias("line_no", "line"))
     body = design.select((F.row_number().over(Window.orderBy(order)) + 2).alias("line_no"), F.array_join(F.transform(row, lambda x: x.cast("string")), " ").alias("line"))
     return head.unionByName(body)
+
+
+def flexible(subjects: DataFrame, patient, coding: str = "1/0", minimal: bool = False, key: str = "subject") -> tuple[DataFrame, dict[str, list[int]]]:
+    """Intercept and group of each subject (patients 1; others 0, or -1 with coding ``1/-1``), and its contrasts by name."""
+    if coding not in ("1/0", "1/-1"):
+        raise ValueError(f"unknown coding: {coding}")
+    other = 0.0 if coding == "1/0" else -1.0
+    rows = subjects.select(key, F.array(F.lit(1.0), F.when(patient, F.lit(1.0)).otherwise(F.lit(other))).alias("design_row"))
+    contrasts = {"patients>controls": [0, 1], "patients<controls": [0, -1]}
+    return rows, contrasts if minimal else contrasts | {"patients": [1, 1], "controls": [1, 0] if coding == "1/0" else [1, -1]}
+
+
+def vest_contrasts(contrasts: DataFrame) -> DataFrame:
+    """Contrasts (contrast, weights, order) as numbered text lines: waves, number and names of contrasts, then their weights."""
+    w = Window.orderBy("order", "contrast")  # contrasts of a design
+    c = contrasts.withColumn("_k", F.row_number().over(w))
+    stats = c.agg(F.max(F.size("weights")).cast("string").alias("w"), F.count(F.lit(1)).alias("n"))
+    head = stats.select(F.posexplode(F.array(F.concat(F.lit("/NumWaves\t"), "w"), F.concat(F.lit("/NumContrasts\t"), F.col("n").cast("string")))).alias("line_no", "line"))
+    names = c.select((F.col("_k") + 1).alias("line_no"), F.concat(F.lit("/ContrastName"), F.col("_k").cast("string"), F.lit("\t"), "contrast").alias("line"))
+    mark = stats.select((F.col("n") + 2).cast("int").alias("line_no"), F.lit("/Matrix").alias("line"))
+    body = c.crossJoin(F.broadcast(stats.select("n"))).select((F.col("_k") + F.col("n") + 2).cast("int").alias("line_no"), F.array_join(F.transform("weights", lambda x: F.format_string("%.6f", x.cast("double"))), "\t").alias("line"))
+    return head.unionByName(names).unionByName(mark).unionByName(body)
+
+
+def vest_groups(design: DataFrame) -> DataFrame:
+    """One variance group for all points, as numbered text lines."""
+    n = design.agg(F.count(F.lit(1)).alias("n"))
+    lines = F.concat(F.array(F.lit("/NumWaves\t1"), F.concat(F.lit("/NumPoints\t"), F.col("n").cast("string")), F.lit("/Matrix")), F.array_repeat(F.lit("1"), F.col("n").cast("int")))
+    return n.select(F.posexplode(lines).alias("line_no", "line"))

@@ -109,3 +109,8 @@ def beside_others(df: DataFrame, keys: list[str], value: str, own: str = "own",
     j = same(df, sums, keys)
     rest = F.try_divide(F.col("_s") - F.coalesce(x, F.lit(0.0)), (F.col("_n") - x.isNotNull().cast("int")).cast("double"))
     return j.withColumn(own, x).withColumn(others, rest).drop("_n", "_s")
+
+
+def in_range(df: DataFrame, number: str, limits: tuple[int, int] | None = None) -> DataFrame:
+    """Rows whose number (a trial's or a contrast's) is in a range, both ends included; all rows without a range. NULL is in none."""
+    return df if limits is None else df.where(F.col(number).between(*limits))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.operators import geometry, maps
+from trialweave.operators import atlas, geometry, maps, selection
 from trialweave.plans.ordered_queries import r6
 from trialweave.sources import adapters as A
-from trialweave.sources.adapters import FEATURES, LONG, WIDTH
+from trialweave.sources.adapters import FEATURES, LONG, SCORES, WIDTH
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -129,3 +129,19 @@ def region_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pos")).agg(F.avg("l_quantity").alias("value"))
     every = grid.select(F.col("feature_id").alias("pos")).join(means, "pos", "full").select("pos", F.coalesce("value", F.lit(0.0)).alias("value"))
     return geometry.scatter(every, grid, order).select("feature_id", "roi", *r6("value"))
+
+
+@query(f"""WITH {FEATURES}, p AS (SELECT l_partkey AS feature_id, l_suppkey % 5 AS structure, avg(l_quantity) AS probability FROM lineitem GROUP BY ALL), g(region, structure) AS (VALUES ('low', 0), ('low', 1), ('middle', 2), ('middle', 3), ('high', 4)),
+t AS (SELECT region, feature_id, sum(probability) AS s FROM p JOIN g USING (structure) GROUP BY ALL HAVING sum(probability) > 40) SELECT region, CASE WHEN i < 10 THEN 'left' ELSE 'right' END AS hemisphere, feature_id FROM t JOIN features USING (feature_id) WHERE i <> 10""")
+def hemisphere_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels of three regions in which the values of their structures add up to over 40, by hemisphere."""
+    p = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("feature_id"), (F.col("l_suppkey") % 5).alias("structure")).agg(F.avg("l_quantity").alias("probability"))
+    p = p.join(A.features(spark, sf_dir).select("feature_id", (F.col("i") - 10).alias("x")), "feature_id")
+    groups = spark.createDataFrame([("low", 0), ("low", 1), ("middle", 2), ("middle", 3), ("high", 4)], "region string, structure long")
+    return atlas.hemisphere_masks(p, groups, 40.0)
+
+
+@query(f"WITH {SCORES} SELECT subject, condition, trial_no, round(score, 6) AS score FROM scores WHERE trial_no BETWEEN 3 AND 8")
+def trials_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials from the third to the eighth of each subject and condition."""
+    return selection.in_range(A.scores(spark, sf_dir), "trial_no", (3, 8)).select("subject", "condition", "trial_no", *r6("score"))

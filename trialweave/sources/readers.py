@@ -67,10 +67,10 @@ def numbered_labels(spark: SparkSession, path: str) -> DataFrame:
 def region_name(column: Column | str) -> Column:
     """``NAME-rh`` to ``rh_NAME``, ``7Networks_LH_Area_3`` to ``lh_Area-3``."""
     c = F.trim(F.col(column) if isinstance(column, str) else column)
-    side = F.regexp_extract(c, r"^(.*)-([lr]h)$", 2)
-    network = r"^[0-9]+Networks_([LR])H_(.*)$"
+    side = F.lower(F.regexp_extract(c, r"(?i)^(.+)-([lr]h)$", 2))
+    network = r"(?i)^[0-9]+Networks_([LR])H_(.+)$"
     rest = F.regexp_replace(F.regexp_extract(c, network, 2), r"_([0-9]+)$", "-$1")
-    return F.when(side != "", F.concat(side, F.lit("_"), F.regexp_extract(c, r"^(.*)-([lr]h)$", 1))).when(F.regexp_extract(c, network, 1) != "", F.concat(F.lower(F.regexp_extract(c, network, 1)), F.lit("h_"), rest)).otherwise(c)
+    return F.when(side != "", F.concat(side, F.lit("_"), F.regexp_extract(c, r"(?i)^(.+)-([lr]h)$", 1))).when(F.regexp_extract(c, network, 1) != "", F.concat(F.lower(F.regexp_extract(c, network, 1)), F.lit("h_"), rest)).otherwise(c)
 
 
 def fixed_durations(df: DataFrame) -> DataFrame:
