@@ -72,6 +72,23 @@ def test_neighbours(spark):
     assert {r["center"]: r["neighbor"] for r in near} == {0: 1, 1: 2, 2: 1, 3: 0}
 
 
+def test_neighbours_on_any_places_without_broadcasts(spark):
+    """Places between grid points and under 0, against all pairs; copied points are never broadcast."""
+    r = np.random.default_rng(3)
+    place = np.concatenate([r.uniform(-6, 6, (60, 3)), r.integers(-4, 5, (60, 3))])
+    points = spark.createDataFrame([(f, *map(float, v)) for f, v in enumerate(place)], "feature_id bigint, i double, j double, k double")
+    gap = place[:, None] - place[None]
+    for radius in (1.0, 2.5):
+        found = geometry.sphere(points, radius)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((x["center"], x["neighbor"]) for x in found.collect()) == list(map(tuple, np.argwhere((gap**2).sum(2) <= radius**2)))
+    found = geometry.box(points, 2)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == list(map(tuple, np.argwhere(np.abs(gap).max(2) <= 2)))
+    for x in geometry.nearest(points, 5, 0.5).groupBy("center").agg(F.sort_array(F.collect_list(F.struct("rank", "distance"))).alias("near")).collect():
+        assert np.allclose([d for _, d in x["near"]], np.sort(np.sqrt((gap[x["center"]] ** 2).sum(1)))[:5])
+
+
 def test_overlay(spark):
     schema = "i int, j int, k int, label int"
     got = geometry.overlay(spark.createDataFrame([(0, 0, 0, 2), (0, 0, 1, 5)], schema), spark.createDataFrame([(0, 0, 1, 1), (9, 9, 9, 3)], schema)).collect()

@@ -11,27 +11,29 @@ from trialweave.operators.ordered import running
 AXES = ("i", "j", "k")
 
 
-def _near(points: DataFrame, reach: float, key: str, keep: list[str]) -> DataFrame:
-    """Pairs of points in cells of side ``reach`` that touch, with the differences of their places."""
-    cell = [F.floor(F.col(a) / reach).alias(f"_c{a}") for a in AXES]
-    left = points.select(F.col(key).alias("center"), *[F.col(a).alias(f"_{a}") for a in AXES], *cell)
-    moves = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+def _near(centers: DataFrame, points: DataFrame, reach: float, key: str, keep: list[str]) -> DataFrame:
+    """Pairs of centers and points in one cell, with both places: a cell has twice the side of ``reach``, and a point is in each cell that its surroundings touch, eight at most.
+
+    The hint keeps the join from being broadcast: Spark takes the size of copied points for that of the points.
+    """
+    side, wide = 2 * reach, reach * (1 + 1e-9)  # a rounded distance of just reach is in reach
+    left = centers.select(F.col(key).alias("center"), *[F.col(a).alias(f"_{a}") for a in AXES], *[F.floor(F.col(a) / side).alias(f"_c{a}") for a in AXES])
+    right = points.select(F.col(key).alias("neighbor"), *AXES, *keep)
     for a in AXES:
-        left = left.withColumn("_d", F.explode(moves)).withColumn(f"_c{a}", F.col(f"_c{a}") + F.col("_d")).drop("_d")
-    right = points.select(F.col(key).alias("neighbor"), *AXES, *keep, *cell)
-    return left.join(right, [f"_c{a}" for a in AXES])
+        right = right.withColumn(f"_c{a}", F.explode(F.sequence(F.floor((F.col(a) - wide) / side), F.floor((F.col(a) + wide) / side))))
+    return left.hint("merge").join(right, [f"_c{a}" for a in AXES])
 
 
-def sphere(points: DataFrame, radius: float, key: str = "feature_id", keep: list[str] | None = None) -> DataFrame:
-    """center, neighbor, distance (and columns of the neighbor) of all pairs within the radius, the point itself included."""
-    j = _near(points, radius, key, keep or [])
+def sphere(points: DataFrame, radius: float, key: str = "feature_id", keep: list[str] | None = None, centers: DataFrame | None = None) -> DataFrame:
+    """center, neighbor, distance (and columns of the neighbor) of all pairs within the radius, the point itself included; of some centers where these are given."""
+    j = _near(points if centers is None else centers, points, radius, key, keep or [])
     square = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in AXES[1:]), (F.col("i") - F.col("_i")) * (F.col("i") - F.col("_i")))
     return j.withColumn("_s", square.cast("double")).where(F.col("_s") <= radius * radius).select("center", "neighbor", F.sqrt("_s").alias("distance"), *(keep or []))
 
 
 def box(points: DataFrame, half: int, key: str = "feature_id", keep: list[str] | None = None) -> DataFrame:
     """center, neighbor of all pairs within a cube of half side ``half``."""
-    j = _near(points, float(max(half, 1)), key, keep or [])
+    j = _near(points, points, float(max(half, 1)), key, keep or [])
     inside = F.greatest(*[F.abs(F.col(a) - F.col(f"_{a}")) for a in AXES]) <= half
     return j.where(inside).select("center", "neighbor", *(keep or []))
 
@@ -43,15 +45,15 @@ def nearest(points: DataFrame, k: int, radius: float, key: str = "feature_id", r
     among them, the others go on with twice the radius. Each round is written, so none is
     computed again; points left after the last are an error.
     """
-    out, left = None, points.select(key)
+    out, left = None, points.select(key, *AXES)
     least = min(k, points.count())
     for step in range(rounds):
-        found = sphere(points, radius * 2**step, key).join(left.select(F.col(key).alias("center")), "center", "left_semi")
+        found = sphere(points, radius * 2**step, key, centers=left)
         w = Window.partitionBy("center")
         ranked = found.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
         ranked = cut(ranked.withColumn("rank", F.row_number().over(w.orderBy("distance", "neighbor"))).where(F.col("rank") <= k).drop("_n"))
         out = ranked if out is None else out.unionByName(ranked)
-        left = cut(left.join(ranked.where("rank = 1").select(F.col("center").alias(key)), key, "left_anti"))
+        left = cut(left.hint("merge").join(ranked.where("rank = 1").select(F.col("center").alias(key)), key, "left_anti"))
         if left.isEmpty():
             return out
     raise RuntimeError(f"points without {least} neighbours within {radius * 2 ** (rounds - 1)}")
