@@ -199,5 +199,6 @@ def searchlight_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.maps(spark, sf_dir)
     of = lambda k: F.avg(F.when(F.col("subject") % 2 == k, F.col("value")))
     g = m.groupBy("feature_id").agg((of(0) - of(1)).alias("effect"))
-    n = geometry.sphere(A.features(spark, sf_dir), 2.5).join(g, F.col("neighbor") == F.col("feature_id"))
+    points = A.features(spark, sf_dir).hint("merge").join(g, "feature_id", "left")  # a value goes along with its voxel
+    n = geometry.sphere(points, 2.5, keep=["effect"])
     return n.groupBy("center").agg(F.count("effect").alias("n_used"), F.avg("effect").alias("mean_effect")).where("n_used >= 10").select("center", "n_used", *r6("mean_effect"))
