@@ -35,6 +35,11 @@ def test_queries_without_sql_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["box_neighbours", "sphere_neighbours", "searchlight_effect", "sphere_dissimilarity"])
+def test_neighbours_are_not_broadcast(spark, name):
+    assert "Broadcast" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_module(spark):
     import __spark_entry__ as e
 

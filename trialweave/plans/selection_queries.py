@@ -79,10 +79,11 @@ p AS (SELECT a.center, a.condition AS cond_a, b.condition AS cond_b, corr(a.v, b
 SELECT center, round(avg(1 - r), 5) AS dissimilarity FROM p WHERE n >= 5 AND r IS NOT NULL AND NOT isnan(r) GROUP BY center HAVING count(*) = 3""")
 def sphere_dissimilarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean correlation distance of three condition patterns over the sphere of each voxel."""
-    line = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("neighbor"), F.col("l_returnflag").alias("condition")).agg(F.avg("l_quantity").alias("v"))
+    line = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("feature_id"), F.col("l_returnflag").alias("condition")).agg(F.avg("l_quantity").alias("v"))
     # the three conditions of a voxel in one row: pairs of them need no join
-    wide = line.groupBy("neighbor").agg(*[F.max(F.when(F.col("condition") == c, F.col("v"))).alias(c) for c in "ANR"])
-    j = geometry.sphere(A.features(spark, sf_dir), 1.0).join(wide, "neighbor")
+    wide = line.groupBy("feature_id").agg(*[F.max(F.when(F.col("condition") == c, F.col("v"))).alias(c) for c in "ANR"])
+    points = A.features(spark, sf_dir).hint("merge").join(wide, "feature_id", "left")  # the values go along with their voxel
+    j = geometry.sphere(points, 1.0, keep=list("ANR"))
     ok = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     pairs = [("A", "N"), ("A", "R"), ("N", "R")]
     r = j.groupBy("center").agg(*[corr(F.when(ok(a, b), F.col(a)), F.when(ok(a, b), F.col(b))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)], *[F.count(F.when(ok(a, b), 1)).alias(f"n{k}") for k, (a, b) in enumerate(pairs)])
