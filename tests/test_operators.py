@@ -89,6 +89,25 @@ def test_neighbours_on_any_places_without_broadcasts(spark):
         assert np.allclose([d for _, d in x["near"]], np.sort(np.sqrt((gap[x["center"]] ** 2).sum(1)))[:5])
 
 
+@pytest.mark.parametrize("held", [1000, 7])
+def test_shuffled_labels_as_bits(spark, held):
+    """The labels of every draw, and sums over them, as with a row a draw and subject; with several ranges of keys too."""
+    from trialweave.operators import permutation as perm
+
+    r = np.random.default_rng(5)
+    people = spark.createDataFrame([(s, "abc"[r.integers(3)], "xy"[r.integers(2)], float(r.normal())) for s in range(40)], "subject long, label string, arm string, value double")
+    bits = perm.member_bits(people, "subject", "label", ["a", "b"], 70, ["arm"], held)
+    got = {(x["subject"], 64 * x["_block"] + d + 1): "ab"[0 if x["_m0"] >> d & 1 else 1] for x in bits.collect() for d in range(64) if (x["_m0"] | x["_m1"]) >> d & 1}
+    want = perm.relabelled(people, "subject", "label", 70, ["arm"]).where("label <> 'c'")
+    assert got == {(x["subject"], x["perm_id"]): x["label"] for x in want.collect()}
+    sums = {(x["arm"], x["perm_id"]): x for x in perm.member_sums(people.drop("label").join(bits, "subject"), ["arm"], "value", 2, 70).collect()}
+    told = want.join(people.select("subject", "value"), "subject").groupBy("arm", "perm_id").pivot("label", ["a", "b"]).agg(F.count("value").alias("n"), F.sum("value").alias("s")).collect()
+    assert len(sums) == len(told) == 140
+    for x in told:
+        y = sums[x["arm"], x["perm_id"]]
+        assert np.allclose([y["_n0"], y["_s0"], y["_n1"], y["_s1"]], [x["a_n"], x["a_s"] or 0, x["b_n"], x["b_s"] or 0])
+
+
 def test_overlay(spark):
     schema = "i int, j int, k int, label int"
     got = geometry.overlay(spark.createDataFrame([(0, 0, 0, 2), (0, 0, 1, 5)], schema), spark.createDataFrame([(0, 0, 1, 1), (9, 9, 9, 3)], schema)).collect()

@@ -3,7 +3,7 @@
 Permutation k orders subjects by the md5 of "k-subject"; the subject at rank r gets the
 label of the subject whose rank in permutation 0 is r. Signs follow from the 32 digits of one md5, so a row
 is read once for 32 draws; two groups are drawn by
-numbers that tasks work out, all draws at once; other labels need a row for each permutation. Only counts and moments of the null are kept.
+numbers that tasks work out, all draws at once; other labels become bits of 64 draws for each subject. Only counts and moments of the null are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from trialweave.operators.ordered import digest_rank, same
 PER_DIGEST = 32
 #: Draws of two groups that one md5 serves, with 32 bits each, and bytes of sums that a task holds.
 PER_KEY, HELD_SUMS = 4, 64 << 20
+#: Draws of shuffled labels in one task, a bit each, and subjects of an arm whose keys it holds at once.
+PER_TASK, HELD_KEYS = 64, 200_000
 
 
 def draw_key(perm: str, subject: str) -> Column:
@@ -69,6 +71,116 @@ def relabelled(df: DataFrame, subject: str, label: str, n_perm: int, arms: list[
     return same(place(1, n_perm).drop(label), base, [*arms, "_rank"]).select("perm_id", subject, *arms, F.col("_label").alias(label))
 
 
+def member_bits(df: DataFrame, subject: str, label: str, values: list[str], n_perm: int, arms: list[str] | None = None, held: int = HELD_KEYS) -> DataFrame:
+    """subject, _block, _m0, _m1 ...: bit d of a value's column says whether the subject has that label in draw 64 * _block + d + 1 of :func:`relabelled`.
+
+    A task takes 64 draws of an arm: the arm's subjects stream by, and those whose keys lie in the
+    task's range of keys (about ``held`` a draw) are ordered; of the others it keeps a count and one byte.
+    """
+    arms = arms or []
+    spark, kind = df.sparkSession, dict(df.dtypes)[subject]
+    people = df.where(F.col(subject).isNotNull()).select(*arms, subject, F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(label)), F.lit(0)).cast("tinyint").alias("_code"))
+    base = cut(digest_rank(people.withColumn("_key", F.md5(F.concat(F.lit("0-"), F.col(subject).cast("string")))), arms, "_key", subject, "_rank").drop("_key"))
+    most = base.groupBy(*arms).count().agg(F.max("count")).first()[0] or 0
+    ranges, blocks = max(1, -(-most // held)), -(-n_perm // PER_TASK)
+    own = [F.col(a).alias(f"_arm{k}") for k, a in enumerate(arms)]
+    every = base.select(*own, F.col(subject).alias("_s"), F.col(subject).cast("string").alias("_t"), "_code", F.col("_rank").cast("bigint").alias("_rank"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    every = every.withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    keys = ["_block", "_range", *[f"_arm{k}" for k in range(len(arms))]]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, part = key[0].as_py(), key[1].as_py()
+        draws = range(block * PER_TASK + 1, min(n_perm, (block + 1) * PER_TASK) + 1)
+        names, texts, code, rank, n = [], [], [], [], 0
+        below, near = np.zeros(len(draws), np.int64), [[] for _ in draws]
+        for batch in batches:
+            text = [t.encode() for t in batch.column("_t").to_pylist()]
+            names.append(batch.column("_s"))
+            texts.append(text)
+            code.append(batch.column("_code").to_numpy())
+            rank.append(batch.column("_rank").to_numpy())
+            for d, draw in enumerate(draws):
+                first = b"%d-" % draw
+                number = np.frombuffer(b"".join([hashlib.md5(first + t).digest() for t in text]), ">u8")[::2].astype(np.uint64)
+                place = ((number >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                below[d] += (place < part).sum()
+                at = np.flatnonzero(place == part)
+                near[d].append((number[at], (at + n).astype(np.int32)))
+            n += len(text)
+        label_at = np.zeros(n, np.int8)
+        label_at[np.concatenate(rank) - 1] = np.concatenate(code)
+        bits = np.zeros((len(values), n), np.uint64)
+        for d, draw in enumerate(draws):
+            number, at = (np.concatenate(v) for v in zip(*near[d], strict=True))
+            near[d] = None
+            order = np.argsort(number, kind="stable")
+            if (np.diff(number[order]) == 0).any():  # equal in 64 bits: by the whole digest
+                flat, ids = [t for part_of in texts for t in part_of], [x for column in names for x in column.to_pylist()]
+                order = np.array(sorted(range(len(at)), key=lambda k: (hashlib.md5(b"%d-" % draw + flat[at[k]]).digest(), ids[at[k]])))
+            drawn = label_at[below[d] : below[d] + len(at)]
+            for v in range(len(values)):
+                bits[v, at[order[drawn == v + 1]]] |= np.uint64(1 << d)
+        lo = 0
+        for column in names:
+            part_of = bits[:, lo : lo + len(column)].view(np.int64)
+            lo += len(column)
+            yield pa.RecordBatch.from_arrays([column, pa.array(np.full(len(column), block), pa.int32()), *[pa.array(x, pa.int64()) for x in part_of]], names=["_s", "_block", *[f"_m{v}" for v in range(len(values))]])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = f"_s {kind}, _block int, " + ", ".join(f"_m{v} bigint" for v in range(len(values)))
+    out = every.repartition(parts, *keys).groupBy(*keys).applyInArrow(run, made).withColumnRenamed("_s", subject)
+    if ranges == 1:
+        return out
+    return out.groupBy(subject, "_block").agg(*[F.bit_or(f"_m{v}").alias(f"_m{v}") for v in range(len(values))])
+
+
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    """[rows, 64] of zeros and ones from rows of 64 bits, the lowest first."""
+    return np.unpackbits(np.ascontiguousarray(bits, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def member_sums(rows: DataFrame, keys: list[str], x: str, n_values: int, n_perm: int) -> DataFrame:
+    """keys, perm_id, and _n0, _s0, _n1 ...: count and sum of x (not null) over the members of each value, for rows beside :func:`member_bits`."""
+    kinds = dict(rows.dtypes)
+    at = {k: f"_k{i}" for i, k in enumerate(keys)}
+    named = rows.where(F.col(x).isNotNull()).select(*[F.col(k).alias(n) for k, n in at.items()], "_block", F.col(x).cast("double").alias("_x"), *[f"_m{v}" for v in range(n_values)])
+    totals = [f"{c}{v}" for v in range(n_values) for c in ("_n", "_s")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, np.ndarray] = {}
+        kind = None
+
+        def send() -> pa.RecordBatch:
+            d = np.concatenate([np.arange(PER_TASK) + PER_TASK * k[-1] + 1 for k in found])
+            group = [pa.array([k[i] for k in found], kind.field(c).type).take(pa.array(np.repeat(np.arange(len(found)), PER_TASK))) for i, c in enumerate(at.values())]
+            whole = np.concatenate(list(found.values()), 1)
+            return pa.RecordBatch.from_arrays([*group, pa.array(d, pa.int32()), *[pa.array(c, pa.float64()) for c in whole]], names=[*at.values(), "perm_id", *totals])
+
+        for batch in batches:
+            kind = kind or batch.schema
+            names = [*at.values(), "_block"]
+            group = pa.Table.from_batches([batch.select(names)]).append_column("_row", pa.array(np.arange(len(batch)))).group_by(names).aggregate([("_row", "list")])
+            value = batch.column("_x").to_numpy()
+            lists = group["_row_list"].combine_chunks()
+            order, begin = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])[:-1]
+            sums = []
+            for v in range(n_values):
+                member = _unpacked(batch.column(f"_m{v}").to_numpy()[order]).astype(np.float64)
+                sums += [np.add.reduceat(member, begin, 0), np.add.reduceat(member * value[order][:, None], begin, 0)]
+            for i, key in enumerate(zip(*[group[c].to_pylist() for c in names], strict=True)):
+                new = np.stack([s[i] for s in sums])
+                found[key] = found[key] + new if key in found else new
+            if len(found) * PER_TASK * 16 * n_values > HELD_SUMS:
+                yield send()
+                found.clear()
+        if found:
+            yield send()
+
+    made = "".join(f"{n} {kinds[k]}, " for k, n in at.items()) + "perm_id int, " + ", ".join(f"{t} double" for t in totals)
+    each = named.mapInArrow(run, made).where(F.col("perm_id") <= n_perm)
+    return each.groupBy(*at.values(), "perm_id").agg(*[F.sum(t).alias(t) for t in totals]).select(*[F.col(n).alias(k) for k, n in at.items()], "perm_id", *totals)
+
+
 def draw_numbers(subjects: list[str], n_perm: int) -> np.ndarray:
     """[subjects, draws]: numbers of 32 bits; the md5 of "k-subject" serves the draws 4k + 1 to 4k + 4."""
     n = -(-n_perm // PER_KEY)
@@ -209,8 +321,10 @@ def interaction(df: DataFrame, keys: list[str], subject: str, label: str, a: str
     cell = lambda g, d: F.avg(F.when((F.col(label) == g) & (F.col(arm) == d), F.col(x)))
     value = lambda: (cell(a, first) - cell(b, first)) - (cell(a, second) - cell(b, second))
     observed = df.groupBy(*keys).agg(value().alias("observed"))
-    labels = relabelled(df.select(subject, label, arm).distinct(), subject, label, n_perm, [arm]).drop(arm)
-    null = df.drop(label).join(labels, subject).groupBy(*keys, "perm_id").agg(value().alias("_null"))
+    bits = member_bits(df.select(subject, label, arm).distinct(), subject, label, [a, b], n_perm, [arm])
+    sums = member_sums(df.drop(label).hint("merge").join(bits, subject), [*keys, arm], x, 2, n_perm)
+    mean = lambda v, d: F.try_divide(F.sum(F.when(F.col(arm) == d, F.col(f"_s{v}"))), F.sum(F.when(F.col(arm) == d, F.col(f"_n{v}"))))
+    null = sums.groupBy(*keys, "perm_id").agg(((mean(0, first) - mean(1, first)) - (mean(0, second) - mean(1, second))).alias("_null"))
     return _exceed(null, observed, keys, n_perm, "two")
 
 
