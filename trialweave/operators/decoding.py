@@ -6,10 +6,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions import vectors as V
+from trialweave.operators.lineage import cut
 from trialweave.operators.ordered import same
 
 MODEL = "mean array<double>, scale array<double>, coef array<double>, intercept double"
@@ -248,20 +250,41 @@ def shuffled_choice(scored: DataFrame, pair: tuple[str, str], n_perm: int = 5000
     Accuracy is the share of trials on the side of their label; with ``subject``, the share of subjects
     whose mean score is higher for the second condition, over those that have both.
     """
-    from trialweave.operators.permutation import relabelled
+    from trialweave.operators.permutation import PER_TASK, _unpacked, member_bits, member_sums
 
     own = scored.select(*([subject] if subject else []), trial, F.col(condition).alias("_label"), "score")
-    drawn = relabelled(own, trial, "_label", n_perm).join(own.drop("_label"), trial)
-    every = drawn.unionByName(own.withColumn("perm_id", F.lit(0)))
+    own = cut(own)
+    rows = own.select(*([subject] if subject else []), trial, "score", (F.col("score") > 0).cast("double").alias("_over"))
+    rows = rows.hint("merge").join(member_bits(own, trial, "_label", list(pair), n_perm), trial)
     if subject:
         of = lambda c: F.avg(F.when(F.col("_label") == c, F.col("score")))
-        per = every.groupBy("perm_id", subject).agg(of(pair[0]).alias("_low"), of(pair[1]).alias("_high")).where("_low is not null and _high is not null")
-        hit = F.col("_high") > F.col("_low")
+        per = own.groupBy(subject).agg(of(pair[0]).alias("_low"), of(pair[1]).alias("_high")).where("_low is not null and _high is not null")
+        seen = per.agg(F.avg((F.col("_high") > F.col("_low")).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+        def choose(table: pa.Table) -> pa.Table:
+            block, at = np.unique(table["_block"].to_numpy(), return_inverse=True)
+            value, counts, means = table["score"].to_numpy(), [], []
+            for name in ("_m0", "_m1"):
+                member = _unpacked(table[name].to_numpy()).astype(float)
+                n, total = np.zeros((len(block), PER_TASK)), np.zeros((len(block), PER_TASK))
+                np.add.at(n, at, member)
+                np.add.at(total, at, member * value[:, None])
+                counts.append(n > 0)
+                means.append(total / np.maximum(n, 1))
+            both = counts[0] & counts[1]
+            packed = [np.packbits(m, axis=1, bitorder="little").view("<i8")[:, 0] for m in (both, both & (means[1] > means[0]))]
+            return pa.table({"_block": pa.array(block, pa.int32()), "_both": pa.array(packed[0], pa.int64()), "_high": pa.array(packed[1], pa.int64())})
+
+        drawn = rows.where(F.col("score").isNotNull()).select(subject, "score", "_block", "_m0", "_m1").groupBy(subject).applyInArrow(choose, "_block int, _both bigint, _high bigint")
+        bit = lambda c: F.expr(f"shiftrightunsigned({c}, _d) & 1")
+        each = drawn.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(PER_TASK - 1)))).select((F.col("_block") * PER_TASK + F.col("_d") + 1).alias("perm_id"), bit("_both").alias("_both"), bit("_high").alias("_high"))
+        null = each.where(F.col("perm_id") <= n_perm).groupBy("perm_id").agg(F.try_divide(F.sum("_high").cast("double"), F.sum("_both").cast("double")).alias("_null")).where("_null is not null")
     else:
-        per, hit = every, (F.col("score") > 0) == (F.col("_label") == pair[1])
-    marks = per.groupBy("perm_id").agg(F.avg(hit.cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
-    seen = marks.where("perm_id = 0").select("accuracy", "n")
-    null = marks.where("perm_id > 0").select(F.col("accuracy").alias("_null")).crossJoin(F.broadcast(seen))  # one row
+        hit = (F.col("score") > 0) == (F.col("_label") == pair[1])
+        seen = own.agg(F.avg(hit.cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+        sums = member_sums(rows, [], "_over", 2, n_perm)
+        null = sums.select(F.try_divide(F.col("_s1") + F.col("_n0") - F.col("_s0"), F.col("_n0") + F.col("_n1")).alias("_null"))
+    null = null.select("_null").crossJoin(F.broadcast(seen))  # one row
     c = F.count(F.when(F.round("_null", 9) >= F.round("accuracy", 9), 1))
     return null.groupBy("accuracy", "n").agg(c.alias("n_beyond"), ((c + 1) / F.lit(float(n_perm + 1))).alias("p"), F.avg("_null").alias("null_mean"))
 
