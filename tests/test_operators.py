@@ -89,6 +89,19 @@ def test_neighbours_on_any_places_without_broadcasts(spark):
         assert np.allclose([d for _, d in x["near"]], np.sort(np.sqrt((gap[x["center"]] ** 2).sum(1)))[:5])
 
 
+@pytest.mark.parametrize("one", [True, False])
+def test_fits_of_many_draws_by_shares_of_rows(monkeypatch, one):
+    """Wide rows, centred so that they do not have full rank: as the fits one by one, and without a factorisation a draw."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(1 if one else 30, 24, 64))
+    x = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    ys = r.permuted(np.tile(np.arange(24) % 3 == 0, (30, 1)).astype(int), axis=1)
+    want = [decoding.logistic(x[0 if one else k], ys[k]) for k in range(30)]
+    monkeypatch.delattr(np.linalg, "qr")
+    coef, shift = decoding.logistic_draws(x, ys)
+    assert np.allclose(coef, [w for w, _ in want], atol=1e-8) and np.allclose(shift, [b for _, b in want], atol=1e-8)
+
+
 @pytest.mark.parametrize("held", [1000, 7])
 def test_shuffled_labels_as_bits(spark, held):
     """The labels of every draw, and sums over them, as with a row a draw and subject; with several ranges of keys too."""

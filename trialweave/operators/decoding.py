@@ -54,13 +54,14 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, penalize_intercept: b
 def logistic_draws(x: np.ndarray, ys: np.ndarray, c: float = 1.0, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """:func:`logistic` for each row of labels in ``ys``, in Newton steps of all draws at once: coefficients (draws by features) and intercepts.
 
-    ``x`` is draws by rows by features, or has one entry for all draws.
+    ``x`` is draws by rows by features, or has one entry for all draws. Where features are as many as
+    rows or more, coefficients are sums of rows, and a step solves for the rows' shares.
     """
     n, n_pos = ys.shape[1], ys.sum(1, keepdims=True)
     weight = np.where(ys == 1, n / (2 * n_pos), n / (2 * (n - n_pos)))
-    basis = None if x.shape[2] <= n else np.linalg.qr(x.swapaxes(1, 2))[0]
-    z = x if basis is None else x @ basis
-    a = np.concatenate([z, np.ones((*z.shape[:2], 1))], 2)
+    if x.shape[2] >= n:
+        return _logistic_shares(x, ys, c * weight, steps)
+    a = np.concatenate([x, np.ones((*x.shape[:2], 1))], 2)
     ridge = np.full(a.shape[2], 1.0)
     ridge[-1] = 1e-10
     w = np.zeros((len(ys), a.shape[2]))
@@ -72,7 +73,42 @@ def logistic_draws(x: np.ndarray, ys: np.ndarray, c: float = 1.0, steps: int = 1
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return (w[:, :-1] if basis is None else (basis @ w[:, :-1, None])[:, :, 0]), w[:, -1]
+    return w[:, :-1], w[:, -1]
+
+
+#: Draws whose matrices are worked on at once, so that they stay in the processor's cache.
+TOGETHER = 50
+
+
+def _logistic_shares(x: np.ndarray, ys: np.ndarray, weight: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same Newton steps in the scores of the rows: coefficients are x' share, and the matrix of a step is that of products of rows, with 1 added."""
+    draws, n = ys.shape
+    if draws > TOGETHER:
+        parts = [slice(lo, lo + TOGETHER) for lo in range(0, draws, TOGETHER)]
+        done = [_logistic_shares(x if len(x) == 1 else x[k], ys[k], weight[k], steps) for k in parts]
+        return np.concatenate([c for c, _ in done]), np.concatenate([b for _, b in done])
+    product = x @ x.swapaxes(1, 2)
+    whole = np.empty((draws, n + 1, n + 1))
+    right = np.zeros((draws, n + 1, 1))
+    share, shift, score = np.zeros((draws, n)), np.zeros((draws, 1)), np.zeros((draws, n))
+    at = np.arange(n)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
+        root = np.sqrt(weight * p * (1 - p))
+        np.multiply(product, root[:, :, None], out=whole[:, :n, :n])
+        whole[:, :n, :n] *= root[:, None, :]
+        whole[:, at, at] += 1
+        whole[:, :n, n] = whole[:, n, :n] = root
+        whole[:, n, n] = -1e-10
+        right[:, :n, 0] = root * score - weight * (p - ys) / root
+        found = np.linalg.solve(whole, right)[:, :, 0]
+        share, shift = root * found[:, :n], found[:, n:]
+        new = (product @ share[:, :, None])[:, :, 0] + shift
+        moved, score = np.abs(new - score).max(), new
+        if moved < 1e-6:  # steps are squared from one to the next: what is left is under 1e-11
+            break
+    coef = share @ x[0] if len(x) == 1 else (share[:, None, :] @ x)[:, 0]
+    return coef, shift[:, 0]
 
 
 def fit(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
