@@ -444,3 +444,20 @@ def test_groups_drawn_anew(spark, statistic):
         assert math.isclose(got[key]["p"], (beyond + 1) / 51) and math.isclose(got[key]["null_sd"], np.std(null), abs_tol=1e-9)
     whole = perm.group_difference(df, [], "subject", "grp", "A", "B", "value", 50, statistic=statistic).collect()
     assert len(whole) == 1 and 0 < whole[0]["p"] <= 1
+
+
+@pytest.mark.parametrize("side", [3, 4, 48])
+def test_cluster_inference_in_blocks(spark, side):
+    """Clusters across faces, edges and corners of blocks, from below 0, against the joins; no sums of draws leave a task."""
+    r = np.random.default_rng(17)
+    ijk = np.array([(x, y, z) for x in range(-4, 4) for y in range(7) for z in range(5) if (x + y * z) % 9])
+    grid = spark.createDataFrame([(f, *map(int, v)) for f, v in enumerate(ijk)], "feature_id long, i long, j long, k long")
+    maps = spark.createDataFrame([(s, f, float(r.normal(0.3, 1))) for s in range(10) for f in range(len(ijk)) if (s * f) % 7 < 5] + [(0, 10**6, 1.0), (None, 3, 0.5), (1, 5, None)], "subject long, feature_id long, value double")
+    got = clusters.family_wise(maps, grid, 70, 1.0, side=side).toPandas().set_index("feature_id").sort_index()
+    m = clusters.masses(clusters.t_maps(maps, 70), grid, 1.0).toPandas()
+    most = m[m.perm_id > 0].groupby("perm_id")["mass"].max().to_numpy()
+    own = m[m.perm_id == 0].set_index("feature_id")["mass"]
+    seen = sorted(f for f in clusters.t_maps(maps, 0).toPandas()["feature_id"] if f < len(ijk))
+    assert list(got.index) == seen
+    assert np.allclose(got["statistic"], [own.get(f, 0.0) for f in seen])
+    assert np.allclose(got["p"], [((most >= own[f] - 1e-9).sum() + 1) / 71 if f in own.index else 1.0 for f in seen])

@@ -1,11 +1,13 @@
-"""Cluster-mass inference on voxel maps by sign flips of subjects: t-maps by aggregation, clusters by joins of touching voxels."""
+"""Cluster-mass inference on voxel maps by sign flips of subjects: t-maps by aggregation and clusters by joins of touching voxels, or both in blocks of space."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.operators import blocks
 from trialweave.operators.lineage import cut
 from trialweave.operators.permutation import PER_DIGEST, draw_key
 
@@ -62,12 +64,80 @@ def masses(tmaps: DataFrame, grid: DataFrame, limit: float = 2.3, feature: str =
     return labelled.join(total, [*key, "_label"]).select("perm_id", F.col("_a").alias(feature), "mass")
 
 
-def family_wise(maps: DataFrame, grid: DataFrame, n_perm: int = 5000, limit: float = 2.3, feature: str = "feature_id") -> DataFrame:
-    """For a long map of subjects: feature, statistic (its cluster's mass, 0 outside clusters) and p = (number of draws whose largest mass is at least it + 1) / (n + 1)."""
-    m = cut(masses(t_maps(maps, n_perm, feature=feature), grid, limit, feature))
-    null = m.where("perm_id > 0").groupBy("perm_id").agg(F.round(F.max("mass"), 9).alias("_most")).agg(F.collect_list("_most").alias("_null"))  # n_perm numbers
-    own = m.where("perm_id = 0").select(feature, "mass")
-    observed = t_maps(maps, 0, feature=feature).select(feature).join(grid.select(feature), feature).join(own, feature, "left").crossJoin(F.broadcast(null))
-    beyond = F.when(F.col("mass").isNull(), n_perm).otherwise(F.size(F.filter("_null", lambda x: x >= F.round("mass", 9))))
-    return observed.select(feature, F.coalesce("mass", F.lit(0.0)).alias("statistic"), ((beyond + 1) / F.lit(float(n_perm + 1))).alias("p"))
+#: Rows that blocks send on: the largest mass of a draw's clusters inside (0), clusters at a face (1), voxels of these at faces (2), observed voxels (3).
+_SENT = "kind int, perm_id int, side int, cluster bigint, voxel bigint, mass double"
+_JOINED = "perm_id int, side int, cluster bigint, mass double"
+_TYPES = {"kind": pa.int32(), "perm_id": pa.int32(), "side": pa.int32(), "cluster": pa.int64(), "voxel": pa.int64(), "mass": pa.float64()}
 
+
+def _clusters_of_block(layout: blocks.Layout, n_perm: int, limit: float):
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        block = blocks.Block(table)
+        half, codes, face = blocks.neighbours(block.ijk)[:, :13], blocks.code(block.ijk), layout.inner_faces(block.ijk)
+        out: list[tuple] = []
+        for md5 in layout.draws(key[3].as_py(), n_perm):
+            perm, t = block.t(md5, n_perm)
+            with np.errstate(invalid="ignore"):
+                d, v = np.nonzero(np.abs(t) > limit)
+            sign = np.sign(t[d, v]).astype(int)
+            number = np.full((len(perm), len(codes) + 1), -1, np.int64)
+            number[d, v] = np.arange(len(d))
+            there = number[d[:, None], half[v]]
+            a, m = np.nonzero((there >= 0) & (sign[there] == sign[:, None]))
+            label = blocks.connected(len(d), a, there[a, m])
+            mass = np.bincount(label, np.abs(t[d, v]) - limit, len(d))
+            open_ = np.zeros(len(d), bool)
+            open_[label[face[v]]] = True
+            whole = np.zeros(len(perm))
+            np.maximum.at(whole, d, np.where(open_, 0.0, mass))
+            has = np.flatnonzero((whole > 0) & (perm > 0))
+            out.append((0, perm[has], 0, -1, -1, whole[has]))
+            root = np.flatnonzero(open_ & (label == np.arange(len(d))))
+            out.append((1, perm[d[root]], sign[root], codes[v[root]], -1, mass[root]))
+            at = np.flatnonzero(face[v])
+            out.append((2, perm[d[at]], sign[at], codes[v[label[at]]], codes[v[at]], 0.0))
+            if md5 == 0:
+                side, cluster, own = np.zeros(len(codes), int), np.full(len(codes), -1), np.zeros(len(codes))
+                side[v], cluster[v], own[v] = sign, np.where(open_[label], codes[v[label]], -1), np.where(open_[label], 0.0, mass[label])
+                seen = np.flatnonzero(~np.isnan(t[0]))
+                out.append((3, np.zeros(len(seen), int), side[seen], cluster[seen], block.ids[seen], own[seen]))
+        columns = [np.concatenate([np.broadcast_to(x, len(part[1])) for x, part in zip(c, out, strict=True)]) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * len(_TYPES)
+        return pa.table({name: pa.array(x, kind) for x, (name, kind) in zip(columns, _TYPES.items(), strict=True)})
+
+    return send
+
+
+def _join_clusters(key: tuple, table: pa.Table) -> pa.Table:
+    """Masses of the clusters of one draw and side that go on beyond faces; a row for each cluster of a block."""
+    kind, cluster, voxel = (table[c].to_numpy() for c in ("kind", "cluster", "voxel"))
+    names, mass = cluster[kind == 1], table["mass"].to_numpy()[kind == 1]
+    order = np.argsort(names)
+    names, mass = names[order], mass[order]
+    order = np.argsort(voxel[kind == 2])
+    codes, of = voxel[kind == 2][order], np.searchsorted(names, cluster[kind == 2][order])
+    a, b = [], []
+    for m in blocks.MOVES[:13]:
+        there = blocks.code(blocks.place(codes) + np.array(m) - 1)
+        k = np.minimum(np.searchsorted(codes, there), len(codes) - 1)
+        hit = np.flatnonzero(codes[k] == there)
+        a.append(of[hit])
+        b.append(of[k[hit]])
+    label = blocks.connected(len(names), np.concatenate(a), np.concatenate(b))
+    return pa.table({"perm_id": pa.array(np.full(len(names), key[0].as_py()), pa.int32()), "side": pa.array(np.full(len(names), key[1].as_py()), pa.int32()), "cluster": pa.array(names, pa.int64()), "mass": pa.array(np.bincount(label, mass, len(names))[label], pa.float64())})
+
+
+def family_wise(maps: DataFrame, grid: DataFrame, n_perm: int = 5000, limit: float = 2.3, subject: str = "subject", feature: str = "feature_id", value: str = "value", side: int = blocks.SIDE) -> DataFrame:
+    """For a long map of subjects: feature, statistic (its cluster's mass, 0 outside clusters) and p = (number of draws whose largest mass is at least it + 1) / (n + 1).
+
+    As by :func:`masses` of :func:`t_maps`, but a task works out the draws of one block of space
+    and sends on what touches other blocks only; a task of a draw joins these.
+    """
+    rows, layout = blocks.dealt(maps, grid, n_perm, subject, feature, value, side)
+    sent = cut(rows.groupBy(*blocks.KEYS).applyInArrow(_clusters_of_block(layout, n_perm, limit), _SENT))
+    joined = cut(sent.where("kind in (1, 2)").groupBy("perm_id", "side").applyInArrow(_join_clusters, _JOINED))
+    every = sent.where("kind = 0").select("perm_id", "mass").union(joined.where("perm_id > 0").select("perm_id", "mass"))
+    null = every.groupBy("perm_id").agg(F.round(F.max("mass"), 9).alias("_most")).agg(F.collect_list("_most").alias("_null"))  # n_perm numbers
+    beyond_faces = joined.where("perm_id = 0").select("side", "cluster", F.col("mass").alias("_joined"))
+    observed = sent.where("kind = 3").join(beyond_faces, ["side", "cluster"], "left").withColumn("mass", F.coalesce("_joined", "mass")).crossJoin(F.broadcast(null))
+    beyond = F.when(F.col("side") == 0, n_perm).otherwise(F.size(F.filter("_null", lambda x: x >= F.round("mass", 9))))
+    return observed.select(F.col("voxel").cast(dict(grid.dtypes)[feature]).alias(feature), F.col("mass").alias("statistic"), ((beyond + 1) / F.lit(float(n_perm + 1))).alias("p"))
