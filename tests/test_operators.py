@@ -461,3 +461,12 @@ def test_cluster_inference_in_blocks(spark, side):
     assert list(got.index) == seen
     assert np.allclose(got["statistic"], [own.get(f, 0.0) for f in seen])
     assert np.allclose(got["p"], [((most >= own[f] - 1e-9).sum() + 1) / 71 if f in own.index else 1.0 for f in seen])
+
+
+def test_faces_without_a_block_beyond_send_nothing():
+    from trialweave.operators.blocks import Layout
+
+    ijk = np.array(list(np.ndindex(6, 3, 3))) - 3
+    layout = Layout(6, (-1, -1, -1), (0, -1, -1), 2, 1)
+    assert (layout.inner_faces(ijk) == np.isin(ijk[:, 0], [-1, 0])).all()
+    assert not Layout(6, (0, 0, 0), (0, 0, 0), 1, 1).inner_faces(ijk + 3).any()

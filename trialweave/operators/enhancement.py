@@ -5,34 +5,39 @@ before, so that a node of the tree is a component from its own height down to th
 parent, and one pass gives the extent at every height. The trees of many draws grow side by
 side: a step takes the next voxel of every draw.
 
-A task holds some draws of one block of space. Where the grid has several blocks, a
-component can go on beyond a face, so each block first sends what its neighbours need to
-know: for voxels at its faces, by level, how many voxels hang on them, and the level from
-which on two of them are connected within the block. A task of the draw joins these faces
-(surfaces, never whole maps) and answers with what each face voxel gains up to every level.
-The block grows its trees again and adds its own heights above that.
+A task holds one block of space and works out some of its draws. Where the grid has several
+blocks, a component can go on beyond a face, so each block sends what its neighbours need to
+know: for voxels at its inner faces, by level, how many voxels hang on them, the largest
+score that one of these has before it gets there, and the level from which on two of them are
+connected within the block. A task of the draw joins these faces (surfaces, never whole
+maps), which gives the draw's largest value. For the map as observed it answers with what
+each face voxel gains up to every level; the block grows its trees again and adds its own
+heights above that.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.operators.clusters import draw_sums
+from trialweave.operators import blocks
+from trialweave.operators.blocks import MOVES, SIDE, neighbours
 from trialweave.operators.lineage import cut
 from trialweave.operators.permutation import PER_DIGEST
 
-#: Side of a block in voxels, t-values in one task, and md5 blocks of draws in one task at most.
-SIDE = 48
+#: t-values, and md5 blocks of draws, whose trees grow side by side at most.
 TASK_VALUES = 1 << 21
 MOST_BLOCKS = 8
+#: Tasks to which few blocks are dealt: trees cost more time than rows do disk.
+TASKS = 24
 #: Distance of heights, and the powers of extent and height.
 STEP, EXTENT, HEIGHT = 0.1, 0.5, 2.0
-_MOVES = [m for m in np.ndindex(3, 3, 3) if m != (1, 1, 1)]
-_FACES = "perm_id int, side int, voxel bigint, other bigint, level int, n bigint"
+_FACES = "perm_id int, side int, _bi int, _bj int, _bk int, best double, body binary"
 _GAINS = "perm_id int, side int, voxel bigint, gains array<double>"
 
 
@@ -47,15 +52,6 @@ def levels_of(x: np.ndarray, step: float = STEP) -> np.ndarray:
     return np.searchsorted(np.arange(step, most + 2 * step, step), x, "right").astype(np.int32)
 
 
-def neighbours(ijk: np.ndarray) -> np.ndarray:
-    """Row numbers of the 26 places around each voxel; the number of voxels where there is none."""
-    low = ijk.min(0) - 1
-    place = np.full(ijk.max(0) - low + 2, len(ijk), np.int64)
-    at = ijk - low
-    place[tuple(at.T)] = np.arange(len(ijk))
-    return np.stack([place[tuple((at + np.array(m) - 1).T)] for m in _MOVES], 1)
-
-
 class Trees:
     """Component trees of one side of maps [draws, voxels]: order of the voxels, levels, parents, extents."""
 
@@ -146,61 +142,75 @@ class Trees:
         return rep, first
 
 
-def _maps(table: pa.Table, n_perm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Draw numbers, t of each [draws, voxels] (NaN where there is none), places and ids of the voxels."""
-    columns = {c: table[c].to_numpy() for c in ("_block", "i", "j", "k", "_n", "_square", "_feature")}
-    sums = table["_sums"].combine_chunks()
-    sums = (sums.chunk(0) if isinstance(sums, pa.ChunkedArray) else sums).flatten().to_numpy(zero_copy_only=False).reshape(-1, PER_DIGEST)
-    ids, first, at = np.unique(columns["_feature"], return_index=True, return_inverse=True)
-    blocks, row = np.unique(columns["_block"], return_inverse=True)
-    s = np.full((len(blocks), PER_DIGEST, len(ids)), np.nan)
-    s[row, :, at] = sums
-    n, square = columns["_n"][first], columns["_square"][first]
-    with np.errstate(all="ignore"):
-        var = (square - s * s / n) / (n - 1)
-        t = np.where(var > 1e-12, s / n / np.sqrt(var / n), np.nan)
-    perm = (blocks[:, None] - 1) * PER_DIGEST + np.arange(PER_DIGEST) + 1
-    perm[blocks == 0] = np.where(np.arange(PER_DIGEST) == 0, 0, n_perm + 1)  # block 0 has one draw, as observed
-    perm = perm.ravel()
-    ijk = np.stack([columns[c][first] for c in "ijk"], 1).astype(np.int64)
-    return perm[perm <= n_perm], t.reshape(-1, len(ids))[perm <= n_perm], ijk, ids
-
-
-def _at_face(ijk: np.ndarray, side: int) -> np.ndarray:
-    return ((ijk % side == 0) | (ijk % side == side - 1)).any(1)
-
-
-def _code(ijk: np.ndarray) -> np.ndarray:
-    """A place as one number; 20 bits an axis, from -2**19 on."""
-    moved = ijk.astype(np.int64) + (1 << 19)
-    return (moved[..., 0] << 40) | (moved[..., 1] << 20) | moved[..., 2]
-
-
-def _place(code: np.ndarray) -> np.ndarray:
-    return np.stack([(code >> 40) & 0xFFFFF, (code >> 20) & 0xFFFFF, code & 0xFFFFF], -1) - (1 << 19)
-
-
-def _send_faces(n_perm: int, side: int):
-    def send(table: pa.Table) -> pa.Table:
-        perm, t, ijk, _ = _maps(table, n_perm)
-        near, face, code, n = neighbours(ijk), _at_face(ijk, side), _code(ijk), len(ijk)
-        out = []
-        for sign in (1, -1):
-            trees = Trees(np.nan_to_num(sign * t, nan=-1.0), near)
-            rep, first = trees.face_nodes(face)
-            level = trees.flat_levels()
-            # voxels that hang on a face voxel, by level
-            on = np.flatnonzero((first >= 0) & (level > 0))
-            keys, count = np.unique(np.stack([rep[first[on]], level[first[on]]], 1), axis=0, return_counts=True)
-            out.append((keys[:, 0], np.full(len(keys), -1), keys[:, 1], count, sign))
-            own = np.flatnonzero(rep >= 0)
-            seen = own[rep[own] == own]  # each face voxel, so that its level is known
-            out.append((seen, np.full(len(seen), -1), level[seen], np.zeros(len(seen), np.int64), sign))
-            child = own[(trees.parent[own] != own) & (rep[own] != rep[trees.parent[own]])]
-            mother = trees.parent[child]
-            out.append((rep[child], rep[mother], level[mother], np.zeros(len(child), np.int64), sign))
-        rows = [np.concatenate(c) for c in zip(*[(perm[a // (n + 1)], np.full(len(a), s), code[a % (n + 1)], np.where(b < 0, -1, code[np.minimum(b % (n + 1), n - 1)]), lv, c) for a, b, lv, c, s in out], strict=True)]
-        return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("perm_id", "side", "voxel", "other", "level", "n"), rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)})
+def _packed(voxel: np.ndarray, other: np.ndarray, level: np.ndarray, n: np.ndarray, best: np.ndarray) -> bytes:
+    """Rows of the faces of a block, in the order of their voxels, a column after the other."""
+    order = np.argsort(voxel, kind="stable")
+    near = np.where(other[order] < 0, -1, other[order])
+    columns = [np.diff(voxel[order], prepend=0).astype(np.int32), near.astype(np.int32), level[order].astype(np.int32), n[order].astype(np.int32), best[order].astype(np.float64)]
+    return zlib.compress(b"".join(c.tobytes() for c in columns), 1)
+
+
+def _unpacked(body: bytes) -> list[np.ndarray]:
+    raw = zlib.decompress(body)
+    n = len(raw) // 24
+    voxel, other, level, count = np.frombuffer(raw, np.int32, 4 * n).reshape(4, n).astype(np.int64)
+    return [np.cumsum(voxel), other, level, count, np.frombuffer(raw, np.float64, n, 16 * n)]
+
+
+def _face_rows(trees: Trees, face: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Largest score of each draw's voxels that hang on no face voxel; node, other, level, n and best of the rows that a block sends."""
+    draws, n = trees.level.shape
+    rep, first = trees.face_nodes(face)
+    level = trees.flat_levels()
+    score = np.pad(trees.scores(np.zeros(len(rep)), rep >= 0), ((0, 0), (0, 1))).ravel()
+    inner = np.where(first < 0, score, 0.0).reshape(draws, n + 1).max(1)
+    # voxels that hang on a face voxel, by level
+    on = np.flatnonzero((first >= 0) & (level > 0))
+    levels = int(level.max(initial=0)) + 1
+    keys, at, count = np.unique(rep[first[on]] * levels + level[first[on]], return_inverse=True, return_counts=True)
+    best = np.zeros(len(keys))
+    np.maximum.at(best, at, score[on])
+    hung, hung_level = keys // levels, keys % levels
+    # at a higher level of the same face voxel more is gained: a lower score is not needed with a higher one there
+    less = (hung[:-1] == hung[1:]) & (best[:-1] <= best[1:])
+    best[:-1][less] = 0.0
+    own = np.flatnonzero(rep >= 0)
+    seen = own[rep[own] == own]  # each face voxel, so that its level is known
+    child = own[(trees.parent[own] != own) & (rep[own] != rep[trees.parent[own]])]
+    mother = trees.parent[child]
+    none, zero = (lambda x: np.full(len(x), -1)), (lambda x: np.zeros(len(x), np.int64))
+    parts = [(hung, none(hung), hung_level, count, best), (seen, none(seen), level[seen], zero(seen), zero(seen)), (rep[child], rep[mother], level[mother], zero(child), zero(child))]
+    return inner, [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _send_faces(layout: blocks.Layout, n_perm: int):
+    """Largest scores inside and faces of the draws from 1 on, or of the map as observed where there are none."""
+    side = layout.side
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        block = blocks.Block(table)
+        near, face, n = neighbours(block.ijk), layout.inner_faces(block.ijk), len(block.ids)
+        at = block.ijk % side
+        local, space = np.append((at[:, 0] * side + at[:, 1]) * side + at[:, 2], -1), [k.as_py() for k in key[:3]]
+        todo = [m for m in layout.draws(key[3].as_py(), n_perm) if m or not n_perm]
+        together = max(1, min(MOST_BLOCKS, TASK_VALUES // PER_DIGEST // n))
+        rows: list[tuple] = []
+        for k in range(0, len(todo), together):
+            perm, t = (np.concatenate(c) for c in zip(*[block.t(m, n_perm) for m in todo[k : k + together]], strict=True))
+            most = np.zeros(len(perm))
+            for sign in (1, -1):
+                inner, (node, other, *rest) = _face_rows(Trees(np.nan_to_num(sign * t, nan=-1.0), near), face)
+                most = np.maximum(most, inner)
+                draw = node // (n + 1)
+                order = np.argsort(draw, kind="stable")
+                columns = [c[order] for c in (local[node % (n + 1)], np.where(other < 0, -1, local[other % (n + 1)]), *rest)]
+                ends = np.searchsorted(draw[order], np.arange(len(perm) + 1))
+                rows += [(p, sign, *space, None, _packed(*[c[a:b] for c in columns])) for p, a, b in zip(perm.tolist(), ends[:-1], ends[1:], strict=True) if b > a]
+            rows += [(p, 0, *space, m, None) for p, m in zip(perm.tolist(), most.tolist(), strict=True)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
+        names = [c.split()[0] for c in _FACES.split(", ")]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        return pa.table({name: pa.array(list(c), kind) for name, c, kind in zip(names, columns, kinds, strict=True)})
 
     return send
 
@@ -215,10 +225,10 @@ def joined(voxel: np.ndarray, other: np.ndarray, level: np.ndarray, n: np.ndarra
     top = np.zeros(len(code), np.int64)
     np.maximum.at(top, np.searchsorted(code, voxel[single]), level[single])
     a, b, at = [np.searchsorted(code, voxel[~single])], [np.searchsorted(code, other[~single])], [level[~single]]
-    ijk = _place(code)
-    for m in _MOVES:  # neighbours in other blocks
+    ijk = blocks.place(code)
+    for m in MOVES:  # neighbours in other blocks
         there = ijk + np.array(m) - 1
-        key = _code(there)
+        key = blocks.code(there)
         k = np.minimum(np.searchsorted(code, key), len(code) - 1)
         hit = np.flatnonzero((code[k] == key) & (ijk // side != there // side).any(1))
         a.append(hit)
@@ -244,81 +254,89 @@ def joined(voxel: np.ndarray, other: np.ndarray, level: np.ndarray, n: np.ndarra
     return code, np.cumsum(extent**EXTENT * gains(levels), 1)
 
 
+def _faces_of(table: pa.Table, side: int) -> list[np.ndarray]:
+    """Rows of the faces of all blocks, with the places of their voxels as numbers."""
+    out = []
+    for *space, body in zip(*[table[c].to_pylist() for c in ("_bi", "_bj", "_bk", "body")], strict=True):
+        voxel, other, *rest = _unpacked(body)
+        placed = lambda at: blocks.code(np.array(space) * side + np.stack([at // side**2, at // side % side, at % side], 1))  # noqa: B023, E731
+        out.append((placed(voxel), np.where(other < 0, -1, placed(np.maximum(other, 0))), *rest))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def _largest(side: int):
+    def largest(key: tuple, table: pa.Table) -> pa.Table:
+        voxel, other, level, n, best = _faces_of(table, side)
+        code, gained = joined(voxel, other, level, n, side)
+        hung = other < 0
+        total = best[hung] + gained[np.searchsorted(code, voxel[hung]), level[hung] - 1]
+        return pa.table({"perm_id": pa.array([key[0].as_py()], pa.int32()), "best": pa.array([total.max()], pa.float64())})
+
+    return largest
+
+
 def _join_faces(side: int):
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        code, gained = joined(*(table[c].to_numpy() for c in ("voxel", "other", "level", "n")), side)
+        code, gained = joined(*_faces_of(table, side)[:4], side)
         return pa.table({"perm_id": pa.array([key[0].as_py()] * len(code), pa.int32()), "side": pa.array([key[1].as_py()] * len(code), pa.int32()), "voxel": pa.array(code, pa.int64()), "gains": pa.array(list(gained), pa.list_(pa.float64()))})
 
     return join
 
 
-def _enhance(n_perm: int, side: int, faces: bool):
-    def enhance(_key: tuple, table: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-        perm, t, ijk, ids = _maps(table, n_perm)
-        near, n, out = neighbours(ijk), len(ijk), np.zeros(t.shape)
+def _enhance(layout: blocks.Layout):
+    """Enhanced values of the voxels of a block as observed, with the answers to its faces."""
+
+    def enhance(_key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        made = {"_feature": pa.int64(), "statistic": pa.float64()}
+        if not len(table):
+            return pa.table({c: pa.array([], kind) for c, kind in made.items()})
+        block = blocks.Block(table)
+        _, t = block.t(0, 0)
+        near, codes, face, out = neighbours(block.ijk), blocks.code(block.ijk), layout.inner_faces(block.ijk), np.zeros(len(block.ids))
+        order = np.argsort(codes)
         for sign in (1, -1):
             trees = Trees(np.nan_to_num(sign * t, nan=-1.0), near)
-            if not faces:
-                out += trees.scores()
-                continue
-            rep, _ = trees.face_nodes(_at_face(ijk, side))
+            rep, _ = trees.face_nodes(face)
             add = np.zeros(len(rep))
-            mine = answers.filter(pc.equal(answers["side"], sign)) if len(answers) else answers
+            mine = answers.filter(pc.equal(answers["side"], sign))
             if len(mine):
-                row = {p: k for k, p in enumerate(perm.tolist())}
-                code = _code(ijk)
-                order = np.argsort(code)
-                there = order[np.searchsorted(code[order], mine["voxel"].to_numpy())]
-                draw = np.array([row[p] for p in mine["perm_id"].to_pylist()])
                 place = np.full(len(rep), -1)
-                place[draw * (n + 1) + there] = np.arange(len(mine))
+                place[order[np.searchsorted(codes[order], mine["voxel"].to_numpy())]] = np.arange(len(mine))
                 lists = mine["gains"].combine_chunks()
                 lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
                 begin, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
                 on = np.flatnonzero(rep >= 0)
                 add[on] = flat[begin[place[rep[on]]] + trees.flat_levels()[on] - 1]
-            out += trees.scores(add, rep >= 0)
-        if perm[0] == 0:
-            out[0][np.isnan(t[0])] = np.nan
-        own = np.flatnonzero(~np.isnan(out[0])) if perm[0] == 0 else np.zeros(0, np.int64)
-        later = np.flatnonzero(perm > 0)
-        return pa.table({
-            "perm_id": pa.array(np.concatenate([np.zeros(len(own), np.int64), perm[later]]), pa.int32()),
-            "_feature": pa.array(np.concatenate([ids[own], np.full(len(later), -1)]), pa.int64()),
-            "statistic": pa.array(np.concatenate([out[0][own], out[later].max(1, initial=0.0)]), pa.float64()),
-        })
+            out += trees.scores(add, rep >= 0)[0]
+        own = np.flatnonzero(~np.isnan(t[0]))
+        return pa.table({"_feature": pa.array(block.ids[own], pa.int64()), "statistic": pa.array(out[own], pa.float64())})
 
     return enhance
 
 
-def enhanced(maps: DataFrame, grid: DataFrame, n_perm: int, feature: str = "feature_id", side: int = SIDE) -> DataFrame:
-    """perm_id, feature, statistic: of draw 0 (as observed) the enhanced value of every voxel that has a t; of the others the largest of each block, without feature."""
-    space = [F.floor(F.col(c) / side).cast("int").alias(f"_b{c}") for c in "ijk"]
-    placed = grid.select(F.col(feature).cast("bigint").alias("_feature"), *[F.col(c).cast("bigint").alias(c) for c in "ijk"])
-    sizes = placed.groupBy(*space).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("blocks")).first()
-    together = max(1, min(MOST_BLOCKS, TASK_VALUES // PER_DIGEST // max(1, sizes["most"] or 1)))
-    sums = draw_sums(maps, n_perm, feature=feature).withColumnRenamed(feature, "_feature").join(placed, "_feature")
-    batch = F.when(F.col("_block") == 0, F.lit(-1)).otherwise(F.floor((F.col("_block") - 1) / together)).cast("int").alias("_batch")
-    sums = cut(sums.select("*", batch, *space))
-    of_block = sums.groupBy("_batch", *[f"_b{c}" for c in "ijk"])
-    made = "perm_id int, _feature bigint, statistic double"
-    if sizes["blocks"] <= 1:  # there are no faces
-        whole = _enhance(n_perm, side, False)
-        return of_block.applyInArrow(lambda key, table: whole(key, table), made).withColumnRenamed("_feature", feature)
-    faces = of_block.applyInArrow(_send_faces(n_perm, side), _FACES)
+def enhanced(maps: DataFrame, grid: DataFrame, n_perm: int, subject: str = "subject", feature: str = "feature_id", value: str = "value", side: int = SIDE) -> DataFrame:
+    """perm_id, feature, statistic: of draw 0 (as observed) the enhanced value of every voxel that has a t; of the others the largest of each block and of what goes on beyond faces, without feature."""
+    space = blocks.KEYS[:3]
+    rows, layout = blocks.dealt(maps, grid, 0, subject, feature, value, side)
+    faces = rows.groupBy(*blocks.KEYS).applyInArrow(_send_faces(layout, 0), _FACES).where("body is not null")
     gained = faces.groupBy("perm_id", "side").applyInArrow(_join_faces(side), _GAINS)
-    axes = [F.floor(((F.shiftright("voxel", 40 - 20 * k)).bitwiseAND(0xFFFFF) - (1 << 19)) / side).cast("int").alias(f"_b{c}") for k, c in enumerate("ijk")]
-    block = F.floor((F.col("perm_id") - 1) / PER_DIGEST) + 1
-    back = F.when(F.col("perm_id") == 0, F.lit(-1)).otherwise(F.floor((block - 1) / together)).cast("int").alias("_batch")
-    answers = gained.select("perm_id", "side", "voxel", "gains", back, *axes)
-    both = of_block.cogroup(answers.groupBy("_batch", *[f"_b{c}" for c in "ijk"]))
-    enhance = _enhance(n_perm, side, True)
-    return both.applyInArrow(lambda key, table, found: enhance(key, table, found), made).withColumnRenamed("_feature", feature)
+    axes = [F.floor(((F.shiftright("voxel", 40 - 20 * k)).bitwiseAND(0xFFFFF) - (1 << 19)) / side).cast("int").alias(name) for k, name in enumerate(space)]
+    answers = gained.select("side", "voxel", "gains", *axes)
+    enhance = _enhance(layout)
+    observed = rows.groupBy(*space).cogroup(answers.groupBy(*space)).applyInArrow(lambda key, table, found: enhance(key, table, found), "_feature bigint, statistic double")
+    out = observed.select(F.lit(0).alias("perm_id"), F.col("_feature").alias(feature), "statistic")
+    if not n_perm:
+        return out
+    rows, layout = blocks.dealt(maps, grid, n_perm, subject, feature, value, side, TASKS)
+    sent = cut(rows.groupBy(*blocks.KEYS).applyInArrow(_send_faces(layout, n_perm), _FACES))
+    beyond = sent.where("body is not null").groupBy("perm_id", "side").applyInArrow(_largest(side), "perm_id int, best double")
+    draws = sent.where("body is null").select("perm_id", "best").union(beyond)
+    return out.union(draws.select("perm_id", F.lit(-1).cast("bigint"), F.col("best")))
 
 
 def family_wise(maps: DataFrame, grid: DataFrame, n_perm: int = 5000, feature: str = "feature_id", side: int = SIDE) -> DataFrame:
     """For a long map of subjects: feature, enhanced statistic, and p = (number of draws whose largest is at least it + 1) / (n + 1)."""
-    e = cut(enhanced(maps, grid, n_perm, feature, side))
+    e = cut(enhanced(maps, grid, n_perm, feature=feature, side=side))
     null = e.where("perm_id > 0").groupBy("perm_id").agg(F.round(F.max("statistic"), 9).alias("_most")).agg(F.collect_list("_most").alias("_null"))  # n_perm numbers
     observed = e.where("perm_id = 0").crossJoin(F.broadcast(null))
     beyond = F.size(F.filter("_null", lambda x: x >= F.round("statistic", 9)))
