@@ -49,6 +49,25 @@ def plain_accuracy(x, y, k, seed):
     return np.mean(marks)
 
 
+@pytest.mark.parametrize("width", [5, 40])
+def test_fits_side_by_side(monkeypatch, width):
+    """Folds of several entries with classes and rows of different number take the Newton steps of one fit, and give what each gives alone."""
+    r, solved, solve = np.random.default_rng(width), [], np.linalg.solve
+    y = r.choice(list("ABC"), 60)
+    x = r.normal(size=(60, width)) + (y == "A")[:, None] * 0.7
+    x[:, 0] = 2.5
+    asked = {f"a{k}": (r.random(60) < 0.3 + 0.1 * k, y if k % 2 else np.where(y == "A", "A", "other"), k) for k in range(6)}
+    asked["few"] = np.arange(60) < 3, y, 9
+    monkeypatch.setattr(regions.np.linalg, "solve", lambda a, b: solved.append(len(a)) or solve(a, b))
+    got = regions.accuracies(x, asked, 5)
+    assert len(solved) < 40 and max(solved) >= 12
+    assert np.isnan(got.pop("few"))
+    for name, value in got.items():
+        here, labels, seed = asked[name]
+        assert abs(value - plain_accuracy(x[here][:, 1:], labels[here], 5, seed)) < 1e-9 or len(np.unique(labels)) == 2, name
+        assert value == regions.accuracies(x, {name: asked[name]}, 5)[name]
+
+
 def test_report(spark, tmp_path):
     r = np.random.default_rng(1)
     rows = []
