@@ -348,6 +348,42 @@ def test_lines_with_a_footer_make_few_pairs(spark):
     assert tried[1] < 40 * 2000
 
 
+def test_lines_that_share_segments_only_make_few_pairs(spark):
+    """Copies of one line with other words: fewer than a hot key has, and hardly two within two edits."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("eanirtsohdlu") for _ in range(r.randint(2, 8)))
+    first, lines = [word() for _ in range(60)], set()
+    while len(lines) < 300:
+        words = first[:]
+        for k in r.sample(range(60), 6):
+            words[k] = word()
+        lines.add(" ".join(words)[:300])
+    near = sorted(lines)
+    near += [x[:150] + "#" + x[151:] for x in near[:20]] + [x[1:-1] for x in near[:20]]
+    texts = spark.createDataFrame([(k, 0, x) for k, x in enumerate(near)], "id bigint, prefix bigint, rest string")
+    met = {(x["a"], x["b"]) for x in line_join._meet(texts, None, 2).collect()}
+    links = {(k, 300 + k) for k in range(20)} | {(k, 320 + k) for k in range(20)}
+    assert links <= met and len(met) < 1000
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
+def test_shapes_of_near_texts(spark, edits):
+    from pyspark.sql import functions as F
+
+    r, pairs = random.Random(90 + edits), []
+    for _ in range(400):
+        a = [r.choice("eanirxé ") for _ in range(r.choice([3, 15, 40, 200]))]
+        b = a[:]
+        for _ in range(edits):
+            k = r.randrange(len(b)) if b else 0
+            b[k : k + r.randint(0, 1)] = [r.choice("eanirxé ")] * r.randint(0, 1)
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_join.shape("a").alias("x"), line_join.shape("b").alias("y"))
+    counts = [F.shiftright(c, 4) for c in "xy"]
+    df = df.select("a", "b", line_join._gap(F.col("x"), F.col("y")).alias("gap"), line_join.may_be_near(*counts, edits, line_join.SHAPE_LETTERS, line_join.SHAPE_BITS).alias("near"))
+    assert all(x["near"] and x["gap"] == len(x["b"]) - len(x["a"]) for x in df.collect())
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3, 4])
 def test_verification_against_plain_distance(spark, edits):
     from pyspark.sql import functions as F

@@ -18,8 +18,9 @@ and backwards), so that the next segments lie where the lines differ. So a line
 most ``LIST`` others for each of its keys, however many lines share a footer, and a key is
 never one task's group: counts, minima and joins are all that is made of it.
 
-Counts of letters tell most pairs that meet apart. The others are verified by a banded
-bit-parallel automaton: a set of bits for each number of edits has the diagonals of the
+Counts of letters tell most pairs that meet apart: of a few letters in the join itself, which
+makes no row of lines that only share a segment, then of more beside the text. The others are
+verified by a banded bit-parallel automaton: a set of bits for each number of edits has the diagonals of the
 band that are reachable, and all sets move by one character in a few bit operators on one
 bigint. Pairs of rests are verified at once, so few whole lines are. Everything is joins
 and expressions; the text of the lines is shuffled once by line, and then only for pairs
@@ -41,6 +42,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trialweave.llm.components import components
 from trialweave.llm.scratch import materialize
@@ -51,6 +53,8 @@ MIN_CHARS = 20
 LIST = 128
 #: Letters whose counts tell most texts apart before they are verified, common ones in several languages.
 LETTERS = "eanirtsohd"
+#: A line's shape has its length modulo 16, then counts of the first letters in so many bits each; a probe's has OWN if the key is one of the line's own.
+SHAPE_LETTERS, SHAPE_BITS, OWN = LETTERS[:5], 5, 1 << 29
 
 
 def _segments(length: int, base: int, edits: int) -> list[tuple[int, int, int]]:
@@ -212,16 +216,28 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when((F.length(a) == 0) | (gap > edits), gap <= edits).otherwise(found)
 
 
-def letter_counts(text: str) -> Column:
-    """How often each of ``LETTERS`` is in a text, modulo 64, side by side in one bigint."""
-    counts = [f"shiftleft(cast((octet_length({text}) - octet_length(replace({text}, '{c}', ''))) & 63 as bigint), {6 * k})" for k, c in enumerate(LETTERS)]
+def letter_counts(text: str, letters: str = LETTERS, bits: int = 6) -> Column:
+    """How often each of ``letters`` is in a text, modulo ``2 ** bits``, side by side in one bigint."""
+    counts = [f"shiftleft(cast((octet_length({text}) - octet_length(replace({text}, '{c}', ''))) & {(1 << bits) - 1} as bigint), {bits * k})" for k, c in enumerate(letters)]
     return F.expr(" | ".join(counts))
 
 
-def may_be_near(a: Column, b: Column, edits: int) -> Column:
+def may_be_near(a: Column, b: Column, edits: int, letters: str = LETTERS, bits: int = 6) -> Column:
     """One edit takes a letter away, brings one, or both; so counts of near texts differ by ``2 * edits`` in all at most."""
-    gaps = [(F.shiftright(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * k).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(63)) for k in range(len(LETTERS))]
-    return sum((F.least(g, 64 - g) for g in gaps[1:]), F.least(gaps[0], 64 - gaps[0])) <= 2 * edits
+    most = (1 << bits) - 1
+    gaps = [(F.shiftright(a, bits * k).bitwiseAND(F.lit(most)) - F.shiftright(b, bits * k).bitwiseAND(F.lit(most))).bitwiseAND(F.lit(most)) for k in range(len(letters))]
+    return sum((F.least(g, most + 1 - g) for g in gaps[1:]), F.least(gaps[0], most + 1 - gaps[0])) <= 2 * edits
+
+
+def shape(text: str) -> Column:
+    """Length and some letter counts of a text in one int: what goes along with each of its keys."""
+    counts = F.shiftleft(letter_counts(text, SHAPE_LETTERS, SHAPE_BITS), 4)
+    return counts.bitwiseOR(F.length(text).bitwiseAND(F.lit(15)).cast("bigint")).cast("int")
+
+
+def _gap(a: Column, b: Column) -> Column:
+    """Characters by which the text of shape ``b`` is longer, from -8 to 7: near texts have at most 4."""
+    return (b.bitwiseAND(F.lit(15)) - a.bitwiseAND(F.lit(15)) + 8).bitwiseAND(F.lit(15)) - 8
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -236,20 +252,33 @@ def _meet(texts: DataFrame, hot: DataFrame | None, edits: int, verify: bool = Fa
     ``verify``: only those within ``edits`` edits, for short texts that may travel with their keys.
     """
     more = ["rest", "letters"] * verify
+    if "shape" not in texts.columns:
+        texts = texts.withColumn("shape", shape("rest"))
     if verify:
         texts = texts.withColumn("letters", letter_counts("rest"))
+    # a struct's fields take less room in a shuffle than the struct
+    kind = texts.schema["id"].dataType
+    names = kind.names if isinstance(kind, StructType) else []
+
+    def fields(c: str) -> list[Column]:
+        return [F.col(f"id.{x}").alias(f"{c}_{x}") for x in names] or [F.col("id").alias(c)]
+
+    a, b = (F.struct(*[F.col(f"{c}_{x}").alias(x) for x in names]) if names else F.col(c) for c in "ab")
     flat = _flat(texts)
-    held = flat.select(F.explode(_entries(edits, False, False)).alias("key"), F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in more])
+    held = flat.select(F.explode(_entries(edits, False, False)).alias("key"), *fields("a"), F.col("shape").alias("shape_a"), *[F.col(c).alias(f"{c}_a") for c in more])
     if hot is not None:
         held = held.join(hot, "key", "left_anti")
-    asked = flat.select(F.posexplode(_entries(edits, True, False)).alias("at", "key"), F.col("id").alias("b"), F.col("n"), *more).where("key is not null")
+    asked = flat.select(F.posexplode(_entries(edits, True, False)).alias("at", "key"), *fields("b"), "n", "shape", *more).where("key is not null")
     own = F.col("at") < F.when(F.col("n") <= edits, 1).otherwise(edits + 1)
-    gap = F.col("n") - F.col("n_a")
+    asked = asked.withColumn("shape", F.when(own, F.col("shape").bitwiseOR(F.lit(OWN))).otherwise(F.col("shape"))).drop("at", "n")
+    gap = _gap(F.col("shape_a"), F.col("shape"))
+    counts = [F.shiftright(c, 4) for c in ("shape_a", "shape")]
     # of two texts that are posted, each meets the other
-    met = held.join(asked, "key").where((F.col("a") != F.col("b")) & (gap <= edits) & F.when(own, (gap >= -edits) & (F.col("a") < F.col("b"))).otherwise(gap >= 0))
+    once = F.when(F.col("shape") >= OWN, (gap >= -edits) & (a < b)).otherwise(gap >= 0)
+    met = held.join(asked, "key").where((gap <= edits) & may_be_near(*counts, edits, SHAPE_LETTERS, SHAPE_BITS) & (a != b) & once)
     if verify:
         met = met.where(may_be_near(F.col("letters_a"), F.col("letters"), edits) & _near("rest_a", "rest", edits))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 def _near(a: str, b: str, edits: int) -> Column:
@@ -260,8 +289,9 @@ def _near(a: str, b: str, edits: int) -> Column:
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """a, b: ids of distinct lines within ``edits`` edits, each pair once."""
     every = occurrences(docs).where(F.length("line") >= min_chars)
-    lines = every.groupBy("line_id").agg(F.first("line").alias("rest"))
-    texts = lines.select(F.col("line_id").alias("id"), F.lit(0).cast("bigint").alias("prefix"), "rest")
+    # one struct: all that use these lines share one shuffle, whichever of the two they need
+    lines = every.groupBy("line_id").agg(F.first(F.struct(F.col("line").alias("rest"), shape("line").alias("shape"))).alias("text"))
+    texts = lines.select(F.col("line_id").alias("id"), F.lit(0).cast("bigint").alias("prefix"), "text.*")
     # with copies, as that takes no shuffle of texts
     rows = every.select(F.col("line_id").alias("id"), F.lit(0).cast("bigint").alias("prefix"), F.col("line").alias("rest"))
     hot, met = _hot(rows, edits, LIST), []
@@ -274,8 +304,9 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     pairs = _meet(texts, first, edits)
     for more in met:
         pairs = pairs.union(more)
-    text_a, text_b = (lines.select(F.col("line_id").alias(c), F.col("rest").alias(f"line_{c}")) for c in "ab")
-    both = pairs.distinct().join(text_a, "a").join(text_b, "b")
+    # a row an end, so that the lines are read once for both
+    ends = pairs.distinct().select("a", "b", F.explode(F.array("a", "b")).alias("line_id")).join(lines, "line_id")
+    both = ends.groupBy("a", "b").agg(*[F.max(F.when(F.col("line_id") == F.col(c), F.col("text.rest"))).alias(f"line_{c}") for c in "ab"])
     counts = [letter_counts(c) for c in ("line_a", "line_b")]
     return both.where(may_be_near(*counts, edits) & _near("line_a", "line_b", edits)).select("a", "b")
 
