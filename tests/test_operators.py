@@ -470,3 +470,48 @@ def test_faces_without_a_block_beyond_send_nothing():
     layout = Layout(6, (-1, -1, -1), (0, -1, -1), 2, 1)
     assert (layout.inner_faces(ijk) == np.isin(ijk[:, 0], [-1, 0])).all()
     assert not Layout(6, (0, 0, 0), (0, 0, 0), 1, 1).inner_faces(ijk + 3).any()
+
+
+@pytest.mark.parametrize("twins", [0, 9])
+def test_draws_of_enhancement_at_once(twins):
+    """The largest value of each draw, with holes and features at one place, is that of all its voxels; draws fall side by side, not a voxel at a time."""
+    import time
+
+    import pyarrow as pa
+
+    from trialweave.operators import blocks
+
+    r = np.random.default_rng(5)
+    ijk = np.array([v for v in np.ndindex(20, 20, 25) if r.random() < 0.9])
+    ijk = np.concatenate([ijk, ijk[:twins]])
+    feature, subject = (x.ravel() for x in np.meshgrid(np.arange(len(ijk)), np.arange(8), indexing="ij"))
+    rows = {"_subject": subject, "_feature": feature, "_x": r.normal(0.2, 1, len(feature)), **{c: ijk[feature, k].astype(np.int32) for k, c in enumerate("ijk")}}
+    corner = [pa.scalar(0)] * 3
+    table, layout = blocks._pack(corner, pa.table(rows | dict.fromkeys(blocks.KEYS[:3], np.zeros(len(feature), np.int32)))), blocks.Layout((20, 20, 25), (0, 0, 0), (0, 0, 0), 1, 1)
+    begin = time.time()
+    sent = enhancement._send_faces(layout, 96)((*corner, pa.scalar(0)), table).to_pandas().set_index("perm_id")["best"]
+    assert time.time() - begin < 5  # trees that took a voxel at a time needed 9 s here
+    assert sorted(sent.index) == list(range(1, 97))
+    numbers, t = blocks.Block(table).t(2, 96)
+    block = blocks.Block(table)
+    near = enhancement.neighbours(block.ijk)
+    whole = sum(enhancement.Trees(np.nan_to_num(s * t[:3], nan=-1.0), near).scores() for s in (1, -1))
+    assert np.allclose(sent[numbers[:3]], whole.max(1), rtol=1e-9)
+    if not twins:
+        assert np.allclose(whole[0], plain_enhanced(np.nan_to_num(t[0]), block.ijk), rtol=1e-9)
+
+
+def test_thin_grids_are_cut_along_their_length_only():
+    from trialweave.operators.blocks import sides
+
+    assert sides([20, 20, 50], 48) == (20, 20, 50)
+    assert sides([20, 20, 300], 48) == (20, 20, 150)
+    assert sides([100, 100, 100], 48) == (34, 50, 50)
+    assert sides([1, 1, 10**6], 3) == (1, 1, 27)
+
+
+def test_values_at_or_beyond(spark):
+    values = sorted([0.0, 1.0, 1.0, 2.5, 7.0])
+    df = spark.createDataFrame([(values, x) for x in (-1.0, 0.0, 0.5, 1.0, 2.5, 3.0, 7.0, 8.0)] + [([], 1.0)], "null array<double>, x double")
+    got = [r[0] for r in df.select(perm.n_beyond("null", F.col("x"), 6)).collect()]
+    assert got == [5, 5, 4, 4, 2, 1, 1, 0, 0]

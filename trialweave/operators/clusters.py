@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.operators import blocks
 from trialweave.operators.lineage import cut
-from trialweave.operators.permutation import PER_DIGEST, draw_key
+from trialweave.operators.permutation import PER_DIGEST, draw_key, n_beyond
 
 
 def draw_sums(maps: DataFrame, n_perm: int = 5000, subject: str = "subject", feature: str = "feature_id", value: str = "value") -> DataFrame:
@@ -132,12 +132,12 @@ def family_wise(maps: DataFrame, grid: DataFrame, n_perm: int = 5000, limit: flo
     As by :func:`masses` of :func:`t_maps`, but a task works out the draws of one block of space
     and sends on what touches other blocks only; a task of a draw joins these.
     """
-    rows, layout = blocks.dealt(maps, grid, n_perm, subject, feature, value, side)
+    rows, layout = blocks.dealt(*blocks.packed(maps, grid, subject, feature, value, side), n_perm)
     sent = cut(rows.groupBy(*blocks.KEYS).applyInArrow(_clusters_of_block(layout, n_perm, limit), _SENT))
     joined = cut(sent.where("kind in (1, 2)").groupBy("perm_id", "side").applyInArrow(_join_clusters, _JOINED))
     every = sent.where("kind = 0").select("perm_id", "mass").union(joined.where("perm_id > 0").select("perm_id", "mass"))
-    null = every.groupBy("perm_id").agg(F.round(F.max("mass"), 9).alias("_most")).agg(F.collect_list("_most").alias("_null"))  # n_perm numbers
+    null = every.groupBy("perm_id").agg(F.round(F.max("mass"), 9).alias("_most")).agg(F.sort_array(F.collect_list("_most")).alias("_null"))  # n_perm numbers
     beyond_faces = joined.where("perm_id = 0").select("side", "cluster", F.col("mass").alias("_joined"))
     observed = sent.where("kind = 3").join(beyond_faces, ["side", "cluster"], "left").withColumn("mass", F.coalesce("_joined", "mass")).crossJoin(F.broadcast(null))
-    beyond = F.when(F.col("side") == 0, n_perm).otherwise(F.size(F.filter("_null", lambda x: x >= F.round("mass", 9))))
+    beyond = F.when(F.col("side") == 0, n_perm).otherwise(n_beyond("_null", F.round("mass", 9), n_perm))
     return observed.select(F.col("voxel").cast(dict(grid.dtypes)[feature]).alias(feature), F.col("mass").alias("statistic"), ((beyond + 1) / F.lit(float(n_perm + 1))).alias("p"))

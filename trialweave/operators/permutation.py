@@ -31,6 +31,13 @@ def draw_key(perm: str, subject: str) -> Column:
     return F.md5(F.concat(F.col(perm).cast("string"), F.lit("-"), F.col(subject).cast("string")))
 
 
+def n_beyond(null: str, x: Column, n_perm: int) -> Column:
+    """How many values of a rising array of at most n_perm are x or more, by halving."""
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(n_perm.bit_length()))])
+    below = F.aggregate(halves, F.lit(0), lambda at, more: F.when(F.get(null, at + more - 1) < x, at + more).otherwise(at))
+    return F.size(null) - below
+
+
 def draws(df: DataFrame, n_perm: int) -> DataFrame:
     """Each row once for every permutation, with perm_id from 1."""
     return df.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
