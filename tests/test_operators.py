@@ -515,3 +515,11 @@ def test_values_at_or_beyond(spark):
     df = spark.createDataFrame([(values, x) for x in (-1.0, 0.0, 0.5, 1.0, 2.5, 3.0, 7.0, 8.0)] + [([], 1.0)], "null array<double>, x double")
     got = [r[0] for r in df.select(perm.n_beyond("null", F.col("x"), 6)).collect()]
     assert got == [5, 5, 4, 4, 2, 1, 1, 0, 0]
+
+
+def test_tails_of_small_t_and_many_degrees_of_freedom():
+    """With t near 0 the area between is t times the density, whatever the degrees of freedom; df / (df + t * t) is 1 in doubles."""
+    t, df = np.array([1e-9, 1e-6, 1e-4, 5e-4, -1e-6]), np.array([8.0, 89998.0, 89998.0, 89938.99, 5e6])
+    density = np.array([math.exp(math.lgamma((f + 1) / 2) - math.lgamma(f / 2)) / math.sqrt(f * math.pi) for f in df])
+    assert np.allclose(tails.t_upper(t, df), 0.5 - t * density, rtol=0, atol=1e-10)
+    assert np.allclose(2 * tails.t_upper(np.array([1.959964, 11.4]), np.array([1e6, 89932.0])), [0.05000028, 4.38e-30], rtol=1e-2)

@@ -13,13 +13,14 @@ _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-def beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
-    a, b, x = (np.array(v, float) for v in np.broadcast_arrays(a, b, x))
+def beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function, by its continued fraction (modified Lentz); ``rest`` is 1 - x, which cannot be had from an x near 1."""
+    a, b, x, rest = (np.array(v, float) for v in np.broadcast_arrays(a, b, x, rest))
     swap = x > (a + 1) / (a + b + 2)
-    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    a, b, x, rest = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, rest, x), np.where(swap, x, rest)
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(a * np.log(x) + b * np.log1p(-x) + _lgamma(a + b) - _lgamma(a) - _lgamma(b)) / a
+        log_x, log_rest = np.where(x < 0.5, np.log(x), np.log1p(-rest)), np.where(x < 0.5, np.log1p(-x), np.log(rest))
+        front = np.exp(a * log_x + b * log_rest + _lgamma(a + b) - _lgamma(a) - _lgamma(b)) / a
     tiny = 1e-300
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -39,7 +40,8 @@ def beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def t_upper(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(T > t)."""
-    half = 0.5 * beta_share(np.asarray(df, float) / 2, 0.5, df / (df + np.square(t)))
+    whole = df + np.square(t)
+    half = 0.5 * beta_share(np.asarray(df, float) / 2, 0.5, df / whole, np.square(t) / whole)
     return np.where(np.asarray(t) >= 0, half, 1 - half)
 
 
