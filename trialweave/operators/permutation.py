@@ -33,7 +33,7 @@ def draw_key(perm: str, subject: str) -> Column:
 
 def n_beyond(null: str, x: Column, n_perm: int) -> Column:
     """How many values of a rising array of at most n_perm are x or more, by halving."""
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(n_perm.bit_length()))])
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n_perm).bit_length()))])
     below = F.aggregate(halves, F.lit(0), lambda at, more: F.when(F.get(null, at + more - 1) < x, at + more).otherwise(at))
     return F.size(null) - below
 
